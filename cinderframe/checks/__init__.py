@@ -1,5 +1,5 @@
 """Registered queries over the driver tables, grouped by area."""
 
-from cinderframe.checks import telemetry
+from cinderframe.checks import reports, telemetry
 
-AREAS = (telemetry,)
+AREAS = (telemetry, reports)

@@ -86,17 +86,39 @@ def lines_of(text: Column) -> Column:
     return F.split(text, r"\R")
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once per row, however often the body uses it.
+
+    Array functions take no part in common-subexpression elimination, so a nested use of an
+    expensive expression would otherwise run again at every mention.
+    """
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
 def first_block(text: Column) -> Column:
     """Frames of the first maximal run of frame-shaped lines; empty array when there is none."""
-    lines = lines_of(text)
-    flags = F.transform(lines, lambda line: line.rlike(FRAME_LINE))
-    start = F.array_position(flags, True).cast("int")
-    tail = F.slice(flags, start, F.size(flags))
-    stop = F.array_position(tail, False).cast("int")
-    length = F.when(stop == 0, F.size(tail)).otherwise(stop - 1)
-    return F.when(F.coalesce(start, F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(
-        F.slice(lines, start, length)
+
+    def run_of_frames(lines: Column, flags: Column, start: Column) -> Column:
+        rest = F.slice(flags, start, F.size(flags))
+        length = let(
+            F.array_position(rest, False).cast("int"),
+            lambda stop: F.when(stop == 0, F.size(flags) - start + 1).otherwise(stop - 1),
+        )
+        return F.when(start == 0, F.array().cast("array<string>")).otherwise(
+            F.slice(lines, start, length)
+        )
+
+    block = let(
+        lines_of(text),
+        lambda lines: let(
+            F.transform(lines, lambda line: line.rlike(FRAME_LINE)),
+            lambda flags: let(
+                F.array_position(flags, True).cast("int"),
+                lambda start: run_of_frames(lines, flags, start),
+            ),
+        ),
     )
+    return F.coalesce(block, F.array().cast("array<string>"))
 
 
 def stack_depth(block: Column) -> Column:
@@ -152,17 +174,19 @@ def frame_struct(line: Column, position: Column) -> Column:
 
 
 def frame_structs(block: Column) -> Column:
-    return F.transform(block, frame_struct)
+    return F.transform(block, lambda line, position: frame_struct(line, position))
 
 
 def is_harness_frame(line: Column, harness, match_basename: bool = True) -> Column:
     """A frame belongs to the harness by full path, same path, or (by default) same file name."""
     harness = _col(harness)
-    path = F.regexp_extract(line, LOCATION, 1)
     name = basename(harness)
-    located = F.when(
-        path != "", basename(path) == name if match_basename else normal_path(path) == normal_path(harness)
-    ).otherwise(line.contains(name))
+
+    def by_path(path: Column) -> Column:
+        same = basename(path) == name if match_basename else normal_path(path) == normal_path(harness)
+        return F.when(path != "", same).otherwise(line.contains(name))
+
+    located = let(F.regexp_extract(line, LOCATION, 1), by_path)
     return F.coalesce(line.contains(harness) | located, F.lit(False))
 
 
@@ -181,17 +205,25 @@ def mask_addresses(text: Column) -> Column:
 
 def pre_entry_frames(block: Column, harness, match_basename: bool = True) -> Column:
     """The block up to the first harness or entry-point frame, canonicalised."""
-    stops = F.transform(
-        block, lambda line: is_harness_frame(line, harness, match_basename) | is_entry_frame(line)
-    )
-    stop = F.array_position(stops, True).cast("int")
-    kept = F.slice(block, 1, F.when(stop == 0, F.size(block)).otherwise(stop - 1))
-    return F.transform(kept, canonical_frame)
+
+    def before_stop(frames: Column) -> Column:
+        stops = F.transform(
+            frames, lambda line: is_harness_frame(line, harness, match_basename) | is_entry_frame(line)
+        )
+        length = let(
+            F.array_position(stops, True).cast("int"),
+            lambda stop: F.when(stop == 0, F.size(frames)).otherwise(stop - 1),
+        )
+        return F.transform(F.slice(frames, F.lit(1), length), lambda line: canonical_frame(line))
+
+    return let(block, before_stop)
 
 
 def canonical_trace(frames: Column) -> Column:
     """Address-free text of a trace; NULL for an empty trace."""
-    return F.when(F.size(frames) > 0, mask_addresses(F.array_join(frames, "\n")))
+    return let(
+        frames, lambda f: F.when(F.size(f) > 0, mask_addresses(F.array_join(f, "\n")))
+    )
 
 
 def fingerprint(canonical: Column) -> Column:
@@ -200,53 +232,69 @@ def fingerprint(canonical: Column) -> Column:
 
 def is_reporting_frame(line: Column) -> Column:
     """Abort machinery and sanitizer wrappers: never the place where the crash happened."""
-    path = F.regexp_extract(line, LOCATION, 1)
     tokens = _any(line.contains(token) for token in ABORT_TOKENS + WRAPPER_TOKENS)
-    return tokens | _any(path.endswith(name) for name in ABORT_FILES + WRAPPER_FILES)
+    files = let(
+        F.regexp_extract(line, LOCATION, 1),
+        lambda path: _any(path.endswith(name) for name in ABORT_FILES + WRAPPER_FILES),
+    )
+    return tokens | files
 
 
 def crash_location(frames: Column) -> Column:
     """First located frame that is not a reporting frame, else the first located frame."""
-    located = F.filter(frames, lambda line: line.rlike(LOCATION))
-    cause = F.try_element_at(F.filter(located, lambda line: ~is_reporting_frame(line)), F.lit(1))
-    return frame_location(F.coalesce(cause, F.try_element_at(located, F.lit(1))))
+
+    def pick(located: Column) -> Column:
+        cause = F.get(F.filter(located, lambda line: ~is_reporting_frame(line)), F.lit(0))
+        return frame_location(F.coalesce(cause, F.get(located, F.lit(0))))
+
+    return let(F.filter(frames, lambda line: line.rlike(LOCATION)), pick)
 
 
 def crash_owner(text: Column, block: Column, harness) -> Column:
     """Location of the crash when the harness itself is at fault, else NULL."""
     harness = _col(harness)
-    fault = F.regexp_extract(text, r"/[^\s:]+:\d+:\d+:\s*runtime error:.*", 0)
-    fault_location = F.regexp_extract(fault, LOCATION, 0)
-    fault_path = F.regexp_extract(fault, LOCATION, 1)
-    by_report = (fault_location != "") & (
-        fault_location.contains(harness) | (basename(fault_path) == basename(harness))
+
+    def of_harness(location: Column) -> Column:
+        path = F.regexp_extract(location, LOCATION, 1)
+        here = location.contains(harness) | (basename(path) == basename(harness))
+        return F.when((location != "") & here, location)
+
+    by_report = let(
+        F.regexp_extract(F.regexp_extract(text, r"/[^\s:]+:\d+:\d+:\s*runtime error:.*", 0), LOCATION, 0),
+        of_harness,
     )
     # A frame decides when it is the harness or has a location; reporting frames with one are skipped.
-    deciding = F.try_element_at(
+    deciding = F.get(
         F.filter(
             block,
-            lambda line: ~(line.rlike(LOCATION) & is_reporting_frame(line))
-            & (is_harness_frame(line, harness) | line.rlike(LOCATION)),
+            lambda line: F.when(line.rlike(LOCATION), ~is_reporting_frame(line)).otherwise(
+                is_harness_frame(line, harness)
+            ),
         ),
-        F.lit(1),
+        F.lit(0),
     )
-    by_frame = F.when(
-        is_harness_frame(deciding, harness), F.coalesce(frame_location(deciding), F.trim(deciding))
+    by_frame = let(
+        deciding,
+        lambda line: F.when(
+            is_harness_frame(line, harness), F.coalesce(frame_location(line), F.trim(line))
+        ),
     )
-    return F.when(harness.isNotNull(), F.when(by_report, fault_location).otherwise(by_frame))
+    return F.when(harness.isNotNull(), F.coalesce(by_report, by_frame))
 
 
 def library_sites(block: Column) -> Column:
     """Shared-object frames of a block as `struct<path, name, off>`, in frame order."""
     frames = F.filter(block, lambda line: line.rlike(SHARED_OBJECT))
-    return F.transform(
-        frames,
-        lambda line: F.struct(
-            F.regexp_extract(line, SHARED_OBJECT, 1).alias("path"),
-            basename(F.regexp_extract(line, SHARED_OBJECT, 1)).alias("name"),
+
+    def site(line: Column) -> Column:
+        path = F.regexp_extract(line, SHARED_OBJECT, 1)
+        return F.struct(
+            path.alias("path"),
+            basename(path).alias("name"),
             F.lower(F.regexp_extract(line, SHARED_OBJECT, 2)).alias("off"),
-        ),
-    )
+        )
+
+    return F.transform(frames, lambda line: site(line))
 
 
 def library_stem(name: Column) -> Column:
@@ -275,9 +323,7 @@ def same_library(path: Column, name: Column, expected) -> Column:
 
 
 def expected_site(sites: Column, expected) -> Column:
-    return F.try_element_at(
-        F.filter(sites, lambda s: same_library(s["path"], s["name"], expected)), F.lit(1)
-    )
+    return F.get(F.filter(sites, lambda s: same_library(s["path"], s["name"], expected)), F.lit(0))
 
 
 def hinted_site(
@@ -297,6 +343,6 @@ def hinted_site(
     )
     fallback = F.filter(sites, lambda s: ~is_runtime_library(s["name"], runtime))
     return F.coalesce(
-        F.try_element_at(hinted, F.lit(1)),
-        F.when(allow_fallback, F.try_element_at(fallback, F.lit(1))),
+        F.get(hinted, F.lit(0)),
+        F.when(allow_fallback, F.get(fallback, F.lit(0))),
     )

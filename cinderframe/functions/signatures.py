@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from cinderframe.functions.frames import mask_addresses
+from cinderframe.functions.frames import let, mask_addresses
 
 ASSERTION = r"(/[^\s:]+:\d+):.*Assertion .* failed\."
 ASAN_SUMMARY = r"SUMMARY:\s*AddressSanitizer:\s*([\w-]+)"
@@ -45,7 +45,7 @@ def _signature(kind: str, key: Column, value: Column) -> Column:
 
 
 def _plain(kind: str, value: Column) -> Column:
-    return F.when(value.isNotNull(), _signature(kind, value, value))
+    return let(value, lambda v: F.when(v.isNotNull(), _signature(kind, v, v)))
 
 
 def _fault(message: Column) -> Column:
@@ -65,8 +65,7 @@ def crash_signature(text: Column, strict_leak_type: bool = False) -> Column:
         "asan", F.coalesce(_first(text, ASAN_SUMMARY, 1), _first(text, ASAN_ERROR, 1))
     )
     leak = _plain("leak", mask_addresses(_first(text, LEAK, 0)))
-    fault_text = _first(text, RUNTIME_ERROR, 0)
-    fault = F.when(fault_text.isNotNull(), _fault(fault_text))
+    fault = let(_first(text, RUNTIME_ERROR, 0), lambda m: F.when(m.isNotNull(), _fault(m)))
     rest = [
         fault,
         _plain("ubsan_summary", mask_addresses(_first(text, UBSAN_SUMMARY, 0))),
@@ -83,13 +82,13 @@ def all_signatures(text: Column) -> Column:
     def each(kind: str, pattern: str, group: int) -> Column:
         return F.transform(
             F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
-            lambda v: _signature(kind, mask_addresses(v), mask_addresses(v)),
+            lambda v: let(mask_addresses(v), lambda m: _signature(kind, m, m)),
         )
 
     asan = F.transform(
         F.regexp_extract_all(text, F.lit(ASAN_ANY), F.lit(1)), lambda v: _signature("asan", v, v)
     )
-    faults = F.transform(F.regexp_extract_all(text, F.lit(RUNTIME_ERROR), F.lit(0)), _fault)
+    faults = F.transform(F.regexp_extract_all(text, F.lit(RUNTIME_ERROR), F.lit(0)), lambda v: _fault(v))
     return F.array_distinct(
         F.concat(
             each("assert", ASSERTION, 1),
@@ -124,5 +123,5 @@ def elapsed_marker_ms(text: Column, marker: str) -> Column:
 def runtime_arguments(text: Column, status: Column, marker: str) -> Column:
     """Distinct arguments on `<marker>` lines in order, only for a reproduced crash (status 77)."""
     found = F.regexp_extract_all(text, F.lit(rf"(?m)^\Q{marker}\E(.*)$"), F.lit(1))
-    kept = F.array_distinct(F.filter(F.transform(found, F.trim), lambda a: a != ""))
+    kept = F.array_distinct(F.filter(F.transform(found, lambda a: F.trim(a)), lambda a: a != ""))
     return F.when(status == 77, kept).otherwise(F.array().cast("array<string>"))
