@@ -1,5 +1,5 @@
 """Registered queries over the driver tables, grouped by area."""
 
-from cinderframe.checks import reports, telemetry
+from cinderframe.checks import evidence, reports, telemetry
 
-AREAS = (telemetry, reports)
+AREAS = (telemetry, reports, evidence)
