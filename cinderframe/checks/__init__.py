@@ -1,5 +1,5 @@
 """Registered queries over the driver tables, grouped by area."""
 
-from cinderframe.checks import evidence, reports, telemetry
+from cinderframe.checks import evidence, reports, telemetry, values
 
-AREAS = (telemetry, reports, evidence)
+AREAS = (telemetry, reports, evidence, values)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from cinderframe.functions.frames import let
+
 EXACT = "decimal(38,0)"
-INT_PATTERN = r"^[+-]?(?:0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+|[1-9][0-9]*|0+)$"
+RADIX_PATTERN = r"^[+-]?(?:0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+)$"
 DECIMAL_PATTERN = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
 # Ranges of the integral result types, as exact decimals in text.
@@ -28,9 +30,12 @@ def resize_payload(payload: Column, wanted: Column) -> Column:
 
 
 def clamp(value: Column, low: Column, high: Column) -> Column:
-    """Clamp to a type's range, then drop the fraction."""
-    bounded = F.least(F.greatest(value, low), high)
-    return F.when(bounded >= 0, F.floor(bounded)).otherwise(F.ceil(bounded)).cast(EXACT)
+    """Clamp to a type's range and drop the fraction.
+
+    The bounds are whole, so the fraction can go first; that keeps all three in one decimal type.
+    """
+    whole = F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value)).cast(EXACT)
+    return F.least(F.greatest(whole, low), high)
 
 
 def parse_integer(text: Column) -> Column:
@@ -38,39 +43,45 @@ def parse_integer(text: Column) -> Column:
 
     Radix forms are exact up to 64 bits, decimal forms up to 38 digits.
     """
-    sign = F.when(text.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
+
+    def radix(body: Column, base: int) -> Column:
+        return F.conv(F.substring(body, 3, 70), base, 10).try_cast("decimal(20,0)").cast(EXACT)
+
+    def magnitude(body: Column) -> Column:
+        second = F.lower(F.substring(body, 2, 1))
+        return (
+            F.when(second == "x", radix(body, 16))
+            .when(second == "o", radix(body, 8))
+            .when(second == "b", radix(body, 2))
+        )
+
+    # Plain decimals carry their sign into the cast; only radix forms need it put back.
     body = F.regexp_replace(text, r"^[+-]", "")
-    prefix = F.lower(F.substring(body, 1, 2))
-    digits = F.substring(body, 3, 70)
-
-    def radix(base: int) -> Column:
-        return F.conv(digits, base, 10).try_cast("decimal(20,0)")
-
-    magnitude = (
-        F.when(prefix == "0x", radix(16))
-        .when(prefix == "0o", radix(8))
-        .when(prefix == "0b", radix(2))
-        .otherwise(body.try_cast(EXACT))
-        .cast(EXACT)
+    radix_value = let(body, magnitude)
+    signed = F.when(text.startswith("-"), -radix_value).otherwise(radix_value).cast(EXACT)
+    return F.when(text.rlike(r"^[+-]?(?:[1-9][0-9]*|0+)$"), text.try_cast(EXACT)).when(
+        text.rlike(RADIX_PATTERN), signed
     )
-    signed = F.when(sign < 0, -magnitude).otherwise(magnitude)
-    return F.when(text.rlike(INT_PATTERN), signed.cast(EXACT))
 
 
-def scalar_kind(text: Column) -> Column:
-    """`int`, `decimal` or `float` for a recorded scalar; NULL when it is not a number.
+def scalar_fields(text: Column) -> Column:
+    """`struct<kind, whole, real>` of a recorded scalar, each part NULL when it does not apply.
 
-    Integral scientific notation counts as an integer. A signed zero stays a decimal, since an
-    integer cannot carry it.
+    `kind` is `int` or `decimal`. Integral scientific notation counts as an integer. A signed zero
+    stays a decimal, since an integer cannot carry it; so do infinities and NaN.
     """
-    whole = parse_integer(text)
-    exact = exact_integer(text)
-    return (
-        F.when(whole.isNotNull() & ~((whole == 0) & text.startswith("-")), F.lit("int"))
-        .when(exact.isNotNull() & ~((exact == 0) & text.startswith("-")), F.lit("int"))
-        .when(text.rlike(DECIMAL_PATTERN) | text.rlike(INT_PATTERN), F.lit("decimal"))
-        .when(F.lower(text).rlike(r"^[+-]?(?:inf|infinity|nan)$"), F.lit("float"))
-    )
+
+    def fields(whole: Column) -> Column:
+        is_int = whole.isNotNull() & ~((whole == 0) & text.startswith("-"))
+        number = is_int | text.rlike(DECIMAL_PATTERN) | text.rlike(RADIX_PATTERN)
+        number = number | F.lower(text).rlike(r"^[+-]?(?:inf|infinity|nan)$")
+        return F.struct(
+            F.when(is_int, "int").when(number, "decimal").alias("kind"),
+            F.when(is_int, whole).alias("whole"),
+            F.coalesce(text.try_cast("double"), whole.cast("double")).alias("real"),
+        )
+
+    return let(F.coalesce(parse_integer(text), exact_integer(text)), fields)
 
 
 def exact_integer(text: Column) -> Column:
@@ -79,21 +90,34 @@ def exact_integer(text: Column) -> Column:
     Worked on the digits, so no rounding can make a fraction look whole.
     """
     shape = r"^([+-]?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$"
+
+    def shifted(p: Column) -> Column:
+        digits, shift = p["digits"], p["shift"]
+        zeros = F.length(digits) - F.length(F.regexp_replace(digits, "0+$", ""))
+        magnitude = (
+            F.when(digits.rlike("^0+$"), F.lit("0"))
+            .when((shift >= 0) & (shift <= 38), F.concat(digits, F.repeat(F.lit("0"), shift)))
+            .when((shift < 0) & (zeros >= -shift), F.substring(digits, F.lit(1), F.length(digits) + shift))
+        )
+        return F.concat(p["sign"], magnitude).try_cast(EXACT)
+
     fraction = F.regexp_extract(text, shape, 3)
-    digits = F.concat(F.regexp_extract(text, shape, 2), fraction)
     exponent = F.coalesce(F.regexp_extract(text, shape, 4).try_cast("int"), F.lit(0))
-    shift = exponent - F.length(fraction)
-    zeros = F.length(digits) - F.length(F.regexp_replace(digits, "0+$", ""))
-    is_zero = digits.rlike("^0+$")
-    magnitude = (
-        F.when(is_zero, F.lit("0"))
-        .when((shift >= 0) & (shift <= 38), F.concat(digits, F.repeat(F.lit("0"), shift)))
-        .when((shift < 0) & (zeros >= -shift), F.substring(digits, F.lit(1), F.length(digits) + shift))
+    parts = F.struct(
+        F.regexp_extract(text, shape, 1).alias("sign"),
+        F.concat(F.regexp_extract(text, shape, 2), fraction).alias("digits"),
+        (exponent - F.length(fraction)).alias("shift"),
     )
-    value = F.concat(F.regexp_extract(text, shape, 1), magnitude).try_cast(EXACT)
-    return F.when(text.rlike(DECIMAL_PATTERN), value)
+    return F.when(text.rlike(DECIMAL_PATTERN), let(parts, shifted))
 
 
-def scalar_value(text: Column) -> Column:
-    """Exact integral value of a scalar, NULL for decimals and floats."""
-    return F.when(scalar_kind(text) == "int", F.coalesce(parse_integer(text), exact_integer(text)))
+def range_bound(type_name: Column, upper: bool) -> Column:
+    """Lower or upper bound of an integral type by name; NULL for other types."""
+    bounds = F.create_map(
+        *[
+            part
+            for name, low, high in INTEGRAL_RANGES
+            for part in (F.lit(name), F.lit(high if upper else low).cast(EXACT))
+        ]
+    )
+    return F.try_element_at(bounds, type_name)
