@@ -114,8 +114,7 @@ def depth_gate(spark, folder):
     return joined.select("report_id", result.alias("depth_result"))
 
 
-def _retry_attempts(spark, folder):
-    c = table(spark, folder, "conversations")
+def retry_attempts_of(c):
     n = F.length("text")
     result = (
         F.when((F.col("role") == "system") | ((F.col("role") == "user") & (n % 11 == 0)), ops.MISMATCH)
@@ -126,7 +125,7 @@ def _retry_attempts(spark, folder):
 
 
 def evidence_retry(spark, folder):
-    return ops.evidence_retry(_retry_attempts(spark, folder), ["candidate"])
+    return ops.evidence_retry(retry_attempts_of(table(spark, folder, "conversations")), ["candidate"])
 
 
 def signature_drift(spark, folder):

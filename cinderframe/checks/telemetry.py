@@ -17,7 +17,10 @@ def _ns(value):
 
 def events(spark: SparkSession, folder: str, run: str = "user_id") -> DataFrame:
     """The events as candidate checks; `run` names the column that groups them."""
-    e = table(spark, folder, "events")
+    return events_of(table(spark, folder, "events"), run)
+
+
+def events_of(e: DataFrame, run: str = "user_id") -> DataFrame:
     start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     end = start + _ns(F.col("value")) * 600_000_000
     ns = _ns(F.col("value"))
@@ -49,7 +52,11 @@ def events(spark: SparkSession, folder: str, run: str = "user_id") -> DataFrame:
 
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The same checks as JSON lines with some unreadable ones among them."""
-    e = events(spark, folder)
+    return event_lines_of(table(spark, folder, "events"))
+
+
+def event_lines_of(raw: DataFrame) -> DataFrame:
+    e = events_of(raw)
     broken = F.col("event_id") % 97 == 0
     odd = F.element_at(F.array(F.lit("not-json"), F.lit("[1]"), F.lit("3"), F.lit("  ")), (F.col("event_id") % 4 + 1).cast("int"))
     return e.select("run", F.when(broken, odd).otherwise(src.record_json(e.drop("run"))).alias("line"))
