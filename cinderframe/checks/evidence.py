@@ -8,13 +8,15 @@ from cinderframe.checks import reports as rp
 from cinderframe.checks.tables import table
 from cinderframe.operators import evidence as ops
 from cinderframe.operators import reports as parse
+from cinderframe.session import written
 from cinderframe.sources.reports import alias_pair_json, alias_pairs_from_json, trace_set_from_json, tri_state
 
 KEYS = ["ref_id"]
 
 
 def _parsed(spark, folder):
-    return parse.parse_reports(rp.reports(spark, folder))
+    """Evidence columns of all reports, parsed once for the branches below."""
+    return written(parse.parse_reports(rp.reports(spark, folder)), "evidence")
 
 
 def _samples(parsed):

@@ -8,6 +8,7 @@ from cinderframe.checks.tables import table
 from cinderframe.functions import frames as fr
 from cinderframe.functions import signatures as sg
 from cinderframe.operators import reports as ops
+from cinderframe.plans.pin import pin, spread
 
 TIME_MARKER = "EXEC_TIME_MS="
 ARGUMENT_MARKER = "RUNTIME_ARG="
@@ -29,7 +30,7 @@ def reports(spark, folder) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(F.array_sort(F.collect_list(item)).alias("items"))
     )
-    o = table(spark, folder, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    o = spread(table(spark, folder, "orders")).join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     harness = _text("/work/h", _str(cust % 3), "/harness.cpp")
 
@@ -71,14 +72,17 @@ def reports(spark, folder) -> DataFrame:
         .otherwise(F.lit("done"))
     )
     second = "\n\nallocated by thread T0 here:\n    #0 0xfff1 in malloc /rt/asan_malloc_linux.cpp:100:3\n    #1 0xfff2 in make /src/lib/make.c:7:7\n"
-    return o.select(
+    o = o.select(
         key.alias("report_id"),
         cust.alias("ref_id"),
         F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "sample").otherwise("candidate").alias("role"),
         F.when(key % 9 == 0, 1).otherwise(77).alias("status"),
         harness.alias("harness"),
-        F.concat(header, F.lit("\n"), frames, F.when(frames == "", "\n").otherwise(second), footer).alias("text"),
+        "items", "o_orderkey", "o_custkey",
     )
+    tail = F.when(F.size(F.coalesce("items", F.array())) == 0, "\n").otherwise(second)
+    text = F.concat(header, F.lit("\n"), frames, tail, footer)
+    return pin(o, text=text).drop("items", "o_orderkey", "o_custkey")
 
 
 # The same reports as columns: one row per frame, and per report what follows from them.

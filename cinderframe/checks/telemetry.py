@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cinderframe.checks.tables import table
 from cinderframe.operators import telemetry as ops
+from cinderframe.plans.pin import pin, spread
 from cinderframe.sources import telemetry as src
 
 JOBS = 4
@@ -52,14 +53,14 @@ def events_of(e: DataFrame, run: str = "user_id") -> DataFrame:
 
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The same checks as JSON lines with some unreadable ones among them."""
-    return event_lines_of(table(spark, folder, "events"))
+    return event_lines_of(spread(table(spark, folder, "events")))
 
 
 def event_lines_of(raw: DataFrame) -> DataFrame:
     e = events_of(raw)
     broken = F.col("event_id") % 97 == 0
     odd = F.element_at(F.array(F.lit("not-json"), F.lit("[1]"), F.lit("3"), F.lit("  ")), (F.col("event_id") % 4 + 1).cast("int"))
-    return e.select("run", F.when(broken, odd).otherwise(src.record_json(e.drop("run"))).alias("line"))
+    return pin(e, line=F.when(broken, odd).otherwise(src.record_json(e.drop("run")))).select("run", "line")
 
 
 FX = """

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from cinderframe.checks.tables import table
 from cinderframe.functions import scalars as sc
 from cinderframe.operators import values as ops
+from cinderframe.plans.pin import pin, spread
+from cinderframe.session import written
 from cinderframe.sources import traces as src
 
 
@@ -16,7 +18,7 @@ def _str(c):
 
 def trace_lines(spark, folder):
     """One record per line item; payloads and truncation vary with the part."""
-    li = table(spark, folder, "lineitem")
+    li = spread(table(spark, folder, "lineitem"))
     p, flag = F.col("l_partkey"), F.col("l_returnflag")
     key = _str(1_000_000 + F.col("l_orderkey"))
     qty = _str(F.col("l_quantity").cast("int"))
@@ -30,7 +32,8 @@ def trace_lines(spark, folder):
     )
     truncated = F.concat(F.when(flag == "A", "S ").when(flag == "N", "B ").otherwise("R "), key)
     seq = F.col("l_linenumber").cast("long") * 10**12 + p * 10**5 + F.col("l_suppkey")
-    return li.select(seq.alias("seq"), "l_orderkey", F.when(p % 101 == 0, truncated).otherwise(line).alias("line"))
+    text = F.when(p % 101 == 0, truncated).otherwise(line)
+    return pin(li, seq=seq, line=text).select("seq", "l_orderkey", "line")
 
 
 def _by_line(column="seq"):
@@ -140,7 +143,7 @@ def type_inference(spark, folder):
 def fifo_pairing(spark, folder):
     records = _records(spark, folder).where("valid")
     value = F.coalesce(_str(F.col("scalar_int")), _str(F.col("size_value")), F.hex("payload"))
-    records = records.select("tag", "key", "seq", value.alias("value"))
+    records = written(records.select("tag", "key", "seq", value.alias("value")), "records")
     calls = records.select("tag", "key", "seq")
     extra = (
         calls.where(F.col("key") % 10 == 0).groupBy("tag", "key").agg((F.max("seq") + 1).alias("seq"))

@@ -6,18 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from cinderframe.functions import frames as fr
 from cinderframe.functions import signatures as sg
+from cinderframe.plans.pin import pin
 
 
 def with_blocks(reports: DataFrame, text: str = "text") -> DataFrame:
     """Add `block`, the frames of the first stack trace."""
-    return reports.withColumn("block", fr.first_block(F.col(text)))
+    return pin(reports, block=fr.first_block(F.col(text)))
 
 
 def with_traces(reports: DataFrame, harness: str = "harness", match_basename: bool = True) -> DataFrame:
     """Add `trace`, the canonical frames before the harness, from `block`."""
-    return reports.withColumn(
-        "trace", fr.pre_entry_frames(F.col("block"), F.col(harness), match_basename)
-    )
+    return pin(reports, trace=fr.pre_entry_frames(F.col("block"), F.col(harness), match_basename))
 
 
 def parse_reports(
@@ -25,12 +24,12 @@ def parse_reports(
 ) -> DataFrame:
     """Evidence columns of every report; the report text itself is dropped before any shuffle."""
     traced = with_traces(with_blocks(reports, text), harness, match_basename)
-    canonical = fr.canonical_trace(F.col("trace"))
+    traced = pin(traced, canonical=fr.canonical_trace(F.col("trace")))
     return traced.select(
         *[c for c in reports.columns if c != text],
         fr.stack_depth(F.col("block")).alias("depth"),
-        canonical.alias("canonical"),
-        fr.fingerprint(canonical).alias("fingerprint"),
+        "canonical",
+        fr.fingerprint(F.col("canonical")).alias("fingerprint"),
         fr.crash_location(F.col("trace")).alias("location"),
         fr.crash_owner(F.col(text), F.col("block"), F.col(harness)).alias("harness_fault"),
         fr.library_sites(F.col("block")).alias("sites"),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinderframe.plans.scan import CHUNK_ROWS, chunk_of, null_safe_join, running_max, running_sum
-from cinderframe.session import cut_lineage
+from cinderframe.session import written
 
 LINES_PER_MASK = 64
 # Largest overlap cluster that one row's fold settles; larger ones are settled in rounds.
@@ -249,10 +249,10 @@ def _round(pending: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Take every edit that outranks all it overlaps; return (taken, still undecided)."""
     rows = _tree_rows(pending, keys)
     best = _best_overlapping(rows, rows, keys)
-    taken = cut_lineage(best.where(F.col("_best") == F.col("_rank")).select(*keys, "_rank"))
+    taken = written(best.where(F.col("_best") == F.col("_rank")).select(*keys, "_rank"), "taken")
     blocked = _best_overlapping(rows, null_safe_join(rows, taken, [*keys, "_rank"]), keys)
     lost = blocked.where(F.col("_best").isNotNull()).select(*keys, "_rank")
-    left = cut_lineage(null_safe_join(pending, lost, [*keys, "_rank"], "left_anti"))
+    left = written(null_safe_join(pending, lost, [*keys, "_rank"], "left_anti"), "undecided")
     return taken, left
 
 
@@ -270,7 +270,7 @@ def select_edits(edits: DataFrame, keys: list[str], fold_limit: int = FOLD_LIMIT
     pending = edits.select(*keys, "start", "end", rank.alias("_rank")).distinct()
     chosen: list[DataFrame] = []
     while True:
-        clustered = _clusters(pending, keys)
+        clustered = written(_clusters(pending, keys), "clusters")
         big = clustered.groupBy(*keys, "cluster").count().where(F.col("count") > fold_limit)
         big = big.select(*keys, "cluster")
         if big.isEmpty():

@@ -58,7 +58,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of `df` as a parquet table in the shared folder.
+
+    For costly results that several branches of a plan read: they are computed once, each branch reads
+    only its columns, and a lost executor costs no recomputation.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cinderframe.plans.pin import pin
+
 # Measured stages of one check, in report order, with their labels.
 STAGES = (
     ("python_import_ns", "Python imports/module setup"),
@@ -49,9 +51,8 @@ def classify_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     after a closing brace, so the line must also end with one.
     """
     text = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
-    parsed = lines.where(text != "").withColumn(
-        "record", F.when(text.endswith("}"), F.try_parse_json(text))
-    )
+    record = F.when(text.endswith("}"), F.try_parse_json(text))
+    parsed = pin(lines.where(F.col(line).rlike(r"\S")), record=record)
     return parsed.withColumn("malformed", ~_is_object(F.col("record")))
 
 

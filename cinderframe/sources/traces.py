@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cinderframe.plans.pin import pin
 from cinderframe.functions.scalars import parse_integer, resize_payload, scalar_fields
 
 NARROW_TAGS = ("S", "R", "P", "B")
@@ -42,9 +43,9 @@ def _bytes(parts: Column) -> Column:
 
 def parse_records(lines: DataFrame, keep: list[str]) -> DataFrame:
     """Narrow records as typed columns; `valid` is false for lines that carry no usable record."""
-    split = lines.select(*keep, _parts(F.col("line")).alias("p"))
+    split = pin(lines.select(*keep, "line"), p=_parts(F.col("line")))
     tag, text = F.col("p")[0], F.get(F.col("p"), F.lit(2))
-    parsed = split.withColumn("s", F.when(tag == "S", scalar_fields(text)))
+    parsed = pin(split, s=F.when(tag == "S", scalar_fields(text)))
     fields = parsed.select(
         *keep,
         F.when(tag.isin(*NARROW_TAGS), tag).alias("tag"),
@@ -58,14 +59,12 @@ def parse_records(lines: DataFrame, keep: list[str]) -> DataFrame:
     usable = (
         F.col("scalar_dbl").isNotNull() | F.col("size_value").isNotNull() | F.col("payload").isNotNull()
     )
-    return fields.withColumn(
-        "valid", F.col("tag").isNotNull() & F.col("key").isNotNull() & usable
-    )
+    return pin(fields, valid=F.col("tag").isNotNull() & F.col("key").isNotNull() & usable)
 
 
 def parse_wide_records(lines: DataFrame, keep: list[str]) -> DataFrame:
     """Complete wide-vector records; short or unreadable ones are dropped."""
-    parsed = lines.select(*keep, _parts(F.col("line")).alias("p")).where(F.col("p")[0] == "V")
+    parsed = pin(lines.select(*keep, "line"), p=_parts(F.col("line"))).where(F.col("p")[0] == "V")
     at = lambda i: F.get(F.col("p"), F.lit(i))
     typed = parsed.select(
         *keep,
@@ -79,9 +78,8 @@ def parse_wide_records(lines: DataFrame, keep: list[str]) -> DataFrame:
         F.slice("p", F.lit(6), F.col("_n")), lambda v: parse_integer(v).try_cast("decimal(20,0)")
     )
     return (
-        typed.select(
-            *keep, "key", (F.col("_sign") == "S").alias("is_signed"), "value_bits", values.alias("wide")
-        )
+        pin(typed, wide=values)
+        .select(*keep, "key", (F.col("_sign") == "S").alias("is_signed"), "value_bits", "wide")
         .where(
             F.col("key").isNotNull()
             & F.col("value_bits").isNotNull()
