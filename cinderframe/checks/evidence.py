@@ -14,9 +14,15 @@ from cinderframe.sources.reports import alias_pair_json, alias_pairs_from_json,
 KEYS = ["ref_id"]
 
 
-def _parsed(spark, folder):
-    """Evidence columns of all reports, parsed once for the branches below."""
-    return written(parse.parse_reports(rp.reports(spark, folder)), "evidence")
+TRACES = ("signature", "location", "canonical", "fingerprint")
+IDENTITY = ("signature", "signatures", "location", "sites", "depth")
+
+
+def _parsed(spark, folder, columns=TRACES + IDENTITY):
+    """Wanted evidence columns of all reports, parsed once for the branches below."""
+    parsed = parse.parse_reports(rp.reports(spark, folder))
+    wanted = ["report_id", "ref_id", "role", "status", *dict.fromkeys(columns)]
+    return written(parsed.select(*wanted), "evidence")
 
 
 def _samples(parsed):
@@ -29,14 +35,14 @@ def _candidates(parsed):
 
 
 def trace_set_build(spark, folder):
-    built = ops.build_trace_set(_samples(_parsed(spark, folder)), KEYS)
+    built = ops.build_trace_set(_samples(_parsed(spark, folder, TRACES)), KEYS)
     return built.select("ref_id", "variant", "fingerprint", "first_sample")
 
 
 def trace_set_json(spark, folder):
     """The trace sets written as their JSON payload and read back."""
-    built = ops.build_trace_set(_samples(_parsed(spark, folder)), KEYS)
-    ordered = F.array_sort(F.collect_list(F.struct("variant", "canonical")))
+    built = ops.build_trace_set(_samples(_parsed(spark, folder, TRACES)), KEYS)
+    ordered = F.sort_array(F.collect_list(F.struct("variant", "canonical")))
     payload = built.groupBy("ref_id").agg(
         F.to_json(
             F.struct(
@@ -52,14 +58,14 @@ def trace_set_json(spark, folder):
 
 
 def trace_set_match(spark, folder):
-    parsed = _parsed(spark, folder)
+    parsed = _parsed(spark, folder, TRACES)
     built = ops.build_trace_set(_samples(parsed), KEYS)
     matched = ops.match_trace_set(_candidates(parsed), built, KEYS)
     return matched.select("report_id", "trace_result", "variant")
 
 
 def signature_match(spark, folder):
-    parsed = _parsed(spark, folder)
+    parsed = _parsed(spark, folder, IDENTITY)
     references = ops.capture_reference(_samples(parsed), KEYS)
     matched = ops.match_signatures(_candidates(parsed), references, KEYS)
     return matched.select("report_id", "signature_match")
@@ -106,7 +112,7 @@ def verdict_report(spark, folder):
 
 
 def depth_gate(spark, folder):
-    parsed = _parsed(spark, folder)
+    parsed = _parsed(spark, folder, IDENTITY)
     references = ops.capture_reference(_samples(parsed), KEYS)
     joined = _candidates(parsed).join(references, "ref_id")
     anchored = F.col("ref_library").isNotNull()

@@ -24,36 +24,29 @@ def _str(column):
 
 def reports(spark, folder) -> DataFrame:
     """`report_id, ref_id, role, status, harness, text`; samples are the urgent and high orders."""
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")
-    items = (
-        table(spark, folder, "lineitem")
-        .groupBy("l_orderkey")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
+    li = spread(table(spark, folder, "lineitem"), "l_orderkey")
+    part, supp, q = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("int") % 10
+    library = F.when(supp % 7 == 0, F.lit("/lib/libc.so.6")).otherwise(
+        _text("/opt/lib/lib", _str(supp % 20), ".so.1")
     )
-    o = spread(table(spark, folder, "orders")).join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    harness = _text("/work/h", _str(cust % 3), "/harness.cpp")
-
-    def frame(x, i):
-        part, supp, q = x["l_partkey"], x["l_suppkey"], x["l_quantity"].cast("int") % 10
-        head = _text("    #", _str(i), " 0x", F.lower(F.hex(part * 4096 + supp)))
-        library = F.when(supp % 7 == 0, F.lit("/lib/libc.so.6")).otherwise(
-            _text("/opt/lib/lib", _str(supp % 20), ".so.1")
-        )
-        body = (
-            F.when(x["l_returnflag"] == "A", F.lit(" in LLVMFuzzerTestOneInput /gen/entry.cpp:33:1"))
-            .when(q == 0, _text(" in __asan_memcpy (/work/poc_", _str(key), ".out+0x49) (BuildId: ab12)"))
-            .when(q == 1, F.lit(" in abort /build/stdlib/abort.c:79:7"))
-            .when(q <= 3, _text("  (", library, "+0xF", F.lower(F.hex(part)), ")"))
-            .when(q == 4, _text(" in helper ", harness, ":12:3"))
-            .otherwise(
-                _text(" in fn_", _str(part % 2), " /src/lib/f", _str(part % 2), ".c:",
-                      _str(10 + x["l_linenumber"] % 2), ":3")
-            )
+    body = (
+        F.when(F.col("l_returnflag") == "A", F.lit(" in LLVMFuzzerTestOneInput /gen/entry.cpp:33:1"))
+        .when(q == 0, _text(" in __asan_memcpy (/work/poc_", _str(F.col("l_orderkey")), ".out+0x49) (BuildId: ab12)"))
+        .when(q == 1, F.lit(" in abort /build/stdlib/abort.c:79:7"))
+        .when(q <= 3, _text("  (", library, "+0xF", F.lower(F.hex(part)), ")"))
+        .when(q == 4, _text(" in helper /work/h", _str(F.col("l_orderkey") % 3), "/harness.cpp:12:3"))
+        .otherwise(
+            _text(" in fn_", _str(part % 2), " /src/lib/f", _str(part % 2), ".c:", _str(10 + F.col("l_linenumber") % 2), ":3")
         )
-        return F.concat(head, body)
-
-    frames = F.array_join(F.transform(F.coalesce("items", F.array()), frame), "\n")
+    )
+    line = _text(" 0x", F.lower(F.hex(part * 4096 + supp)), body)
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line"))
+    items = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    o = spread(table(spark, folder, "orders"), "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    harness = _text("/work/h", _str(key % 3), "/harness.cpp")
+    number = lambda x, i: _text("    #", _str(i), x["line"])
+    frames = F.array_join(F.transform(F.coalesce("items", F.array()), number), "\n")
     kind = (cust + (key % 4 == 0).cast("int")) % 8
     kind_text = F.element_at(F.array(F.lit("heap-buffer-overflow"), F.lit("SEGV"), F.lit("stack-overflow")), (cust % 3 + 1).cast("int"))
     file = _text("/src/lib/f", _str(cust % 2), ".c:")
@@ -93,7 +86,7 @@ fr AS (
          CASE kind WHEN 'entry' THEN 'LLVMFuzzerTestOneInput' WHEN 'memory' THEN '__asan_memcpy' WHEN 'abort' THEN 'abort'
                    WHEN 'helper' THEN 'helper' WHEN 'code' THEN 'fn_' || (p % 2) END AS func,
          CASE kind WHEN 'entry' THEN '/gen/entry.cpp' WHEN 'abort' THEN '/build/stdlib/abort.c'
-                   WHEN 'helper' THEN '/work/h' || (c % 3) || '/harness.cpp' WHEN 'code' THEN '/src/lib/f' || (p % 2) || '.c' END AS path,
+                   WHEN 'helper' THEN '/work/h' || (l_orderkey % 3) || '/harness.cpp' WHEN 'code' THEN '/src/lib/f' || (p % 2) || '.c' END AS path,
          CASE kind WHEN 'entry' THEN 33 WHEN 'abort' THEN 79 WHEN 'helper' THEN 12 WHEN 'code' THEN 10 + l_linenumber % 2 END AS line,
          CASE kind WHEN 'entry' THEN 1 WHEN 'abort' THEN 7 WHEN 'helper' THEN 3 WHEN 'code' THEN 3 END AS col,
          CASE WHEN kind = 'library' THEN lib END AS site, CASE WHEN kind = 'library' THEN '0xf' || format('{:x}', p) END AS off
@@ -122,7 +115,7 @@ rep AS (
   SELECT o_orderkey AS report_id, o_custkey AS ref_id,
          CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'sample' ELSE 'candidate' END AS role,
          CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 77 END AS status,
-         '/work/h' || (o_custkey % 3) || '/harness.cpp' AS harness,
+         '/work/h' || (o_orderkey % 3) || '/harness.cpp' AS harness,
          coalesce(depth, 0) AS depth, coalesce(stop, 1000000) AS stop,
          (o_custkey + CAST(o_orderkey % 4 = 0 AS INTEGER)) % 8 AS k,
          ['heap-buffer-overflow', 'SEGV', 'stack-overflow'][o_custkey % 3 + 1] AS typ,

@@ -53,7 +53,7 @@ def events_of(e: DataFrame, run: str = "user_id") -> DataFrame:
 
 def event_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The same checks as JSON lines with some unreadable ones among them."""
-    return event_lines_of(spread(table(spark, folder, "events")))
+    return event_lines_of(spread(table(spark, folder, "events"), "event_id"))
 
 
 def event_lines_of(raw: DataFrame) -> DataFrame:

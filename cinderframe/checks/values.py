@@ -18,7 +18,7 @@ def _str(c):
 
 def trace_lines(spark, folder):
     """One record per line item; payloads and truncation vary with the part."""
-    li = spread(table(spark, folder, "lineitem"))
+    li = spread(table(spark, folder, "lineitem"), "l_orderkey")
     p, flag = F.col("l_partkey"), F.col("l_returnflag")
     key = _str(1_000_000 + F.col("l_orderkey"))
     qty = _str(F.col("l_quantity").cast("int"))

@@ -75,11 +75,13 @@ def _nonempty(column: Column) -> Column:
     return F.nullif(column, F.lit(""))
 
 
-def _any(conditions) -> Column:
-    total = F.lit(False)
-    for condition in conditions:
-        total = total | condition
-    return total
+def _one_of(literals) -> str:
+    """Pattern for any of some literal texts."""
+    return "(?:" + "|".join(rf"\Q{literal}\E" for literal in literals) + ")"
+
+
+REPORTING_TOKEN = _one_of(ABORT_TOKENS + WRAPPER_TOKENS)
+REPORTING_FILE = _one_of(ABORT_FILES + WRAPPER_FILES) + "$"
 
 
 def lines_of(text: Column) -> Column:
@@ -232,12 +234,8 @@ def fingerprint(canonical: Column) -> Column:
 
 def is_reporting_frame(line: Column) -> Column:
     """Abort machinery and sanitizer wrappers: never the place where the crash happened."""
-    tokens = _any(line.contains(token) for token in ABORT_TOKENS + WRAPPER_TOKENS)
-    files = let(
-        F.regexp_extract(line, LOCATION, 1),
-        lambda path: _any(path.endswith(name) for name in ABORT_FILES + WRAPPER_FILES),
-    )
-    return tokens | files
+    path = F.regexp_extract(line, LOCATION, 1)
+    return line.rlike(REPORTING_TOKEN) | path.rlike(REPORTING_FILE)
 
 
 def crash_location(frames: Column) -> Column:
@@ -259,9 +257,9 @@ def crash_owner(text: Column, block: Column, harness) -> Column:
         here = location.contains(harness) | (basename(path) == basename(harness))
         return F.when((location != "") & here, location)
 
-    by_report = let(
-        F.regexp_extract(F.regexp_extract(text, r"/[^\s:]+:\d+:\d+:\s*runtime error:.*", 0), LOCATION, 0),
-        of_harness,
+    fault = F.regexp_extract(text, r"/[^\s:]+:\d+:\d+:\s*runtime error:", 0)
+    by_report = F.when(
+        text.contains("runtime error:"), let(F.regexp_extract(fault, LOCATION, 0), of_harness)
     )
     # A frame decides when it is the harness or has a location; reporting frames with one are skipped.
     deciding = F.get(
@@ -307,7 +305,7 @@ def name_or_version_of(name: Column, stem: Column) -> Column:
 
 
 def is_runtime_library(name: Column, runtime=RUNTIME_LIBRARIES) -> Column:
-    return _any(name_or_version_of(name, F.lit(prefix)) for prefix in runtime)
+    return name.rlike("^" + _one_of(runtime) + r"(?:\.|\z)")
 
 
 def same_library(path: Column, name: Column, expected) -> Column:

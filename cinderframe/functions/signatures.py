@@ -27,8 +27,28 @@ UNDEFINED_SYMBOL_LOAD = r"dlopen candidate failed: .*undefined symbol:"
 OUT_OF_MEMORY = r"ERROR:\s*libFuzzer:\s*out-of-memory\b"
 
 
+# A phrase every match of the pattern contains; looking for it first spares most reports the pattern.
+PHRASES = {
+    ASSERTION: "Assertion ",
+    ASAN_SUMMARY: "AddressSanitizer:",
+    ASAN_ERROR: "AddressSanitizer:",
+    ASAN_ANY: "AddressSanitizer:",
+    LEAK: "leaked in ",
+    RUNTIME_ERROR: FAULT_MARK,
+    UBSAN_SUMMARY: "UndefinedBehaviorSanitizer:",
+    CHECK_FAILED: "Check failed:",
+    SIGNAL: "libFuzzer:",
+}
+
+
 def _first(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    found = F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return F.when(text.contains(PHRASES[pattern]), found) if pattern in PHRASES else found
+
+
+def _all(text: Column, pattern: str, group: int) -> Column:
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.when(text.contains(PHRASES[pattern]), found).otherwise(F.array().cast("array<string>"))
 
 
 def message_template(message: Column) -> Column:
@@ -81,14 +101,12 @@ def all_signatures(text: Column) -> Column:
 
     def each(kind: str, pattern: str, group: int) -> Column:
         return F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
+            _all(text, pattern, group),
             lambda v: let(mask_addresses(v), lambda m: _signature(kind, m, m)),
         )
 
-    asan = F.transform(
-        F.regexp_extract_all(text, F.lit(ASAN_ANY), F.lit(1)), lambda v: _signature("asan", v, v)
-    )
-    faults = F.transform(F.regexp_extract_all(text, F.lit(RUNTIME_ERROR), F.lit(0)), lambda v: _fault(v))
+    asan = F.transform(_all(text, ASAN_ANY, 1), lambda v: _signature("asan", v, v))
+    faults = F.transform(_all(text, RUNTIME_ERROR, 0), lambda v: _fault(v))
     return F.array_distinct(
         F.concat(
             each("assert", ASSERTION, 1),

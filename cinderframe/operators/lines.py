@@ -48,7 +48,7 @@ def is_comment_only(line: Column, comments: Column) -> Column:
         tail = F.substring(raw, last + 1, F.octet_length(line)).cast("string")
         return F.concat(F.array_join(F.transform(ranges, lambda r, i: gap(r, i)), ""), tail)
 
-    return F.when(F.size(comments) > 0, let(F.array_sort(comments), outside).rlike(BLANK)).otherwise(False)
+    return F.when(F.size(comments) > 0, let(F.sort_array(comments), outside).rlike(BLANK)).otherwise(False)
 
 
 def removable_lines(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -183,7 +183,7 @@ def _clusters(edits: DataFrame, keys: list[str]) -> DataFrame:
 
 def _fold(clustered: DataFrame, keys: list[str]) -> DataFrame:
     """Best first within each cluster; a later edit is kept if it overlaps nothing kept so far."""
-    ordered = F.array_sort(F.collect_list(F.struct("_rank", "start", "end")))
+    ordered = F.sort_array(F.collect_list(F.struct("_rank", "start", "end")))
     clear = lambda kept, e: ~F.exists(kept, lambda k: (e["start"] < k["end"]) & (k["start"] < e["end"]))
     empty = F.slice(F.col("_ordered"), 1, 0)
     kept = F.aggregate(
@@ -299,7 +299,7 @@ def apply_edits(documents: DataFrame, edits: DataFrame, key: str, text: str = "t
     has bytes, so the array never outgrows the document.
     """
     gathered = edits.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("_edits")
+        F.sort_array(F.collect_list(F.struct("start", "end", "replacement"))).alias("_edits")
     )
     raw = F.col(text).cast("binary")
     piece = lambda begin, length: F.substring(raw, begin.cast("int") + 1, length.cast("int")).cast("string")
@@ -334,7 +334,7 @@ def restore_markers(
     )
     replaced = F.coalesce(F.col("definition"), unknown)
     found = joined.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", replaced.alias("_new")))).alias("_found")
+        F.sort_array(F.collect_list(F.struct("_pos", replaced.alias("_new")))).alias("_found")
     )
     rebuilt = F.array_join(
         F.transform(

@@ -236,7 +236,7 @@ def depth_stability(runs: DataFrame, keys: list[str]) -> DataFrame:
     counted = F.col("failed_run").isNull() | (F.col("run") < F.col("failed_run"))
     depth = F.when(counted, F.col("depth"))
     return seen.groupBy(*keys).agg(
-        F.array_sort(F.collect_set(depth)).alias("depths"),
+        F.sort_array(F.collect_set(depth)).alias("depths"),
         F.coalesce(
             F.bool_and(F.when(counted, F.col("depth") == F.col("expected_depth")))
             & (F.count(depth) > 0)

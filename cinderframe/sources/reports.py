@@ -42,7 +42,7 @@ def alias_pairs_from_json(df: DataFrame, payload: str) -> DataFrame:
 
 def alias_pair_json(a: Column, b: Column) -> Column:
     """One sorted pair as a JSON array."""
-    return F.to_json(F.array_sort(F.array(a, b)))
+    return F.to_json(F.sort_array(F.array(a, b)))
 
 
 def trace_set_from_json(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
