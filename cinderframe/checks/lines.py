@@ -8,6 +8,7 @@ from cinderframe.checks.spans import document_lines
 from cinderframe.checks.tables import table
 from cinderframe.operators import libraries as lib
 from cinderframe.operators import lines as ops
+from cinderframe.session import written
 
 KEYS = ["file"]
 
@@ -124,6 +125,7 @@ def library_retention(spark, folder):
         "program", k.alias("k"), F.concat(F.lit("/opt/lib/"), name).alias("library"),
         F.when(k % 3 != 0, F.concat(name, F.lit(".1"))).alias("soname"), F.concat(name, F.lit(".1")).alias("alias"),
     ).distinct()
+    listed = written(listed, "libraries")
     aliases = listed.where("soname is null").select("program", "library", "alias")
     rival = listed.where((F.col("soname").isNull()) & (F.col("k") % 2 == 0)).select("program", F.lit("/opt/alt/x.so").alias("library"), "alias")
     return lib.retained_libraries(listed.select("program", "library", "soname"), aliases.unionByName(rival), needed, ["program"])

@@ -12,20 +12,21 @@ SUMMARY = ("samples", "mean", "median", "p95", "min", "max")
 INSTANTS_PER_CELL_NS = 10_000_000_000
 
 
-def stage_samples(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Long form `(keys, stage, ns)`: positive durations, build stages only of successful builds."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(name).alias("stage"), F.col("durations_ns")[name].alias("ns"))
-            for name in STAGE_NAMES
-        ]
-    )
+def _stage_values(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Long form `(keys, stage, ns)` with NULL for durations that are no sample."""
     failed_build = F.col("compile_recorded") & ~F.col("compile_success")
-    return (
-        events.select(*keys, failed_build.alias("_failed"), F.inline(pairs))
-        .where((F.col("ns") > 0) & ~(F.col("stage").isin(*BUILD_STAGES) & F.col("_failed")))
-        .drop("_failed")
-    )
+
+    def sample(name: str) -> Column:
+        ns = F.col("durations_ns")[name]
+        usable = (ns > 0) & ~failed_build if name in BUILD_STAGES else ns > 0
+        return F.struct(F.lit(name).alias("stage"), F.when(usable, ns).alias("ns"))
+
+    return events.select(*keys, F.inline(F.array(*[sample(name) for name in STAGE_NAMES])))
+
+
+def stage_samples(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Positive durations per stage; build stages only of successful builds."""
+    return _stage_values(events, keys).where(F.col("ns").isNotNull())
 
 
 def _zero_filled(summary: DataFrame) -> DataFrame:
@@ -36,11 +37,7 @@ def _zero_filled(summary: DataFrame) -> DataFrame:
 
 def stage_latency(events: DataFrame, keys: list[str]) -> DataFrame:
     """One summary row per key and stage; stages without samples show zeros."""
-    measured = exact_summary(stage_samples(events, keys), [*keys, "stage"], "ns")
-    wanted = events.select(*keys).distinct().select(
-        *keys, F.explode(F.array(*[F.lit(n) for n in STAGE_NAMES])).alias("stage")
-    )
-    return _zero_filled(null_safe_join(wanted, measured, [*keys, "stage"], "left"))
+    return _zero_filled(exact_summary(_stage_values(events, keys), [*keys, "stage"], "ns"))
 
 
 def stage_pivot(latency: DataFrame, keys: list[str], value: str = "mean") -> DataFrame:

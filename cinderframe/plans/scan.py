@@ -84,21 +84,21 @@ def number_rows(df: DataFrame, keys: list[str], order: list, chunk: Column, out:
 
 
 def _value_cell(value: Column) -> Column:
-    """Monotone bucket with about 0.07 % relative width, so a bucket holds few distinct values."""
-    magnitude = F.floor(F.log2(F.abs(value).cast("double")) * 1024)
-    return F.when(value > 0, magnitude + 1).when(value < 0, -magnitude - 1).otherwise(F.lit(0)).cast("long")
+    """Monotone bucket of about one per cent relative width, so a bucket holds few distinct values."""
+    magnitude = F.floor(F.log2(F.abs(value).cast("double")) * 64)
+    return F.when(value > 0, magnitude + 1).when(value < 0, -magnitude - 1).when(value == 0, 0).cast("long")
 
 
 def exact_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, mean, median (mean of the middle two), nearest-rank p95, min and max per key.
 
     Exact without holding a key's values in one place: values are counted first, bucket counts say
-    which bucket holds a wanted rank, and only those buckets are ordered.
+    which bucket holds a wanted rank, and only those buckets are ordered. Keys with NULLs only show no
+    samples and NULL figures.
     """
     counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("long").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        df.groupBy(*keys, F.col(value).cast("long").alias("_v"))
+        .agg(F.count(value).alias("_n"))
         .withColumn("_cell", _value_cell(F.col("_v")))
     )
     per_key = Window.partitionBy(*keys)
@@ -132,7 +132,7 @@ def exact_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     holds = [
         (F.col("_before") < F.col(r)) & (F.col(r) <= F.col("_before") + F.col("_cn")) for r in ranks
     ]
-    wanted = cells.where(holds[0] | holds[1] | holds[2]).drop("_cn")
+    wanted = cells.where(holds[0] | holds[1] | holds[2] | (total == 0)).drop("_cn")
     running = (
         Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -142,7 +142,7 @@ def exact_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     at = {r: F.min(F.when(F.col("_upto") >= F.col(r), F.col("_v"))) for r in ranks}
     return found.groupBy(*keys).agg(
         F.first("_total").alias("samples"),
-        (F.first("_sum").cast("double") / F.first("_total")).alias("mean"),
+        F.try_divide(F.first("_sum").cast("double"), F.first("_total")).alias("mean"),
         ((at["_r1"] + at["_r2"]) / 2).alias("median"),
         at["_r3"].alias("p95"),
         F.first("_min").alias("min"),
