@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinderframe.checks.tables import table
 from cinderframe.operators import telemetry as ops
 from cinderframe.plans.pin import pin, spread
+from cinderframe.plans.scan import chunk_of, number_rows
 from cinderframe.sources import telemetry as src
 
 JOBS = 4
@@ -190,11 +191,12 @@ def pooled_profile(spark, folder):
 
 def timeout_calibration(spark, folder):
     e = table(spark, folder, "events")
-    order = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
-    probes = e.select(
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
+    e = e.withColumn("day", F.to_date("ts"))
+    probes = number_rows(e, ["user_id", "day"], ["ts", "event_id"], hour, "probe").select(
         "user_id",
-        F.to_date("ts").alias("day"),
-        F.row_number().over(order).alias("probe"),
+        "day",
+        "probe",
         F.round(F.col("value") * F.col("value")).cast("long").alias("ms"),
         (F.col("event_type") == "error").alias("bad"),
     )
@@ -206,12 +208,12 @@ def _depth_runs(spark, folder):
     orders = table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     depths = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     o = orders.join(depths, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    first = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = number_rows(o, ["o_custkey"], ["o_orderkey"], chunk_of(F.col("o_orderkey")), "run")
     depth = F.least(F.lit(3), F.coalesce("n", F.lit(0)))
     return o.select(
         F.col("o_custkey").alias("ref"),
         (F.col("o_orderstatus") == "O").cast("int").alias("mode"),
-        F.row_number().over(first).alias("run"),
+        "run",
         depth.alias("depth"),
         F.lit(3).cast("long").alias("expected_depth"),
         ((F.col("o_orderkey") % 11 == 0) & (F.col("o_orderstatus") == "F")).alias("failed"),

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cinderframe.plans.pin import pin
 from cinderframe.plans.scan import CHUNK_ROWS, chunk_of, null_safe_join, running_max, running_sum
 from cinderframe.session import written
 
@@ -90,14 +91,16 @@ def overlap_counts(spans: DataFrame, ranges: DataFrame, keys: list[str], width:
     positive length, the ones that end by s also start before e, so the count is the starts before e
     minus the ends up to s: two lookups in running counts, and no pair of span and range is formed.
     """
-    point = lambda df, at, starts, ends: df.select(
-        *keys, F.col(at).alias("pos"), F.lit(starts).alias("s"), F.lit(ends).alias("e")
-    )
+
+    def both_ends(df: DataFrame, weight: int) -> DataFrame:
+        point = lambda at, s, e: F.struct(
+            F.col(at).cast("long").alias("pos"), F.lit(s).alias("s"), F.lit(e).alias("e")
+        )
+        return df.select(*keys, F.inline(F.array(point("start", weight, 0), point("end", 0, weight))))
+
     points = (
-        point(ranges, "start", 1, 0)
-        .unionByName(point(ranges, "end", 0, 1))
-        .unionByName(point(spans, "start", 0, 0))
-        .unionByName(point(spans, "end", 0, 0))
+        both_ends(ranges, 1)
+        .unionByName(both_ends(spans, 0))
         .groupBy(*keys, "pos")
         .agg(F.sum("s").alias("_s"), F.sum("e").alias("_e"))
         .withColumn("_chunk", chunk_of(F.col("pos"), width))
@@ -122,11 +125,11 @@ def overlap_counts(spans: DataFrame, ranges: DataFrame, keys: list[str], width:
         F.coalesce(F.sum("_s").over(cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ls"),
         F.sum("_e").over(cell.rowsBetween(Window.unboundedPreceding, 0)).alias("_le"),
     )
-    ladder = null_safe_join(local, carried, [*keys, "_chunk"]).select(
-        *keys,
-        "pos",
-        (F.col("_ls") + F.col("_cs")).alias("started_before"),
-        (F.col("_le") + F.col("_ce")).alias("ended_upto"),
+    # Pinned, so that both lookups below read one and the same ladder.
+    ladder = pin(
+        null_safe_join(local, carried, [*keys, "_chunk"]),
+        started_before=F.col("_ls") + F.col("_cs"),
+        ended_upto=F.col("_le") + F.col("_ce"),
     )
     at_end = ladder.select(*keys, F.col("pos").alias("end"), "started_before")
     at_start = ladder.select(*keys, F.col("pos").alias("start"), "ended_upto")
