@@ -222,12 +222,15 @@ def verdict(
     symbolize: Column,
     rules=None,
     keep: list[str] | None = None,
+    pairs: DataFrame | None = None,
+    report: list[str] | None = None,
 ) -> DataFrame:
     """Verdict on every parsed report against its reference: `result` and `reason`.
 
     `rules` is a function from the `symbolize` column to an ordered list of `(name, Column)`; each
     column yields match, mismatch, missing_evidence or NULL for "does not apply". The individual
-    outcomes are kept as `check_<name>` columns.
+    outcomes are kept as `check_<name>` columns. With approved path `pairs`, a signature, location or
+    trace also matches through them; `report` then names the key of a report.
     """
     evidence = reports.withColumn("_symbolize", symbolize)
     evidence = null_safe_join(evidence, references.drop("samples"), keys, "left")
@@ -235,6 +238,8 @@ def verdict(
         "signature_match", signature_matches(F.col("signatures"), F.col("ref_signature"))
     )
     evidence = match_trace_set(evidence, trace_set, keys)
+    if pairs is not None:
+        evidence = _with_aliases(evidence, trace_set, pairs, keys, report)
     named = (rules or default_rules)(F.col("_symbolize"))
     columns = {name: "check_" + name.replace(" ", "_") for name, _ in named}
     checked = evidence.withColumns({columns[name]: check for name, check in named})
@@ -245,6 +250,26 @@ def verdict(
     )
 
 
+def _with_aliases(
+    evidence: DataFrame, trace_set: DataFrame, pairs: DataFrame, keys: list[str], report: list[str]
+) -> DataFrame:
+    """Let approved pairs turn a mismatch of signature, location or trace into a match."""
+    open_traces = evidence.where(F.col("trace_result") == MISMATCH)
+    traces = match_trace_aliases(open_traces, trace_set, pairs, keys, report)
+    messages = match_signature_aliases(evidence.where(~F.col("signature_match")), pairs, report)
+    located = match_aliases(evidence, pairs, "ref_location", "location")
+    joined = null_safe_join(located, messages.withColumn("_message", F.lit(True)), report, "left")
+    joined = null_safe_join(joined, traces, report, "left")
+    return joined.withColumns(
+        {
+            "signature_match": F.col("signature_match") | F.coalesce("_message", F.lit(False)),
+            "location": F.when(F.col("alias_match"), F.col("ref_location")).otherwise(F.col("location")),
+            "variant": F.coalesce("variant", "alias_variant"),
+            "trace_result": F.when(F.col("alias_variant").isNotNull(), MATCH).otherwise(F.col("trace_result")),
+        }
+    ).drop("_message", "alias_variant", "alias_match")
+
+
 def evidence_retry(
     attempts: DataFrame, keys: list[str], max_attempts: int = CANDIDATE_ATTEMPTS
 ) -> DataFrame:
@@ -330,6 +355,75 @@ def match_aliases(locations: DataFrame, pairs: DataFrame, reference: str, candid
     ).drop("a", "b", "_approved")
 
 
+# A frame up to and including the file name of its first location, without the directory.
+_DIRECTORY = r"^(.*?)/(?:[^:\s\)]*/)?([^/:\s\)]+:\d+)"
+
+
+def _skeleton(canonical: Column) -> Column:
+    """A trace without directories: what copies of the same files must agree on."""
+    stripped = F.transform(
+        F.split(canonical, "\n"), lambda line: F.regexp_replace(line, _DIRECTORY, "$1/$2")
+    )
+    return F.sha2(F.array_join(stripped, "\n"), 256)
+
+
+def _paths(canonical: Column) -> Column:
+    return F.transform(F.split(canonical, "\n"), lambda line: F.regexp_extract(line, fr.LOCATION, 1))
+
+
+def match_trace_aliases(
+    reports: DataFrame, trace_set: DataFrame, pairs: DataFrame, keys: list[str], report: list[str]
+) -> DataFrame:
+    """`(report, alias_variant)` of traces that match once approved paths replace their own.
+
+    Only traces that agree in everything but directories meet, through the hash of that part. A
+    variant counts when every frame has the recorded path or an approved one.
+    """
+    left = reports.where(F.col("canonical").isNotNull()).select(
+        *keys, *report, _skeleton(F.col("canonical")).alias("_s"), _paths(F.col("canonical")).alias("_mine")
+    )
+    right = trace_set.select(
+        *keys, "variant", _skeleton(F.col("canonical")).alias("_s"), _paths(F.col("canonical")).alias("_theirs")
+    )
+    met = null_safe_join(left, right, [*keys, "_s"])
+    frames = met.select(*report, "variant", F.inline(F.arrays_zip("_mine", "_theirs"))).withColumns(
+        {"a": F.least("_mine", "_theirs"), "b": F.greatest("_mine", "_theirs")}
+    )
+    approved = frames.join(pairs.select("a", "b", F.lit(True).alias("_approved")), ["a", "b"], "left")
+    good = (F.col("a") == F.col("b")) | F.coalesce(F.col("_approved"), F.lit(False))
+    return (
+        approved.groupBy(*report, "variant")
+        .agg(F.bool_and(good).alias("_good"))
+        .where("_good")
+        .groupBy(*report)
+        .agg(F.min("variant").alias("alias_variant"))
+    )
+
+
+def match_signature_aliases(reports: DataFrame, pairs: DataFrame, report: list[str]) -> DataFrame:
+    """Reports whose recorded message occurs with an approved path: distinct `report` keys.
+
+    `reports` carries `signatures` and `ref_signature`. Only messages with a source location can be
+    established by an alias; wording and coordinates still have to agree.
+    """
+    split_at = r"^(.*?)(/[^\s:]+)(:\d+.*)$"
+    part = lambda c, i: F.regexp_extract(c, split_at, i)
+    found = reports.where(F.col("ref_signature.kind").isin("runtime_error", "ubsan_summary")).select(
+        *report, "ref_signature", F.explode("signatures").alias("s")
+    )
+    mine, theirs = F.col("s.value"), F.col("ref_signature.value")
+    alike = found.where(
+        (F.col("s.kind") == F.col("ref_signature.kind"))
+        & (part(mine, 1) == part(theirs, 1))
+        & part(mine, 3).startswith(part(theirs, 3))
+    ).select(
+        *report,
+        F.least(part(mine, 2), part(theirs, 2)).alias("a"),
+        F.greatest(part(mine, 2), part(theirs, 2)).alias("b"),
+    )
+    return alike.join(pairs.select("a", "b"), ["a", "b"], "left_semi").select(*report).distinct()
+
+
 def learn_pairs(known: DataFrame, tried: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
     """Known pairs plus those tried by checks that passed as a whole."""
     passed = verdicts.where(F.col("result") == MATCH).select(*keys).distinct()

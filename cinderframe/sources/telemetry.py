@@ -23,13 +23,15 @@ BUILD_STAGES = ("compile_ns", "compile_link_ns")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines of a telemetry log; a log that does not exist yet has none."""
+    """Text lines of a telemetry log with the `file` they come from; a log not there yet has none."""
     try:
-        return spark.read.text(path).withColumnRenamed("value", "line")
+        return spark.read.text(path).select(
+            F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")
+        )
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "line string")
+        return spark.createDataFrame([], "line string, file string")
 
 
 def _integer(record: Column, path: str) -> Column:
