@@ -40,7 +40,7 @@ def reports(spark, folder) -> DataFrame:
         )
     )
     line = _text(" 0x", F.lower(F.hex(part * 4096 + supp)), body)
-    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line"))
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", line.alias("line"))
     items = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
     o = spread(table(spark, folder, "orders"), "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")

@@ -16,6 +16,13 @@ def _str(c):
     return c.cast("string")
 
 
+def _sequence():
+    """Position of a line item in its order; equal only for items that are equal in all that counts."""
+    rank = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    place = F.col("l_linenumber").cast("long") * 10**7 + F.col("l_partkey")
+    return (place * 10**5 + F.col("l_suppkey")) * 1000 + F.col("l_quantity").cast("int") * 10 + rank
+
+
 def trace_lines(spark, folder):
     """One record per line item; payloads and truncation vary with the part."""
     li = spread(table(spark, folder, "lineitem"), "l_orderkey")
@@ -31,14 +38,14 @@ def trace_lines(spark, folder):
         .otherwise(F.concat(F.lit("  R "), key, F.lit("  "), _str(F.col("l_linenumber")), F.lit(" ")))
     )
     truncated = F.concat(F.when(flag == "A", "S ").when(flag == "N", "B ").otherwise("R "), key)
-    seq = F.col("l_linenumber").cast("long") * 10**12 + p * 10**5 + F.col("l_suppkey")
+    seq = _sequence()
     text = F.when(p % 101 == 0, truncated).otherwise(line)
     return pin(li, seq=seq, line=text).select("seq", "l_orderkey", "line")
 
 
 def _by_line(column="seq"):
     """Sequence numbers here are sparse; the line number in front of them is what chunks them."""
-    return F.floor(F.col(column) / F.lit(10**12)).cast("long")
+    return F.floor(F.col(column) / F.lit(10**15)).cast("long")
 
 
 def _records(spark, folder):
@@ -47,7 +54,8 @@ def _records(spark, folder):
 
 FX = """
 rec AS (
-  SELECT l_orderkey, 1000000 + l_orderkey AS key, l_linenumber::BIGINT * 1000000000000 + l_partkey * 100000 + l_suppkey AS seq,
+  SELECT l_orderkey, 1000000 + l_orderkey AS key, ((l_linenumber::BIGINT * 10000000 + l_partkey) * 100000 + l_suppkey) * 1000 + CAST(l_quantity AS INTEGER) * 10
+           + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS seq,
          CASE l_returnflag WHEN 'A' THEN 'S' WHEN 'N' THEN 'B' ELSE 'R' END AS tag, l_partkey % 101 <> 0 AS valid,
          CAST(l_quantity AS INTEGER) AS qty, l_linenumber, l_partkey AS p,
          CASE WHEN l_returnflag = 'N' THEN
@@ -156,7 +164,7 @@ def fifo_pairing(spark, folder):
 def pick_index(spark, folder):
     """Picked indexes against the number of choices at the call."""
     li = table(spark, folder, "lineitem")
-    seq = F.col("l_linenumber").cast("long") * 10**12 + F.col("l_partkey") * 10**5 + F.col("l_suppkey")
+    seq = _sequence()
     records = li.select(F.col("l_orderkey").alias("key"), seq.alias("seq"), (F.col("l_partkey") % 9).alias("index"))
     calls = li.select(F.col("l_orderkey").alias("key"), seq.alias("seq"), (F.col("l_suppkey") % 9 + 1).alias("choices"))
     return ops.pair_in_order(calls, records, ["key"], "seq", "index", "choices", _by_line()).select("key", "nth", "index", "status")
@@ -169,7 +177,7 @@ def _calls(spark, folder):
         100_000 + F.col("l_partkey"), 100_000 + F.col("l_suppkey"), 100_000 + F.col("l_orderkey") % 4000
     )
     return li.select(
-        F.col("l_orderkey").alias("file"), start.alias("start"), F.col("l_suppkey").alias("site"),
+        F.col("l_orderkey").alias("file"), start.alias("start"), _sequence().alias("site"),
         (start + 50 + F.col("l_quantity").cast("int")).alias("end"), keys.alias("keys"), "l_returnflag", "l_quantity", "l_partkey",
     )
 
@@ -209,7 +217,7 @@ def ordered_distinct(spark, folder):
 
 def sequential_ids(spark, folder):
     li = table(spark, folder, "lineitem")
-    start = F.col("l_linenumber").cast("long") * 10**12 + F.col("l_orderkey") * 10**4 + F.col("l_partkey")
+    start = F.col("l_linenumber").cast("long") * 10**15 + F.col("l_orderkey") * 10**5 + F.col("l_partkey")
     sites = li.select(F.col("l_suppkey").alias("file"), start.alias("start"), (F.col("l_returnflag") == "A").alias("marked"))
     return ops.assign_ids(sites, ["file"], "start", "marked", chunk=_by_line("start")).select("file", "start", "id")
 
@@ -311,7 +319,7 @@ f AS (SELECT doc_id, word, CAST(min(pos) AS INTEGER) AS first_position FROM w GR
 SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_position) AS rank FROM f""",
     "sequential_ids": """
 SELECT l_suppkey AS file, s AS start, 99999 + row_number() OVER (PARTITION BY l_suppkey ORDER BY s) AS id
-FROM (SELECT l_suppkey, l_linenumber::BIGINT * 1000000000000 + l_orderkey * 10000 + l_partkey AS s FROM lineitem WHERE l_returnflag <> 'A')""",
+FROM (SELECT l_suppkey, l_linenumber::BIGINT * 1000000000000000 + l_orderkey * 100000 + l_partkey AS s FROM lineitem WHERE l_returnflag <> 'A')""",
     "excess_arguments": f"""
 WITH k(method, most) AS (VALUES {', '.join(f"('{m}', {n})" for m, n in ops.PUBLIC_ARGUMENTS.items())}),
 c AS (SELECT [{', '.join(repr(n) for n in sorted(ops.PUBLIC_ARGUMENTS))}, 'Other'][l_partkey % 17 + 1] AS method, l_linenumber % 4 AS arguments,
