@@ -8,6 +8,7 @@ from cinderframe.checks.spans import document_lines
 from cinderframe.checks.tables import table
 from cinderframe.operators import libraries as lib
 from cinderframe.operators import lines as ops
+from cinderframe.plans.pin import spread
 from cinderframe.session import written
 
 KEYS = ["file"]
@@ -111,7 +112,7 @@ def exported_symbols(spark, folder):
 
 
 def library_retention(spark, folder):
-    li = table(spark, folder, "lineitem").join(
+    li = spread(table(spark, folder, "lineitem"), "l_orderkey").join(
         table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("program")),
         F.col("l_orderkey") == F.col("o_orderkey"),
     )
