@@ -51,33 +51,32 @@ def retained_libraries(libraries: DataFrame, aliases: DataFrame, needed: DataFra
     library is kept by path, file name or SONAME; without a SONAME also by a link alias that no other
     library owns.
     """
-    names = needed.select(*keys, "name").distinct()
-    name = F.array_distinct(
-        F.filter(
+    spelled = lambda name, how: F.struct(name.alias("name"), F.lit(how).alias("how"))
+    name, library = F.col("name"), F.col("library")
+    # A file name also answers to a needed path that ends in it.
+    wanted = needed.select(
+        *keys, F.inline(F.array(spelled(name, "exact"), spelled(basename(name), "file")))
+    ).distinct()
+    listed = libraries.select(
+        *keys,
+        "library",
+        F.inline(
             F.array(
-                F.struct(F.col("library").alias("name")),
-                F.struct(basename(F.col("library")).alias("name")),
-                F.struct(F.col("soname").alias("name")),
-            ),
-            lambda s: s["name"].isNotNull(),
-        )
-    )
-    by_name = libraries.select(*keys, "library", F.inline(name))
-    # A needed path also keeps a library with the same file name.
-    spellings = names.unionByName(names.select(*keys, basename(F.col("name")).alias("name")))
-    file_only = libraries.select(*keys, "library", basename(F.col("library")).alias("name"))
-    kept = (
-        by_name.join(names, [*keys, "name"], "left_semi")
-        .unionByName(file_only.join(spellings.distinct(), [*keys, "name"], "left_semi"))
-        .select(*keys, "library")
-    )
+                spelled(library, "exact"),
+                spelled(basename(library), "exact"),
+                spelled(basename(library), "file"),
+                spelled(F.col("soname"), "exact"),
+            )
+        ),
+    ).where(F.col("name").isNotNull())
     owned = (
         aliases.select(*keys, "library", F.col("alias").alias("name"))
         .groupBy(*keys, "name")
         .agg(F.min("library").alias("library"), (F.min("library") == F.max("library")).alias("_sole"))
         .where("_sole")
     )
-    nameless = libraries.where(F.col("soname").isNull()).select(*keys, "library")
-    by_alias = owned.join(names, [*keys, "name"], "left_semi").select(*keys, "library")
-    by_alias = null_safe_join(by_alias, nameless.distinct(), [*keys, "library"], "left_semi")
-    return kept.unionByName(by_alias).distinct()
+    nameless = libraries.where(F.col("soname").isNull()).select(*keys, "library").distinct()
+    by_alias = null_safe_join(owned, nameless, [*keys, "library"], "left_semi")
+    spellings = listed.unionByName(by_alias.select(*keys, "library", "name", F.lit("exact").alias("how")))
+    kept = null_safe_join(spellings, wanted, [*keys, "name", "how"], "left_semi")
+    return kept.select(*keys, "library").distinct()
