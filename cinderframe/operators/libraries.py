@@ -54,9 +54,12 @@ def retained_libraries(libraries: DataFrame, aliases: DataFrame, needed: DataFra
     spelled = lambda name, how: F.struct(name.alias("name"), F.lit(how).alias("how"))
     name, library = F.col("name"), F.col("library")
     # A file name also answers to a needed path that ends in it.
-    wanted = needed.select(
-        *keys, F.inline(F.array(spelled(name, "exact"), spelled(basename(name), "file")))
-    ).distinct()
+    ending = F.when(name.contains("/"), basename(name))
+    wanted = (
+        needed.select(*keys, F.inline(F.array(spelled(name, "exact"), spelled(ending, "file"))))
+        .where(F.col("name").isNotNull())
+        .distinct()
+    )
     listed = libraries.select(
         *keys,
         "library",
@@ -78,5 +81,5 @@ def retained_libraries(libraries: DataFrame, aliases: DataFrame, needed: DataFra
     nameless = libraries.where(F.col("soname").isNull()).select(*keys, "library").distinct()
     by_alias = null_safe_join(owned, nameless, [*keys, "library"], "left_semi")
     spellings = listed.unionByName(by_alias.select(*keys, "library", "name", F.lit("exact").alias("how")))
-    kept = null_safe_join(spellings, wanted, [*keys, "name", "how"], "left_semi")
+    kept = spellings.join(wanted, [*keys, "name", "how"], "left_semi")
     return kept.select(*keys, "library").distinct()
