@@ -71,7 +71,7 @@ def uncovered_spans(spark, folder):
 def tail_prune(spark, folder):
     flags = ops.span_flags(spans(spark, folder), coverage(spark, folder), KEYS)
     s = spans(spark, folder).join(flags, ["file", "start", "end"])
-    statements = s.select("file", F.floor(F.col("start") / 5).alias("block"), F.col("o_orderkey").alias("idx"), F.col("has_covered").alias("covered"))
+    statements = s.select("file", F.floor(F.col("start") / 50).alias("block"), F.col("o_orderkey").alias("idx"), F.col("has_covered").alias("covered"))
     return ops.prune_tails(statements, ["file", "block"]).select("file", "block", "idx")
 
 
@@ -183,8 +183,8 @@ ORACLES = {
     "uncovered_lines": f"WITH {FX} SELECT file, line FROM cov WHERE NOT covered",
     "uncovered_spans": f'WITH {FX} SELECT file, o_orderkey, start, "end" FROM flags WHERE has_executable AND NOT has_covered',
     "tail_prune": f"""
-WITH {FX}, l AS (SELECT file, start // 5 AS block, max(o_orderkey) AS last FROM flags WHERE has_covered GROUP BY 1, 2)
-SELECT f.file, f.start // 5 AS block, o_orderkey AS idx FROM flags f JOIN l ON f.file = l.file AND f.start // 5 = l.block
+WITH {FX}, l AS (SELECT file, start // 50 AS block, max(o_orderkey) AS last FROM flags WHERE has_covered GROUP BY 1, 2)
+SELECT f.file, f.start // 50 AS block, o_orderkey AS idx FROM flags f JOIN l ON f.file = l.file AND f.start // 50 = l.block
 WHERE o_orderkey > last AND NOT has_covered""",
     "overlap_counts": f"WITH {FX}, {_PROBE} SELECT * FROM oc",
     "overlap_anti": f'WITH {FX}, {_PROBE} SELECT o_orderkey FROM sp JOIN oc ON sp.file = oc.file AND sp.start = oc.start AND sp."end" + 1 = oc."end" WHERE "overlaps" = 0',
