@@ -35,9 +35,9 @@ def source_lines(spark, folder):
 
 
 def _comments(l):
-    """One comment per vowel line; in even documents every third line's comment runs into the next."""
+    """One comment per vowel line; a comment that starts with t or d runs into the next line."""
     own = l.where(F.size("comments") == 2).select("file", F.col("row").alias("first_row"), F.col("row").alias("last_row"))
-    long = l.where((F.col("file") % 2 == 0) & (F.col("row") % 3 == 0)).select(
+    long = l.where(F.lower(F.substring("line", 1, 1)).isin("t", "d")).select(
         "file", F.col("row").alias("first_row"), (F.col("row") + 1).alias("last_row")
     )
     return own.unionByName(long)
@@ -155,7 +155,7 @@ WITH {FX} SELECT file, row, NOT coalesce(lag(cont) OVER (PARTITION BY file ORDER
        OR (line = '' AND FALSE) OR (NOT whole AND length(line) = 0)) AS removable FROM f""",
     "comment_closure": f"""
 WITH {FX},
-c AS (SELECT file, row AS a, row AS b FROM f WHERE whole UNION ALL SELECT file, row, row + 1 FROM f WHERE file % 2 = 0 AND row % 3 = 0),
+c AS (SELECT file, row AS a, row AS b FROM f WHERE whole UNION ALL SELECT file, row, row + 1 FROM f WHERE lower(left(line, 1)) IN ('t', 'd')),
 m AS (SELECT f.file, f.row, whole, coalesce(max(c.b) FILTER (c.a < f.row), -1) < f.row AS opens FROM f LEFT JOIN c ON c.file = f.file AND c.a <= f.row AND c.b >= f.row - 1 GROUP BY f.file, f.row, whole),
 g AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY file ORDER BY row) AS grp FROM m)
 SELECT file, row, bool_and(whole) OVER (PARTITION BY file, grp) AS removed FROM g""",
