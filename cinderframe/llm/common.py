@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cinderframe.session import written
+
 #: Characters that end a word: [\x20\x09-\x0D], also what bytes.split() takes for white space.
 WHITE = " \t\n\x0b\x0c\r"
 #: Bytes of text that a task's arrays cover at once; a longer document is one piece of its own.
@@ -73,3 +76,28 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(full):
         total[full] = np.add.reduceat(values, offsets[:-1][full], axis=0)
     return total
+
+
+def ordered_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`row`, `id`, `text`: a unique `row` number in the order of ids.
+
+    Where ids are unique and present, they are the numbers. Otherwise rows are sorted by id (null first) and text, and the sorted
+    table, with numbers, is written to the shared folder.
+    """
+    rows = text_rows(docs, id_col, text_col)
+    ids = rows.groupBy("id").count()
+    if not ids.filter("id is null or count > 1").limit(1).count():
+        return rows.select(F.col("id").cast("long").alias("row"), "id", "text")
+    dealt = rows.withColumn("code", F.xxhash64("text")).repartitionByRange("id", "code").sortWithinPartitions("id", "code")
+    return written(dealt.select(F.monotonically_increasing_id().alias("row"), "id", "text"), "ordered-rows")
+
+
+def packed(rows: DataFrame, key: str = "row") -> DataFrame:
+    """`key` and the text in zstd as `body`, which moves in half the bytes."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            bodies = [press.compress(text.encode()) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary())], [key, "body"])
+
+    return rows.select(key, "text").mapInArrow(pack, f"{key} long, body binary")

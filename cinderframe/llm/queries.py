@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cinderframe.llm.common import held_out
 from cinderframe.llm.decontaminate import contamination
 from cinderframe.llm.exact_dedup import radix_groups
+from cinderframe.llm.html_text import main_text
 from cinderframe.llm.mixing import fit_domains, mixed
+from cinderframe.llm.ngram_jaccard import linked_documents
 from cinderframe.llm.quality_crf import fit_quality, quality_scores
 from cinderframe.llm.sharding import shard_documents
+from cinderframe.llm.suffix_dedup import without_repeats
 from cinderframe.llm.token_output import token_records
 
 #: Domains of the mix and the shares of tokens they are to have.
@@ -27,10 +30,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    found = linked_documents(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = without_repeats(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return token_records(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op5_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "contaminated", F.col("items").alias("item_ids"), "overlap")
@@ -72,7 +89,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op4_token_records, op6_decontamination, op7_quality, op8_sharding, op9_exact_dedup, op10_mixing)
+    f.__name__: f for f in (op2_ngram_jaccard, op3_suffix_dedup, op4_token_records, op5_html_text, op6_decontamination, op7_quality, op8_sharding, op9_exact_dedup, op10_mixing)
 }
 
 ORACLES = {
