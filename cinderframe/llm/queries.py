@@ -9,6 +9,7 @@ from cinderframe.llm.common import held_out
 from cinderframe.llm.decontaminate import contamination
 from cinderframe.llm.exact_dedup import radix_groups
 from cinderframe.llm.html_text import main_text
+from cinderframe.llm.lm_scoring import lm_scores
 from cinderframe.llm.mixing import fit_domains, mixed
 from cinderframe.llm.ngram_jaccard import linked_documents
 from cinderframe.llm.quality_crf import fit_quality, quality_scores
@@ -30,6 +31,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(table(spark, folder, "documents"), held_out(F.col("id"), 7), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
 def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     found = linked_documents(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -53,9 +58,9 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "contaminated", F.col("items").alias("item_ids"), "overlap")
 
 
-def quality_field(spark: SparkSession, folder: str):
-    learn = ~held_out(F.col("id"), 4)
-    return fit_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), learn)
+def quality_field(spark: SparkSession, folder: str, docs: DataFrame | None = None):
+    docs = table(spark, folder, "documents") if docs is None else docs
+    return fit_quality(docs, table(spark, folder, "labels"), ~held_out(F.col("id"), 4))
 
 
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,7 +94,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op2_ngram_jaccard, op3_suffix_dedup, op4_token_records, op5_html_text, op6_decontamination, op7_quality, op8_sharding, op9_exact_dedup, op10_mixing)
+    f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard, op3_suffix_dedup, op4_token_records, op5_html_text, op6_decontamination, op7_quality, op8_sharding, op9_exact_dedup, op10_mixing)
 }
 
 ORACLES = {
