@@ -43,7 +43,8 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         state = state.withColumn("chunk", chunk)
         shared = state.groupBy("group", "chunk").count().filter("count > 1")
         shared = written(shared.select("group", "chunk", F.monotonically_increasing_id().alias("next")), "radix-groups")
-        joined = state.join(shared, ["group", "chunk"], "left")
+        # always by shuffle: the shared digits grow with the documents, and one plan serves every size
+        joined = state.join(shared.hint("merge"), ["group", "chunk"], "left")
         more = F.col("next").isNotNull() & (F.col("n_bytes") > at + width)
         joined = joined.select("id", "n_chars", "sha", "n_bytes", F.col("next").alias("group"), more.alias("open"), F.when(more, F.col("body")).alias("body"))
         table = written(joined, "radix-round")
