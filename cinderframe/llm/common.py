@@ -14,7 +14,7 @@ from cinderframe.session import written
 #: Characters that end a word: [\x20\x09-\x0D], also what bytes.split() takes for white space.
 WHITE = " \t\n\x0b\x0c\r"
 #: Bytes of text that a task's arrays cover at once; a longer document is one piece of its own.
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -59,7 +59,7 @@ def powers(base: int, n: int) -> np.ndarray:
         held = np.full(max(n, 1 << 16), base, np.uint64)
         held[0] = 1
         held = np.cumprod(held)
-        if n <= 2 * PIECE:
+        if n <= 8 * PIECE:
             _POWERS[base] = held
     return held[:n]
 

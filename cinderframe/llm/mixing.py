@@ -117,7 +117,7 @@ def with_members(docs: DataFrame, model: DomainModel, name: str, text_col: str =
             if not batch.num_rows:
                 continue
             text = batch.column(at).fill_null("")
-            found = [posteriors(shared.value, data, offsets) for _, _, data, offsets in pieces(text, 1 << 20)]
+            found = [posteriors(shared.value, data, offsets) for _, _, data, offsets in pieces(text)]
             member = np.concatenate([m for m, _ in found]).astype(np.float64)
             ends = pa.array(np.arange(len(member) + 1, dtype=np.int32) * member.shape[1])
             lists = pa.ListArray.from_arrays(ends, pa.array(member.ravel()))

@@ -154,7 +154,7 @@ def train(texts: list[str], labels: list[int]) -> LineField:
     field = LineField(np.zeros(N_FEATURES), np.zeros((2, 2)))
     if not len(texts):
         return field
-    parts = [line_features(data, offsets)[:2] for _, _, data, offsets in pieces(pa.array(texts, pa.large_string()), 1 << 20)]
+    parts = [line_features(data, offsets)[:2] for _, _, data, offsets in pieces(pa.array(texts, pa.large_string()))]
     features = np.vstack([f for f, _ in parts])
     count = np.concatenate([np.diff(first) for _, first in parts])
     first = np.concatenate([[0], np.cumsum(count)])
@@ -213,7 +213,7 @@ def keep_good(docs: DataFrame, field: LineField, least: float, text_col: str = "
         for batch in batches:
             if batch.num_rows:
                 text = batch.column(at).fill_null("")
-                found = [scores(shared.value, data, offsets) for _, _, data, offsets in pieces(text, 1 << 20)]
+                found = [scores(shared.value, data, offsets) for _, _, data, offsets in pieces(text)]
                 yield batch.filter(pa.array(np.concatenate(found) >= least))
 
     return docs.mapInArrow(keep, docs.schema)
@@ -231,7 +231,7 @@ def quality_scores(docs: DataFrame, field: LineField, id_col: str = "doc_id", te
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = [scores(shared.value, data, offsets) for _, _, data, offsets in pieces(batch.column(1), 1 << 20)]
+                found = [scores(shared.value, data, offsets) for _, _, data, offsets in pieces(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], ["id", "score"])
 
     return rows.mapInArrow(score, f"id {rows.schema['id'].dataType.simpleString()}, score double")

@@ -32,7 +32,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    return lm_scores(table(spark, folder, "documents"), held_out(F.col("id"), 7), tokenizer_path()).withColumnRenamed("id", "doc_id")
+    encoder = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return lm_scores(table(spark, folder, "documents"), held_out(F.col("id"), 7), encoder).withColumnRenamed("id", "doc_id")
 
 
 def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +42,7 @@ def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = without_repeats(table(spark, folder, "documents"))
+    found = without_repeats(table(spark, folder, "documents"), with_text=False)
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

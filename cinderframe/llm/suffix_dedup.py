@@ -155,7 +155,7 @@ def suffix_order(hashes: PrefixHashes, data: np.ndarray, places: np.ndarray, blo
     if len(places) > 1:
         a, b = sorted_places[:-1], sorted_places[1:]
         alike = np.flatnonzero((block[1:] == block[:-1]) & (hashes.of(a, a + length) == hashes.of(b, b + length)))
-        for part in np.array_split(alike, max(1, len(alike) // 50_000)):
+        for part in np.array_split(alike, max(1, len(alike) // 10_000)):
             columns = np.arange(length)
             equal[part + 1] = (data[a[part][:, None] + columns] == data[b[part][:, None] + columns]).all(1)
     return order, equal
@@ -210,7 +210,7 @@ def repeated_windows(rows: DataFrame, length: int = 100, meet: int = MEET) -> Da
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             parts = []
-            for i, _, data, offsets in pieces(batch.column(1), 1 << 20):
+            for i, _, data, offsets in pieces(batch.column(1)):
                 doc, start, count, seed, content, again = window_runs(data, offsets, length)
                 parts.append((ids[i + doc], start, count, seed, content, again))
             if not parts:
@@ -280,7 +280,7 @@ def repeated_windows(rows: DataFrame, length: int = 100, meet: int = MEET) -> Da
             if batch.num_rows == 0:
                 continue
             seeds = batch.column(0).to_numpy()
-            if size > 20_000 and (ends := np.flatnonzero(seeds[1:] != seeds[:-1])).size:
+            if size > 6_000 and (ends := np.flatnonzero(seeds[1:] != seeds[:-1])).size:
                 cut_at = int(ends[-1]) + 1
                 yield found([*held, batch.slice(0, cut_at)])
                 held, size = [batch.slice(cut_at)], batch.num_rows - cut_at
@@ -295,8 +295,8 @@ def repeated_windows(rows: DataFrame, length: int = 100, meet: int = MEET) -> Da
     return done.unionByName(single).unionByName(compared)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, meet: int = MEET) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, meet: int = MEET, with_text: bool = True) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, null without `with_text`) of every row.
 
     Every byte that a repeated window covers goes; windows are judged on the input, in the order of ids. Null and empty texts and texts shorter
     than a window lose nothing. Rows with a null id come first; rows that repeat an id follow each other in the order of
@@ -310,20 +310,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[tuple] = []
-            for row, body, spans_of in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            spans_of = batch.column(2)
+            at = spans_of.offsets.to_numpy()
+            starts_of, counts_of = (spans_of.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, (row, body) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 text = press.decompress(body.as_py())
                 n, removed, count, kept = len(text), 0, 0, text
-                if spans_of:
-                    depth = np.zeros(n + 1, np.int64)
-                    starts = np.array([s["start"] for s in spans_of])
+                if at[i + 1] > at[i]:
+                    depth = np.zeros(n + 1, np.int32)
+                    starts, counts = starts_of[at[i] : at[i + 1]], counts_of[at[i] : at[i + 1]]
                     np.add.at(depth, starts, 1)
-                    np.add.at(depth, starts + np.array([s["count"] for s in spans_of]) - 1 + length, -1)
+                    np.add.at(depth, starts + counts - 1 + length, -1)
                     gone = np.cumsum(depth[:-1]) > 0
                     removed = int(gone.sum())
                     count = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                out.append((row, n, removed, count, hashlib.sha256(kept).hexdigest(), kept))
-                if len(out) == 2000:
+                out.append((row, n, removed, count, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+                if len(out) == 500:
                     yield _batch(out)
                     out = []
             if out:
