@@ -181,13 +181,15 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     inside = Window.partitionBy("code")
     wide = wide.withColumn("low", F.min("root").over(inside)).withColumn("high", F.max("root").over(inside)).filter("low < high")
     wide = written(wide.select("code", "at", "n", "id", "root"), "jaccard-mixed")
-    side = lambda x: wide.select("code", *[F.col(c).alias(f"{c}{x}") for c in ("at", "n", "id", "root")])
-    pairs = side("a").join(side("b"), "code").filter(f"ida < idb and roota <> rootb and {fits}").withColumn("least", F.expr(least))
-    ahead = F.lit(1) + F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) - 1
-    pairs = pairs.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b"), "na", "nb", "least").agg(
-        F.count("*").alias("count"), F.max(ahead).alias("ahead")
-    )
-    pairs = written(pairs.filter((F.col("count") >= enough) & (F.col("ahead") >= F.col("least"))).select("a", "b"), "jaccard-pairs")
+    side = lambda x: wide.select(*[F.col(c).alias(f"{c}{x}") for c in ("code", "at", "n", "id", "root")])
+    # the first shingle that a link's ends share has at least the rest of the intersection behind it on both sides
+    ahead = f"{least} <= least(na - ata, nb - atb)"
+    pairs = side("a").join(side("b"), F.expr(f"codea = codeb and ida < idb and roota <> rootb and {fits} and {ahead}"))
+    pairs = pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b"), "na", "nb", F.expr(least).alias("least")).distinct()
+    for x in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("id").alias(x), F.col("prefix").alias(f"prefix_{x}")), x)
+    pairs = pairs.filter(F.size(F.array_intersect("prefix_a", "prefix_b")) >= enough)
+    pairs = written(pairs.select("a", "b"), "jaccard-pairs")
     more = _verified(pairs, texts, width, percent)
     roots = components(links.unionByName(more))
 
