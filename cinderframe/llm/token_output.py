@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -21,7 +22,9 @@ from cinderframe.session import new_folder, written
 #: Text bytes of one record file.
 FILE_BYTES = 32 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
+#: A space at either end of a text or next to other white space.
+LOOSE_SPACE = re.compile(r"(?:^|\s) | (?:\s|\Z)")
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
 
 
@@ -77,8 +80,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.begins = np.zeros(max(vocabulary.values()) + 2, bool)  # ids whose first byte is a space, written as U+0120
+        self.begins[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
 
     def _cuts(self, text: str) -> list[str]:
+        if "\0" not in text and not LOOSE_SPACE.search(text):
+            return text.replace(" ", "\0 ").split("\0")
         first, *rest = text.split(" ")
         cuts = [first]
         for word in rest:
@@ -93,11 +101,20 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        fresh = list({word for words in cuts for word in words if word not in known})
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+        fresh = {word for words in cuts for word in words if word not in known}
+        # words with one space, in front of another character, are encoded as one text and told apart by the ids that begin with it
+        plain = [w for w in fresh if w.rfind(" ") == 0 and len(w) > 1 and not w[1].isspace() and not w[-1].isspace()]
+        for at in range(0, len(plain), 2048):
+            part = plain[at : at + 2048]
+            found = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(self.begins[found])[1:], len(found)).tolist()
+            data, start = found.tobytes(), 0
+            for word, end in zip(part, ends, strict=True):
+                known[word] = data[4 * start : 4 * end]
+                start = end
+        other = list(fresh.difference(plain))
+        for word, ids in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+            known[word] = np.array(ids.ids, "<u4").tobytes()
         return [np.frombuffer(b"".join([known[word] for word in words]), "<u4") for words in cuts]
 
 
