@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 from cinderframe.functions.frames import let
@@ -41,24 +43,36 @@ def clamp(value: Column, low: Column, high: Column) -> Column:
 def parse_integer(text: Column) -> Column:
     """Base-0 integer as DECIMAL(38,0): 0x, 0o, 0b or decimal without leading zeros; NULL otherwise.
 
-    Radix forms are exact up to 64 bits, decimal forms up to 38 digits.
+    Radix forms are exact up to 120 bits, whatever zeros lead them, decimal forms up to 38 digits; beyond
+    that the result is NULL.
     """
 
-    def radix(body: Column, base: int) -> Column:
-        return F.conv(F.substring(body, 3, 70), base, 10).try_cast("decimal(20,0)").cast(EXACT)
+    def radix(body: Column, base: int, half: int) -> Column:
+        # each half holds 60 bits, so that no conversion can overflow
+        digits = F.regexp_replace(F.substring(body, 3, 2**31 - 1), "^0+", "")
+
+        def folded(d: Column) -> Column:
+            size = F.length(d)
+            number = lambda part: F.coalesce(F.conv(part, base, 10), F.lit("0")).cast("decimal(19,0)")
+            upper = number(d.substr(F.lit(1), F.greatest(size - half, F.lit(0))))
+            lower = number(d.substr(F.greatest(size - half, F.lit(0)) + 1, F.lit(half)))
+            return F.when(size <= 2 * half, (upper * F.lit(Decimal(1 << 60)) + lower).cast(EXACT))
+
+        return let(digits, folded)
 
     def magnitude(body: Column) -> Column:
         second = F.lower(F.substring(body, 2, 1))
         return (
-            F.when(second == "x", radix(body, 16))
-            .when(second == "o", radix(body, 8))
-            .when(second == "b", radix(body, 2))
+            F.when(second == "x", radix(body, 16, 15))
+            .when(second == "o", radix(body, 8, 20))
+            .when(second == "b", radix(body, 2, 60))
         )
 
     # Plain decimals carry their sign into the cast; only radix forms need it put back.
     body = F.regexp_replace(text, r"^[+-]", "")
     radix_value = let(body, magnitude)
-    signed = F.when(text.startswith("-"), -radix_value).otherwise(radix_value).cast(EXACT)
+    # a difference, because a negated decimal is rounded to 34 digits
+    signed = F.when(text.startswith("-"), F.lit(Decimal(0)) - radix_value).otherwise(radix_value).cast(EXACT)
     return F.when(text.rlike(r"^[+-]?(?:[1-9][0-9]*|0+)$"), text.try_cast(EXACT)).when(
         text.rlike(RADIX_PATTERN), signed
     )

@@ -97,7 +97,7 @@ def match_trace_set(reports: DataFrame, trace_set: DataFrame, keys: list[str]) -
     known = trace_set.select(*keys, "fingerprint", "variant")
     covered = trace_set.where("variant = 1").select(*keys, F.lit(True).alias("has_trace_set"))
     joined = null_safe_join(reports, covered, keys, "left")
-    joined = joined.join(known, [*keys, "fingerprint"], "left")
+    joined = null_safe_join(joined, known, [*keys, "fingerprint"], "left")
     result = F.when(
         F.col("has_trace_set"), _result(F.col("canonical").isNull(), F.col("variant").isNotNull())
     )

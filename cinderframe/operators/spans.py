@@ -298,6 +298,8 @@ def select_edits(edits: DataFrame, keys: list[str], fold_limit: int = FOLD_LIMIT
 def apply_edits(documents: DataFrame, edits: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replace byte ranges [start, end) of each document; edits of one document do not overlap.
 
+    A NULL replacement is empty text.
+
     The edits of a document are gathered next to it: they cut it into at most as many pieces as it
     has bytes, so the array never outgrows the document.
     """
@@ -309,7 +311,7 @@ def apply_edits(documents: DataFrame, edits: DataFrame, key: str, text: str = "t
 
     def kept_and_new(edit: Column, i: Column) -> Column:
         begin = F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_edits"), i - 1)["end"])
-        return F.concat(piece(begin, edit["start"] - begin), edit["replacement"])
+        return F.concat(piece(begin, edit["start"] - begin), F.coalesce(edit["replacement"], F.lit("")))
 
     pieces = F.transform("_edits", lambda e, i: kept_and_new(e, i))
     last = F.element_at("_edits", -1)["end"]
