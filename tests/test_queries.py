@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as registry
+from cinderframe.checks import AREAS
 from cinderframe.checks.tables import normal_rows, oracle_rows
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
+QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
+ORACLES = {name: registry.oracle_sql()[name] for name in QUERIES if name in registry.oracle_sql()}
 # Keyed state runs in Python workers; nothing else does.
 PYTHON_STATE = {"stream_retry", "stream_snapshot_changes"}
 
