@@ -6,15 +6,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from cinderframe.llm.common import BASE, inverse, pieces, powers, text_rows
+from cinderframe.llm.common import BASE, inverse, packed, pieces, powers, text_rows
 from cinderframe.llm.components import components
 from cinderframe.session import written
 
 #: Documents (about) whose shingles tell which are frequent, and the most frequent shingles that are told apart.
 ORDER_DOCS, ORDER_SHINGLES, OFTEN = 4000, 100_000, 4
+#: Columns of 64 parities each; a set's codes are dealt to the parities by their upper bits.
+ODD = ["odd0", "odd1", "odd2", "odd3"]
 CODE_OF = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -97,20 +100,38 @@ def _sizes(percent: int) -> tuple[str, str]:
     )
 
 
+def _parities(codes: np.ndarray) -> np.ndarray:
+    """For each of 64 x len(ODD) classes of codes, whether the set holds an odd number of them, as 64-bit words.
+
+    Every code that only one of two sets holds flips one bit, so the words of two sets differ in at most as many bits as the sets
+    have codes apart.
+    """
+    odd = np.bincount((codes >> np.uint64(40)).astype(np.int64) % (64 * len(ODD)), minlength=64 * len(ODD)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets, made anew from the whole texts, overlap enough."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b"
     )
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+
+        def sets(bodies: pa.Array) -> list[np.ndarray]:
+            whole = pa.array([press.decompress(body.as_py()) for body in bodies], pa.large_binary())
+            return [s for _, _, data, offsets in pieces(whole) for s in shingle_sets(data, offsets, width)]
+
         for batch in batches:
-            left, right = ([s for _, _, data, offsets in pieces(batch.column(k)) for s in shingle_sets(data, offsets, width)] for k in (2, 3))
-            same = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64) - same
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(100 * same >= percent * union))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                left, right = sets(part.column(2)), sets(part.column(3))
+                same = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right)], np.int64)
+                union = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64) - same
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(100 * same >= percent * union))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "body_a", "body_b").mapInArrow(check, "a long, b long")
 
 
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -122,7 +143,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     3. Groups of a list are paired with its smallest group in their band of sizes, and members with their group's smallest, filtered by how
        many prefix shingles such a pair has to share, and verified. That joins copies by the thousand with a pair for each.
     4. Lists that still hold several components are expanded to members, and members of different components are paired, under
-       the size, position and count filters, which no link fails. Verified pairs complete the components.
+       the size, position, parity and count filters, which no link fails. Verified pairs complete the components.
 
     So a link is skipped only where its ends are connected already. Pairs are verified on sets made anew from whole texts.
     Shingles are compared by 64-bit codes. Null and empty texts have no shingles and link with nothing. A null id has no component.
@@ -134,13 +155,14 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = shared.value
         for batch in batches:
-            size, one, two, prefixes = [], [], [], []
+            size, one, two, odd, prefixes = [], [], [], [np.zeros(0, np.int64)], []
             for _, _, data, offsets in pieces(batch.column(1)):
                 for found in shingle_sets(data, offsets, width):
                     n = len(found)
                     size.append(n)
                     one.append(found.sum(dtype=np.uint64))
                     two.append(_mix(found + np.uint64(BASE)).sum(dtype=np.uint64))
+                    odd.append(_parities(found))
                     if len(codes) and n:
                         place = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
                         often = np.where(codes[place] == found, counts[place], 0)
@@ -149,12 +171,14 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32))
             prefix = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
             signed = [pa.array(_signed(np.array(x, np.uint64))) for x in (one, two)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *signed, prefix], ["id", "n", "one", "two", "prefix"])
+            words = [pa.array(w) for w in np.concatenate(odd).reshape(-1, len(ODD)).T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *signed, *words, prefix], ["id", "n", "one", "two", *ODD, "prefix"])
 
-    base = written(rows.mapInArrow(describe, "id long, n long, one long, two long, prefix array<long>"), "jaccard-sets")
+    numbers = ", ".join(f"{c} long" for c in ("id", "n", "one", "two", *ODD))
+    base = written(rows.mapInArrow(describe, f"{numbers}, prefix array<long>"), "jaccard-sets")
     usable = base.filter("id is not null and n > 0")
-    classes = usable.groupBy("n", "one", "two").agg(F.min(F.struct("id", "prefix")).alias("kept"))
-    classes = written(classes.select(F.col("kept.id").alias("id"), "n", "one", "two", F.col("kept.prefix").alias("prefix")), "jaccard-classes")
+    classes = usable.groupBy("n", "one", "two").agg(F.min(F.struct("id", *ODD, "prefix")).alias("kept"))
+    classes = written(classes.select("n", "one", "two", "kept.*"), "jaccard-classes")
     keyed = classes.withColumn("key", F.xxhash64("prefix"))  # equal keys of different prefixes only pair more
     members = keyed.select("id", F.min("id").over(Window.partitionBy("n", "key")).alias("group"))
     members = written(members, "jaccard-members")
@@ -172,19 +196,23 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stars = stars.filter(F.col("count") >= enough).select("a", "b")
     stars = written(stars.unionByName(members.filter("id <> group").select(F.col("group").alias("a"), F.col("id").alias("b"))), "jaccard-pairs")
     listed_ids = members.join(lists.select(F.col("id").alias("group")).distinct(), "group", "left_semi").select("id")
-    texts = written(rows.join(listed_ids.distinct(), "id", "left_semi").filter("id is not null").groupBy("id").agg(F.max("text").alias("text")), "jaccard-texts")
+    bodies = packed(rows.filter("id is not null"), "id").join(listed_ids.distinct(), "id", "left_semi")
+    texts = written(bodies.groupBy("id").agg(F.max("body").alias("body")), "jaccard-texts")
     links = written(_verified(stars, texts, width, percent), "jaccard-links")
     roots = written(components(links), "jaccard-roots")
 
     known = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "group", F.coalesce("root", "id").alias("root"))
+    known = known.join(classes.select("id", *ODD), "id")
     wide = lists.select("code", "at", "n", F.col("id").alias("group")).join(known, "group")
     inside = Window.partitionBy("code")
     wide = wide.withColumn("low", F.min("root").over(inside)).withColumn("high", F.max("root").over(inside)).filter("low < high")
-    wide = written(wide.select("code", "at", "n", "id", "root"), "jaccard-mixed")
-    side = lambda x: wide.select(*[F.col(c).alias(f"{c}{x}") for c in ("code", "at", "n", "id", "root")])
+    wide = written(wide.drop("group", "low", "high"), "jaccard-mixed")
+    side = lambda x: wide.select(*[F.col(c).alias(f"{c}{x}") for c in wide.columns])
     # the first shingle that a link's ends share has at least the rest of the intersection behind it on both sides
     ahead = f"{least} <= least(na - ata, nb - atb)"
-    pairs = side("a").join(side("b"), F.expr(f"codea = codeb and ida < idb and roota <> rootb and {fits} and {ahead}"))
+    apart = " + ".join(f"bit_count({c}a ^ {c}b)" for c in ODD)
+    alike = f"{apart} <= na + nb - 2 * {least}"
+    pairs = side("a").join(side("b"), F.expr(f"codea = codeb and ida < idb and roota <> rootb and {fits} and {ahead} and {alike}"))
     pairs = pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b"), "na", "nb", F.expr(least).alias("least")).distinct()
     for x in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("id").alias(x), F.col("prefix").alias(f"prefix_{x}")), x)

@@ -130,6 +130,16 @@ def test_links_of_near_copies_with_edits(spark):
         assert {r.id: (r.n_shingles, r.component) for r in got.collect()} == brute_force.linked_documents(rows, width, percent)
 
 
+def test_parities_never_differ_in_more_bits_than_sets_do():
+    draw = np.random.default_rng(3)
+    for n in (1, 30, 400, 3000):
+        shared, mine, theirs = (np.unique(draw.integers(1, 1 << 63, k, np.uint64)) for k in (n, n // 10 + 1, n // 7 + 1))
+        left, right = (ngram_jaccard._parities(np.union1d(shared, own)) for own in (mine, theirs))
+        bits = sum(int(x).bit_count() for x in (left ^ right).view(np.uint64))
+        assert 0 < bits <= len(np.setxor1d(mine, theirs))
+        assert not (left ^ ngram_jaccard._parities(np.union1d(mine, shared))).any()
+
+
 def test_links_of_repeated_rows_and_nulls(repeated, empty):
     rows = ngram_jaccard.linked_documents(repeated).collect()
     assert len(rows) == len(ODD) + 3
