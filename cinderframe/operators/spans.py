@@ -13,7 +13,6 @@ from cinderframe.session import written
 LINES_PER_MASK = 64
 # Largest overlap cluster that one row's fold settles; larger ones are settled in rounds.
 FOLD_LIMIT = 1_000
-TREE_LEVELS = 40
 
 
 def uncovered_lines(coverage: DataFrame, keys: list[str]) -> DataFrame:
@@ -201,34 +200,43 @@ def _fold(clustered: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _tree_rows(edits: DataFrame, keys: list[str]) -> DataFrame:
-    """Place each edit in a binary tree over positions.
+    """Place each edit in a binary tree over positions, as high as the largest end asks for.
 
     `own` rows are the nodes that together cover the edit exactly; the other rows are the nodes above
     them. Two edits overlap exactly when a node of one equals or lies above a node of the other.
+    Leaves stand for positions (even) and the bytes between them (odd), so an edit of no length has a leaf
+    inside those around it and outside those it only touches. It owns no node: such edits never
+    overlap each other.
     """
-    start, end = F.col("start"), F.col("end")
+    height = int(edits.agg(F.max("end")).first()[0] * 2).bit_length()
+    is_point = F.col("start") == F.col("end")
+    start = (F.col("start") * 2 + F.when(is_point, 0).otherwise(1)).cast("long")
+    end = (F.col("end") * 2 + F.when(is_point, 1).otherwise(0)).cast("long")
+    shift = lambda at, k: F.call_function("shiftright", at, k.cast("int"))
 
     def at_level(k: Column) -> Column:
         size = F.call_function("shiftleft", F.lit(1).cast("long"), k)
-        low = F.floor((start + size - 1) / size)
-        high = F.floor(end / size)
+        low = shift(start + size - 1, k)
+        high = shift(end, k)
         node = lambda i: F.struct(k.cast("int").alias("level"), i.cast("long").alias("idx"))
         left = F.when((low < high) & (low % 2 == 1), node(low))
         right = F.when((low < high) & (high % 2 == 1), node(high - 1))
         return F.array(left, right)
 
-    levels = F.sequence(F.lit(0), F.lit(TREE_LEVELS))
-    own = F.filter(F.flatten(F.transform(levels, at_level)), lambda n: n.isNotNull())
+    levels = F.sequence(F.lit(0), F.lit(height))
+    covering = F.filter(F.flatten(F.transform(levels, at_level)), lambda n: n.isNotNull())
     above = lambda n: F.transform(
-        F.sequence(n["level"] + 1, F.lit(TREE_LEVELS + 1)),
-        lambda k: F.struct(
-            k.cast("int").alias("level"),
-            F.call_function("shiftright", n["idx"], k - n["level"]).alias("idx"),
-        ),
+        F.sequence(n["level"] + 1, F.lit(height + 1)),
+        lambda k: F.struct(k.cast("int").alias("level"), shift(n["idx"], k - n["level"]).alias("idx")),
     )
-    placed = edits.select(*keys, "_rank", own.alias("_own")).withColumn(
-        "_above",
-        F.array_except(F.array_distinct(F.flatten(F.transform("_own", above))), F.col("_own")),
+    reached = F.array_distinct(F.flatten(F.transform("_covering", above)))
+    placed = edits.select(*keys, "_rank", is_point.alias("_point"), covering.alias("_covering")).select(
+        *keys,
+        "_rank",
+        F.when(F.col("_point"), F.slice("_covering", 1, 0)).otherwise(F.col("_covering")).alias("_own"),
+        F.when(F.col("_point"), F.concat("_covering", reached))
+        .otherwise(F.array_except(reached, F.col("_covering")))
+        .alias("_above"),
     )
     tag = lambda column, flag: F.transform(column, lambda n: F.struct(n.alias("node"), F.lit(flag).alias("own")))
     return placed.select(
@@ -252,10 +260,11 @@ def _round(pending: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Take every edit that outranks all it overlaps; return (taken, still undecided)."""
     rows = _tree_rows(pending, keys)
     best = _best_overlapping(rows, rows, keys)
-    taken = written(best.where(F.col("_best") == F.col("_rank")).select(*keys, "_rank"), "taken")
+    first = F.coalesce(F.col("_best") >= F.col("_rank"), F.lit(True))
+    taken = written(best.where(first).select(*keys, "_rank"), "taken")
     blocked = _best_overlapping(rows, null_safe_join(rows, taken, [*keys, "_rank"]), keys)
-    lost = blocked.where(F.col("_best").isNotNull()).select(*keys, "_rank")
-    left = written(null_safe_join(pending, lost, [*keys, "_rank"], "left_anti"), "undecided")
+    settled = blocked.where(F.col("_best").isNotNull()).select(*keys, "_rank").unionByName(taken)
+    left = written(null_safe_join(pending, settled, [*keys, "_rank"], "left_anti"), "undecided")
     return taken, left
 
 
@@ -265,7 +274,8 @@ def select_edits(edits: DataFrame, keys: list[str], fold_limit: int = FOLD_LIMIT
     Edits fall apart into clusters that cannot overlap each other. A cluster of up to `fold_limit`
     edits is folded in one row. In a larger one, all edits that outrank everything they overlap are
     taken at once, round by round, until what is left has come apart into small clusters. Both ways
-    give the sequential result. Exact duplicates count once. Edits have positive length.
+    give the sequential result. Exact duplicates count once. An edit of no length overlaps those it lies
+    strictly inside.
     """
     rank = F.struct(
         (-F.col("priority")).alias("p"), (F.col("start") - F.col("end")).alias("l"), "start"

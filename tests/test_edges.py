@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cinderframe.functions.scalars import parse_integer
 from cinderframe.operators.evidence import match_trace_set
-from cinderframe.operators.spans import apply_edits
+from cinderframe.operators.spans import apply_edits, select_edits
 
 
 def test_wide_and_zero_padded_radix_integers(spark):
@@ -25,3 +25,17 @@ def test_trace_set_under_a_null_key(spark):
     known = spark.createDataFrame([(None, 7, 1), ("r", 7, 1)], "ref string, fingerprint long, variant int")
     rows = match_trace_set(reports, known, ["ref"]).collect()
     assert {r.ref: r.variant for r in rows} == {None: 1, "r": None}
+
+
+def test_edit_selection_does_not_depend_on_the_fold_limit(spark):
+    far = 2**45
+    edits = [
+        ("inside", 0, 10, 9), ("inside", 5, 5, 1), ("inside", 10, 10, 1), ("inside", 0, 0, 3),
+        ("wins", 0, 10, 1), ("wins", 5, 5, 9), ("wins", 2, 4, 5),
+        ("points", 0, 9, 1), ("points", 5, 5, 2), ("points", 5, 5, 3), ("points", 7, 7, 1),
+        ("far", 0, far, 1), ("far", far - 5, far - 1, 9), ("far", far - 4, far + 3, 2),
+    ]
+    df = spark.createDataFrame(edits, "file string, start long, end long, priority int")
+    folded, rounds = (sorted(map(tuple, select_edits(df, ["file"], limit).select(*df.columns).collect())) for limit in (1000, 1))
+    assert rounds == folded
+    assert set(folded) == set(edits) - {edits[1], edits[4], edits[7], edits[11], edits[13]}
