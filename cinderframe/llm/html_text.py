@@ -242,7 +242,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     repeated = grams.select("host", "chunk", "gram").join(repeated.select("host", "gram"), ["host", "gram"])
     left = streams.groupBy("host", "chunk").cogroup(repeated.groupBy("host", "chunk")).applyInPandas(_unique_runs, "row long, nth int, text string")
     left = left.groupBy("row").agg(F.collect_list(F.struct("nth", "text")).alias("extra"))
+    texts = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
+    # only pages with blocks that the suffix array decides about can gain text; the others need no exchange
+    undecided = F.exists("outside", lambda b: ~b["hinted"])
+    settled = parsed.filter(~undecided).select("page_id", "url", texts(F.col("inside")).alias("text"))
     inside = F.transform("inside", lambda b: F.struct(b["nth"].alias("nth"), b["text"].alias("text")))
     every = F.array_sort(F.concat(inside, F.coalesce("extra", F.array().cast("array<struct<nth int, text string>>"))))
-    text = F.array_join(F.transform(every, lambda b: b["text"]), "\n")
-    return parsed.join(left, "row", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    joined = parsed.filter(undecided).join(left, "row", "left").select("page_id", "url", texts(every).alias("text"))
+    return settled.unionByName(joined).withColumn("n_chars", F.length("text").cast("long"))
