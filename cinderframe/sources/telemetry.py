@@ -49,11 +49,15 @@ def _is_object(record: Column) -> Column:
 def classify_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add `record` (a VARIANT) and `malformed`; blank lines are dropped.
 
-    A line counts as malformed when it is not JSON or not a JSON object. The parser accepts text
-    after a closing brace, so the line must also end with one.
+    A line counts as malformed when it is not one JSON object. The parser accepts text after a value,
+    so the line is parsed as the first element of an array whose second is the line's own hash: a
+    line torn into two records, or with anything behind its object, does not reach that element.
     """
     text = F.regexp_replace(F.col(line), r"^\s+|\s+$", "")
-    record = F.when(text.endswith("}"), F.try_parse_json(text))
+    mark = F.xxhash64(text)
+    framed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+    whole = F.try_variant_get(framed, "$[1]", "bigint") == mark
+    record = F.when(whole, F.try_variant_get(framed, "$[0]", "variant"))
     parsed = pin(lines.where(F.col(line).rlike(r"\S")), record=record)
     return parsed.withColumn("malformed", ~_is_object(F.col("record")))
 

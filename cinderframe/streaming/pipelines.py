@@ -137,22 +137,29 @@ class _ContentChanges(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         last = self.kept.get() if self.kept.exists() else None
-        for frame in rows:
-            for t, content in sorted(zip(frame["t_ns"], frame["content"])):
-                if last is not None and t < last[0]:
-                    continue
-                if last is None or content != last[1]:
-                    yield pd.DataFrame({"run": [key[0]], "t_ns": [t], "content": [content]})
-                last = (int(t), int(content))
+        changes = []
+        # all rows of the micro-batch in one order; how Arrow cuts them into frames must not matter
+        for t, content in sorted((int(t), int(c)) for frame in rows for t, c in zip(frame["t_ns"], frame["content"])):
+            if last is not None and t < last[0]:
+                continue
+            if last is None or content != last[1]:
+                changes.append((key[0], t, content))
+            last = (t, content)
         if last is not None:
             self.kept.update(last)
+        if changes:
+            yield pd.DataFrame(changes, columns=["run", "t_ns", "content"])
 
     def close(self) -> None:
         pass
 
 
 def snapshot_changes(accepted: DataFrame) -> DataFrame:
-    """Every change of the snapshot of a run: `accepted(run, t_ns, content)`, in arrival order."""
+    """Every change of the snapshot of a run: `accepted(run, t_ns, content)`.
+
+    The rows of a run in one micro-batch are taken in the order of time; a row behind what an earlier
+    batch kept is stale. A task holds one run's rows of one micro-batch, which the source's rate limits.
+    """
     use_rocksdb(accepted.sparkSession)
     return accepted.groupBy("run").transformWithStateInPandas(
         _ContentChanges(),

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from cinderframe.functions.scalars import parse_integer
 from cinderframe.operators.evidence import match_trace_set
 from cinderframe.operators.spans import apply_edits, select_edits
+from cinderframe.sources.telemetry import classify_lines
+from cinderframe.streaming.pipelines import run_to_folder, snapshot_changes
 
 
 def test_wide_and_zero_padded_radix_integers(spark):
@@ -27,6 +29,28 @@ def test_trace_set_under_a_null_key(spark):
     assert {r.ref: r.variant for r in rows} == {None: 1, "r": None}
 
 
+def test_torn_lines_are_malformed(spark):
+    good = ['{"a":1}', ' {"a":{"b":[1,2]}} ', '{"a":"}{"}', "{}"]
+    torn = ['{"a":1}{"a":2}', '{"a":1} x}', '{"a":1},{"a":2}', '{"a":1},0]{}', '{"a":1', "[1]", "3", "null", '{"a":1}]', "x}"]
+    rows = classify_lines(spark.createDataFrame([(t,) for t in [*good, *torn, " "]], "line string")).select("line", "malformed").collect()
+    assert {r.line: r.malformed for r in rows} == {**dict.fromkeys(good, False), **dict.fromkeys(torn, True)}
+
+
+def test_snapshot_changes_do_not_depend_on_arrow_batches(spark, tmp_path):
+    rows = [(1, t, t % 7) for t in range(200, 0, -1)]
+    spark.createDataFrame(rows, "run long, t_ns long, content long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    limit, found = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), []
+    try:
+        for size in ("10", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            stream = spark.readStream.schema("run long, t_ns long, content long").parquet(str(tmp_path / "in"))
+            run_to_folder(snapshot_changes(stream), str(tmp_path / f"out{size}"), str(tmp_path / f"mark{size}"))
+            found.append(sorted(map(tuple, spark.read.parquet(str(tmp_path / f"out{size}")).collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+    assert found[0] == found[1] == sorted(rows)
+
+
 def test_edit_selection_does_not_depend_on_the_fold_limit(spark):
     far = 2**45
     edits = [
