@@ -1,14 +1,17 @@
-"""Main text of web pages: structure first, then a suffix array over each host's remaining token streams."""
+"""Main text of web pages: a suffix array over the token streams of each host's whole pages, then structure."""
 
 from __future__ import annotations
 
+import hashlib
 import html
+import json
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +19,8 @@ from cinderframe.session import written
 
 #: Words that a substring repeated on different pages of a host has at least; words of one suffix array.
 RUN, CHUNK_WORDS = 6, 400_000
+#: Pages, and share of the host's different pages, that hold a substring of articles before it goes; share of an article that may go.
+MANY, MANY_SHARE, MOST = 5, 0.05, 0.5
 
 # Element names of HTML, fixed values.
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title", "head"}
@@ -145,108 +150,193 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def _chunk_stream(frame: pd.DataFrame) -> tuple[list[list[list[str]]], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of all blocks of all pages, with a token of its own behind each page; token codes, page and place of every token."""
-    words = [[block["text"].split() for block in blocks] for blocks in frame["outside"]]
+def _chunk_stream(frame: pd.DataFrame) -> tuple[list[list[dict]], list[list[list[str]]], np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of all pages, those outside articles first, and their words; code, stream and kind of every word.
+
+    A page is two streams, 2 * page outside and 2 * page + 1 inside its articles. Kind is 1 inside, 2 for hinted blocks, else 0.
+    """
+    press = zstandard.ZstdDecompressor()
+    names = ("nth", "text", "main", "hinted")
+    pages = [[dict(zip(names, block)) for block in json.loads(press.decompress(body))] for body in frame["body"]]
+    blocks = [sorted(page, key=lambda b: b["main"]) for page in pages]
+    words = [[b["text"].split() for b in page] for page in blocks]
     flat = [w for page in words for block in page for w in block]
-    page = np.repeat(np.arange(len(words)), [sum(map(len, p)) for p in words])
-    codes = np.unique(np.array(flat, object).astype(str), return_inverse=True)[1] if flat else np.zeros(0, np.int64)
-    places = np.arange(len(flat)) + page
-    tokens = np.full(len(flat) + len(words), -1, np.int64)
-    tokens[places] = codes
-    gaps = np.flatnonzero(tokens < 0)
-    tokens[gaps] = codes.max(initial=0) + 1 + np.arange(len(gaps))
-    return words, tokens, page, places
+    sizes = [len(w) for page in words for w in page]
+    stream = np.repeat(np.array([2 * n + b["main"] for n, page in enumerate(blocks) for b in page], np.int64), sizes)
+    kind = np.repeat(np.array([2 if b["hinted"] else int(b["main"]) for page in blocks for b in page], np.int64), sizes)
+    held = np.empty(len(flat), object)
+    held[:] = flat
+    return blocks, words, pd.util.hash_array(held) if flat else np.zeros(0, np.uint64), stream, kind
+
+
+def _grams(codes: np.ndarray, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where RUN words of one stream begin, and 64-bit codes of these words."""
+    n = len(codes) - RUN + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    at = np.flatnonzero(stream[:n] == stream[RUN - 1 :])
+    return at, code[at].view(np.int64)
 
 
-def _gram_keys(words: list[str], at: np.ndarray) -> list[str]:
-    return [" ".join(words[i : i + RUN]) for i in at]
+def _many(pages: int) -> int:
+    return max(MANY, int(np.ceil(MANY_SHARE * pages)))
+
+
+def _counts(host: str, frame: pd.DataFrame) -> pd.DataFrame:
+    """Distinct substrings of RUN words in a chunk of a host: how many pages hold them, and how many outside articles.
+
+    Pages of equal content are in one chunk and count once.
+    """
+    frame = frame.drop_duplicates("kind")
+    _, _, codes, stream, kind = _chunk_stream(frame)
+    # a token of its own behind each stream, so that no suffix runs on into the next one
+    places = np.arange(len(codes)) + np.cumsum(np.diff(stream, prepend=stream[:1]) != 0)
+    tokens = np.full(int(places[-1]) + 1 if len(places) else 0, -1, np.int64)
+    tokens[places] = np.unique(codes, return_inverse=True)[1]
+    gaps = np.flatnonzero(tokens < 0)
+    tokens[gaps] = len(tokens) + np.arange(len(gaps))
+    at, code = _grams(codes, stream)
+    rank = suffix_ranks(tokens, RUN)[places][at] if len(at) else np.zeros(0, np.int64)
+    order = np.lexsort((stream[at], rank))  # the chunk's suffix array, equal substrings by page
+    begin = np.flatnonzero(np.diff(rank[order], prepend=-1))
+    page, outside = stream[at][order] // 2, stream[at][order] % 2 == 0
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(page) != 0) | (np.diff(rank[order]) != 0)
+    opened = np.concatenate([[0], np.cumsum(kind == 0)])
+    opened = (opened[at + RUN] > opened[at])[order] if len(at) else np.zeros(0, bool)
+    count = lambda mask: np.add.reduceat(mask.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+    # within a page the stream outside comes first, so a page is new outside where its first place is
+    return pd.DataFrame({"host": np.full(len(begin), host, object), "gram": code[order[begin]], "n": count(new), "outside": count(new & outside), "opened": count(opened) > 0})
 
 
 def _substrings(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """Distinct substrings of RUN words in a chunk of a host, with the least and greatest page that holds them."""
-    words, tokens, page, places = _chunk_stream(frame)
-    flat = [w for p in words for block in p for w in block]
-    rank = suffix_ranks(tokens, RUN)[places]
-    whole = np.flatnonzero((np.arange(len(flat)) + RUN <= len(flat)))
-    whole = whole[page[whole] == page[np.minimum(whole + RUN - 1, len(flat) - 1)]]
-    order = whole[np.argsort(rank[whole], kind="stable")]  # the chunk's suffix array
-    begin = np.flatnonzero(np.diff(rank[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
-    kinds = frame["kind"].to_numpy()[page[order]]
-    low = np.minimum.reduceat(kinds, begin) if len(begin) else np.zeros(0, np.int64)
-    high = np.maximum.reduceat(kinds, begin) if len(begin) else np.zeros(0, np.int64)
-    return pd.DataFrame({"host": key[0], "chunk": key[1], "gram": _gram_keys(flat, order[begin] if len(begin) else begin), "low": low, "high": high})
-
-
-def _unique_runs(key, frame: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
-    """What is left of unhinted blocks when every word in a repeated substring has gone."""
-    empty = pd.DataFrame({"row": np.zeros(0, np.int64), "nth": np.zeros(0, np.int32), "text": np.zeros(0, object)})
+    """The substrings of a chunk that can matter.
+
+    The only chunk of a host knows which do. Of several chunks, one at least has its share of the pages of a substring that many hold.
+    """
+    found = _counts(key[0], frame)
+    chunks, many = frame["chunks"].iloc[0], _many(frame["pages"].iloc[0])
+    return found[_matters(found, many) if chunks == 1 else (found["n"] >= -(-many // chunks)) | (found["outside"] > 0)]
+
+
+def _counted(key, frame: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+    """The substrings of one chunk of several that can matter by what any chunk holds."""
+    if not len(frame) or not len(grams):
+        return pd.DataFrame({"host": np.zeros(0, object), "gram": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "outside": np.zeros(0, np.int64), "opened": np.zeros(0, bool)})
+    found = _counts(key[0], frame)
+    return found[np.isin(found["gram"].to_numpy(), grams["gram"].to_numpy())]
+
+
+def _matters(found, many):
+    return (found["n"] >= many) | found["opened"] & (found["outside"] >= 2)
+
+
+def _main_texts(key, frame: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+    """page_id, url and text of a chunk's pages: what is left when repeated words and blocks named something else have gone."""
+    out = frame[["page_id", "url"]].copy()
     if not len(frame):
-        return empty
-    words, _, page, _ = _chunk_stream(frame)
-    flat = [w for p in words for block in p for w in block]
-    repeated = set(grams["gram"])
-    covered = np.zeros(len(flat) + 1, np.int64)
-    for i, gram in enumerate(_gram_keys(flat, np.arange(len(flat) - RUN + 1))):
-        if gram in repeated and page[i] == page[i + RUN - 1]:
-            covered[i] += 1
-            covered[i + RUN] -= 1
-    gone = np.cumsum(covered[:-1]) > 0
-    rows, at = [], 0
-    for row, blocks, of_page in zip(frame["row"], frame["outside"], words):
-        for block, its in zip(blocks, of_page):
-            left = [w for w, g in zip(its, gone[at : at + len(its)]) if not g]
-            at += len(its)
-            if left and not block["hinted"]:
-                rows.append((row, block["nth"], " ".join(left)))
-    return pd.DataFrame(rows, columns=["row", "nth", "text"]) if rows else empty
+        out["text"] = np.zeros(0, object)
+        return out
+    blocks, words, codes, stream, kind = _chunk_stream(frame)
+    at, code = _grams(codes, stream)
+    anywhere, outside = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+    if len(grams) and len(at):
+        grams = grams.sort_values("gram")
+        known = grams["gram"].to_numpy()
+        place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        hit = known[place] == code
+        for held, column in ((anywhere, "n"), (outside, "outside")):
+            pages = grams[column].to_numpy()[place[hit]]
+            for k in range(RUN):
+                held[at[hit] + k] = np.maximum(held[at[hit] + k], pages)
+    many = _many(frame["pages"].iloc[0])
+    gone = (anywhere >= many) | (stream % 2 == 0) & (outside >= 2)
+    # articles that would lose most of their words are copies of each other
+    article = (stream % 2 == 1) & (kind != 2)
+    page = stream // 2
+    lost, had = (np.bincount(page[mask], minlength=len(frame)) for mask in (article & gone, article))
+    gone &= ~(article & (lost > MOST * had)[page])
+    texts, done = [], 0
+    for its_blocks, of_page in zip(blocks, words):
+        left = []
+        for block, its in zip(its_blocks, of_page):
+            stays = [w for w, g in zip(its, gone[done : done + len(its)]) if not g]
+            done += len(its)
+            if stays and not block["hinted"]:
+                left.append((block["nth"], " ".join(stays)))
+        texts.append("\n".join(t for _, t in sorted(left)))
+    out["text"] = texts
+    return out
+
+
+def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each host and content of a partition, so a page with many copies moves once from each."""
+    seen = set()
+    for batch in batches:
+        keys = zip(batch.column("host").to_pylist(), batch.column("kind").to_pylist())
+        new = [not (k in seen or seen.add(k)) for k in keys]
+        yield batch.filter(pa.array(new, pa.bool_()))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    Blocks inside an article or main element are the text, less what is named navigation, advert, comment and the like inside it; they may repeat
-    on other pages and stay. Of the blocks outside, those named so go; of the rest, the words that a substring of RUN words covers which other
-    pages of the host hold as well. Pages of equal content count as one page, so copies do not erase each other.
+    All blocks of a page enter the token streams of its host. A word goes when a substring of RUN words that covers it is held by at
+    least MANY pages and MANY_SHARE of the host's different pages, inside an article or main element too; outside of them two pages
+    that hold it outside are enough. An article that would lose more than MOST of its words is a copy of others, not boilerplate, and
+    keeps them. Of what is left, blocks named navigation, advert, comment and the like go. Pages of equal content count as one page, so
+    copies do not erase each other.
 
     A host's pages are dealt into chunks of about CHUNK_WORDS words, so a hot host is many tasks. Each chunk's streams are put
-    behind each other and sorted as suffixes; equal neighbours are its repeated substrings. The distinct substrings of all chunks meet in one
-    aggregate, each with the least and greatest page that holds it, and what two pages hold goes back to its chunks.
+    behind each other and sorted as suffixes; equal neighbours are its repeated substrings. Those that may be on enough pages, as 64-bit
+    codes, are counted in all chunks of their host; the counts meet in one aggregate, and what enough pages hold goes back to all chunks.
 
     A null or empty page has empty text; a null url belongs to a host of its own name; null and repeated ids keep their rows.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = pa.list_(pa.struct([("nth", pa.int32()), ("text", pa.string()), ("hinted", pa.bool_())]))
+        press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
-            inside, outside = [], []
+            bodies, kinds, words = [], [], []
             for page in batch.column(2).to_pylist():
-                found = list(enumerate(page_blocks(page)))
-                inside.append([{"nth": n, "text": t, "hinted": h} for n, (t, main, h) in found if main and not h])
-                outside.append([{"nth": n, "text": t, "hinted": h} for n, (t, main, h) in found if not main])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inside, block), pa.array(outside, block)], ["page_id", "url", "inside", "outside"])
+                blocks = [(n, *block) for n, block in enumerate(page_blocks(page))]
+                data = json.dumps(blocks, ensure_ascii=False).encode(errors="surrogatepass")
+                bodies.append(press.compress(data))
+                kinds.append(int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True))
+                words.append(sum(len(text.split()) for _, text, _, _ in blocks))
+            columns = [*batch.columns[:2], pa.array(bodies, pa.binary()), pa.array(kinds, pa.int64()), pa.array(words, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "body", "kind", "words"])
 
-    block = "array<struct<nth int, text string, hinted boolean>>"
-    parsed = rows.mapInArrow(parse, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, inside {block}, outside {block}")
+    id_type = rows.schema["page_id"].dataType.simpleString()
+    parsed = rows.mapInArrow(parse, f"page_id {id_type}, url string, body binary, kind long, words long")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    parsed = parsed.select("*", F.monotonically_increasing_id().alias("row"), host.alias("host"), F.xxhash64("inside.text", "outside.text").alias("kind"))
+    parsed = parsed.select("*", F.monotonically_increasing_id().alias("row"), host.alias("host"))
     parsed = written(parsed, "html-blocks")
-    streams = parsed.filter(F.size("outside") > 0).select("row", "host", "kind", "outside")
-    words = F.aggregate("outside", F.lit(0), lambda n, b: n + F.size(F.split(b["text"], " ")))
-    chunks = streams.groupBy("host").agg(F.ceil(F.sum(words) / CHUNK_WORDS).alias("chunks"))
-    streams = streams.join(chunks, "host").withColumn("chunk", F.pmod(F.xxhash64("row"), "chunks")).drop("chunks")
-    grams = streams.groupBy("host", "chunk").applyInPandas(_substrings, "host string, chunk long, gram string, low long, high long")
-    grams = written(grams, "html-grams")
-    repeated = grams.groupBy("host", "gram").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
-    repeated = grams.select("host", "chunk", "gram").join(repeated.select("host", "gram"), ["host", "gram"])
-    left = streams.groupBy("host", "chunk").cogroup(repeated.groupBy("host", "chunk")).applyInPandas(_unique_runs, "row long, nth int, text string")
-    left = left.groupBy("row").agg(F.collect_list(F.struct("nth", "text")).alias("extra"))
-    texts = lambda blocks: F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
-    # only pages with blocks that the suffix array decides about can gain text; the others need no exchange
-    undecided = F.exists("outside", lambda b: ~b["hinted"])
-    settled = parsed.filter(~undecided).select("page_id", "url", texts(F.col("inside")).alias("text"))
-    inside = F.transform("inside", lambda b: F.struct(b["nth"].alias("nth"), b["text"].alias("text")))
-    every = F.array_sort(F.concat(inside, F.coalesce("extra", F.array().cast("array<struct<nth int, text string>>"))))
-    joined = parsed.filter(undecided).join(left, "row", "left").select("page_id", "url", texts(every).alias("text"))
-    return settled.unionByName(joined).withColumn("n_chars", F.length("text").cast("long"))
+    filled = parsed.filter("words > 0")
+    kinds = filled.groupBy("host", "kind").agg(F.sum("words").alias("words"))
+    hosts = kinds.groupBy("host").agg(F.ceil(F.sum("words") / CHUNK_WORDS).alias("chunks"), F.count(F.lit(1)).alias("pages"))
+    hosts = written(hosts, "html-hosts")
+    streams = filled.select("host", "kind", "body")
+    streams = streams.mapInArrow(_once, streams.schema).join(hosts, "host").withColumn("chunk", F.pmod(F.xxhash64("kind"), "chunks"))
+    kind = "host string, gram long, n long, outside long, opened boolean"
+    each_chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
+    held = written(streams.groupBy("host", "chunk").applyInPandas(_substrings, kind), "html-grams")
+    wanted = held.join(hosts.filter("chunks > 1"), "host").select("host", "gram", "chunks").distinct().select("host", "gram", each_chunk)
+    counted = streams.groupBy("host", "chunk").cogroup(wanted.groupBy("host", "chunk")).applyInPandas(_counted, kind)
+    grams = counted.unionByName(held.join(hosts.filter("chunks = 1").select("host"), "host", "left_semi"))
+    grams = grams.groupBy("host", "gram").agg(F.sum("n").alias("n"), F.sum("outside").alias("outside"), F.max("opened").alias("opened"))
+    many = F.greatest(F.lit(MANY), F.ceil(F.col("pages") * MANY_SHARE))
+    repeated = grams.filter(F.col("n") >= F.when(F.col("opened"), 2).otherwise(MANY)).join(hosts, "host")
+    repeated = repeated.filter((F.col("n") >= many) | F.col("opened") & (F.col("outside") >= 2))
+    repeated = repeated.select("host", "gram", "n", "outside", each_chunk)
+    # ids pass as text, for pandas would make floats of numbers beside a null
+    dealt = filled.join(hosts, "host").select(F.col("page_id").cast("string").alias("page_id"), "url", "body", "host", "pages", F.pmod(F.xxhash64("row"), "chunks").alias("chunk"))
+    found = dealt.groupBy("host", "chunk").cogroup(repeated.groupBy("host", "chunk"))
+    found = found.applyInPandas(_main_texts, "page_id string, url string, text string")
+    found = found.withColumn("page_id", F.col("page_id").cast(id_type))
+    bare = parsed.filter("words = 0").select("page_id", "url", F.lit("").alias("text"))
+    return found.unionByName(bare).withColumn("n_chars", F.length("text").cast("long"))

@@ -233,6 +233,29 @@ def test_page_blocks_and_host_boilerplate(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_notices_inside_articles_go_and_copied_articles_stay(spark):
+    notice = "please share this story with all of your friends today"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    page = "<body><article><p>%s</p><p>%s</p><p>%s</p></article></body>"
+    rows = [(i, "http://h/a", page % (own(i), notice, own(-i - 1))) for i in range(8)]
+    shared = " ".join(f"s{k}" for k in range(40))
+    rows += [(20 + i, "http://h/b", page % (shared, own(20 + i)[:20], "end")) for i in range(6)]  # near copies
+    rows += [(30 + i, "http://h/c", page % (own(30), notice, own(31))) for i in range(3)]  # equal pages
+    rows += [(40 + i, "http://few/a", page % (own(40 + i), notice, "end")) for i in range(3)]
+    found = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"{own(i)}\n{own(-i - 1)}" for i in range(8))
+    assert all(found[20 + i] == f"{shared}\n{own(20 + i)[:20].strip()}\nend" for i in range(6))
+    assert all(found[30 + i] == f"{own(30)}\n{own(31)}" for i in range(3))
+    assert all(notice in found[40 + i] for i in range(3))  # three pages are not many
+
+
+def test_repeats_in_many_chunks_are_counted_as_in_one(spark, monkeypatch):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").withColumn("url", F.lit("http://one/"))
+    want = sorted((r.page_id, r.text) for r in html_text.main_text(pages).collect())
+    monkeypatch.setattr(html_text, "CHUNK_WORDS", 3000)
+    assert sorted((r.page_id, r.text) for r in html_text.main_text(pages).collect()) == want
+
+
 def test_suffix_ranks():
     tokens = np.random.default_rng(1).integers(0, 3, 300)
     rank = html_text.suffix_ranks(tokens, 5)
