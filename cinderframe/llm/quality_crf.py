@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,8 @@ from cinderframe.llm.common import pieces, sums, text_rows
 
 #: At most about so many labelled documents, and so much of their text, train the field.
 TRAIN_DOCS, TRAIN_BYTES = 2000, 8 << 20
+#: A longer text is scored but teaches nothing.
+LONGEST = 1 << 20
 STEPS, RATE, PENALTY = 300, 0.1, 1e-4
 GROUPS = ("upper", "lower", "digit", "space", "stop", "mark", "bar", "symbol", "other")
 
@@ -190,17 +193,29 @@ def scores(field: LineField, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
 def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineField:
     """Train on a bounded sample of the labelled documents for which `learn` (over the column id) holds.
 
-    The sample is the TRAIN_DOCS documents of the smallest hash of the id, and of these as many as TRAIN_BYTES of text allow.
-    Rows without id or label teach nothing; of several labels of one id the larger counts.
+    The sample is the TRAIN_DOCS documents of the smallest hash of the id, without texts over LONGEST bytes, and of these as many as
+    TRAIN_BYTES allow; each label has half of TRAIN_BYTES to itself. Rows without id or label teach nothing; of several labels of one
+    id the larger counts, of several texts the first in order. A label whose texts are all too long is an error, one that no document
+    has a warning.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("id is not null and label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label")).filter(learn)
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
     joined = text_rows(docs, id_col, text_col).join(F.broadcast(chosen), "id")  # TRAIN_DOCS rows of an id and a label
+    short = F.when(F.octet_length("text") <= LONGEST, F.col("text"))
+    each = joined.groupBy("id", "label").agg(F.min(short).alias("text"))  # no text where all of an id are too long
+    size = F.coalesce(F.octet_length("text") + 1, F.lit(0))
     by_hash = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.octet_length("text") + 1).over(by_hash)
-    sample = joined.select("id", "text", "label", total.alias("total")).filter(F.col("total") <= TRAIN_BYTES).collect()
-    sample.sort(key=lambda r: (r["id"], r["text"]))
+    total, own = F.sum(size).over(by_hash), F.sum(size).over(by_hash.partitionBy("label"))
+    sample = each.select("id", "text", "label", total.alias("total"), own.alias("own"))
+    sample = sample.filter((F.col("total") <= TRAIN_BYTES) | (F.col("own") <= TRAIN_BYTES // 2)).collect()
+    long = {int(r["label"]) for r in sample if r["text"] is None}
+    sample = sorted((r for r in sample if r["text"] is not None), key=lambda r: (r["id"], r["text"]))
+    found = {int(r["label"]) for r in sample}
+    if long - found:
+        raise ValueError(f"every sampled document labelled {sorted(long - found)} has more than {LONGEST} bytes")
+    if len(found) < 2:
+        warnings.warn(f"quality is learned from documents labelled {sorted(found)} only")
     return train([r["text"] for r in sample], [int(r["label"]) for r in sample])
 
 

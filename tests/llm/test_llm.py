@@ -326,6 +326,21 @@ def test_quality_of_odd_input(spark, odd, repeated, empty):
         assert quality_crf.keep_good(docs, field, 0.0).count() == docs.count()
 
 
+def test_long_or_repeated_rows_displace_no_quality_sample(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(quality_crf, "train", lambda texts, labels: learned.append((texts, labels)))
+    rows = [(i, f"text {i}") for i in range(50)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    by_hash = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id")).collect()]
+    first, second = by_hash[:2]
+    docs = [(i, "x" * 9_000_000 if i == first else t) for i, t in rows] + [(second, "y" * 900_000)] * 12
+    quality_crf.fit_quality(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(True))
+    assert sorted(learned[0][0]) == sorted(t for i, t in rows if i != first) and set(learned[0][1]) == {0, 1}
+    docs = [(i, "x" * 2_000_000 if i % 2 else t) for i, t in rows[:6]]
+    with pytest.raises(ValueError, match="labelled"):
+        quality_crf.fit_quality(spark.createDataFrame(docs, "doc_id long, text string"), labels, F.lit(True))
+
+
 # 8: shards
 
 
