@@ -89,6 +89,17 @@ def test_lm_empty_table(empty):
     assert lm_scoring.lm_scores(empty, held_out(F.col("id"), 7), encoder).count() == 0
 
 
+def test_subwords_behind_a_very_long_word():
+    encoder = (queries.public_tokenizers.path("byte_bpe_50k.tiktoken"), queries.public_tokenizers.PATTERN)
+    words = [b"one", b"x1" * 200_000, b"two", b"three"]
+    known = lm_scoring._subwords(*encoder)[0]
+    flat, lengths = lm_scoring.word_subwords(words, encoder)
+    assert lengths[1] > 1 << 16 and lengths.sum() == len(flat)
+    ids, sizes = lm_scoring._sequences(np.array([0, 1, 2, 3, 0], np.uint32), np.array([2, 3], np.uint32), lengths, flat, 50256)
+    want = known.encode_ordinary(" two three one")
+    assert ids[sizes[0] :].tolist() == [*want, 50256] and len(ids) == sizes.sum()
+
+
 def test_attention_probabilities_are_causal_and_sum_to_one():
     from cinderframe.llm import attention as A
 
