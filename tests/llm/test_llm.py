@@ -100,6 +100,19 @@ def test_subwords_behind_a_very_long_word():
     assert ids[sizes[0] :].tolist() == [*want, 50256] and len(ids) == sizes.sum()
 
 
+def test_training_rounds_use_every_window_once(monkeypatch):
+    from cinderframe.llm import attention as A
+
+    seen, look = [], A._seen
+    monkeypatch.setattr(A, "_seen", lambda classes, start, low, high: (seen.extend(start), look(classes, start, low, high))[1])
+    inputs = np.arange(100_000) % A.OUTPUTS
+    lengths = np.full(100, 1000)
+    model = A.fresh(np.zeros((A.BEFORE, A.INPUTS, A.OUTPUTS)))
+    used = [A.train(model, inputs, inputs, lengths, part, lm_scoring.ROUNDS, 3) for part in range(lm_scoring.ROUNDS)]
+    start = A.windows(lengths)[0]
+    assert sorted(seen) == sorted(start) and sum(used) == len(start)
+
+
 def test_attention_probabilities_are_causal_and_sum_to_one():
     from cinderframe.llm import attention as A
 
