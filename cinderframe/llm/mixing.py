@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,10 @@ BUCKETS = 4096
 #: Byte pairs to feature buckets.
 BUCKET_OF = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.uint16)
 STEPS, RATE = 150, 0.05
-ROUNDS, CLOSE = 40, 1e-4
+#: Rounds at most, the gap to a target (as a share of all tokens) that is close, the least a round must lower the loss by to go on.
+ROUNDS, CLOSE, STALLED = 200, 1e-4, 1e-6
+#: How much the total may grow over the least one, as documents that repeat for one domain hold a little of others too.
+GROWTH = 1.05
 
 
 @dataclass
@@ -144,7 +148,11 @@ def fit_steps(members: DataFrame, targets: list[float], grow: bool = False, leas
     rates at or above `least`. Every document starts at 1 and has a rate of its own; a round is one distributed sum of as many
     numbers as there are domains, from which the same step vector follows for all. A rate is a fold over these vectors, so no state
     is kept between rounds and a lost executor costs a re-read. The total of tokens stays what it is or, with `grow`, becomes the smallest
-    at which no domain has to shrink.
+    at which no domain has to shrink; as documents that repeat hold a little of other domains, it may follow these by up to GROWTH.
+
+    Steps are scaled by the inverse of the domains' second moments over the documents whose rates are free to move, which is part of
+    the same sum; where such a step lowers the loss by less than half, a plain gradient step follows from the place before it. Rounds end when
+    all targets are met to CLOSE, or when none can be met better; then what was reached tells the gap.
 
     A target of 0 pushes a domain's documents towards `least`. Documents without tokens get the rate of their posteriors but weigh
     nothing. With no tokens at all, all rates stay at 1.
@@ -152,36 +160,68 @@ def fit_steps(members: DataFrame, targets: list[float], grow: bool = False, leas
     k = len(targets)
     weight = np.array(targets, float) / sum(targets)
 
-    def totals(steps: list[list[float]]) -> np.ndarray:
+    def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of every domain, its second moments with the others over free documents, and over all."""
         rates = members.select("tokens", "member", rate_of(F.col("member"), steps, least).alias("rate"))
-        found = rates.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col("member")[i]) for i in range(k)]).first()
-        return np.array([x or 0.0 for x in found])
+        free = (F.col("rate") > least).cast("double")
+        pair = [F.col("tokens") * F.col("member")[i] * F.col("member")[j] for i in range(k) for j in range(k)]
+        found = rates.agg(
+            *[F.sum(F.col("rate") * F.col("tokens") * F.col("member")[i]) for i in range(k)], *[F.sum(free * p) for p in pair], *[F.sum(p) for p in pair]
+        ).first()
+        found = np.array([x or 0.0 for x in found])
+        return found[:k], found[k : k + k * k].reshape(k, k), found[k + k * k :].reshape(k, k)
 
     steps: list[list[float]] = []
-    reached = totals(steps)
+    reached, moving, gram = totals(steps)
     if not reached.sum():
         return steps, [0.0] * k, [0.0] * k
-    total = max(r / w for r, w in zip(reached, weight) if w > 0) if grow else reached.sum()
+    needed = lambda reached: max(r / w for r, w in zip(reached, weight) if w > 0)
+    total = needed(reached) if grow else reached.sum()
+    most = GROWTH * total
     wanted = weight * total
     floor = np.maximum(wanted, 1e-3 * total)
-    gram = members.agg(*[F.sum(F.col("tokens") * F.col("member")[i] * F.col("member")[j]) for i in range(k) for j in range(k)]).first()
-    gram = np.array([x or 0.0 for x in gram]).reshape(k, k) / np.sqrt(np.outer(floor, floor))
-    size = 1 / max(np.linalg.eigvalsh(gram).max(), 1e-12)
-    for _ in range(ROUNDS):
-        if np.abs(reached - wanted).max() <= CLOSE * total:
-            break
-        steps.append((size * (reached - wanted) / floor).tolist())
-        reached = totals(steps)
+    root = np.sqrt(floor)
+    scaled = lambda moments: moments / np.outer(root, root)
+    size = 1 / max(np.linalg.eigvalsh(scaled(gram)).max(), 1e-12)
+    loss = lambda reached: (((reached - wanted) / root) ** 2).sum()
+    rounds = 0
+    while np.abs(reached - wanted).max() > CLOSE * total and rounds < ROUNDS:
+        # at the start every rate may rise, so with rates at `least` all documents count as free
+        moments = scaled(moving if moving.any() and steps else gram)
+        fast = np.linalg.pinv(moments, rcond=1e-9, hermitian=True) @ ((reached - wanted) / root) / root
+        before = loss(reached)
+        found = totals([*steps, fast.tolist()])
+        rounds += 1
+        if loss(found[0]) <= before / 2:
+            steps.append(fast.tolist())
+        else:
+            slow = (size * (reached - wanted) / floor).tolist()
+            found = totals([*steps, slow])
+            rounds += 1
+            if loss(found[0]) > before * (1 - STALLED):
+                break
+            steps.append(slow)
+        reached, moving, _ = found
+        if grow and total < needed(reached) <= most:
+            total = needed(reached)
+            wanted = weight * total
     return steps, reached.tolist(), wanted.tolist()
 
 
+def _told(reached: list[float], wanted: list[float]) -> None:
+    gap = np.abs(np.array(reached) - wanted).max(initial=0)
+    if gap > CLOSE * sum(wanted):
+        warnings.warn(f"targets of the mix are missed by up to {gap / sum(wanted):.2%} of all tokens: reached {reached}, wanted {wanted}")
+
+
 def mixed(docs: DataFrame, model: DomainModel, targets: list[float], grow: bool = False, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tokens, member, rate and copies of every row; copies is the rate rounded up or down by a hash of the id and the text."""
     rows = text_rows(docs, id_col, text_col)
     chance = (F.pmod(F.xxhash64("id", "text"), F.lit(1 << 53)) / float(1 << 53)).alias("chance")
     members = with_members(rows, model, "found").select("id", "found.tokens", "found.member", chance)
     members = written(members, "mix-members")
-    steps, _, _ = fit_steps(members, targets, grow, least)
+    steps, reached, wanted = fit_steps(members, targets, grow, least)
+    _told(reached, wanted)
     rated = members.withColumn("rate", rate_of(F.col("member"), steps, least))
     return rated.withColumn("copies", F.floor(F.round("rate", 6) + F.col("chance")).cast("int")).drop("chance")
 
@@ -191,7 +231,8 @@ def mix_rows(docs: DataFrame, model: DomainModel, targets: list[float], grow: bo
     found = next(n for n in (f"found{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
     rows = with_members(docs, model, found, text_col)
     members = written(rows.select(f"{found}.tokens", f"{found}.member"), "mix-members")
-    steps, _, _ = fit_steps(members, targets, grow, least)
+    steps, reached, wanted = fit_steps(members, targets, grow, least)
+    _told(reached, wanted)
     chance = F.pmod(F.xxhash64(id_col, F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 53)) / float(1 << 53)
     copies = F.floor(F.round(rate_of(F.col(f"{found}.member"), steps, least), 6) + chance).cast("int")
     repeated = rows.withColumn(found, F.explode(F.array_repeat(F.lit(True), copies)))

@@ -415,6 +415,23 @@ def test_mixing_reaches_targets(spark):
     assert (rows.rate >= 0).all() and ((rows.copies - rows.rate).abs() < 1).all()
 
 
+@pytest.mark.parametrize("targets, grow, least", [([0.2, 0.5, 0.3], False, 0.0), ([0.2, 0.5, 0.3], True, 1.0), ([0.0, 0.6, 0.4], False, 0.0)])
+def test_mix_of_a_rare_domain_reaches_targets(spark, targets, grow, least):
+    rows = [(100, [0.998, 0.001, 0.001])] * 960 + [(100, [0.002, 0.996, 0.002])] * 30 + [(100, [0.001, 0.001, 0.998])] * 10
+    members = spark.createDataFrame(rows, "tokens long, member array<double>")
+    steps, reached, wanted = mixing.fit_steps(members, targets, grow, least)
+    total = sum(wanted)
+    limit = mixing.CLOSE * total if targets[0] else 0.005 * total  # a domain that all documents hold a little of cannot be 0
+    assert len(steps) < 40 and max(abs(r - w) for r, w in zip(reached, wanted)) <= limit
+
+
+def test_unreachable_mix_is_told(spark):
+    docs = spark.createDataFrame([(i, f"one two {i}") for i in range(20)], "doc_id long, text string")
+    model = mixing.DomainModel(["a", "b"], np.zeros((mixing.BUCKETS, 2), np.float32), np.array([0.5, -0.5], np.float32))
+    with pytest.warns(UserWarning, match="missed"):
+        mixing.mixed(docs, model, [0.1, 0.9])
+
+
 def test_domains_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").toPandas()
     names = list(queries.MIX)
