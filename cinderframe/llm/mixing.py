@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from cinderframe.llm.common import pieces, sums, text_rows
 from cinderframe.session import written
 
-#: At most so many labelled documents, and about so many bytes of their text, train the domain classifier.
-TRAIN_DOCS, TRAIN_BYTES = 2000, 8 << 20
+#: At most so many labelled documents train the domain classifier.
+TRAIN_DOCS = 2000
 BUCKETS = 4096
 #: Byte pairs to feature buckets.
 BUCKET_OF = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.uint16)
@@ -40,16 +40,27 @@ def _pairs(data: np.ndarray) -> np.ndarray:
     return code
 
 
+def frequencies(text: str) -> np.ndarray:
+    """Shares of the byte-pair buckets in a whole text; zeros for an empty one."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    count = np.zeros(BUCKETS)
+    for i in range(0, len(data), 1 << 20):  # a pair over the border of two parts belongs to the second
+        part = _pairs(data[max(i - 1, 0) : i + (1 << 20)])
+        count += np.bincount(part[1:] if i else part, minlength=BUCKETS)
+    return (count / max(len(data), 1)).astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int], domains: list[str]) -> DomainModel:
+    return train_on([frequencies(t) for t in texts if t], [y for t, y in zip(texts, labels) if t], domains)
+
+
+def train_on(seen: list[np.ndarray], labels: list[int], domains: list[str]) -> DomainModel:
+    """Weights from the byte-pair frequencies of labelled texts."""
     model = DomainModel(domains, np.zeros((BUCKETS, len(domains)), np.float32), np.zeros(len(domains), np.float32))
-    texts_labels = [(t, y) for t, y in zip(texts, labels) if t]
-    if not texts_labels:
+    if not len(seen):
         return model
-    seen = np.zeros((len(texts_labels), BUCKETS), np.float32)
-    for row, (text, _) in zip(seen, texts_labels):
-        data = np.frombuffer(text.encode(), np.uint8)
-        row += np.bincount(_pairs(data), minlength=BUCKETS) / len(data)
-    target = np.eye(len(domains), dtype=np.float32)[[y for _, y in texts_labels]]
+    seen = np.array(seen, np.float32)
+    target = np.eye(len(domains), dtype=np.float32)[labels]
     scale = 1 / np.sqrt((seen * seen).mean(0) + 1e-8)
     seen *= scale
     first = [np.zeros_like(model.weight), np.zeros_like(model.bias)]
@@ -100,14 +111,27 @@ def posteriors(model: DomainModel, data: np.ndarray, offsets: np.ndarray) -> tup
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DomainModel:
-    """Train on a bounded sample: the TRAIN_DOCS labelled ids of the smallest hash, each at most TRAIN_BYTES / TRAIN_DOCS of text."""
+    """Train on a bounded sample: the TRAIN_DOCS labelled ids of the smallest hash, one row of each, with their whole texts.
+
+    Tasks make the byte-pair frequencies, so what reaches the driver has their size whatever the length of the texts. Of several rows of
+    one id the one with text of the smallest hash counts.
+    """
     known = labelled.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain")).filter("id is not null")
     known = known.filter(F.col("domain").isin(domains)).groupBy("id").agg(F.min("domain").alias("domain"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
-    rows = text_rows(docs, id_col, text_col).join(F.broadcast(chosen), "id")  # TRAIN_DOCS rows of an id and a name
-    part = F.substring("text", 1, TRAIN_BYTES // TRAIN_DOCS)
-    sample = sorted(map(tuple, rows.select("id", "domain", part).limit(2 * TRAIN_DOCS).collect()))
-    return train([t for _, _, t in sample], [domains.index(d) for _, d, _ in sample], domains)
+    rows = text_rows(docs, id_col, text_col).filter("text <> ''").join(F.broadcast(chosen), "id")  # TRAIN_DOCS rows of an id and a name
+    rows = rows.select("id", "domain", F.xxhash64("text").alias("code"), "text")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([frequencies(text.as_py()).tobytes() for text in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], ["id", "domain", "code", "seen"])
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    counted = rows.mapInArrow(count, f"id {id_type}, domain string, code long, seen binary")
+    sample = counted.groupBy("id", "domain").agg(F.min_by("seen", "code").alias("seen")).collect()
+    sample.sort(key=lambda r: (r["id"], r["domain"]))
+    return train_on([np.frombuffer(r["seen"], np.float32) for r in sample], [domains.index(r["domain"]) for r in sample], domains)
 
 
 def with_members(docs: DataFrame, model: DomainModel, name: str, text_col: str = "text") -> DataFrame:

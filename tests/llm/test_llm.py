@@ -432,6 +432,19 @@ def test_unreachable_mix_is_told(spark):
         mixing.mixed(docs, model, [0.1, 0.9])
 
 
+def test_domains_learn_from_whole_texts(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(mixing, "train_on", lambda seen, labels, domains: learned.append((np.array(seen), labels)))
+    long = "junk " * 2000 + "völlig anders " * 200_000
+    docs = spark.createDataFrame([(1, long), (2, "b a"), (2, "a b"), (2, ""), (3, None)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(1, "de"), (2, "en"), (3, "en")], "doc_id long, domain string")
+    for rows in (docs, docs.orderBy(F.desc("text"))):
+        mixing.fit_domains(rows, labelled, ["de", "en"])
+    data = np.frombuffer(long.encode(), np.uint8)
+    assert np.allclose(learned[0][0][0], np.bincount(mixing._pairs(data), minlength=mixing.BUCKETS) / len(data))
+    assert learned[0][1] == [0, 1] and (learned[0][0] == learned[1][0]).all()
+
+
 def test_domains_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").toPandas()
     names = list(queries.MIX)
