@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cinderframe.llm.common import held_out
 from cinderframe.llm.decontaminate import contamination
 from cinderframe.llm.exact_dedup import radix_groups
+from cinderframe.llm.fill_in_middle import fill_in_middle, restored
 from cinderframe.llm.html_text import main_text
 from cinderframe.llm.lm_scoring import lm_scores
 from cinderframe.llm.mixing import fit_domains, mixed
 from cinderframe.llm.ngram_jaccard import linked_documents
 from cinderframe.llm.quality_crf import fit_quality, quality_scores
+from cinderframe.llm.resampling import resampled
 from cinderframe.llm.sharding import shard_documents
 from cinderframe.llm.suffix_dedup import without_repeats
 from cinderframe.llm.token_output import token_records
@@ -94,8 +96,26 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle(table(spark, folder, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard, op3_suffix_dedup, op4_token_records, op5_html_text, op6_decontamination, op7_quality, op8_sharding, op9_exact_dedup, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_lm_scoring, op2_ngram_jaccard, op3_suffix_dedup, op4_token_records, op5_html_text, op6_decontamination, op7_quality, op8_sharding,
+        op9_exact_dedup, op10_mixing, op11_fill_in_middle, op13_importance_resampling,
+    )
 }
 
 ORACLES = {
@@ -110,4 +130,25 @@ ORACLES = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM ranked
     """,
+    "op11_fill_in_middle": r"""
+        WITH hashed AS (
+            SELECT doc_id, coalesce(text, '') AS body, sha256('1:' || doc_id) AS hex FROM documents
+        ), drawn AS (
+            SELECT doc_id, body, length(body) AS n, ('0x' || hex[1:8])::BIGINT AS h1, ('0x' || hex[9:16])::BIGINT AS h2,
+                ('0x' || hex[17:24])::BIGINT AS h3, ('0x' || hex[25:32])::BIGINT AS h4
+            FROM hashed
+        ), cut AS (
+            SELECT doc_id, body, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 90
+                    THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        ), parts AS (
+            SELECT *, substring(body, 1, a) AS prefix, substring(body, a + 1, b - a) AS middle, substring(body, b + 1) AS suffix FROM cut
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE body END) AS output_sha256,
+            sha256(body) AS restored_sha256
+        FROM parts
+    """,
 }
