@@ -11,6 +11,7 @@ from cinderframe.llm.exact_dedup import radix_groups
 from cinderframe.llm.fill_in_middle import fill_in_middle, restored
 from cinderframe.llm.html_text import main_text
 from cinderframe.llm.lm_scoring import lm_scores
+from cinderframe.llm.minhash_tables import linked_by_tables
 from cinderframe.llm.mixing import fit_domains, mixed
 from cinderframe.llm.ngram_jaccard import linked_documents
 from cinderframe.llm.quality_crf import fit_quality, quality_scores
@@ -105,6 +106,11 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_minhash_tables(spark: SparkSession, folder: str) -> DataFrame:
+    found = linked_by_tables(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     drawn = resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
@@ -114,11 +120,38 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_ngram_jaccard, op3_suffix_dedup, op4_token_records, op5_html_text, op6_decontamination, op7_quality, op8_sharding,
-        op9_exact_dedup, op10_mixing, op11_fill_in_middle, op13_importance_resampling,
+        op9_exact_dedup, op10_mixing, op11_fill_in_middle, op12_minhash_tables, op13_importance_resampling,
     )
 }
 
+
+def _linked_sql(width: int, percent: int, more: str = "") -> str:
+    """Components of documents whose shingle sets overlap enough: sets, shared shingles by pair, then what is reachable."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+        WITH RECURSIVE plain AS (
+            SELECT doc_id, list_filter(string_split(regexp_replace({lower}, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+                ELSE list_distinct([array_to_string(w[i : i + {width - 1}], ' ') for i in range(1, len(w) - {width - 2})]) END AS s
+            FROM plain
+        ), held AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+        ), links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM held a JOIN held b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+        ), found AS (
+            SELECT x, min(y) AS component_id FROM reach GROUP BY x
+        )
+        SELECT doc_id, len(s) AS n_shingles, component_id{more} FROM sets JOIN found ON doc_id = x
+    """
+
+
 ORACLES = {
+    "op2_ngram_jaccard": _linked_sql(3, 90),
+    "op12_minhash_tables": _linked_sql(4, 80, ", doc_id = component_id AS kept"),
     "op9_exact_dedup": r"""
         WITH plain AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
