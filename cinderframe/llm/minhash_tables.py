@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cinderframe.llm.common import pieces, text_rows
 from cinderframe.llm.components import components
-from cinderframe.llm.ngram_jaccard import ODD, _mix, _parities, shingle_sets
+from cinderframe.llm.ngram_jaccard import ODD, _mix, _parities, linked_documents, shingle_sets
 from cinderframe.session import written
 
 #: Codes of each collection and minhashes of each code. Two collections give CODES ** 2 tables of 2 * ROWS minhashes for 2 * CODES * ROWS
@@ -22,6 +22,8 @@ CODES, ROWS = 18, 3
 SIGMAS = 7
 #: Members of a group that are compared with its centre in one place.
 TOGETHER = 256
+#: Most members of a key outside its largest component for which all pairs of components are looked at.
+OUTSIDERS = 8
 
 
 def minhashes(codes: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarray:
@@ -168,6 +170,39 @@ def _tables(classes: DataFrame, rooted: DataFrame) -> DataFrame:
     return written(keys.join(mixed, "key"), "tensor-tables")
 
 
+def _by_outsiders(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys of several components, as (key, largest), if at most OUTSIDERS members are outside the largest; the other such keys."""
+    groups = tables.groupBy("key", "root").count()
+    keys = groups.groupBy("key").agg(F.sum("count").alias("held"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots"))
+    keys = written(keys.filter("roots > 1").select("key", F.col("top.root").alias("largest"), (F.col("held") - F.col("top.count")).alias("outside")), "tensor-mixed")
+    return keys.filter(F.col("outside") <= OUTSIDERS).select("key", "largest"), keys.filter(F.col("outside") > OUTSIDERS).select("key")
+
+
+def _outsider_pairs(tables: DataFrame, keys: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of different components in `keys`: one of each is outside the largest, so they are linear in the members."""
+    wide = tables.join(keys, "key").join(classes.select("class", "n", *ODD), "class")
+
+    def side(x: str, rows: DataFrame) -> DataFrame:
+        return rows.select("key", *[F.col(c).alias(new) for c, new in (("class", x), ("n", f"n{x}"), ("root", f"root_{x}"), *((c, f"{c}_{x}") for c in ODD))])
+
+    met = side("a", wide.filter("root <> largest")).join(side("b", wide), "key").filter("root_a <> root_b").filter(_fits(percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _settled(rows: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is linked among `rows`, by the grouped prefix join: exact, and without pairs by key."""
+
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = pa.array([press.decompress(body) for body in batch.column(1).to_pylist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["row", "text"])
+
+    texts = written(bodies.join(rows, "row", "left_semi").mapInArrow(unpack, "row long, text string"), "tensor-crowded")
+    found = linked_documents(texts, "row", "text", width, percent)
+    return found.filter("component <> id").select(F.col("component").alias("a"), F.col("id").alias("b"))
+
+
 def linked_by_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
     """id, n_shingles, component (smallest id reachable over links) and kept (id = component) of every row.
 
@@ -176,10 +211,12 @@ def linked_by_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     1. Rows of equal words (by sha256) are one class, told by its least row.
     2. Classes that share a key of one of the CODES tables (i, i) are compared with the least of their key and size.
-    3. Of all CODES ** 2 tables the keys that still hold several components are looked at: first the components' least members against each
-       other's, then every pair of members of different components.
+    3. Of all CODES ** 2 tables the keys that still hold several components are looked at: first the components' least members against one
+       of them; then, where at most OUTSIDERS members are outside the largest component, these against all members of other components.
+    4. Crowded keys, whose members share much but do not link (one passage in all of them), would make pairs by the square. Their members
+       are settled by the grouped prefix join instead, which is exact: it looks at rare shingles, not at what all of them share.
 
-    Only pairs of classes that share a table meet, and pairs within a component are skipped, so a group of copies costs a pair for each
+    Only classes that share a table meet, and pairs within a component are skipped, so a group of copies costs a pair for each
     member. Pairs go through the exact bounds of sizes and parities, then the share of equal minhashes, then both whole texts, word by word.
     A pair of similarity 0.8 shares a table but for a chance of about 5e-6, and passes the signature but for less than 1e-9.
 
@@ -213,16 +250,11 @@ def linked_by_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = written(links.unionByName(_verified(_likely(stars, classes, percent), bodies, width, percent)), "tensor-links")
     rooted = _rooted(classes, links)
 
-    small = classes.select("class", "n", *ODD).join(rooted, "class")
-    wide = tables.drop("root").join(small, "class")
-    apart = wide.groupBy("key", "root").agg(F.lit(1).alias("one")).drop("one")
-    roots = apart.withColumnRenamed("root", "root_a").join(apart.withColumnRenamed("root", "root_b"), "key").filter("root_a < root_b")
-
-    def side(x: str) -> DataFrame:
-        return wide.select("key", *[F.col(c).alias(new) for c, new in (("class", x), ("n", f"n{x}"), ("root", f"root_{x}"), *((c, f"{c}_{x}") for c in ODD))])
-
-    pairs = roots.join(side("a"), ["key", "root_a"]).join(side("b"), ["key", "root_b"]).filter(_fits(percent)).select("a", "b").distinct()
-    links = links.unionByName(_verified(_likely(pairs, classes, percent), bodies, width, percent))
+    tables = written(tables.drop("root").join(rooted, "class"), "tensor-tables")
+    few, many = _by_outsiders(tables)
+    links = links.unionByName(_verified(_likely(_outsider_pairs(tables, few, classes, percent), classes, percent), bodies, width, percent))
+    crowded = tables.join(many, "key", "left_semi").select(F.col("class").alias("row")).distinct()
+    links = links.unionByName(_settled(crowded, bodies, width, percent))
     rooted = _rooted(classes, links)
 
     least = named.join(rooted, "class").groupBy("root").agg(F.min("id").alias("component"))
