@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from cinderframe.checks import reports as rp
 from cinderframe.checks.tables import table
@@ -14,8 +14,8 @@ from cinderframe.sources.reports import alias_pair_json, alias_pairs_from_json,
 KEYS = ["ref_id"]
 
 
-TRACES = ("signature", "location", "canonical", "fingerprint")
-IDENTITY = ("signature", "signatures", "location", "sites", "depth")
+TRACES = ("signature", "location", "canonical", "fingerprint", "harness_fault")
+IDENTITY = ("signature", "signatures", "location", "sites", "depth", "harness_fault")
 
 
 def _parsed(spark, folder, columns=TRACES + IDENTITY):
@@ -25,9 +25,34 @@ def _parsed(spark, folder, columns=TRACES + IDENTITY):
     return written(parsed.select(*wanted), "evidence")
 
 
+# Samples that references should have behind the initial report; many have fewer, and some that failed.
+RUNS = "cast(ref_id % 3 as int)"
+
+
 def _samples(parsed):
-    kept = parsed.where((F.col("role") == "sample") & (F.col("status") == 77))
-    return kept.withColumn("sample", F.col("report_id"))
+    """Reports of samples, numbered from 0 for each reference."""
+    place = Window.partitionBy("ref_id").orderBy("report_id")
+    return parsed.where(F.col("role") == "sample").withColumn("sample", F.row_number().over(place) - 1)
+
+
+def _capture(parsed):
+    return ops.capture_reference(_samples(parsed), KEYS, runs=F.expr(RUNS), hints=_hints(parsed))
+
+
+def _trace_set(parsed):
+    return ops.build_trace_set(_samples(parsed), KEYS, runs=F.expr(RUNS))
+
+
+def _hints(parsed):
+    """Libraries that references are linked against; even ones may fall back on any outside the run time, some have no hints."""
+    number = lambda n: (F.col("ref_id") % n).cast("string")
+    return parsed.select("ref_id").distinct().where(F.col("ref_id") % 5 > 0).select(
+        "ref_id",
+        F.array(F.concat(F.lit("/opt/lib/lib"), number(20), F.lit(".so.1"))).alias("exact_paths"),
+        F.array(F.concat(F.lit("lib"), number(11), F.lit(".so.1"))).alias("exact_names"),
+        F.array(F.concat(F.lit("lib"), number(7), F.lit(".so"))).alias("stems"),
+        (F.col("ref_id") % 2 == 0).alias("allow_fallback"),
+    )
 
 
 def _candidates(parsed):
@@ -35,13 +60,13 @@ def _candidates(parsed):
 
 
 def trace_set_build(spark, folder):
-    built = ops.build_trace_set(_samples(_parsed(spark, folder, TRACES)), KEYS)
+    built = _trace_set(_parsed(spark, folder, TRACES))
     return built.select("ref_id", "variant", "fingerprint", "first_sample")
 
 
 def trace_set_json(spark, folder):
     """The trace sets written as their JSON payload and read back."""
-    built = ops.build_trace_set(_samples(_parsed(spark, folder, TRACES)), KEYS)
+    built = _trace_set(_parsed(spark, folder, TRACES))
     ordered = F.sort_array(F.collect_list(F.struct("variant", "canonical")))
     payload = built.groupBy("ref_id").agg(
         F.to_json(
@@ -59,14 +84,14 @@ def trace_set_json(spark, folder):
 
 def trace_set_match(spark, folder):
     parsed = _parsed(spark, folder, TRACES)
-    built = ops.build_trace_set(_samples(parsed), KEYS)
+    built = _trace_set(parsed)
     matched = ops.match_trace_set(_candidates(parsed), built, KEYS)
     return matched.select("report_id", "trace_result", "variant")
 
 
 def signature_match(spark, folder):
     parsed = _parsed(spark, folder, IDENTITY)
-    references = ops.capture_reference(_samples(parsed), KEYS)
+    references = _capture(parsed)
     matched = ops.match_signatures(_candidates(parsed), references, KEYS)
     return matched.select("report_id", "signature_match")
 
@@ -78,24 +103,30 @@ def library_match(spark, folder):
         "report_id", "pos", F.col("lib").alias("path"), F.element_at(F.split("lib", "/"), -1).alias("name")
     )
     suffix = F.when(F.col("s_suppkey") % 2 == 0, F.lit(".so.9")).otherwise(F.lit(".so"))
-    libraries = table(spark, folder, "supplier").where(F.col("s_acctbal") > 0).select(
-        F.concat(F.lit("/build/lib"), (F.col("s_suppkey") % 20).cast("string"), suffix).alias("library")
-    )
+    # suppliers in debt have no library
+    name = F.when(F.col("s_acctbal") > 0, (F.col("s_suppkey") % 20).cast("string"))
+    libraries = table(spark, folder, "supplier").select(F.concat(F.lit("/build/lib"), name, suffix).alias("library"))
     return ops.match_libraries(sites, libraries).select("report_id", "pos", "library")
 
 
 def _verdicts(spark, folder):
     parsed = _parsed(spark, folder)
-    samples = _samples(parsed)
     return ops.verdict(
         _candidates(parsed),
-        ops.capture_reference(samples, KEYS),
-        ops.build_trace_set(samples, KEYS),
+        _capture(parsed),
+        _trace_set(parsed),
         KEYS,
         symbolize=F.col("ref_id") % 2 == 1,
     )
 
 
+def reference_capture(spark, folder):
+    """What is known of every reference, and why some are rejected."""
+    return _capture(_parsed(spark, folder, IDENTITY)).select(
+        "ref_id", F.col("ref_signature.kind").alias("kind"), "ref_location", "ref_library", "ref_offset", "ref_depth", "depth_strict", "samples", "rejected"
+    )
+
+
 def candidate_verdict(spark, folder):
     return _verdicts(spark, folder).select("report_id", "result", "reason")
 
@@ -107,13 +138,13 @@ def verdict_report(spark, folder):
     def state(name):
         return tri_state(F.when(F.col(name) != ops.MISSING, F.col(name) == ops.MATCH)).alias(name)
 
-    names = ["check_status", "check_signature", "check_library_site", "check_crash_location", "check_reference_trace", "check_stack_depth"]
+    names = ["check_reference", "check_status", "check_signature", "check_library_site", "check_crash_location", "check_reference_trace", "check_stack_depth"]
     return v.groupBy(*[state(n) for n in names], "result").agg(F.count(F.lit(1)).alias("candidates"))
 
 
 def depth_gate(spark, folder):
     parsed = _parsed(spark, folder, IDENTITY)
-    references = ops.capture_reference(_samples(parsed), KEYS)
+    references = _capture(parsed)
     joined = _candidates(parsed).join(references, "ref_id")
     anchored = F.col("ref_library").isNotNull()
     result = ops.depth_result(
@@ -141,7 +172,7 @@ def signature_drift(spark, folder):
     attempts = c.select(
         F.col("conv_id").alias("ref"),
         (F.col("turn") + 1).alias("attempt"),
-        F.substring("text", 1, 1).alias("identity"),
+        F.sha2("text", 256).alias("identity"),
         (F.length("text") % 5 == 0).alias("complete"),
     )
     return ops.signature_drift(attempts, ["ref"])
@@ -186,18 +217,25 @@ def alias_match(spark, folder):
 
 
 _REF = """
-smp AS (SELECT rep.*, sig_kind, sig_value, location, masked FROM rep LEFT JOIN sig ON rep.report_id = sig.report_id
-        LEFT JOIN tr ON rep.report_id = tr.report_id WHERE role = 'sample' AND status = 77),
-firsts AS (SELECT * FROM smp QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY report_id) = 1),
-st AS (SELECT ref_id, min(depth) = max(depth) AS strict,
-         bool_and(sig_kind IS NOT NULL AND location IS NOT NULL AND masked IS NOT NULL)
-         AND count(DISTINCT sig_kind || '|' || sig_value) = 1 AND count(DISTINCT location) = 1 AS ok FROM smp GROUP BY 1),
-lib1 AS (SELECT report_id, arg_min(site, i) AS site, arg_min(off, i) AS off FROM raw
-         WHERE kind = 'library' AND site NOT LIKE '/lib/libc.so.%' GROUP BY 1),
-ref AS (SELECT f.ref_id, f.sig_kind, f.sig_value, f.location, CASE WHEN f.depth > 0 THEN f.depth END AS depth, strict, ok, site, off
+own AS (SELECT report_id, arg_min(kind, i) = 'helper' AS fault FROM raw WHERE kind IN ('entry', 'helper', 'code') GROUP BY 1),
+smp AS (SELECT rep.*, sig_kind, sig_value, location, masked, coalesce(fault, FALSE) AS fault, row_number() OVER (PARTITION BY ref_id ORDER BY rep.report_id) - 1 AS sample
+        FROM rep LEFT JOIN sig ON rep.report_id = sig.report_id LEFT JOIN tr ON rep.report_id = tr.report_id LEFT JOIN own ON own.report_id = rep.report_id WHERE role = 'sample'),
+grid AS (SELECT r.ref_id, u.sample FROM (SELECT DISTINCT ref_id FROM smp) r, LATERAL (SELECT unnest(range(0, r.ref_id % 3 + 1)) AS sample) u),
+ran AS (SELECT grid.ref_id, grid.sample, smp.* EXCLUDE (ref_id, sample), coalesce(smp.status = 77, FALSE) AS good FROM grid LEFT JOIN smp ON smp.ref_id = grid.ref_id AND smp.sample = grid.sample),
+st AS (SELECT ref_id, bool_and(good) AND min(depth) = max(depth) AND min(depth) > 0 AND max(sample) > 0 AS strict, count(*) FILTER (good) AS samples,
+         coalesce(bool_and(good AND sig_kind IS NOT NULL AND location IS NOT NULL AND masked IS NOT NULL AND NOT fault)
+         AND count(DISTINCT sig_kind || '|' || sig_value) = 1 AND count(DISTINCT location) = 1, FALSE) AS ok FROM ran GROUP BY 1),
+firsts AS (SELECT ran.*, CASE WHEN NOT good THEN 'no crash' WHEN sig_kind IS NULL THEN 'no signature' WHEN fault THEN 'harness fault' END AS rejected FROM ran WHERE sample = 0),
+named AS (SELECT raw.report_id, i, site, off, ref_id, regexp_extract(site, '[^/]*$') AS name FROM raw JOIN rep ON raw.report_id = rep.report_id WHERE kind = 'library'),
+lib1 AS (SELECT report_id, coalesce(arg_min({'s': site, 'o': off}, i) FILTER (ref_id % 5 > 0 AND (site = '/opt/lib/lib' || (ref_id % 20) || '.so.1'
+             OR name = 'lib' || (ref_id % 11) || '.so.1' OR name LIKE 'lib' || (ref_id % 7) || '.so.%')),
+           arg_min({'s': site, 'o': off}, i) FILTER (ref_id % 5 > 0 AND ref_id % 2 = 0 AND name NOT LIKE 'libc.so.%')) AS l FROM named GROUP BY 1),
+ref AS (SELECT f.ref_id, f.rejected, CASE WHEN rejected IS NULL THEN f.sig_kind END AS sig_kind, CASE WHEN rejected IS NULL THEN f.sig_value END AS sig_value,
+          CASE WHEN rejected IS NULL THEN f.location END AS location, CASE WHEN rejected IS NULL AND f.depth > 0 THEN f.depth END AS depth,
+          coalesce(strict, FALSE) AND rejected IS NULL AS strict, samples, ok, CASE WHEN rejected IS NULL THEN l.s END AS site, CASE WHEN rejected IS NULL THEN l.o END AS off
         FROM firsts f JOIN st ON f.ref_id = st.ref_id LEFT JOIN lib1 ON lib1.report_id = f.report_id),
-vars AS (SELECT ref_id, masked, min(report_id) AS first_sample, row_number() OVER (PARTITION BY ref_id ORDER BY min(report_id)) AS variant
-         FROM smp SEMI JOIN (SELECT ref_id FROM st WHERE ok) g ON smp.ref_id = g.ref_id GROUP BY 1, 2),
+vars AS (SELECT ref_id, masked, CAST(min(sample) AS INTEGER) AS first_sample, row_number() OVER (PARTITION BY ref_id ORDER BY min(sample)) AS variant
+         FROM ran SEMI JOIN (SELECT ref_id FROM st WHERE ok) g ON ran.ref_id = g.ref_id GROUP BY 1, 2),
 cand AS (SELECT rep.*, sig_kind, sig_value, location, masked FROM rep LEFT JOIN sig ON rep.report_id = sig.report_id
         LEFT JOIN tr ON rep.report_id = tr.report_id WHERE role = 'candidate'),
 tm AS (SELECT c.report_id, v.variant, CASE WHEN NOT coalesce(st.ok, FALSE) THEN NULL WHEN c.masked IS NULL THEN 'missing_evidence'
@@ -205,7 +243,7 @@ tm AS (SELECT c.report_id, v.variant, CASE WHEN NOT coalesce(st.ok, FALSE) THEN
        FROM cand c LEFT JOIN st ON c.ref_id = st.ref_id LEFT JOIN vars v ON v.ref_id = c.ref_id AND v.masked = c.masked),
 site AS (SELECT c.report_id, arg_min(raw.off, i) AS off FROM cand c JOIN ref ON c.ref_id = ref.ref_id JOIN raw ON raw.report_id = c.report_id
          WHERE kind = 'library' AND regexp_extract(raw.site, '([^/]*[.]so)', 1) = regexp_extract(ref.site, '([^/]*[.]so)', 1) GROUP BY 1),
-ev AS (SELECT c.report_id, c.status, c.ref_id % 2 = 1 AS symbolize,
+ev AS (SELECT c.report_id, c.status, c.ref_id % 2 = 1 AS symbolize, ref.rejected IS NOT NULL AS rejected,
          c.sig_kind IS NOT NULL AND coalesce(c.sig_kind = ref.sig_kind AND c.sig_value = ref.sig_value, FALSE) AS sig_ok,
          CASE WHEN ref.site IS NULL OR c.ref_id % 2 = 1 THEN NULL WHEN site.off IS NULL THEN 'missing_evidence'
               WHEN site.off = ref.off THEN 'match' ELSE 'mismatch' END AS site_r,
@@ -213,9 +251,9 @@ ev AS (SELECT c.report_id, c.status, c.ref_id % 2 = 1 AS symbolize,
               WHEN c.location = ref.location THEN 'match' ELSE 'mismatch' END AS loc_r,
          CASE WHEN c.ref_id % 2 = 1 THEN trace_result END AS trace_r,
          CASE WHEN ref.depth IS NULL OR (trace_result IS NOT NULL AND c.ref_id % 2 = 1) THEN NULL
-              WHEN c.depth <> ref.depth AND (ref.strict OR NOT (c.ref_id % 2 = 1 OR ref.site IS NOT NULL)) THEN 'mismatch' ELSE 'match' END AS depth_r
+              WHEN c.depth <> ref.depth AND (coalesce(ref.strict, FALSE) OR NOT (c.ref_id % 2 = 1 OR ref.site IS NOT NULL)) THEN 'mismatch' ELSE 'match' END AS depth_r
        FROM cand c LEFT JOIN ref ON c.ref_id = ref.ref_id LEFT JOIN tm ON tm.report_id = c.report_id LEFT JOIN site ON site.report_id = c.report_id),
-ver AS (SELECT *, status <> 77 OR NOT sig_ok OR coalesce(site_r = 'mismatch', FALSE) OR coalesce(loc_r = 'mismatch', FALSE)
+ver AS (SELECT *, rejected OR status <> 77 OR NOT sig_ok OR coalesce(site_r = 'mismatch', FALSE) OR coalesce(loc_r = 'mismatch', FALSE)
           OR coalesce(trace_r = 'mismatch', FALSE) OR coalesce(depth_r = 'mismatch', FALSE) AS bad,
           CASE WHEN trace_r = 'missing_evidence' THEN 'reference trace' WHEN loc_r = 'missing_evidence' THEN 'crash location'
                WHEN site_r = 'missing_evidence' THEN 'library site' END AS lack FROM ev)
@@ -227,6 +265,7 @@ QUERIES = {
     "trace_set_match": trace_set_match,
     "signature_match": signature_match,
     "library_match": library_match,
+    "reference_capture": reference_capture,
     "candidate_verdict": candidate_verdict,
     "verdict_report": verdict_report,
     "depth_gate": depth_gate,
@@ -251,14 +290,16 @@ ORACLES = {
     "signature_match": f"WITH {rp.FX}, {_REF} SELECT report_id, sig_ok AS signature_match FROM ev",
     "library_match": f"""
 WITH {rp.FX},
-k AS (SELECT 'lib' || (s_suppkey % 20) || '.so' AS stem, min('/build/lib' || (s_suppkey % 20) || CASE WHEN s_suppkey % 2 = 0 THEN '.so.9' ELSE '.so' END) AS library
-      FROM supplier WHERE s_acctbal > 0 GROUP BY 1)
+k AS (SELECT CASE WHEN s_acctbal > 0 THEN 'lib' || (s_suppkey % 20) || '.so' END AS stem,
+        min('/build/lib' || (s_suppkey % 20) || CASE WHEN s_suppkey % 2 = 0 THEN '.so.9' ELSE '.so' END) AS library FROM supplier GROUP BY 1)
 SELECT report_id, CAST(i AS INTEGER) AS pos, library FROM raw LEFT JOIN k ON regexp_extract(site, '([^/]*[.]so)', 1) = stem WHERE kind = 'library'""",
+    "reference_capture": f"""
+WITH {rp.FX}, {_REF} SELECT ref_id, sig_kind AS kind, location AS ref_location, site AS ref_library, off AS ref_offset, depth AS ref_depth, strict AS depth_strict, samples, rejected FROM ref""",
     "candidate_verdict": f"""
 WITH {rp.FX}, {_REF} SELECT report_id, CASE WHEN bad THEN 'mismatch' WHEN lack IS NOT NULL THEN 'missing_evidence' ELSE 'match' END AS result,
   CASE WHEN NOT bad THEN lack END AS reason FROM ver""",
     "verdict_report": f"""
-WITH {rp.FX}, {_REF} SELECT CASE WHEN status = 77 THEN 'yes' ELSE 'no' END AS check_status, CASE WHEN sig_ok THEN 'yes' ELSE 'no' END AS check_signature,
+WITH {rp.FX}, {_REF} SELECT CASE WHEN rejected THEN 'no' ELSE 'not-evaluated' END AS check_reference, CASE WHEN status = 77 THEN 'yes' ELSE 'no' END AS check_status, CASE WHEN sig_ok THEN 'yes' ELSE 'no' END AS check_signature,
   {_TRI.format('site_r')} AS check_library_site, {_TRI.format('loc_r')} AS check_crash_location, {_TRI.format('trace_r')} AS check_reference_trace,
   {_TRI.format('depth_r')} AS check_stack_depth,
   CASE WHEN bad THEN 'mismatch' WHEN lack IS NOT NULL THEN 'missing_evidence' ELSE 'match' END AS result, count(*) AS candidates
@@ -275,7 +316,7 @@ d AS (SELECT candidate, min(attempt) FILTER (result <> 'missing_evidence' AND at
 SELECT d.candidate, coalesce(a.result, 'missing_evidence') AS verdict, coalesce(at_, last) AS attempts, coalesce(a.result = 'match', FALSE) AS accepted
 FROM d LEFT JOIN a ON a.candidate = d.candidate AND a.attempt = d.at_""",
     "signature_drift": """
-WITH a AS (SELECT conv_id AS ref, turn + 1 AS attempt, left(text, 1) AS identity, length(text) % 5 = 0 AS complete FROM conversations WHERE turn < 5),
+WITH a AS (SELECT conv_id AS ref, turn + 1 AS attempt, sha256(text) AS identity, length(text) % 5 = 0 AS complete FROM conversations WHERE turn < 5),
 f AS (SELECT ref, arg_min(identity, attempt) AS identity, min(attempt) FILTER (complete) AS done FROM a GROUP BY 1)
 SELECT f.ref, f.identity, min(a.attempt) FILTER (a.identity IS DISTINCT FROM f.identity AND (done IS NULL OR a.attempt <= done)) AS drift_attempt
 FROM f JOIN a ON f.ref = a.ref GROUP BY 1, 2""",

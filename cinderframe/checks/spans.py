@@ -78,13 +78,12 @@ def tail_prune(spark, folder):
 def _ranges(spark, folder):
     li = table(spark, folder, "lineitem")
     start = F.col("l_partkey") % 2000
-    return li.where(F.col("l_returnflag") == "N").select(
-        F.col("l_suppkey").alias("file"), start.alias("start"), (start + 1 + F.col("l_linenumber") % 3).alias("end")
-    )
+    return li.select(F.col("l_suppkey").alias("file"), start.alias("start"), (start + F.col("l_linenumber") % 4).alias("end"))
 
 
 def _probes(spark, folder):
-    return spans(spark, folder).withColumn("end", F.col("end") + 1)
+    """Spans around line numbers; every ninth has no length."""
+    return spans(spark, folder).withColumn("end", F.when(F.col("o_orderkey") % 9 == 0, F.col("start")).otherwise(F.col("end") + 1))
 
 
 def overlap_counts(spark, folder):
@@ -122,6 +121,23 @@ def greedy_edits(spark, folder):
     return ops.select_edits(_edits(spark, folder), KEYS)
 
 
+def _nested(spark, folder):
+    """Spans of file `l_suppkey`: nested, touching, equal and crossing ones, some of no length."""
+    li = table(spark, folder, "lineitem")
+    start = (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 10) % 20000
+    length = F.col("l_quantity").cast("int") - 1 + F.when(F.col("l_linenumber") == 7, 200).otherwise(0)
+    return li.select(F.col("l_suppkey").alias("file"), start.alias("start"), (start + length).alias("end"))
+
+
+def outer_first(spark, folder):
+    return ops.outer_first(_nested(spark, folder), KEYS)
+
+
+def containment(spark, folder):
+    trees = ops.containment(_nested(spark, folder), KEYS)
+    return trees.select("file", "start", "end", "outermost", "crossing")
+
+
 def document_lines(spark, folder):
     d = table(spark, folder, "documents")
     return d.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("row", "line"))
@@ -166,19 +182,38 @@ QUERIES = {
     "overlap_anti": overlap_anti,
     "declaration_filter": declaration_filter,
     "greedy_edits": greedy_edits,
+    "outer_first": outer_first,
+    "containment": containment,
     "line_offsets": line_offsets,
     "apply_edits": apply_edits,
     "restore_markers": restore_markers,
 }
 
 _PROBE = """
-pr AS (SELECT DISTINCT file, start, "end" + 1 AS "end" FROM sp),
-rg AS (SELECT l_suppkey AS file, l_partkey % 2000 AS start, l_partkey % 2000 + 1 + l_linenumber % 3 AS "end" FROM lineitem WHERE l_returnflag = 'N'),
+pp AS (SELECT file, o_orderkey, start, CASE WHEN o_orderkey % 9 = 0 THEN start ELSE "end" + 1 END AS "end" FROM sp),
+pr AS (SELECT DISTINCT file, start, "end" FROM pp),
+rg AS (SELECT l_suppkey AS file, l_partkey % 2000 AS start, l_partkey % 2000 + l_linenumber % 4 AS "end" FROM lineitem),
 oc AS (SELECT pr.file, pr.start, pr."end", count(rg.file) AS "overlaps" FROM pr
        LEFT JOIN rg ON pr.file = rg.file AND rg.start < pr."end" AND pr.start < rg."end" GROUP BY ALL)
 """
 
+_NESTED = """
+n AS (SELECT DISTINCT l_suppkey AS file, (l_orderkey * 37 + l_linenumber * 10) % 20000 AS s,
+        (l_orderkey * 37 + l_linenumber * 10) % 20000 + CAST(l_quantity AS INTEGER) - 1 + CASE WHEN l_linenumber = 7 THEN 200 ELSE 0 END AS e FROM lineitem)
+"""
+
 ORACLES = {
+    "outer_first": f"""
+WITH RECURSIVE {_NESTED}, t AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY s, e DESC) AS rn FROM n),
+w AS (SELECT file, 0::BIGINT AS rn, NULL::BIGINT AS s, NULL::BIGINT AS e, FALSE AS taken, []::STRUCT(s BIGINT, e BIGINT)[] AS last FROM t WHERE rn = 1
+      UNION ALL
+      SELECT file, rn, s, e, free, CASE WHEN free THEN list_append(last, {{'s': s, 'e': e}})[-2:] ELSE last END
+      FROM (SELECT t.*, w.last, len(list_filter(w.last, lambda k: t.s < k.e AND k.s < t.e)) = 0 AS free FROM w JOIN t ON t.file = w.file AND t.rn = w.rn + 1))
+SELECT file, s AS start, e AS "end" FROM w WHERE taken""",
+    "containment": f"""
+WITH {_NESTED}, d AS (SELECT *, 2 * s + CASE WHEN s = e THEN 0 ELSE 1 END AS ds, 2 * e + CASE WHEN s = e THEN 1 ELSE 0 END AS de FROM n),
+r AS (SELECT *, max(de) OVER (PARTITION BY file ORDER BY ds, de DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d)
+SELECT file, s AS start, e AS "end", coalesce(ds >= reach, TRUE) AS outermost, coalesce(ds < reach AND de > reach, FALSE) AS crossing FROM r""",
     "coverage_parse": f"WITH {FX} SELECT file, line, covered FROM cov",
     "uncovered_lines": f"WITH {FX} SELECT file, line FROM cov WHERE NOT covered",
     "uncovered_spans": f'WITH {FX} SELECT file, o_orderkey, start, "end" FROM flags WHERE has_executable AND NOT has_covered',
@@ -187,7 +222,7 @@ WITH {FX}, l AS (SELECT file, start // 50 AS block, max(o_orderkey) AS last FROM
 SELECT f.file, f.start // 50 AS block, o_orderkey AS idx FROM flags f JOIN l ON f.file = l.file AND f.start // 50 = l.block
 WHERE o_orderkey > last AND NOT has_covered""",
     "overlap_counts": f"WITH {FX}, {_PROBE} SELECT * FROM oc",
-    "overlap_anti": f'WITH {FX}, {_PROBE} SELECT o_orderkey FROM sp JOIN oc ON sp.file = oc.file AND sp.start = oc.start AND sp."end" + 1 = oc."end" WHERE "overlaps" = 0',
+    "overlap_anti": f'WITH {FX}, {_PROBE} SELECT o_orderkey FROM pp JOIN oc ON pp.file = oc.file AND pp.start = oc.start AND pp."end" = oc."end" WHERE "overlaps" = 0',
     "declaration_filter": """
 WITH e AS (SELECT o_custkey AS file, o_orderkey % 200 * 10 AS start, o_orderkey % 200 * 10 + 5 + o_orderkey % 7 AS "end",
              CASE WHEN o_orderpriority = '1-URGENT' THEN 'declaration' ELSE 'statement' END AS kind,

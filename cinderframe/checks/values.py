@@ -169,42 +169,48 @@ def pick_index(spark, folder):
 
 
 def _calls(spark, folder):
+    """Calls of file `l_suppkey`, many of them nested, crossing or equal, with an own key and two to fall back on."""
     li = table(spark, folder, "lineitem")
-    start = F.col("l_linenumber").cast("long") * 100 + F.col("l_partkey") * 1000
-    keys = F.array(
-        100_000 + F.col("l_partkey"), 100_000 + F.col("l_suppkey"), 100_000 + F.col("l_orderkey") % 4000
-    )
+    start = (F.col("l_orderkey") * 37 + F.col("l_linenumber") * 11) % 20000
+    length = F.col("l_quantity").cast("int") + 1 + F.when(F.col("l_linenumber") == 7, 200).otherwise(0)
+    keys = F.array(F.col("l_partkey") % 409, F.col("l_orderkey") % 397, (F.col("l_partkey") * 7 + F.col("l_linenumber")) % 409)
     return li.select(
-        F.col("l_orderkey").alias("file"), start.alias("start"), _sequence().alias("site"),
-        (start + 50 + F.col("l_quantity").cast("int")).alias("end"), keys.alias("keys"), "l_returnflag", "l_quantity", "l_partkey",
+        F.col("l_suppkey").alias("file"), _site().alias("site"), start.alias("start"), (start + length).alias("end"),
+        F.transform(keys, lambda k: 100_000 + k).alias("keys"), (F.col("l_returnflag") != "N").alias("typed"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("int") * 2).alias("size"), F.col("l_partkey").alias("part"),
     )
 
 
+def _site():
+    """A name for each line item; equal only for items that are equal in all that counts."""
+    return F.concat_ws("-", F.col("l_orderkey"), _sequence())
+
+
 def _queues(spark, folder):
-    p = table(spark, folder, "part")
-    return p.where(F.col("p_size") > 33).select(
-        (100_000 + F.col("p_partkey")).alias("key"), (1 + F.col("p_size") % 2).cast("long").alias("records")
-    )
+    """Queues of a file by key; only items of status F recorded a value, so many are empty."""
+    li = table(spark, folder, "lineitem")
+    key = 100_000 + (F.col("l_orderkey") * 3 + F.col("l_linenumber")) % 409
+    return li.groupBy(F.col("l_suppkey").alias("file"), key.alias("key")).agg(F.count_if(F.col("l_linestatus") == "F").alias("records"))
+
+
+def _replayed(spark, folder):
+    fits = (F.col("part") + F.col("key")) % 5 != 1
+    calls = ops.call_options(_calls(spark, folder), _queues(spark, folder), ["file"], fits, F.col("size"))
+    return ops.replay_calls(calls, ["file"])
 
 
 def callsite_lookup(spark, folder):
-    looked = ops.lookup_calls(_calls(spark, folder), _queues(spark, folder), ["file", "start", "site"])
-    return looked.groupBy("candidate", "records").agg(
-        F.count(F.lit(1)).alias("calls"), F.sum("matched_key").alias("keys")
-    )
+    """The queue that each call takes, after the calls before it took theirs."""
+    return _replayed(spark, folder).select("file", "site", "matched_key", "candidate", "records", "outcome")
 
 
 def inline_outcomes(spark, folder):
-    calls = _calls(spark, folder)
-    looked = ops.lookup_calls(calls, _queues(spark, folder), ["file", "start", "site"])
-    facts = calls.select(
-        "file", "start", "site",
-        (F.col("l_returnflag") != "N").alias("typed"),
-        (F.col("l_partkey") % 5 != 1).alias("convertible"),
-        F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("int") * 2).alias("buffer_size"),
-    )
-    outcomes = ops.call_outcomes(looked.join(facts, ["file", "start", "site"]))
-    return ops.outcome_report(outcomes, ["file"])
+    return ops.outcome_report(_replayed(spark, folder), ["file"])
+
+
+def inline_outcomes_by_kind(spark, folder):
+    found = _replayed(spark, folder)
+    return found.groupBy("outcome", "candidate").agg(F.count(F.lit(1)).alias("calls"), F.sum("matched_key").alias("keys"))
 
 
 def ordered_distinct(spark, folder):
@@ -245,18 +251,38 @@ QUERIES = {
     "pick_index": pick_index,
     "callsite_lookup": callsite_lookup,
     "inline_outcomes": inline_outcomes,
+    "inline_outcomes_by_kind": inline_outcomes_by_kind,
     "ordered_distinct": ordered_distinct,
     "sequential_ids": sequential_ids,
     "excess_arguments": excess_arguments,
 }
 
-_LOOKUP = """
-c AS (SELECT l_orderkey AS file, l_linenumber * 100 + l_partkey * 1000 AS start, l_suppkey AS site, l_returnflag, l_partkey, CAST(l_quantity AS INTEGER) AS q,
-      [100000 + l_partkey, 100000 + l_suppkey, 100000 + l_orderkey % 4000] AS keys FROM lineitem),
-q AS (SELECT 100000 + p_partkey AS key, 1 + p_size % 2 AS records FROM part WHERE p_size > 33),
-m AS (SELECT c.*, CASE WHEN q1.key IS NOT NULL THEN 0 WHEN q2.key IS NOT NULL THEN 1 WHEN q3.key IS NOT NULL THEN 2 END AS candidate,
-      coalesce(q1.key, q2.key, q3.key) AS matched_key, coalesce(q1.records, q2.records, q3.records) AS records
-      FROM c LEFT JOIN q q1 ON keys[1] = q1.key LEFT JOIN q q2 ON keys[2] = q2.key LEFT JOIN q q3 ON keys[3] = q3.key)
+# Calls of a file one by one: how far accepted calls reach, which queues are used up.
+_REPLAY = """
+q AS (SELECT l_suppkey AS file, 100000 + (l_orderkey * 3 + l_linenumber) % 409 AS key, count(*) FILTER (l_linestatus = 'F') AS records FROM lineitem GROUP BY ALL),
+i AS (SELECT *, ((l_linenumber::BIGINT * 10000000 + l_partkey) * 100000 + l_suppkey) * 1000 + CAST(l_quantity AS INTEGER) * 10
+        + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS seq FROM lineitem),
+c AS (SELECT l_suppkey AS file, l_orderkey || '-' || seq AS site,
+        (l_orderkey * 37 + l_linenumber * 11) % 20000 AS s, CAST(l_quantity AS INTEGER) + 1 + CASE WHEN l_linenumber = 7 THEN 200 ELSE 0 END AS n,
+        [100000 + l_partkey % 409, 100000 + l_orderkey % 397, 100000 + (l_partkey * 7 + l_linenumber) % 409] AS keys,
+        l_returnflag <> 'N' AS typed, coalesce(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS INTEGER) * 2 END > 64, FALSE) AS large, l_partkey AS part FROM i),
+o AS (SELECT c.file, c.site, c.s, c.n, c.typed, c.large, c.part,
+        list({'k': k.key, 'p': k.pos, 'r': q.records} ORDER BY k.pos) FILTER (q.records > 0) AS opts
+      FROM c, unnest([1, 2, 3]) AS u(pos), LATERAL (SELECT c.keys[u.pos] AS key, u.pos - 1 AS pos) k LEFT JOIN q ON q.file = c.file AND q.key = k.key
+      GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY s, n DESC, site) AS rn FROM o),
+walk AS (
+  SELECT file, 0::BIGINT AS rn, -1::BIGINT AS reach, []::BIGINT[] AS used, NULL::VARCHAR AS site, NULL::STRUCT(k BIGINT, p BIGINT, r BIGINT) AS opt, '' AS outcome FROM t WHERE rn = 1
+  UNION ALL
+  SELECT file, rn, CASE WHEN outcome IN ('replaced', 'repeated', 'large') THEN greatest(reach, s + n) ELSE reach END,
+    CASE WHEN outcome <> 'nested' AND typed AND opt IS NOT NULL THEN list_append(used, opt.k) ELSE used END, site, opt, outcome
+  FROM (SELECT t.file, t.rn, walk.reach, walk.used, t.s, t.n, t.typed, t.site, f.opt,
+      CASE WHEN t.s < walk.reach THEN 'nested' WHEN f.opt IS NULL THEN 'missing-trace-record' WHEN NOT t.typed THEN 'unsupported-result-type'
+        WHEN (t.part + f.opt.k) % 5 = 1 THEN CASE WHEN f.opt.r = 1 THEN 'unsupported-record-format' ELSE 'unsupported-repeated-trace-id' END
+        WHEN f.opt.r > 1 THEN 'repeated' WHEN t.large THEN 'large' ELSE 'replaced' END AS outcome
+    FROM walk JOIN t ON t.file = walk.file AND t.rn = walk.rn + 1,
+      LATERAL (SELECT list_filter(t.opts, lambda x: NOT list_contains(walk.used, x.k))[1] AS opt) f)),
+m AS (SELECT file, site, opt.k AS matched_key, CAST(opt.p AS INTEGER) AS candidate, opt.r AS records, outcome FROM walk WHERE rn > 0)
 """
 
 ORACLES = {
@@ -302,15 +328,16 @@ UNION ALL SELECT tag, key, count(*) + 1, NULL, 'exhausted' FROM r GROUP BY tag,
     "pick_index": """
 WITH n AS (SELECT l_orderkey AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth, l_partkey % 9 AS index, l_suppkey % 9 + 1 AS choices FROM lineitem)
 SELECT key, nth, index, CASE WHEN index >= choices THEN 'out_of_range' ELSE 'ok' END AS status FROM n""",
-    "callsite_lookup": f"""
-WITH {_LOOKUP} SELECT CAST(candidate AS INTEGER) AS candidate, CAST(records AS BIGINT) AS records, count(*) AS calls, CAST(sum(matched_key) AS BIGINT) AS keys FROM m GROUP BY 1, 2""",
+    "callsite_lookup": f"WITH RECURSIVE {_REPLAY} SELECT file, site, matched_key, candidate, records, outcome FROM m",
     "inline_outcomes": f"""
-WITH {_LOOKUP}, o AS (SELECT file, CASE WHEN matched_key IS NULL THEN 'missing' WHEN l_returnflag = 'N' THEN 'type'
-   WHEN l_partkey % 5 = 1 THEN 'format' WHEN records > 1 THEN 'repeated' WHEN l_returnflag = 'R' AND q * 2 > 64 THEN 'large' ELSE 'replaced' END AS o FROM m)
-SELECT file, count(*) AS detected_calls, count(*) FILTER (o IN ('replaced', 'repeated', 'large')) AS replaced, count(*) FILTER (o = 'repeated') AS loop_replaced,
-  count(*) FILTER (o IN ('repeated', 'large')) AS header_replaced, count(*) FILTER (o = 'large') AS large_buffer_replaced,
-  count(*) FILTER (o = 'missing') AS missing_record, count(*) FILTER (o = 'type') AS unsupported_type, count(*) FILTER (o = 'format') AS unsupported_format
-FROM o GROUP BY file""",
+WITH RECURSIVE {_REPLAY}
+SELECT file, count(*) AS detected_calls, count(*) FILTER (outcome IN ('replaced', 'repeated', 'large')) AS replaced, count(*) FILTER (outcome = 'repeated') AS loop_replaced,
+  count(*) FILTER (outcome IN ('repeated', 'large')) AS header_replaced, count(*) FILTER (outcome = 'large') AS large_buffer_replaced,
+  count(*) FILTER (outcome = 'nested') AS nested, count(*) FILTER (outcome = 'missing-trace-record') AS missing_record,
+  count(*) FILTER (outcome = 'unsupported-result-type') AS unsupported_type, count(*) FILTER (outcome IN ('unsupported-record-format', 'unsupported-repeated-trace-id')) AS unsupported_format
+FROM m GROUP BY file""",
+    "inline_outcomes_by_kind": f"""
+WITH RECURSIVE {_REPLAY} SELECT outcome, candidate, count(*) AS calls, CAST(sum(matched_key) AS BIGINT) AS keys FROM m GROUP BY ALL""",
     "ordered_distinct": """
 WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos FROM documents),
 f AS (SELECT doc_id, word, CAST(min(pos) AS INTEGER) AS first_position FROM w GROUP BY 1, 2)

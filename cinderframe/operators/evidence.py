@@ -19,6 +19,8 @@ MATCH, MISMATCH, MISSING = "match", "mismatch", "missing_evidence"
 CRASH_STATUS = 77
 CANDIDATE_ATTEMPTS = 3
 REFERENCE_ATTEMPTS = 5
+# Samples of a reference behind its initial report.
+STABILITY_RUNS = 20
 
 
 def _result(missing: Column, match: Column) -> Column:
@@ -28,44 +30,91 @@ def _result(missing: Column, match: Column) -> Column:
 # Reference capture
 
 
-def capture_reference(samples: DataFrame, keys: list[str], sample: str = "sample") -> DataFrame:
-    """One row per reference: identity of the first sample, and whether its depth is stable.
+def expected_samples(samples: DataFrame, keys: list[str], sample: str = "sample", runs: Column | int = STABILITY_RUNS) -> DataFrame:
+    """Every sample that a reference should have, 0 (the initial report) to `runs`, with what ran.
 
-    `samples` are parsed reports of runs that reproduced the crash.
+    `runs` is a number or an expression over the keys. `_ran` is NULL where a sample is absent. Numbers beyond the expected
+    ones are left out.
     """
-    site = F.get(
-        F.filter(F.col("sites"), lambda s: ~fr.is_runtime_library(s["name"])), F.lit(0)
+    wanted = samples.select(*keys).distinct()
+    count = F.lit(runs) if isinstance(runs, int) else runs
+    grid = wanted.select(*keys, F.explode(F.sequence(F.lit(0), count.cast("int"))).alias(sample))
+    ran = samples.withColumns({sample: F.col(sample).cast("int"), "_ran": F.lit(True)})
+    return null_safe_join(grid, ran, [*keys, sample], "left")
+
+
+def _reproduced() -> Column:
+    return F.coalesce(F.col("_ran") & (F.col("status") == CRASH_STATUS), F.lit(False))
+
+
+def capture_reference(
+    samples: DataFrame, keys: list[str], sample: str = "sample", runs: Column | int = STABILITY_RUNS, hints: DataFrame | None = None
+) -> DataFrame:
+    """One row per reference: evidence of the initial report, whether its depth is strict, and why it is rejected.
+
+    `samples` are parsed reports with `status`, crashes or not, numbered from 0. The initial report gives signature, location, library
+    site and depth. It rejects the reference when it is absent or no crash (`no crash`), has no signature (`no
+    signature`), or the harness itself is at fault (`harness fault`); a rejected reference has no evidence. Depth is strict
+    when all of the `runs` samples behind it reproduced the crash with the initial report's depth; a sample that failed or is absent
+    makes it advisory, and so does a reference without further samples.
+
+    `hints`: `(keys, exact_paths, exact_names, stems, allow_fallback)`, the libraries a reference is linked against; the site is then the
+    first one they name, else, where allowed, the first outside the run time. Without hints any site outside the run time counts.
+    """
+    grid = expected_samples(samples, keys, sample, runs)
+    if hints is None:
+        site = F.get(F.filter(F.col("sites"), lambda s: ~fr.is_runtime_library(s["name"])), F.lit(0))
+    else:
+        names = ("exact_paths", "exact_names", "stems", "allow_fallback")
+        grid = null_safe_join(grid, hints.select(*keys, *[F.col(n).alias(f"_{n}") for n in names]), keys, "left")
+        lists = [F.coalesce(F.col(f"_{n}"), F.array().cast("array<string>")) for n in names[:3]]
+        site = fr.hinted_site(F.col("sites"), *lists, F.coalesce(F.col("_allow_fallback"), F.lit(False)))
+    initial = F.col(sample) == 0
+    evidence = F.struct("signature", "location", site.alias("site"), "depth", "harness_fault", F.lit(True).alias("crashed"))
+    same_depth = (F.min("depth") == F.max("depth")) & (F.min("depth") > 0)
+    picked = grid.groupBy(*keys).agg(
+        F.any_value(F.when(initial & _reproduced(), evidence), True).alias("f"),
+        F.coalesce(F.bool_and(_reproduced()) & same_depth & (F.max(sample) > 0), F.lit(False)).alias("_strict"),
+        F.count_if(_reproduced()).alias("samples"),
     )
-    first = F.struct("signature", "location", site.alias("site"), "depth")
-    picked = samples.groupBy(*keys).agg(
-        F.min_by(first, F.col(sample)).alias("f"),
-        (F.min("depth") == F.max("depth")).alias("depth_strict"),
-        F.count(F.lit(1)).alias("samples"),
+    rejected = (
+        F.when(F.col("f.crashed").isNull(), "no crash")
+        .when(F.col("f.signature").isNull(), "no signature")
+        .when(F.col("f.harness_fault").isNotNull(), "harness fault")
     )
+    picked = picked.withColumn("rejected", rejected)
+    of = lambda name: F.when(F.col("rejected").isNull(), F.col(f"f.{name}"))
     return picked.select(
         *keys,
-        F.col("f.signature").alias("ref_signature"),
-        F.col("f.location").alias("ref_location"),
-        F.col("f.site.path").alias("ref_library"),
-        F.col("f.site.off").alias("ref_offset"),
-        F.when(F.col("f.depth") > 0, F.col("f.depth")).alias("ref_depth"),
-        "depth_strict",
+        of("signature").alias("ref_signature"),
+        of("location").alias("ref_location"),
+        of("site.path").alias("ref_library"),
+        of("site.off").alias("ref_offset"),
+        F.when(of("depth") > 0, of("depth")).alias("ref_depth"),
+        (F.col("_strict") & F.col("rejected").isNull()).alias("depth_strict"),
         "samples",
+        "rejected",
     )
 
 
-def build_trace_set(samples: DataFrame, keys: list[str], sample: str = "sample") -> DataFrame:
+def build_trace_set(samples: DataFrame, keys: list[str], sample: str = "sample", runs: Column | int = STABILITY_RUNS) -> DataFrame:
     """Ordered distinct traces per reference: `(keys, variant, fingerprint, canonical, first_sample)`.
 
-    A reference is left out as a whole when a sample lacks a trace, a location or an identity, or
-    when identity or location change between samples.
+    The initial report and all `runs` samples behind it take part. A reference is left out as a whole when one of them is absent or
+    did not reproduce the crash, lacks a trace, a location or an identity, blames the harness, or differs from the
+    others in identity or location.
     """
     identity = F.concat_ws("|", "signature.kind", "signature.value")
     complete = (
-        F.col("signature").isNotNull() & F.col("location").isNotNull() & F.col("canonical").isNotNull()
+        _reproduced()
+        & F.col("signature").isNotNull()
+        & F.col("location").isNotNull()
+        & F.col("canonical").isNotNull()
+        & F.col("harness_fault").isNull()
     )
+    grid = expected_samples(samples, keys, sample, runs)
     accepted = (
-        samples.groupBy(*keys)
+        grid.groupBy(*keys)
         .agg(
             (
                 F.bool_and(complete)
@@ -76,7 +125,7 @@ def build_trace_set(samples: DataFrame, keys: list[str], sample: str = "sample")
         .where("_ok")
         .select(*keys)
     )
-    variants = samples.where(F.col("canonical").isNotNull()).groupBy(*keys, "fingerprint").agg(
+    variants = grid.where(F.col("canonical").isNotNull()).groupBy(*keys, "fingerprint").agg(
         F.min(sample).alias("first_sample"), F.first("canonical").alias("canonical")
     )
     variants = null_safe_join(variants, accepted, keys)
@@ -184,6 +233,7 @@ def default_rules(symbolize: Column, skip_pattern: Column | None = None) -> list
     anchored = F.col("ref_library").isNotNull() & F.col("ref_offset").isNotNull()
     located = F.col("ref_location").isNotNull() & (F.trim("ref_location") != "")
     return [
+        ("reference", F.when(F.col("rejected").isNotNull(), MISMATCH)),
         ("status", F.when(F.col("status") == CRASH_STATUS, MATCH).otherwise(MISMATCH)),
         ("signature", F.when(skip | F.col("signature_match"), MATCH).otherwise(MISMATCH)),
         (
@@ -229,11 +279,12 @@ def verdict(
 
     `rules` is a function from the `symbolize` column to an ordered list of `(name, Column)`; each
     column yields match, mismatch, missing_evidence or NULL for "does not apply". The individual
-    outcomes are kept as `check_<name>` columns. With approved path `pairs`, a signature, location or
+    outcomes are kept as `check_<name>` columns. A rejected reference matches nothing. With approved path `pairs`, a signature, location or
     trace also matches through them; `report` then names the key of a report.
     """
     evidence = reports.withColumn("_symbolize", symbolize)
     evidence = null_safe_join(evidence, references.drop("samples"), keys, "left")
+    evidence = evidence.withColumn("depth_strict", F.coalesce("depth_strict", F.lit(False)))
     evidence = evidence.withColumn(
         "signature_match", signature_matches(F.col("signatures"), F.col("ref_signature"))
     )

@@ -86,22 +86,25 @@ def prune_tails(statements: DataFrame, block: list[str]) -> DataFrame:
 def overlap_counts(spans: DataFrame, ranges: DataFrame, keys: list[str], width: int = CHUNK_ROWS) -> DataFrame:
     """Number of half-open `ranges` that overlap each distinct half-open span.
 
-    A range overlaps [s, e) unless it starts at or after e or ends at or before s. Of ranges with
-    positive length, the ones that end by s also start before e, so the count is the starts before e
-    minus the ends up to s: two lookups in running counts, and no pair of span and range is formed.
+    A range overlaps [s, e) unless it starts at or after e or ends at or before s. The ones that end by s
+    also start before e, so the count is the starts before e minus the ends up to s: two lookups in running
+    counts, and no pair of span and range is formed. The exception is a span of no length and a range of
+    no length at its place, which ends by s but does not start before e; they are counted by place and put
+    back. Spans and ranges of no length overlap what they lie strictly inside.
     """
 
     def both_ends(df: DataFrame, weight: int) -> DataFrame:
-        point = lambda at, s, e: F.struct(
-            F.col(at).cast("long").alias("pos"), F.lit(s).alias("s"), F.lit(e).alias("e")
+        is_point = F.when(F.col("start") == F.col("end"), weight).otherwise(0)
+        point = lambda at, s, e, z: F.struct(
+            F.col(at).cast("long").alias("pos"), F.lit(s).alias("s"), F.lit(e).alias("e"), z.alias("z")
         )
-        return df.select(*keys, F.inline(F.array(point("start", weight, 0), point("end", 0, weight))))
+        return df.select(*keys, F.inline(F.array(point("start", weight, 0, is_point), point("end", 0, weight, F.lit(0)))))
 
     points = (
         both_ends(ranges, 1)
         .unionByName(both_ends(spans, 0))
         .groupBy(*keys, "pos")
-        .agg(F.sum("s").alias("_s"), F.sum("e").alias("_e"))
+        .agg(F.sum("s").alias("_s"), F.sum("e").alias("_e"), F.sum("z").alias("_z"))
         .withColumn("_chunk", chunk_of(F.col("pos"), width))
     )
     # One row per position, so a cell has at most `width` rows.
@@ -121,6 +124,7 @@ def overlap_counts(spans: DataFrame, ranges: DataFrame, keys: list[str], width:
         *keys,
         "_chunk",
         "pos",
+        "_z",
         F.coalesce(F.sum("_s").over(cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ls"),
         F.sum("_e").over(cell.rowsBetween(Window.unboundedPreceding, 0)).alias("_le"),
     )
@@ -131,12 +135,13 @@ def overlap_counts(spans: DataFrame, ranges: DataFrame, keys: list[str], width:
         ended_upto=F.col("_le") + F.col("_ce"),
     )
     at_end = ladder.select(*keys, F.col("pos").alias("end"), "started_before")
-    at_start = ladder.select(*keys, F.col("pos").alias("start"), "ended_upto")
+    at_start = ladder.select(*keys, F.col("pos").alias("start"), "ended_upto", "_z")
     distinct = spans.select(*keys, "start", "end").distinct()
     counted = null_safe_join(distinct, at_end, [*keys, "end"])
     counted = null_safe_join(counted, at_start, [*keys, "start"])
+    at_place = F.when(F.col("start") == F.col("end"), F.col("_z")).otherwise(0)
     return counted.select(
-        *keys, "start", "end", (F.col("started_before") - F.col("ended_upto")).alias("overlaps")
+        *keys, "start", "end", (F.col("started_before") - F.col("ended_upto") + at_place).alias("overlaps")
     )
 
 
@@ -173,12 +178,15 @@ def filter_declarations(edits: DataFrame, uses: DataFrame, keys: list[str]) -> D
 # Greedy selection
 
 
-def _clusters(edits: DataFrame, keys: list[str]) -> DataFrame:
-    """Add `cluster`: edits of different clusters never overlap."""
+def _reached(spans: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Add `_reach`, the largest end of all spans before; NULL for the first."""
+    return running_max(spans, keys, order, chunk_of(F.col("start")), F.col("end"), "_reach", inclusive=False)
+
+
+def clusters(edits: DataFrame, keys: list[str]) -> DataFrame:
+    """Add `cluster`: edits of different clusters never overlap. `_rank` puts equal ones in order."""
     order = ["start", "end", "_rank"]
-    reach = running_max(
-        edits, keys, order, chunk_of(F.col("start")), F.col("end"), "_reach", inclusive=False
-    )
+    reach = _reached(edits, keys, order)
     opens = F.when(F.col("_reach").isNull() | (F.col("start") >= F.col("_reach")), 1).otherwise(0)
     return running_sum(reach, keys, order, chunk_of(F.col("start")), opens, "cluster").drop("_reach")
 
@@ -208,7 +216,7 @@ def _tree_rows(edits: DataFrame, keys: list[str]) -> DataFrame:
     inside those around it and outside those it only touches. It owns no node: such edits never
     overlap each other.
     """
-    height = int(edits.agg(F.max("end")).first()[0] * 2).bit_length()
+    height = int((edits.agg(F.max("end")).first()[0] or 0) * 2).bit_length()
     is_point = F.col("start") == F.col("end")
     start = (F.col("start") * 2 + F.when(is_point, 0).otherwise(1)).cast("long")
     end = (F.col("end") * 2 + F.when(is_point, 1).otherwise(0)).cast("long")
@@ -268,22 +276,17 @@ def _round(pending: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return taken, left
 
 
-def select_edits(edits: DataFrame, keys: list[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Greedy choice of non-overlapping edits: priority desc, length desc, start asc.
+def _settled(pending: DataFrame, keys: list[str], fold_limit: int) -> DataFrame:
+    """`(keys, _rank)` of the spans that are left when each, best rank first, is taken unless it overlaps one taken before.
 
-    Edits fall apart into clusters that cannot overlap each other. A cluster of up to `fold_limit`
-    edits is folded in one row. In a larger one, all edits that outrank everything they overlap are
-    taken at once, round by round, until what is left has come apart into small clusters. Both ways
-    give the sequential result. Exact duplicates count once. An edit of no length overlaps those it lies
-    strictly inside.
+    `pending`: `(keys, start, end, _rank)` with distinct ranks. Spans fall apart into clusters that cannot overlap each
+    other. A cluster of up to `fold_limit` is folded in one row. In a larger one, all spans that outrank
+    everything they overlap are taken at once, round by round, until what is left has come apart into small
+    clusters. Both ways give the sequential result.
     """
-    rank = F.struct(
-        (-F.col("priority")).alias("p"), (F.col("start") - F.col("end")).alias("l"), "start"
-    )
-    pending = edits.select(*keys, "start", "end", rank.alias("_rank")).distinct()
     chosen: list[DataFrame] = []
     while True:
-        clustered = written(_clusters(pending, keys), "clusters")
+        clustered = written(clusters(pending, keys), "clusters")
         big = clustered.groupBy(*keys, "cluster").count().where(F.col("count") > fold_limit)
         big = big.select(*keys, "cluster")
         if big.isEmpty():
@@ -296,10 +299,67 @@ def select_edits(edits: DataFrame, keys: list[str], fold_limit: int = FOLD_LIMIT
         chosen.append(taken)
         if pending.isEmpty():
             break
-    kept = reduce(DataFrame.unionByName, chosen).select(
+    return reduce(DataFrame.unionByName, chosen)
+
+
+def select_edits(edits: DataFrame, keys: list[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """Greedy choice of non-overlapping edits: priority desc, length desc, start asc.
+
+    Exact duplicates count once. An edit of no length overlaps those it lies strictly inside. Edits without a start or
+    an end are left out.
+    """
+    rank = F.struct(
+        (-F.col("priority")).alias("p"), (F.col("start") - F.col("end")).alias("l"), "start"
+    )
+    given = edits.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    chosen = _settled(given.select(*keys, "start", "end", rank.alias("_rank")).distinct(), keys, fold_limit)
+    return chosen.select(
         *keys, (-F.col("_rank.p")).alias("priority"), "_rank.start", (F.col("_rank.start") - F.col("_rank.l")).alias("end")
     )
-    return kept
+
+
+def containment(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct spans with the tree of nested spans they stand in: `tree`, `outermost` and `crossing`.
+
+    In the order of starts, longer spans first, a span that begins where nothing before it reaches opens a tree; the
+    running maximum of ends tells. All others lie inside an earlier one, or cross its end, which is flagged.
+    Half-open spans that only touch do not meet. A span of no length stands inside what it lies strictly
+    within: positions are doubled, spans begin at odd ones and such a span fills the even one between two.
+    """
+    is_point = F.col("start") == F.col("end")
+    places = spans.where(F.col("start").isNotNull() & F.col("end").isNotNull()).select(*keys, "start", "end").distinct()
+    placed = places.select(
+        *keys,
+        (F.col("start") * 2 + F.when(is_point, 0).otherwise(1)).cast("long").alias("start"),
+        (F.col("end") * 2 + F.when(is_point, 1).otherwise(0)).cast("long").alias("end"),
+    )
+    order = ["start", F.desc("end")]
+    reached = _reached(placed, keys, order)
+    inside = F.coalesce(F.col("start") < F.col("_reach"), F.lit(False))
+    opened = running_sum(reached, keys, order, chunk_of(F.col("start")), F.when(inside, 0).otherwise(1), "tree")
+    return opened.select(
+        *keys,
+        F.shiftright("start", 1).alias("start"),
+        F.shiftright("end", 1).alias("end"),
+        "tree",
+        (~inside).alias("outermost"),
+        (inside & (F.col("end") > F.col("_reach"))).alias("crossing"),
+    )
+
+
+def outer_first(spans: DataFrame, keys: list[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """Distinct spans that are left when each, earlier starts and longer ones first, is taken unless it overlaps one taken before.
+
+    Where all spans of a tree are nested, its outermost one covers the others and nothing has to be settled. Only trees
+    with a span that crosses another's end are: what it would hide depends on whether it is itself hidden.
+    """
+    trees = written(containment(spans, keys), "trees")
+    crossed = trees.where("crossing").select(*keys, "tree").distinct()
+    nested = null_safe_join(trees.where("outermost"), crossed, [*keys, "tree"], "left_anti").select(*keys, "start", "end")
+    rank = F.struct("start", (F.col("start") - F.col("end")).alias("l"))
+    open_ = null_safe_join(trees, crossed, [*keys, "tree"]).select(*keys, "start", "end", rank.alias("_rank"))
+    settled = _settled(open_, keys, fold_limit)
+    return nested.unionByName(settled.select(*keys, "_rank.start", (F.col("_rank.start") - F.col("_rank.l")).alias("end")))
 
 
 # Application

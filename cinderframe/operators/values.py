@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cinderframe.plans.scan import chunk_of, null_safe_join, number_rows
+from cinderframe.functions.frames import let
+from cinderframe.operators.spans import clusters, overlap_counts
+from cinderframe.plans.components import components
+from cinderframe.plans.scan import chunk_of, null_safe_join, number_rows, running_max
+from cinderframe.session import written
 
 LARGE_BUFFER = 64
+# Most calls that one row's fold replays; larger groups of calls are replayed in rounds.
+FOLD_LIMIT = 1_000
 FIRST_ID = 100_000
 
 # Most arguments the public call accepts, by method.
@@ -75,19 +83,6 @@ def queue_sizes(records: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def lookup_calls(calls: DataFrame, queues: DataFrame, call: list[str], candidates: str = "keys") -> DataFrame:
-    """First candidate key of each call that has a queue; `matched_key` is NULL when none has."""
-    tried = calls.select(*call, F.posexplode_outer(candidates).alias("_pos", "key"))
-    known = queues.select("key", "records").where("records > 0")
-    joined = tried.join(known, "key", "left")
-    hit = F.col("records").isNotNull()
-    return joined.groupBy(*call).agg(
-        F.min_by(F.when(hit, F.col("key")), F.when(hit, F.col("_pos"))).alias("matched_key"),
-        F.min(F.when(hit, F.col("_pos"))).alias("candidate"),
-        F.min_by(F.when(hit, F.col("records")), F.when(hit, F.col("_pos"))).alias("records"),
-    )
-
-
 def infer_type(values: DataFrame, keys: list[str], exact: str = "scalar_int") -> DataFrame:
     """Narrowest array element type that holds all values of a queue.
 
@@ -105,27 +100,174 @@ def infer_type(values: DataFrame, keys: list[str], exact: str = "scalar_int") ->
     return values.groupBy(*keys).agg(name.alias("type"), F.count(F.lit(1)).alias("records"))
 
 
-def call_outcomes(calls: DataFrame) -> DataFrame:
-    """Outcome of each call site.
+# Replay of calls
+
 
-    `calls`: `matched_key`, `records`, `typed` (result type known), `convertible` (records fit the
-    call) and `buffer_size` (NULL unless a buffer).
+def call_options(
+    calls: DataFrame, queues: DataFrame, keys: list[str], convertible: Column, buffer_size: Column | None = None, candidates: str = "keys"
+) -> DataFrame:
+    """Calls with the queues they may take: `(keys, site, start, end, typed, options)`.
+
+    `calls`: `site` (unique within the keys), the span `start`, `end`, `typed` (result type known) and
+    `candidates`, the call's own key and then its fallback keys. `queues`: `(keys, key, records)` and whatever else `convertible`
+    (the records fit the call) and `buffer_size` (of a single record; NULL unless a buffer) read. A queue without
+    records is none. `options` are in the order of the candidates, one for each that has a queue.
     """
-    single = F.col("records") == 1
-    outcome = (
-        F.when(F.col("matched_key").isNull(), "missing-trace-record")
-        .when(~F.col("typed"), "unsupported-result-type")
-        .when(single & ~F.col("convertible"), "unsupported-record-format")
-        .when(~F.col("convertible"), "unsupported-repeated-trace-id")
+    tried = calls.select("*", F.posexplode_outer(candidates).alias("candidate", "key"))
+    joined = null_safe_join(tried, queues.where("records > 0"), [*keys, "key"], "left")
+    large = F.lit(False) if buffer_size is None else F.coalesce(buffer_size > LARGE_BUFFER, F.lit(False))
+    option = F.struct("candidate", "key", "records", F.coalesce(convertible, F.lit(False)).alias("convertible"), large.alias("large"))
+    return joined.groupBy(*keys, "site").agg(
+        F.first("start").cast("long").alias("start"),
+        F.first("end").cast("long").alias("end"),
+        F.coalesce(F.first("typed"), F.lit(False)).alias("typed"),
+        F.array_sort(F.collect_list(F.when(F.col("records").isNotNull(), option))).alias("options"),
+    )
+
+
+def _outcome(option: Column, typed: Column) -> Column:
+    """What becomes of a call that no accepted call covers, given the first queue with records."""
+    single = option["records"] == 1
+    return (
+        F.when(option.isNull(), "missing-trace-record")
+        .when(~typed, "unsupported-result-type")
+        .when(single & ~option["convertible"], "unsupported-record-format")
+        .when(~option["convertible"], "unsupported-repeated-trace-id")
         .when(~single, "repeated")
-        .when(F.col("buffer_size") > LARGE_BUFFER, "large")
+        .when(option["large"], "large")
         .otherwise("replaced")
     )
-    return calls.withColumn("outcome", outcome)
+
+
+ACCEPTED = ("replaced", "repeated", "large")
+
+
+def _place() -> Column:
+    """Where a call stands in the order of its file."""
+    return F.struct("start", (-F.col("end")).alias("l"), "site")
+
+
+def _replay(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """The calls of each group one after another, in one row: state is how far accepted calls reach and which queues are used up."""
+    kind = dict(calls.dtypes)
+    option = kind["options"].removeprefix("array<")[:-1]
+    step = f"struct<site:{kind['site']},option:{option},outcome:string>"
+    queue = dict(f.split(":", 1) for f in option.removeprefix("struct<")[:-1].split(","))["key"]
+    start = F.struct(
+        F.lit(None).cast("long").alias("reach"), F.array().cast(f"array<{queue}>").alias("used"), F.array().cast(f"array<{step}>").alias("out")
+    )
+
+    def take(state: Column, call: Column) -> Column:
+        def settled(option_: Column) -> Column:
+            def after(outcome: Column) -> Column:
+                known = F.struct(call["site"].alias("site"), option_.alias("option"), outcome.alias("outcome"))
+                used_up = (outcome != "nested") & call["typed"] & option_.isNotNull()
+                return F.struct(
+                    F.when(outcome.isin(*ACCEPTED), F.greatest(state["reach"], call["end"])).otherwise(state["reach"]).alias("reach"),
+                    F.when(used_up, F.array_append(state["used"], option_["key"])).otherwise(state["used"]).alias("used"),
+                    F.array_append(state["out"], known).alias("out"),
+                )
+
+            covered = F.coalesce(call["start"] < state["reach"], F.lit(False))
+            return let(F.when(covered, "nested").otherwise(_outcome(option_, call["typed"])), after)
+
+        free = F.filter(call["options"], lambda o: ~F.array_contains(state["used"], o["key"]))
+        return let(F.get(free, F.lit(0)), settled)
+
+    ordered = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("l"), "site", "end", "typed", "options")))
+    folded = calls.groupBy(*keys).agg(ordered.alias("_calls")).select(*keys, F.aggregate("_calls", start, take)["out"].alias("_out"))
+    return folded.select(*keys, F.inline("_out")).select(*[k for k in keys if k != "_part"], "site", "option", "outcome")
+
+
+def _parts(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """Add `_part`: calls of different parts neither overlap nor share a queue, not even through others.
+
+    Calls that overlap are one cluster; clusters and queues are the two sides of a graph, whose components are the
+    parts. Nodes are 64-bit hashes; two that collide only join their parts.
+    """
+    placed = clusters(calls.withColumn("_rank", F.struct((-F.col("end")).alias("l"), "site")), keys)
+    placed = written(placed.withColumn("_node", F.xxhash64(*keys, F.lit("cluster"), "cluster")).drop("_rank", "cluster"), "call-clusters")
+    edges = placed.select("_node", *keys, F.explode("options.key").alias("key"))
+    roots = components(edges.select(F.col("_node").alias("a"), F.xxhash64(*keys, F.lit("queue"), "key").alias("b")).distinct())
+    joined = placed.join(roots.select(F.col("node").alias("_node"), "root"), "_node", "left")
+    return joined.withColumn("_part", F.coalesce("root", "_node")).drop("_node", "root")
+
+
+def _replay_round(calls: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Settle every call that no unsettled call before it can touch; return (settled, still open).
+
+    A call waits for earlier ones that overlap it, and for earlier ones that know its first queue: all of them
+    where it would use the queue up, those that could use it up where it would not. The first call of all waits for none.
+    """
+    known = calls.select(*keys, _place().alias("_at"), "typed", F.explode("options.key").alias("key"))
+    first = known.groupBy(*keys, "key").agg(F.min("_at").alias("_any"), F.min(F.when(F.col("typed"), F.col("_at"))).alias("_taker"))
+    wanting = calls.withColumn("option", F.get("options", F.lit(0))).withColumn("_at", _place()).withColumn("key", F.col("option.key"))
+    asked = null_safe_join(wanting, first, [*keys, "key"], "left")
+    free = F.when(F.col("option").isNull(), True).when(F.col("typed"), F.col("_at") <= F.col("_any"))
+    asked = asked.withColumn("_free", free.otherwise(F.coalesce(F.col("_at") < F.col("_taker"), F.lit(True)))).drop("key", "_any", "_taker", "_at")
+    order = ["start", F.desc("end"), "site"]
+    asked = running_max(asked, keys, order, chunk_of(F.col("start")), F.col("end"), "_reach", inclusive=False)
+    alone = F.coalesce(F.col("start") >= F.col("_reach"), F.lit(True))
+    asked = written(asked.withColumn("_now", F.col("_free") & alone).withColumn("outcome", _outcome(F.col("option"), F.col("typed"))), "calls")
+    now = asked.where("_now")
+    settled = now.select(*keys, "site", "option", "outcome")
+
+    left = asked.where("not _now").select(*keys, "site", "start", "end", "typed", "options")
+    accepted = now.where(F.col("outcome").isin(*ACCEPTED)).select(*keys, "start", "end")
+    hidden = overlap_counts(left, accepted, keys).where("overlaps > 0").select(*keys, "start", "end", F.lit(True).alias("_hidden"))
+    left = written(null_safe_join(left, hidden, [*keys, "start", "end"], "left"), "calls-left")
+    none = F.lit(None).cast(asked.schema["option"].dataType)
+    nested = left.where("_hidden").select(*keys, "site", none.alias("option"), F.lit("nested").alias("outcome"))
+    left = left.where("_hidden is null").drop("_hidden")
+    used = now.where("typed and option is not null").select(*keys, F.col("option.key").alias("key"), F.lit(True).alias("_used")).distinct()
+    options = left.select(*keys, "site", F.explode("options").alias("option")).withColumn("key", F.col("option.key"))
+    options = null_safe_join(options, used, [*keys, "key"], "left").where("_used is null")
+    options = options.groupBy(*keys, "site").agg(F.array_sort(F.collect_list("option")).alias("options"))
+    open_ = null_safe_join(left.drop("options"), options, [*keys, "site"], "left")
+    empty = F.array().cast(left.schema["options"].dataType)
+    open_ = open_.withColumn("options", F.coalesce("options", empty))
+    return settled.unionByName(nested), written(open_, "calls")
+
+
+def replay_calls(calls: DataFrame, keys: list[str], fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """What becomes of every call when queues are used up: `(keys, site, matched_key, candidate, records, outcome)`.
+
+    `calls` come from `call_options`. Calls are taken by start, longer ones first. A call inside an accepted one is
+    `nested` and touches no queue. Any other takes the first of its options that no call before has used up; a call of
+    known type uses its queue up whether the records fit or not, one of unknown type leaves it. Only calls that get a value are
+    accepted.
+
+    Keys with up to `fold_limit` calls are replayed in one row. The others fall apart into parts that neither overlap nor
+    share queues; parts of up to `fold_limit` calls are replayed in one row too. In larger ones, all calls that
+    wait for no other are settled at once, round by round. Every way gives the sequential result; rounds are few
+    unless calls wait for one another in a long chain. Calls have a length.
+    """
+    calls = written(calls, "calls")
+    large = calls.groupBy(*keys).count().where(F.col("count") > fold_limit).select(*keys)
+    if large.isEmpty():
+        return _replayed(_replay(calls, keys))
+    found = [_replay(null_safe_join(calls, large, keys, "left_anti"), keys)]
+    open_ = null_safe_join(calls, large, keys)
+    while True:
+        parts = written(_parts(open_, keys), "call-parts")
+        big = parts.groupBy(*keys, "_part").count().where(F.col("count") > fold_limit).select(*keys, "_part")
+        found.append(_replay(null_safe_join(parts, big, [*keys, "_part"], "left_anti"), [*keys, "_part"]))
+        if big.isEmpty():
+            break
+        settled, open_ = _replay_round(null_safe_join(parts, big, [*keys, "_part"]).drop("_part"), keys)
+        found.append(settled)
+        if open_.isEmpty():
+            break
+    return _replayed(reduce(DataFrame.unionByName, found))
+
+
+def _replayed(found: DataFrame) -> DataFrame:
+    plain = [F.col(f"option.{name}").alias(new) for name, new in (("key", "matched_key"), ("candidate", "candidate"), ("records", "records"))]
+    return found.select(*[c for c in found.columns if c not in ("option", "outcome")], *plain, "outcome")
 
 
 def outcome_report(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts per key; repeated and large calls are replaced calls that moved to a header."""
+    """Counts per key; repeated and large calls are replaced calls that moved to a header, nested ones went with an outer call."""
     count = lambda *names: F.count_if(F.col("outcome").isin(*names))
     return outcomes.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("detected_calls"),
@@ -133,6 +275,7 @@ def outcome_report(outcomes: DataFrame, keys: list[str]) -> DataFrame:
         count("repeated").alias("loop_replaced"),
         count("repeated", "large").alias("header_replaced"),
         count("large").alias("large_buffer_replaced"),
+        count("nested").alias("nested"),
         count("missing-trace-record").alias("missing_record"),
         count("unsupported-result-type").alias("unsupported_type"),
         count("unsupported-record-format", "unsupported-repeated-trace-id").alias("unsupported_format"),

@@ -47,25 +47,27 @@ def judge_candidates(
     symbolize: Column,
     max_attempts: int = ev.CANDIDATE_ATTEMPTS,
     pairs: DataFrame | None = None,
+    runs: Column | int = ev.STABILITY_RUNS,
+    hints: DataFrame | None = None,
+    rules=None,
 ) -> DataFrame:
     """One verdict per candidate from the reports of its attempts.
 
-    `samples`: reference reports with `sample`, `status`, `harness`, `text`; `candidates`: the same
-    with `attempt` instead. Each text is parsed once; what is written and shuffled are the evidence
-    columns.
+    `samples`: reference reports with `sample` (0 is the initial one, `runs` are expected behind it), `status`, `harness`, `text`;
+    `candidates`: the same with `attempt` instead. `hints` name the libraries of a reference, `rules` replaces the evidence
+    checks (see `evidence.verdict`). Each text is parsed once; what is written and shuffled are the evidence columns.
     """
-    reference = written(
-        rp.parse_reports(samples.where(F.col("status") == ev.CRASH_STATUS)), "reference"
-    )
+    reference = written(rp.parse_reports(samples), "reference")
     evidence = rp.parse_reports(candidates)
     if pairs is not None:
         evidence = written(evidence, "candidates")
     checked = ev.verdict(
         evidence,
-        ev.capture_reference(reference, keys),
-        ev.build_trace_set(reference, keys),
+        ev.capture_reference(reference, keys, runs=runs, hints=hints),
+        ev.build_trace_set(reference, keys, runs=runs),
         keys,
         symbolize,
+        rules=rules,
         keep=[*keys, *candidate, "attempt"],
         pairs=pairs,
         report=[*candidate, "attempt"],

@@ -3,7 +3,8 @@
 A window over one key runs in one task, so a key that holds a third of the table is a third of the
 job. Here every ordered computation is cut into cells `(keys, chunk)`, where `chunk` is a function
 of the ordering value. A cell is scanned by one task; what happened in earlier cells arrives as one
-carried value per cell. Only that small table (one row per cell) is ordered per key.
+carried value per cell. Cells in turn are cut into cells of cells, so the carried values of a hot key
+are no single task either; what is ordered per key is one row for each CELLS cells' worth of positions.
 
 The caller picks `chunk` so that a cell has a bound that does not depend on how hot the key is:
 `position div width` for values that are unique per key, or a pre-aggregated value's bucket.
@@ -15,7 +16,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cinderframe.session import written
+
 CHUNK_ROWS = 1 << 18
+# Bits of a chunk's number that are left out of the number of its cell of cells.
+CELL_BITS = 18
+# Distinct values of a percentile's cell that are put in order; larger cells are narrowed further.
+ORDERED_VALUES = 1 << 12
+# Bits by which a round narrows the range of values that holds a wanted rank.
+RADIX_BITS = 12
 
 
 def chunk_of(position: Column, width: int = CHUNK_ROWS) -> Column:
@@ -31,51 +40,64 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _scan(
-    df: DataFrame,
-    keys: list[str],
-    order: list,
-    chunk: Column,
-    out: str,
-    inclusive: bool,
-    combine,
-    merge,
-    empty: Column,
-) -> DataFrame:
-    cells = df.withColumn("_chunk", chunk)
-    cell_keys = [*keys, "_chunk"]
+def _one_key(keys: list[str]) -> Column:
+    """The keys as one struct: never NULL itself, equal where all its fields are equal or both NULL."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0))
+
+
+def _dealt(df: DataFrame, cell: Column, name: str) -> DataFrame:
+    """The rows of `df` with `name`, the struct `cell`, in one exchange on it.
+
+    Rows travel as one array column that is unfolded behind the exchange. Columns are not pruned through
+    that, so all that is computed from the result reads the same exchange instead of the source again.
+    """
+    packed = df.select(cell.alias(name), F.array(F.struct(*df.columns)).alias("_rows"))
+    return packed.repartition(name).select(name, F.inline("_rows"))
+
+
+def _carried(totals: DataFrame, fold) -> DataFrame:
+    """`_cell`, `_carry`: what all earlier cells of the same keys come to, from `_cell` and `_part`."""
+    chunk = F.col("_cell.chunk")
+    wide = _dealt(totals, F.struct(F.col("_cell.key").alias("key"), F.shiftright(chunk, CELL_BITS).alias("chunk")), "_wide")
     before = (Window.unboundedPreceding, -1)
-    carried = cells.groupBy(*cell_keys).agg(combine().alias("_part"))
-    ordered_cells = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*before)
-    carried = carried.select(*cell_keys, merge(F.col("_part")).over(ordered_cells).alias("_carry"))
-    span = (Window.unboundedPreceding, 0) if inclusive else before
-    local = cells.withColumn(
-        "_local", combine().over(Window.partitionBy(*cell_keys).orderBy(*order).rowsBetween(*span))
+    above = wide.groupBy("_wide").agg(fold(F.col("_part")).alias("_sum"))
+    above = above.select(
+        "_wide", fold(F.col("_sum")).over(Window.partitionBy("_wide.key").orderBy("_wide.chunk").rowsBetween(*before)).alias("_above")
     )
-    joined = null_safe_join(local, carried, cell_keys)
-    both = empty(F.col("_carry"), F.col("_local"))
-    return joined.withColumn(out, both).drop("_chunk", "_carry", "_local")
+    inside = fold(F.col("_part")).over(Window.partitionBy("_wide").orderBy("_cell.chunk").rowsBetween(*before))
+    return wide.select("_wide", "_cell", inside.alias("_inside")).join(above, "_wide").select("_cell", "_above", "_inside")
+
+
+def _scan(df: DataFrame, keys: list[str], order: list, chunk: Column, out: str, inclusive: bool, value: Column, fold, both) -> DataFrame:
+    """`fold` of `value` over all rows up to each one; `both` puts two results together.
+
+    One read of `df`, one exchange of its rows: the scan inside a cell, the cells' totals and the join that
+    brings the carried values back all use the partitioning by cell. Columns that nobody needs should be
+    left out of `df`, as all of them travel.
+    """
+    rows = _dealt(df, F.struct(_one_key(keys).alias("key"), chunk.alias("chunk")), "_cell")
+    totals = rows.groupBy("_cell").agg(fold(value).alias("_part"))
+    span = (Window.unboundedPreceding, 0 if inclusive else -1)
+    local = rows.withColumn("_local", fold(value).over(Window.partitionBy("_cell").orderBy(*order).rowsBetween(*span)))
+    joined = local.join(_carried(totals, fold), "_cell")
+    return joined.select(*[c for c in df.columns if c != out], both(both(F.col("_above"), F.col("_inside")), F.col("_local")).alias(out))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
 
 
 def running_sum(
     df: DataFrame, keys: list[str], order: list, chunk: Column, value: Column, out: str, inclusive=True
 ) -> DataFrame:
-    return _scan(
-        df, keys, order, chunk, out, inclusive,
-        lambda: F.sum(value), F.sum,
-        lambda carry, local: F.coalesce(carry, F.lit(0)) + F.coalesce(local, F.lit(0)),
-    )
+    return _scan(df, keys, order, chunk, out, inclusive, value, F.sum, _plus)
 
 
 def running_max(
     df: DataFrame, keys: list[str], order: list, chunk: Column, value: Column, out: str, inclusive=True
 ) -> DataFrame:
     """NULL where nothing precedes."""
-    return _scan(
-        df, keys, order, chunk, out, inclusive,
-        lambda: F.max(value), F.max,
-        lambda carry, local: F.greatest(carry, local),
-    )
+    return _scan(df, keys, order, chunk, out, inclusive, value, F.max, F.greatest)
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list, chunk: Column, out: str) -> DataFrame:
@@ -84,37 +106,74 @@ def number_rows(df: DataFrame, keys: list[str], order: list, chunk: Column, out:
 
 
 def _value_cell(value: Column) -> Column:
-    """Monotone bucket of about one per cent relative width, so a bucket holds few distinct values."""
+    """Monotone bucket of about one per cent relative width: at most 8,000 of them, however many values there are."""
     magnitude = F.floor(F.log2(F.abs(value).cast("double")) * 64)
     return F.when(value > 0, magnitude + 1).when(value < 0, -magnitude - 1).when(value == 0, 0).cast("long")
 
 
-def exact_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+_RANKS = ("_r1", "_r2", "_r3")
+
+
+def _holding(cells: DataFrame) -> DataFrame:
+    """Of cells with `_before` and `_cn`, those that hold a wanted rank, and cells of keys without any sample."""
+    holds = [(F.col("_before") < F.col(r)) & (F.col(r) <= F.col("_before") + F.col("_cn")) for r in _RANKS]
+    return cells.where(holds[0] | holds[1] | holds[2] | (F.col("_total") == 0))
+
+
+def _narrowed(counted: DataFrame, wanted: DataFrame, shift: int) -> tuple[DataFrame, DataFrame]:
+    """One round of the selection: the wanted cells cut at multiples of 2 ** shift, and the values still in question.
+
+    A cell falls apart into at most 2 ** (RADIX_BITS + 1) parts, which are counted map-side first and then
+    summed up in the order of their prefixes.
+    """
+    near = written(
+        counted.join(wanted.drop("_rows", "_lo", "_hi", "_cn"), ["_key", "_cell"])
+        .withColumn("_outer", F.struct("_key", "_cell"))
+        .withColumn("_cell", F.shiftright("_v", shift)),
+        "values-in-question",
+    )
+    carried = [F.first(c).alias(c) for c in ("_before", "_total", "_sum", "_min", "_max", *_RANKS)]
+    parts = near.groupBy("_key", "_outer", "_cell").agg(
+        F.sum("_n").alias("_cn"), F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *carried
+    )
+    earlier = Window.partitionBy("_outer").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_cn").over(earlier), F.lit(0)))
+    return near.select("_key", "_v", "_n", "_cell"), _holding(parts.drop("_outer"))
+
+
+def exact_summary(df: DataFrame, keys: list[str], value: str, ordered: int = ORDERED_VALUES) -> DataFrame:
     """count, mean, median (mean of the middle two), nearest-rank p95, min and max per key.
 
-    Exact without holding a key's values in one place: values are counted first, bucket counts say
-    which bucket holds a wanted rank, and only those buckets are ordered. Keys with NULLs only show no
-    samples and NULL figures.
+    Exact without holding a key's values in one place, by radix selection: values are counted first, and
+    counts by bucket say which bucket holds a wanted rank. While such a bucket has more than `ordered` distinct
+    values, all wanted ones are cut by the next bits of their values and counted again; each round reads only
+    the values still in question. At last a bucket of bounded size is put in order. The source is read once. Keys
+    with NULLs only show no samples and NULL figures.
     """
     counted = (
-        df.groupBy(*keys, F.col(value).cast("long").alias("_v"))
+        df.groupBy(_one_key(keys).alias("_key"), F.col(value).cast("long").alias("_v"))
         .agg(F.count(value).alias("_n"))
         .withColumn("_cell", _value_cell(F.col("_v")))
     )
-    per_key = Window.partitionBy(*keys)
+    counted = written(counted, "value-counts")
+    per_key = Window.partitionBy("_key")
     earlier = per_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
-        counted.groupBy(*keys, "_cell")
+        counted.groupBy("_key", "_cell")
         .agg(
             F.sum("_n").alias("_cn"),
             F.sum(F.col("_v").cast("decimal(20,0)") * F.col("_n").cast("decimal(18,0)")).alias("_cs"),
+            F.count(F.lit(1)).alias("_rows"),
             F.min("_v").alias("_lo"),
             F.max("_v").alias("_hi"),
         )
         .select(
-            *keys,
+            "_key",
             "_cell",
             "_cn",
+            "_rows",
+            "_lo",
+            "_hi",
             F.coalesce(F.sum("_cn").over(earlier), F.lit(0)).alias("_before"),
             F.sum("_cn").over(per_key).alias("_total"),
             F.sum("_cs").over(per_key).alias("_sum"),
@@ -123,24 +182,22 @@ def exact_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         )
     )
     total = F.col("_total")
-    ranks = {
-        "_r1": F.floor((total + 1) / 2),
-        "_r2": F.floor(total / 2) + 1,
-        "_r3": F.greatest(F.lit(1), F.ceil(F.lit(0.95).cast("double") * total)),
-    }
-    cells = cells.withColumns({name: rank.cast("long") for name, rank in ranks.items()})
-    holds = [
-        (F.col("_before") < F.col(r)) & (F.col(r) <= F.col("_before") + F.col("_cn")) for r in ranks
-    ]
-    wanted = cells.where(holds[0] | holds[1] | holds[2] | (total == 0)).drop("_cn")
-    running = (
-        Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    found = null_safe_join(counted, wanted, [*keys, "_cell"]).withColumn(
-        "_upto", F.col("_before") + F.sum("_n").over(running)
+    ranks = (F.floor((total + 1) / 2), F.floor(total / 2) + 1, F.greatest(F.lit(1), F.ceil(F.lit(0.95).cast("double") * total)))
+    wanted = _holding(cells.withColumns({name: rank.cast("long") for name, rank in zip(_RANKS, ranks)}))
+    while True:
+        wanted = written(wanted, "wanted-values")
+        large = wanted.where(F.col("_rows") > ordered).agg(F.max(F.col("_hi").cast("decimal(20,0)") - F.col("_lo"))).first()[0]
+        if large is None:
+            break
+        counted, wanted = _narrowed(counted, wanted, max(0, int(large).bit_length() - RADIX_BITS))
+    running = Window.partitionBy("_key", "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    # always by shuffle on both columns, which the window and the last sums use too; NULL cells hold no samples
+    found = counted.join(wanted.withColumn("_found", F.lit(True)), (counted["_key"] == wanted["_key"]) & counted["_cell"].eqNullSafe(wanted["_cell"])).select(
+        counted["_key"], counted["_cell"], "_v", "_n", *[c for c in wanted.columns if c not in ("_key", "_cell")]
     )
-    at = {r: F.min(F.when(F.col("_upto") >= F.col(r), F.col("_v"))) for r in ranks}
-    return found.groupBy(*keys).agg(
+    found = found.withColumn("_upto", F.col("_before") + F.sum("_n").over(running))
+    at = {r: F.min(F.when(F.col("_upto") >= F.col(r), F.col("_v"))) for r in _RANKS}
+    summary = found.groupBy("_key").agg(
         F.first("_total").alias("samples"),
         F.try_divide(F.first("_sum").cast("double"), F.first("_total")).alias("mean"),
         ((at["_r1"] + at["_r2"]) / 2).alias("median"),
@@ -148,3 +205,4 @@ def exact_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         F.first("_min").alias("min"),
         F.first("_max").alias("max"),
     )
+    return summary.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *[c for c in summary.columns if c != "_key"])

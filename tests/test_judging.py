@@ -1,7 +1,11 @@
 """The verdict pipeline on small reports."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from cinderframe.operators import evidence as ev
+from cinderframe.operators import reports as rp
+from cinderframe.operators.telemetry import depth_stability
 from cinderframe.plans.pipelines import judge_candidates, profile_runs
 
 HARNESS = "/work/h.cpp"
@@ -21,14 +25,15 @@ COPY = [(n, "/copy/lib.cc", l) for n, _, l in A]
 OTHER = [("crash", LIB, 7), ("third", LIB, 22)]
 
 
-def judge(spark, attempts, pairs=None, symbolize=True):
-    samples = spark.createDataFrame(
-        [("r", 1, 77, HARNESS, report(A)), ("r", 2, 77, HARNESS, report(B)), ("r", 3, 1, HARNESS, "no crash")],
-        "ref string, sample int, status int, harness string, text string",
-    )
+SAMPLES = "ref string, sample int, status int, harness string, text string"
+GOOD = [(0, 77, report(A)), (1, 77, report(B))]
+
+
+def judge(spark, attempts, pairs=None, symbolize=True, samples=GOOD, runs=1, **given):
+    known = spark.createDataFrame([("r", n, s, HARNESS, t) for n, s, t in samples], SAMPLES)
     rows = [("r", c, n, s, HARNESS, t) for c, n, s, t in attempts]
     candidates = spark.createDataFrame(rows, "ref string, candidate int, attempt int, status int, harness string, text string")
-    got = judge_candidates(samples, candidates, ["ref"], ["candidate"], F.lit(symbolize), pairs=pairs).collect()
+    got = judge_candidates(known, candidates, ["ref"], ["candidate"], F.lit(symbolize), pairs=pairs, runs=runs, **given).collect()
     return {r["candidate"]: (r["verdict"], r["attempts"]) for r in got}
 
 
@@ -79,3 +84,79 @@ def test_profile_is_written_as_json_and_text(spark, tmp_path):
     assert spark.read.json(f"{out}/latency").count() == 8
     lines = [r["value"] for r in spark.read.text(text).collect()]
     assert "Tester total before cleanup           2    2.000      2.000    2.000    2.000    2.000" in lines
+
+
+# References
+
+
+def captured(spark, samples, runs, hints=None):
+    rows = [("r", n, s, HARNESS, t) for n, s, t in samples] + [(None, 0, 77, HARNESS, report(A)), ("other", 0, 77, HARNESS, report(B)), ("other", 1, 77, HARNESS, report(B))]
+    parsed = rp.parse_reports(spark.createDataFrame(rows, SAMPLES))
+    reference = {r.ref: r for r in ev.capture_reference(parsed, ["ref"], runs=runs, hints=hints).collect()}
+    traces = {(r.ref, r.fingerprint) for r in ev.build_trace_set(parsed, ["ref"], runs=runs).collect()}
+    assert set(reference) == {"r", None, "other"}
+    return reference["r"], len({f for ref, f in traces if ref == "r"}), parsed
+
+
+MOVED = report([("crash", LIB, 8), ("via_a", LIB, 12)])
+CHANGED = report(A, "/src/lib.cc:7:3: runtime error: signed integer overflow")
+
+
+@pytest.mark.parametrize(
+    "samples, runs, rejected, strict, traces",
+    [
+        ([(0, 77, report(A)), (1, 77, report(A)), (2, 77, report(A))], 2, None, True, 1),
+        ([(0, 77, report(A)), (1, 77, report(B)), (2, 77, report(A))], 2, None, False, 2),
+        ([(0, 77, report(A)), (1, 77, report(A)), (2, 1, "no crash")], 2, None, False, 0),  # a sample failed
+        ([(0, 77, report(A)), (1, 77, report(A))], 2, None, False, 0),  # a sample is absent
+        ([(0, 77, report(A)), (2, 77, report(A)), (3, 77, report(A))], 2, None, False, 0),  # the right number of the wrong samples
+        ([(0, 77, report(A))], 0, None, False, 1),  # a single report is no proof of a stable depth
+        ([(0, 77, report(A)), (1, 77, report(A)), (2, 77, report(A)), (3, 1, "not expected")], 2, None, True, 1),
+        ([(0, 1, "no crash"), (1, 77, report(A)), (2, 77, report(A))], 2, "no crash", False, 0),
+        ([(1, 77, report(A)), (2, 77, report(A))], 2, "no crash", False, 0),
+        ([(0, 77, report([], None)), (1, 77, report(A))], 1, "no signature", False, 0),
+        ([(0, 77, report([("crash", HARNESS, 9)], "/work/h.cpp:9:3: runtime error: division by 0")), (1, 77, report(A))], 1, "harness fault", False, 0),
+        ([(0, 77, report(A)), (1, 77, report([("crash", HARNESS, 9), ("via_a", LIB, 12)], "/src/lib.cc:7:3: runtime error: division by 0"))], 1, None, True, 0),
+        ([(0, 77, report(A)), (1, 77, MOVED)], 1, None, True, 0),  # the location changed
+        ([(0, 77, report(A)), (1, 77, CHANGED)], 1, None, True, 0),  # the signature changed
+    ],
+)
+def test_samples_that_reject_a_reference(spark, samples, runs, rejected, strict, traces):
+    reference, known, _ = captured(spark, samples, runs)
+    assert (reference.rejected, reference.depth_strict, known) == (rejected, strict, traces)
+    assert (reference.ref_signature is None) == (rejected is not None)
+
+
+def test_strictness_is_that_of_the_depth_record(spark):
+    for samples in (GOOD, [(0, 77, report(A)), (1, 77, report(A))], [(0, 77, report(A)), (1, 1, "")]):
+        reference, _, parsed = captured(spark, samples, 1)
+        grid = ev.expected_samples(parsed.where("ref = 'r'"), ["ref"], runs=1)
+        expected = next(r.depth for r in grid.collect() if r.sample == 0)
+        runs = grid.where("sample > 0").select("ref", F.col("sample").alias("run"), "depth", F.lit(expected).alias("expected_depth"), (~(F.coalesce("status", F.lit(0)) == 77)).alias("failed"), F.lit(1).alias("wall_ns"))
+        assert depth_stability(runs, ["ref"]).first().stable == reference.depth_strict
+
+
+def test_hints_choose_the_library_site(spark):
+    lines = "\n".join(["/src/lib.cc:7:3: runtime error: division by 0"] + [f"    #{i} 0x1{i}  ({lib}+0x{i}f)" for i, lib in enumerate(["/lib/libc.so.6", "/opt/liba.so.1", "/opt/libb.so.2"])]) + "\n"
+    kind = "ref string, exact_paths array<string>, exact_names array<string>, stems array<string>, allow_fallback boolean"
+    cases = [(None, "/opt/liba.so.1"), (([], ["libb.so.2"], [], False), "/opt/libb.so.2"), (([], [], ["libb.so"], True), "/opt/libb.so.2"), (([], [], ["libz.so"], True), "/opt/liba.so.1"), (([], [], ["libz.so"], False), None)]
+    for hint, library in cases:
+        hints = None if hint is None else spark.createDataFrame([("r", *hint)], kind)
+        assert captured(spark, [(0, 77, lines)], 0, hints)[0].ref_library == library
+
+
+def test_candidates_of_a_rejected_reference_match_nothing(spark):
+    assert judge(spark, [(1, 1, 77, report(A))], samples=[(0, 1, "no crash"), (1, 77, report(A))]) == {1: ("mismatch", 1)}
+    assert judge(spark, [(1, 1, 77, report(A))]) == {1: ("match", 1)}
+
+
+def test_own_rules_replace_the_checks(spark):
+    """Only status and depth count, and a report without frames lacks evidence."""
+
+    def rules(symbolize):
+        depth = F.when(F.col("depth") == 0, ev.MISSING).when(F.col("depth") == F.col("ref_depth"), ev.MATCH).otherwise(ev.MISMATCH)
+        return [("status", F.when(F.col("status") == 77, ev.MATCH).otherwise(ev.MISMATCH)), ("own depth", depth)]
+
+    attempts = [(1, 1, 77, report(OTHER)), (2, 1, 77, report(B)), (3, 1, 77, "nothing"), (3, 2, 77, report(A, None)), (4, 1, 1, report(A))]
+    got = judge(spark, attempts, rules=rules)
+    assert got == {1: ("match", 1), 2: ("mismatch", 1), 3: ("match", 2), 4: ("mismatch", 1)}

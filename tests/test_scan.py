@@ -157,3 +157,52 @@ def test_queue_runs_dry_in_order(spark):
     records = spark.createDataFrame([("S", 1, 5, "x"), ("S", 1, 9, "y"), ("R", 1, 1, "z")], "tag string, key long, seq long, value string")
     got = vl.pair_in_order(calls, records, ["tag", "key"], "seq", "value", chunk=chunk_of(F.col("seq"), 4)).orderBy("seq")
     assert [(r["value"], r["status"]) for r in got.collect()] == [("x", "ok"), ("y", "ok"), (None, "exhausted")]
+
+
+def test_scans_over_a_hot_key_with_positions_far_apart(spark):
+    """Every row is a cell of its own, and the cells of the hot key fall into many cells of cells."""
+    far = 1 << 20
+    rows = [("hot" if i % 3 else None, i * far - 500 * far, i % 17) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, p long, v long").withColumn("p", F.col("p") * (1 << 10))
+    got = running_max(running_sum(df, ["k"], ["p"], chunk_of(F.col("p")), F.col("v"), "s"), ["k"], ["p"], chunk_of(F.col("p")), F.col("v"), "m", inclusive=False)
+    want = {}
+    for key in ("hot", None):
+        total, top = 0, None
+        for k, p, v in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            total += v
+            want[p << 10] = (k, total, top)
+            top = v if top is None else max(top, v)
+    assert {r["p"]: (r["k"], r["s"], r["m"]) for r in got.collect()} == want
+
+
+def test_a_scan_reads_once_and_exchanges_rows_once(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(5000).select((F.col("id") % 3).alias("k"), "id", F.lit("x" * 20).alias("wide")).write.parquet(path)
+    df = spark.read.parquet(path)
+    scanned = number_rows(df, ["k"], ["id"], chunk_of(F.col("id"), 100), "n")
+    assert scanned.agg(F.max("n")).first()[0] == 1667
+    scanned.collect()
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+    assert sum("Exchange hashpartitioning" in line and "_cell" in line and "REPARTITION_BY_COL" in line and "Reused" not in line for line in final.splitlines()) == 1
+
+
+def test_percentiles_by_radix_rounds(spark):
+    """Values so close together that they share their leading bits, and others that share none."""
+    rng = random.Random(11)
+    rows = [("near", 2**62 + rng.randrange(10**9)) for _ in range(400)] + [("negative", -(2**61) - rng.randrange(10**12)) for _ in range(301)]
+    rows += [("spread", rng.choice([-1, 1]) * rng.randrange(2 ** rng.randint(1, 63))) for _ in range(500)] + [("ties", rng.choice([5, 5, 5, 2**40])) for _ in range(99)]
+    rows += [("none", None), (None, 7), (None, None)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    for ordered in (1, 3, 1 << 12):
+        got = {r["k"]: r for r in exact_summary(df, ["k"], "v", ordered).collect()}
+        assert set(got) == {"near", "negative", "spread", "ties", "none", None}
+        for k, r in got.items():
+            values = sorted(v for key, v in rows if key == k and v is not None)
+            assert r["samples"] == len(values)
+            if values:
+                assert (r["min"], r["max"], r["p95"]) == (values[0], values[-1], values[max(0, math.ceil(0.95 * len(values)) - 1)])
+                assert math.isclose(r["median"], statistics.median(values), rel_tol=1e-12)
+            else:
+                assert r["median"] is None and r["p95"] is None
