@@ -11,8 +11,8 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from cinderframe.llm.common import pieces, text_rows
-from cinderframe.llm.components import components
 from cinderframe.llm.ngram_jaccard import ODD, _mix, _parities, linked_documents, shingle_sets
+from cinderframe.plans.components import components
 from cinderframe.session import written
 
 #: Codes of each collection and minhashes of each code. Two collections give CODES ** 2 tables of 2 * ROWS minhashes for 2 * CODES * ROWS
@@ -22,7 +22,7 @@ CODES, ROWS = 18, 3
 SIGMAS = 7
 #: Members of a group that are compared with its centre in one place.
 TOGETHER = 256
-#: Most members of a key outside its largest component for which all pairs of components are looked at.
+#: Most holders of a code outside their largest component for which keys and pairs of components are made.
 OUTSIDERS = 8
 
 
@@ -149,44 +149,39 @@ def _verified(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) ->
 
 def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
     """class, root: the least class reachable over links."""
-    roots = components(links, "tensor-components").withColumnRenamed("node", "class")
+    roots = components(links).withColumnRenamed("node", "class")
     return written(classes.select("class").join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root")), "tensor-roots")
 
 
-def _tables(classes: DataFrame, rooted: DataFrame) -> DataFrame:
-    """key, class, root: rows of all CODES ** 2 tables that can still tell something new.
+def _tables(classes: DataFrame, rooted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What all CODES ** 2 tables can still tell: (key, class, root, largest) of keys with few outsiders, and the crowded classes.
 
-    A code whose holders all have one root links nothing, nor does any key made of it, so keys are made of the other codes only.
+    A code whose holders all have one root links nothing, nor does any key made of it. A code is crowded if more than OUTSIDERS of its
+    holders are outside their largest component. Keys with a code that is not are made; their members outside `largest` are few,
+    too. A class with crowded codes on both sides may have partners in keys that are not made.
     """
-    sides = classes.select("class", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("codes")), F.struct(F.lit(1).alias("side"), F.col("right").alias("codes")))).alias("s"))
+    sides = classes.select("class", F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(name).alias("codes")) for side, name in enumerate(("left", "right"))])).alias("s"))
     codes = sides.select("class", "s.side", F.explode("s.codes").alias("code")).join(rooted, "class")
-    live = codes.groupBy("code").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("code")
-    held = codes.join(live, "code").groupBy("class", "root").agg(
-        F.collect_list(F.when(F.col("side") == 0, F.col("code"))).alias("left"), F.collect_list(F.when(F.col("side") == 1, F.col("code"))).alias("right")
+    held = codes.groupBy("code", "root").count().groupBy("code").agg(F.sum("count").alias("held"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots"))
+    live = held.filter("roots > 1").select("code", F.col("top.root").alias("largest"), (F.col("held") - F.col("top.count") > OUTSIDERS).alias("crowded"))
+    code = F.struct("code", "largest", "crowded")
+    mine = codes.join(live, "code").groupBy("class", "root").agg(
+        F.collect_list(F.when(F.col("side") == 0, code)).alias("left"), F.collect_list(F.when(F.col("side") == 1, code)).alias("right")
     )  # CODES codes of a side at most
-    keys = held.select("class", "root", F.explode("left").alias("one"), "right").select("class", "root", "one", F.explode("right").alias("two"))
-    keys = written(keys.select(F.xxhash64("one", "two").alias("key"), "class", "root"), "tensor-keys")
-    mixed = keys.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    return written(keys.join(mixed, "key"), "tensor-tables")
+    mine = written(mine, "tensor-codes")
+    keys = mine.select("class", "root", F.explode("left").alias("one"), "right").select("class", "root", "one", F.explode("right").alias("two")).filter("not (one.crowded and two.crowded)")
+    largest = F.when(F.col("one.crowded"), F.col("two.largest")).otherwise(F.col("one.largest"))
+    keys = keys.select(F.xxhash64("one.code", "two.code").alias("key"), "class", "root", largest.alias("largest"))
+    both = F.exists("left", lambda c: c["crowded"]) & F.exists("right", lambda c: c["crowded"])
+    return keys, mine.filter(both).select(F.col("class").alias("row"))
 
 
-def _by_outsiders(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keys of several components, as (key, largest), if at most OUTSIDERS members are outside the largest; the other such keys."""
-    groups = tables.groupBy("key", "root").count()
-    keys = groups.groupBy("key").agg(F.sum("count").alias("held"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots"))
-    keys = written(keys.filter("roots > 1").select("key", F.col("top.root").alias("largest"), (F.col("held") - F.col("top.count")).alias("outside")), "tensor-mixed")
-    return keys.filter(F.col("outside") <= OUTSIDERS).select("key", "largest"), keys.filter(F.col("outside") > OUTSIDERS).select("key")
-
-
-def _outsider_pairs(tables: DataFrame, keys: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of different components in `keys`: one of each is outside the largest, so they are linear in the members."""
-    wide = tables.join(keys, "key").join(classes.select("class", "n", *ODD), "class")
-
-    def side(x: str, rows: DataFrame) -> DataFrame:
-        return rows.select("key", *[F.col(c).alias(new) for c, new in (("class", x), ("n", f"n{x}"), ("root", f"root_{x}"), *((c, f"{c}_{x}") for c in ODD))])
-
-    met = side("a", wide.filter("root <> largest")).join(side("b", wide), "key").filter("root_a <> root_b").filter(_fits(percent))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _outsider_pairs(keys: DataFrame) -> DataFrame:
+    """Pairs of members of different components by key: one of each is outside the largest, so they are linear in the members."""
+    keys = written(keys, "tensor-tables")
+    outside = keys.filter("root <> largest")
+    met = outside.select("key", F.col("class").alias("x"), F.col("root").alias("root_x")).join(keys.select("key", "class", "root"), "key")
+    return met.filter("root <> root_x").select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
 
 
 def _settled(rows: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
@@ -211,10 +206,11 @@ def linked_by_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     1. Rows of equal words (by sha256) are one class, told by its least row.
     2. Classes that share a key of one of the CODES tables (i, i) are compared with the least of their key and size.
-    3. Of all CODES ** 2 tables the keys that still hold several components are looked at: first the components' least members against one
-       of them; then, where at most OUTSIDERS members are outside the largest component, these against all members of other components.
-    4. Crowded keys, whose members share much but do not link (one passage in all of them), would make pairs by the square. Their members
-       are settled by the grouped prefix join instead, which is exact: it looks at rare shingles, not at what all of them share.
+    3. Of all CODES ** 2 tables the keys are made whose codes are both held by several components, one of them with at most OUTSIDERS
+       holders outside the largest component; these are compared with all members of the key in other components.
+    4. Crowded codes, whose holders share much but do not link (one passage in all of them), would make pairs by the square. Classes with
+       crowded codes on both sides are settled by the grouped prefix join instead, which is exact: it looks at rare shingles, not at what all
+       of them share.
 
     Only classes that share a table meet, and pairs within a component are skipped, so a group of copies costs a pair for each
     member. Pairs go through the exact bounds of sizes and parities, then the share of equal minhashes, then both whole texts, word by word.
@@ -242,18 +238,9 @@ def linked_by_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = written(links.unionByName(_verified(_likely(stars, classes, percent), bodies, width, percent)), "tensor-links")
     rooted = _rooted(classes, links)
 
-    # 3: all tables, between components
-    tables = _tables(classes, rooted)
-    groups = tables.groupBy("key", "root").agg(F.min("class").alias("class"))
-    first = groups.groupBy("key").agg(F.min(F.struct("root", "class")).alias("first")).select("key", F.col("first.class").alias("a"))
-    stars = groups.join(first, "key").select("a", F.col("class").alias("b")).filter("a <> b").distinct()
-    links = written(links.unionByName(_verified(_likely(stars, classes, percent), bodies, width, percent)), "tensor-links")
-    rooted = _rooted(classes, links)
-
-    tables = written(tables.drop("root").join(rooted, "class"), "tensor-tables")
-    few, many = _by_outsiders(tables)
-    links = links.unionByName(_verified(_likely(_outsider_pairs(tables, few, classes, percent), classes, percent), bodies, width, percent))
-    crowded = tables.join(many, "key", "left_semi").select(F.col("class").alias("row")).distinct()
+    # 3 and 4: all tables, between components
+    keys, crowded = _tables(classes, rooted)
+    links = links.unionByName(_verified(_likely(_outsider_pairs(keys), classes, percent), bodies, width, percent))
     links = links.unionByName(_settled(crowded, bodies, width, percent))
     rooted = _rooted(classes, links)
 
