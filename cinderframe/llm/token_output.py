@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -21,11 +20,10 @@ from cinderframe.session import new_folder, written
 
 #: Text bytes of one record file.
 FILE_BYTES = 32 << 20
-#: Words whose ids a worker remembers.
-REMEMBERED = 1 << 20
-#: A space at either end of a text or next to other white space.
-LOOSE_SPACE = re.compile(r"(?:^|\s) | (?:\s|\Z)")
-INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
+#: Bytes of words and ids, with what Python adds, that a worker remembers.
+REMEMBERED = 96 << 20
+ADDED = 160
+INDEX = np.dtype([("doc_id", "<i8"), ("null_id", "?"), ("offset", "<u8"), ("n_tokens", "<u8")])
 
 
 def masked(data: bytes) -> int:
@@ -55,15 +53,15 @@ def frames(data: bytes) -> Iterator[bytes]:
         at = end + 4
 
 
-def serialized(doc_id: int, ids: np.ndarray) -> bytes:
-    """id i64 | width of an id in bytes u8 | ids; two bytes an id where all fit."""
+def serialized(doc_id: int | None, ids: np.ndarray) -> bytes:
+    """id i64 (0 if null) | 1 if the id is null u8 | width of a token id in bytes u8 | token ids; two bytes each where all fit."""
     width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-    return struct.pack("<qB", doc_id, width) + ids.astype(f"<u{width}").tobytes()
+    return struct.pack("<qBB", doc_id or 0, doc_id is None, width) + ids.astype(f"<u{width}").tobytes()
 
 
-def deserialized(payload: bytes) -> tuple[int, np.ndarray]:
-    doc_id, width = struct.unpack("<qB", payload[:9])
-    return doc_id, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4")
+def deserialized(payload: bytes) -> tuple[int | None, np.ndarray]:
+    doc_id, null, width = struct.unpack("<qBB", payload[:10])
+    return None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
 
 
 class Encoder:
@@ -71,22 +69,26 @@ class Encoder:
 
     A byte-level pre-tokenizer ends a token in front of a single space that has other characters than white space on
     both sides, so text may be cut there and the ids of the cuts put together. Texts where other white space touches a space keep
-    those places whole.
+    those places whole; that shows in words that are told at their first use. Strings of special tokens are those tokens, as the
+    library has it; none of them holds white space.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.held = 0
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(char.isspace() for token in self.special for char in token):
+            raise ValueError("a special token with white space cannot be cut around")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.begins = np.zeros(max(vocabulary.values()) + 2, bool)  # ids whose first byte is a space, written as U+0120
         self.begins[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
 
-    def _cuts(self, text: str) -> list[str]:
-        if "\0" not in text and not LOOSE_SPACE.search(text):
-            return text.replace(" ", "\0 ").split("\0")
+    @staticmethod
+    def _whole(text: str) -> list[str]:
+        """Cuts in front of the single spaces between other characters than white space only."""
         first, *rest = text.split(" ")
         cuts = [first]
         for word in rest:
@@ -96,26 +98,57 @@ class Encoder:
                 cuts[-1] += " " + word
         return cuts
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cuts = [self._cuts(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def _learn(self, fresh: set[str]) -> list[str]:
+        """Remember the ids of fresh words; return those that begin or end with loose white space.
+
+        Words of one space in front of other characters are encoded as one text.
+        """
+        plain = [w for w in fresh if w[:1] == " " and not w[-1].isspace() and not w[1].isspace() and w.rfind(" ") == 0]
+        joined = "".join(plain)
+        if any(token in joined for token in self.special):
+            plain = [w for w in plain if not any(token in w for token in self.special)]
         known = self.known
-        fresh = {word for words in cuts for word in words if word not in known}
-        # words with one space, in front of another character, are encoded as one text and told apart by the ids that begin with it
-        plain = [w for w in fresh if w.rfind(" ") == 0 and len(w) > 1 and not w[1].isspace() and not w[-1].isspace()]
         for at in range(0, len(plain), 2048):
             part = plain[at : at + 2048]
-            found = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(self.begins[found])[1:], len(found)).tolist()
+            found = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(self.begins[found])[1:] * 4, len(found) * 4).tolist()
             data, start = found.tobytes(), 0
             for word, end in zip(part, ends, strict=True):
-                known[word] = data[4 * start : 4 * end]
+                known[word] = data[start:end]
                 start = end
         other = list(fresh.difference(plain))
-        for word, ids in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+        for word, ids in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
             known[word] = np.array(ids.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[word] for word in words]), "<u4") for words in cuts]
+        self.held += 3 * len(joined) + 3 * sum(map(len, other)) + ADDED * len(fresh)
+        return [w for w in other if self._is_loose(w)]
+
+    @staticmethod
+    def _is_loose(word: str) -> bool:
+        return word == " " or word[:1] == " " and word[1].isspace() or word[-1:].isspace()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.held > REMEMBERED:
+            self.known.clear()
+            self.held = 0
+        get = self.known.get
+        cuts = [self._whole(text) if "\0" in text else text.replace(" ", "\0 ").split("\0") for text in texts]
+        found = [list(map(get, words)) for words in cuts]
+        fresh: set[str] = set()
+        for k, (words, ids) in enumerate(zip(cuts, found)):
+            if None not in ids:
+                continue
+            unknown = {word for word, held in zip(words, ids) if held is None}
+            # white space beside a space: such words are never remembered, so a text that needs its spaces whole shows here
+            if any(map(self._is_loose, unknown)):
+                cuts[k] = words = self._whole(texts[k])
+                found[k] = list(map(get, words))
+                unknown = {word for word in words if word not in self.known}
+            fresh |= unknown
+        loose = self._learn(fresh)
+        out = [np.frombuffer(b"".join(map(get, words)) if None in ids else b"".join(ids), "<u4") for words, ids in zip(cuts, found)]
+        for word in loose:
+            del self.known[word]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -138,7 +171,7 @@ def write_records(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id
     """Encode, write in ascending id order, return the manifest: part, file, index, n_docs, n_tokens.
 
     Ranges of ids become files. A task writes under names of its own attempt and reports them, so what a lost or repeated
-    attempt left behind is never read. Beside each file stands its index (id, offset, tokens of every record), for
+    attempt left behind is never read. Beside each file stands its index (id, whether it is null, offset, tokens of every record), for
     reading single records in any order.
     """
     rows = text_rows(docs, id_col, text_col)
@@ -159,10 +192,9 @@ def write_records(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id
                     out = store.open_output_stream(f"{name}.rec")
                 for doc_id, found in zip(ids[i:j], known.encode(texts[i:j])):
                     found = np.append(found, np.uint32(end_id)).astype("<u4")
-                    # a null id is written as the lowest number
-                    record = frame(serialized(-(2**63) if doc_id is None else doc_id, found))
+                    record = frame(serialized(doc_id, found))
                     out.write(record)
-                    index.append((-(2**63) if doc_id is None else doc_id, at, len(found)))
+                    index.append((doc_id or 0, doc_id is None, at, len(found)))
                     at, tokens = at + len(record), tokens + len(found)
         if out is None:
             return
@@ -177,7 +209,7 @@ def write_records(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id
     return rows.mapInArrow(write, "part int, file string, index string, n_docs long, n_tokens long")
 
 
-def read_at(folder: str, file: str, offset: int) -> tuple[int, np.ndarray]:
+def read_at(folder: str, file: str, offset: int) -> tuple[int | None, np.ndarray]:
     """One record by its place in the index."""
     store, _ = fs.FileSystem.from_uri(folder)
     with store.open_input_file(file) as source:
@@ -201,7 +233,7 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                 rows: list[tuple] = []
                 for payload in frames(data):
                     doc_id, ids = deserialized(payload)
-                    rows.append((None if doc_id == -(2**63) else doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -208,8 +208,9 @@ def test_token_records(spark, odd, documents):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(queries.tokenizer_path())
-    whole.encode_special_tokens = True
-    for docs in (odd, documents):
+    special = spark.createDataFrame([(-(2**63), "hi <|endoftext|> there"), (2, "<|endoftext|>"), (3, "x<|endoftext|>  <|endoftext|>y "), (4, "a <|endoftext> b\n")], "doc_id long, text string")
+    assert 50256 in whole.encode("hi <|endoftext|> there", add_special_tokens=False).ids
+    for docs in (odd, documents, special):
         start = 0
         got = {r.doc_id: r for r in token_output.token_records(docs, queries.tokenizer_path()).collect()}
         for key, text in sorted(_texts(docs)):
@@ -226,7 +227,7 @@ def test_token_files(spark, tmp_path, repeated, empty):
         index = np.fromfile(r["index"], token_output.INDEX)
         for entry in index:
             key, ids = token_output.read_at(folder, r.file, int(entry["offset"]))
-            assert key == entry["doc_id"] and len(ids) == entry["n_tokens"]
+            assert key == (None if entry["null_id"] else entry["doc_id"]) and len(ids) == entry["n_tokens"]
         broken = bytearray(open(r.file, "rb").read())
         broken[15] ^= 1
         with pytest.raises(ValueError):
@@ -238,7 +239,9 @@ def test_encoder_cuts_like_the_library():
     known = token_output.encoder(queries.tokenizer_path())
     texts = ["", " ", "a  b", "a \n b", "\n\n x", "don't  stop 12 a1!!   b", "x  y <|endoftext|> z", "tail "]
     want = [e.ids for e in known.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in known.encode(texts)] == want
+    for _ in range(2):  # with words remembered, too, and one by one
+        assert [x.tolist() for x in known.encode(texts)] == want
+    assert [known.encode([t])[0].tolist() for t in texts] == want
 
 
 # 5: pages
