@@ -144,7 +144,29 @@ def type_inference(spark, folder):
         .when(F.col("l_partkey") % 7 == 2, F.lit("-1"))
         .otherwise(F.lit("0x10"))
     )
-    values = li.select(F.col("l_orderkey").alias("key"), sc.scalar_fields(text).alias("s")).select("key", F.col("s.whole").alias("scalar_int"))
+    values = li.select(F.col("l_orderkey").alias("key"), sc.scalar_fields(text).alias("s")).select("key", F.col("s.digits").alias("scalar_digits"))
+    return ops.infer_type(values, ["key"])
+
+
+def _wide_texts(spark, folder):
+    """Integers of 41 digits and more, and as many hexadecimal ones, beside small numbers."""
+    li = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    p = F.col("l_partkey")
+    forms = [
+        F.concat(F.lit("0x"), F.lower(F.hex(p)), F.repeat(F.lit("0"), F.lit(36))), F.concat(F.lit("-0X"), F.hex(p), F.repeat(F.lit("0"), F.lit(36))),
+        F.concat(_str(p), F.repeat(F.lit("7"), F.lit(40))), F.concat(F.lit("-"), _str(p), F.repeat(F.lit("0"), F.lit(41))),
+        F.concat(_str(p), F.lit("e40")), F.concat(_str(p), F.lit(".5e41")), F.concat(F.lit("0b1"), F.repeat(F.lit("0"), F.lit(144))), _str(p),
+    ]
+    text = F.element_at(F.array(*forms), (p % len(forms) + 1).cast("int"))
+    return li.select("l_orderkey", p, text.alias("text"), sc.scalar_fields(text).alias("s"))
+
+
+def trace_scalar_wide(spark, folder):
+    return _wide_texts(spark, folder).select("l_partkey", "text", F.col("s.kind").alias("kind"), F.col("s.digits").alias("digits")).distinct()
+
+
+def type_inference_wide(spark, folder):
+    values = _wide_texts(spark, folder).select(F.col("l_orderkey").alias("key"), F.col("s.digits").alias("scalar_digits"))
     return ops.infer_type(values, ["key"])
 
 
@@ -247,6 +269,8 @@ QUERIES = {
     "trace_streams": trace_streams,
     "stream_homogeneity": stream_homogeneity,
     "type_inference": type_inference,
+    "trace_scalar_wide": trace_scalar_wide,
+    "type_inference_wide": type_inference_wide,
     "fifo_pairing": fifo_pairing,
     "pick_index": pick_index,
     "callsite_lookup": callsite_lookup,
@@ -285,7 +309,23 @@ walk AS (
 m AS (SELECT file, site, opt.k AS matched_key, CAST(opt.p AS INTEGER) AS candidate, opt.r AS records, outcome FROM walk WHERE rn > 0)
 """
 
+# 16^36 and its two halves of 20 digits, to multiply by a part number without a number of more than 38 digits.
+_WIDE = """
+d AS (SELECT DISTINCT l_orderkey AS key, l_partkey AS p FROM lineitem),
+x AS (SELECT *, p::HUGEINT * 18272648361505980416 AS lo, p::HUGEINT * 223007451985306231415357 AS hi FROM d),
+w AS (SELECT key, p, p % 8 AS form, ((hi + lo // 100000000000000000000)::VARCHAR || lpad((lo % 100000000000000000000)::VARCHAR, 20, '0')) AS hexed FROM x),
+v AS (SELECT key, p, form,
+  CASE form WHEN 0 THEN '0x' || format('{:x}', p) || repeat('0', 36) WHEN 1 THEN '-0X' || upper(format('{:x}', p)) || repeat('0', 36) WHEN 2 THEN p || repeat('7', 40)
+    WHEN 3 THEN '-' || p || repeat('0', 41) WHEN 4 THEN p || 'e40' WHEN 5 THEN p || '.5e41' WHEN 6 THEN '0b1' || repeat('0', 144) ELSE p::VARCHAR END AS text,
+  CASE WHEN p = 0 THEN '0' WHEN form = 0 THEN hexed WHEN form = 1 THEN '-' || hexed WHEN form = 2 THEN p || repeat('7', 40) WHEN form = 3 THEN '-' || p || repeat('0', 41) WHEN form = 4 THEN p || repeat('0', 40)
+    WHEN form = 5 THEN p || '5' || repeat('0', 40) WHEN form = 6 THEN '22300745198530623141535718272648361505980416' ELSE p::VARCHAR END AS digits FROM w)
+"""
+
 ORACLES = {
+    "trace_scalar_wide": f"WITH {_WIDE} SELECT DISTINCT p AS l_partkey, text, 'int' AS kind, digits FROM v",
+    "type_inference_wide": f"""
+WITH {_WIDE} SELECT key, CASE WHEN bool_and(form = 7 OR p = 0) THEN 'int' WHEN bool_and(form NOT IN (1, 3)) THEN 'unsigned long long' ELSE 'long long' END AS type, count(*) AS records
+FROM v GROUP BY key""",
     "trace_parse": f"""
 WITH {FX} SELECT tag, valid, CASE WHEN tag = 'S' AND valid THEN qty::VARCHAR END AS scalar_text, CASE WHEN tag = 'S' AND valid THEN qty::BIGINT END AS scalar_int,
   CASE WHEN tag = 'R' AND valid THEN l_linenumber::BIGINT END AS size_value, CASE WHEN tag = 'B' AND valid THEN coalesce(hex, '') END AS payload,

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cinderframe.functions.frames import let
+from cinderframe.functions.scalars import compare_digits
 from cinderframe.operators.spans import clusters, overlap_counts
 from cinderframe.plans.components import components
 from cinderframe.plans.scan import chunk_of, null_safe_join, number_rows, running_max
@@ -83,18 +84,18 @@ def queue_sizes(records: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def infer_type(values: DataFrame, keys: list[str], exact: str = "scalar_int") -> DataFrame:
+def infer_type(values: DataFrame, keys: list[str], digits: str = "scalar_digits") -> DataFrame:
     """Narrowest array element type that holds all values of a queue.
 
-    `exact` is NULL for a value that is not an integer.
+    `digits` is the decimal text of an integer, of any length, and NULL for a value that is not one.
     """
-    low, high = F.min(exact), F.max(exact)
-    fractional = F.count(F.lit(1)) > F.count(exact)
-    bound = lambda text: F.lit(text).cast("decimal(38,0)")
+    at_most = lambda bound: compare_digits(F.col(digits), bound)
+    whole = F.count(F.lit(1)) == F.count(digits)
+    small = F.bool_and(at_most(2**31 - 1) & ~at_most(-(2**31) - 1))
     name = (
-        F.when(fractional, "double")
-        .when((low >= bound("-2147483648")) & (high <= bound("2147483647")), "int")
-        .when((low >= bound("0")) & (high > bound("9223372036854775807")), "unsigned long long")
+        F.when(~whole, "double")
+        .when(small, "int")
+        .when(F.bool_and(~at_most(-1)) & F.bool_or(~at_most(2**63 - 1)), "unsigned long long")
         .otherwise("long long")
     )
     return values.groupBy(*keys).agg(name.alias("type"), F.count(F.lit(1)).alias("records"))

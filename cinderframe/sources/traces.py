@@ -53,6 +53,7 @@ def parse_records(lines: DataFrame, keep: list[str]) -> DataFrame:
         F.when(tag == "S", text).alias("scalar_text"),
         F.col("s.whole").alias("scalar_int"),
         F.col("s.real").alias("scalar_dbl"),
+        F.col("s.digits").alias("scalar_digits"),
         F.when(tag.isin("R", "P"), parse_integer(text).try_cast("long")).alias("size_value"),
         F.when(tag == "B", _bytes(F.col("p"))).alias("payload"),
     )

@@ -1,8 +1,12 @@
 """Single cases that once ended a job or changed an answer."""
 
+import random
+from decimal import Decimal, InvalidOperation
+from fractions import Fraction
+
 from pyspark.sql import functions as F
 
-from cinderframe.functions.scalars import parse_integer
+from cinderframe.functions.scalars import compare_digits, integer_digits, parse_integer, scalar_fields
 from cinderframe.operators.evidence import match_trace_set
 from cinderframe.operators.spans import apply_edits, select_edits
 from cinderframe.sources.telemetry import classify_lines
@@ -63,3 +67,38 @@ def test_edit_selection_does_not_depend_on_the_fold_limit(spark):
     folded, rounds = (sorted(map(tuple, select_edits(df, ["file"], limit).select(*df.columns).collect())) for limit in (1000, 1))
     assert rounds == folded
     assert set(folded) == set(edits) - {edits[1], edits[4], edits[7], edits[11], edits[13]}
+
+
+def test_integers_of_any_length(spark):
+    rng = random.Random(3)
+    texts = ["0x0", "-0x0", "-0", "+0x10", "0o17", "-0b101", "00", "01", "1.50e1", "1.5", "-2.0", "x", "", "0x", "1e0", "0.0e5", "-1e-3", "12e-1", "120e-1"]
+    texts += [f"{sign}{prefix}{''.join(rng.choice(letters) for _ in range(n))}" for sign in ("", "-") for n in (30, 31, 40, 41, 97) for prefix, letters in (("0x", "0123456789abcdefABCDEF"), ("0o", "01234567"), ("0b", "01"), ("7", "0123456789"))]
+    texts += ["0x1" + "0" * 64, "0x" + "f" * 64, f"{10**40}", f"1{'0' * 50}e-10", "5e60", "-3.25e45", hex(10**9), hex(10**18), hex(10**27), hex(10**45)]
+
+    def plain(text):
+        try:
+            return str(int(text, 0))
+        except ValueError:
+            pass
+        try:
+            value = Decimal(text)
+        except InvalidOperation:
+            return None
+        exact = Fraction(value) if value.is_finite() else Fraction(1, 2)
+        return str(exact.numerator) if exact.denominator == 1 else None
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", integer_digits(F.col("t")).alias("d"), scalar_fields(F.col("t")).alias("s")).collect()
+    assert {r.t: r.d for r in rows} == {t: plain(t) for t in texts}
+    for r in rows:
+        zero = r.d == "0" and r.t.startswith("-")
+        assert r.s.digits == (None if zero else r.d)
+        assert r.s.kind == ("int" if r.d is not None and not zero else "decimal" if r.t in ("-0", "-0x0", "1.5", "-1e-3", "12e-1") else None)
+        if r.d is not None:
+            assert r.s.real == float(int(r.d))
+
+
+def test_digits_against_bounds(spark):
+    numbers = [0, 1, -1, 2**31 - 1, 2**31, -(2**31), -(2**31) - 1, 2**63 - 1, 2**63, -(2**63), 10**41, -(10**41)]
+    df = spark.createDataFrame([(str(n),) for n in numbers], "d string")
+    for bound in (-1, 0, 2**31 - 1, -(2**31) - 1, 2**63 - 1):
+        assert [r[0] for r in df.select(compare_digits(F.col("d"), bound)).collect()] == [n <= bound for n in numbers]
