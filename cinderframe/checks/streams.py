@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinderframe.checks import evidence as ev
@@ -38,8 +40,18 @@ def _window_input(e: DataFrame) -> DataFrame:
     )
 
 
+def _last_beat(spark) -> DataFrame:
+    """A heartbeat far behind all rows of the tables."""
+    beats = new_folder(spark, "beats")
+    ops.beat(spark, beats, datetime(2200, 1, 1))
+    return ops.heartbeats(spark, beats)
+
+
 def windowed_throughput(spark, folder):
-    stream = ops.windowed_throughput(_window_input(stream_table(spark, folder, "events")), ["run"], "end_ts", "ns", "6 hours")
+    """All windows, the newest too: a heartbeat says that the events are over."""
+    stream = ops.windowed_throughput(
+        _window_input(stream_table(spark, folder, "events")), ["run"], "end_ts", "ns", "6 hours", beats=_last_beat(spark)
+    )
     out = new_folder(spark, "windows")
     ops.run_to_folder(stream, out, new_folder(spark, "checkpoint"))
     back = spark.read.schema("run string, window_start timestamp, checks bigint, busy_ns bigint, p95_ns bigint, checks_per_second double").parquet(out)
@@ -93,9 +105,12 @@ def stream_snapshot_changes(spark, folder):
 
 
 def stream_retry(spark, folder):
+    """Verdicts as they fall; those still open at their deadline are told as they stand."""
     attempts = ev.retry_attempts_of(stream_table(spark, folder, "conversations"))
+    attempts = attempts.withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("attempt") * 60))
     out = new_folder(spark, "verdicts")
-    ops.run_to_folder(ops.retry_verdicts(attempts), out, new_folder(spark, "checkpoint"))
+    told = ops.retry_verdicts(attempts, time="at", beats=_last_beat(spark))
+    ops.run_to_folder(told, out, new_folder(spark, "checkpoint"))
     return spark.read.schema("candidate bigint, verdict string, attempts bigint").parquet(out)
 
 
@@ -134,10 +149,9 @@ WITH {tm.FX} SELECT run, nullif(count(*) FILTER (event_id % 97 <> 0), 0) AS pars
 HAVING count(*) FILTER (NOT (event_id % 97 = 0 AND event_id % 4 = 3)) > 0""",
     "windowed_throughput": """
 WITH e AS (SELECT event_type AS run, ts, epoch_us(ts) // 21600000000 * 21600 AS window_start, CAST(round(value * 100) AS BIGINT) AS ns FROM events),
-w AS (SELECT max(epoch_ms(ts)) // 1 - 600000 AS mark FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY run, window_start ORDER BY ns) AS rn, count(*) OVER (PARTITION BY run, window_start) AS n FROM e)
 SELECT run, window_start, count(*) AS checks, CAST(sum(ns) AS BIGINT) AS busy_ns, max(CASE WHEN rn = ceil(CAST(0.95 AS DOUBLE) * n) THEN ns END) AS p95_ns,
-  count(*) / 21600.0::DOUBLE AS checks_per_second FROM r, w WHERE (window_start + 21600) * 1000 <= mark GROUP BY 1, 2""",
+  count(*) / 21600.0::DOUBLE AS checks_per_second FROM r GROUP BY 1, 2""",
     "closing_snapshot": _SNAPSHOT,
     "stream_snapshot": _SNAPSHOT,
     "stream_snapshot_changes": """
@@ -148,8 +162,8 @@ SELECT run, t_ns, content FROM l WHERE before IS DISTINCT FROM content""",
 WITH a AS (SELECT conv_id AS candidate, turn + 1 AS attempt,
   CASE WHEN role = 'system' OR (role = 'user' AND length(text) % 11 = 0) THEN 'mismatch'
        WHEN role = 'assistant' AND length(text) % 3 = 0 THEN 'match' ELSE 'missing_evidence' END AS result FROM conversations),
-d AS (SELECT candidate, min(attempt) FILTER (result <> 'missing_evidence' AND attempt <= 3) AS at_, max(attempt) AS last FROM a GROUP BY 1)
-SELECT d.candidate, coalesce(a.result, 'missing_evidence') AS verdict, coalesce(at_, 3) AS attempts
-FROM d LEFT JOIN a ON a.candidate = d.candidate AND a.attempt = d.at_ WHERE at_ IS NOT NULL OR last >= 3""",
+d AS (SELECT candidate, min(attempt) FILTER (result <> 'missing_evidence' AND attempt <= 3) AS at_, max(attempt) FILTER (attempt <= 3) AS last FROM a GROUP BY 1)
+SELECT d.candidate, coalesce(a.result, 'missing_evidence') AS verdict, coalesce(at_, last) AS attempts
+FROM d LEFT JOIN a ON a.candidate = d.candidate AND a.attempt = d.at_""",
     "stream_first_seen": "SELECT DISTINCT event_type || '@' || (user_id % 50) AS fingerprint FROM events",
 }

@@ -1,6 +1,7 @@
 """Single cases that once ended a job or changed an answer."""
 
 import random
+from datetime import datetime, timedelta
 from decimal import Decimal, InvalidOperation
 from fractions import Fraction
 
@@ -10,7 +11,7 @@ from cinderframe.functions.scalars import compare_digits, integer_digits, parse_
 from cinderframe.operators.evidence import match_trace_set
 from cinderframe.operators.spans import apply_edits, select_edits
 from cinderframe.sources.telemetry import classify_lines
-from cinderframe.streaming.pipelines import run_to_folder, snapshot_changes
+from cinderframe.streaming.pipelines import beat, heartbeats, retry_verdicts, run_to_folder, snapshot_changes
 
 
 def test_wide_and_zero_padded_radix_integers(spark):
@@ -102,3 +103,28 @@ def test_digits_against_bounds(spark):
     df = spark.createDataFrame([(str(n),) for n in numbers], "d string")
     for bound in (-1, 0, 2**31 - 1, -(2**31) - 1, 2**63 - 1):
         assert [r[0] for r in df.select(compare_digits(F.col("d"), bound)).collect()] == [n <= bound for n in numbers]
+
+
+def test_idle_runs_are_forgotten_and_silent_candidates_told(spark, tmp_path):
+    """Streams in steps: each step is a file, processed to the end with the same checkpoint."""
+    source, beats = str(tmp_path / "in"), str(tmp_path / "beats")
+    for t, run in ((0, 1), (10_000, 2), (20_000, 1), (20_100, 1)):
+        spark.createDataFrame([(run, (1_700_000_000 + t) * 10**9, 7)], "run long, t_ns long, content long").write.mode("append").parquet(source)
+        accepted = spark.readStream.schema("run long, t_ns long, content long").parquet(source)
+        run_to_folder(snapshot_changes(accepted, idle_s=3600, delay="0 seconds"), str(tmp_path / "out"), str(tmp_path / "mark"))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.run, r.t_ns // 10**9 - 1_700_000_000) for r in rows) == [(1, 0), (1, 20_000), (2, 10_000)]
+
+    tried = str(tmp_path / "tried")
+    at = datetime(2024, 1, 1)
+    first = [(1, 1, "missing_evidence", at), (2, 2, "match", at), (3, 1, "match", at), (4, 3, "missing_evidence", at)]
+    spark.createDataFrame(first, "candidate long, attempt int, result string, at timestamp").write.parquet(tried)
+    attempts = spark.readStream.schema("candidate long, attempt int, result string, at timestamp").parquet(tried)
+    told = []
+    for hours in (0, 3):
+        beat(spark, beats, at + timedelta(hours=hours))
+        stream = retry_verdicts(attempts, time="at", patience_s=3600, delay="1 minute", beats=heartbeats(spark, beats))
+        run_to_folder(stream, str(tmp_path / "told"), str(tmp_path / "told-mark"))
+        told.append(sorted(map(tuple, spark.read.parquet(str(tmp_path / "told")).collect())))
+    assert told[0] == [(3, "match", 1)]
+    assert told[1] == [(1, "missing_evidence", 1), (2, "match", 2), (3, "match", 1), (4, "missing_evidence", 3)]
