@@ -8,7 +8,10 @@ from cinderframe.checks import reports as rp
 from cinderframe.checks.tables import table
 from cinderframe.operators import evidence as ops
 from cinderframe.operators import reports as parse
-from cinderframe.session import written
+from cinderframe.plans import pipelines
+from cinderframe.session import new_folder, written
+from cinderframe.sources import sinks
+from cinderframe.sources.sinks import append_batch
 from cinderframe.sources.reports import alias_pair_json, alias_pairs_from_json, trace_set_from_json, tri_state
 
 KEYS = ["ref_id"]
@@ -142,6 +145,37 @@ def verdict_report(spark, folder):
     return v.groupBy(*[state(n) for n in names], "result").agg(F.count(F.lit(1)).alias("candidates"))
 
 
+def debug_records(spark, folder):
+    """Debug blocks of all candidates, written and read back: how often each outcome of a check is told."""
+    parsed = _parsed(spark, folder)
+    checked = ops.verdict(
+        _candidates(parsed), _capture(parsed), _trace_set(parsed), KEYS, symbolize=F.col("ref_id") % 2 == 1, keep=["report_id", "status", "canonical", "sites"]
+    )
+    path = new_folder(spark, "debug")
+    append_batch(sinks.debug_records(checked, F.col("report_id"), F.col("canonical"), F.get("sites", F.lit(0))), path, 0)
+    told = spark.read.text(path).where(F.col("value").rlike("^(returned_77|crash_pattern_matched|dynamic_crash_site_found|dynamic_crash_site_matched|=====)"))
+    return told.groupBy("value").agg(F.count(F.lit(1)).alias("records"))
+
+
+def judge_candidates(spark, folder):
+    """The whole job from report texts to verdicts of candidates with several attempts, under rules of our own: status and location."""
+    reports = rp.reports(spark, folder)
+    candidate = F.col("report_id") % 2
+    place = lambda *by: F.row_number().over(Window.partitionBy("ref_id", *by).orderBy("report_id"))
+    samples = reports.where(F.col("role") == "sample").withColumn("sample", place() - 1)
+    candidates = reports.where(F.col("role") == "candidate").withColumn("candidate", candidate)
+    candidates = candidates.withColumn("attempt", place("candidate"))
+
+    def rules(symbolize):
+        located = ops.location_result(F.col("location"), F.col("ref_location"))
+        return [
+            ("status", F.when(F.col("status") == 77, ops.MATCH).otherwise(ops.MISMATCH)),
+            ("crash location", F.when(F.col("ref_location").isNotNull(), located)),
+        ]
+
+    return pipelines.judge_candidates(samples, candidates, KEYS, ["candidate"], F.lit(True), runs=F.expr(RUNS), rules=rules)
+
+
 def depth_gate(spark, folder):
     parsed = _parsed(spark, folder, IDENTITY)
     references = _capture(parsed)
@@ -268,6 +302,8 @@ QUERIES = {
     "reference_capture": reference_capture,
     "candidate_verdict": candidate_verdict,
     "verdict_report": verdict_report,
+    "debug_records": debug_records,
+    "judge_candidates": judge_candidates,
     "depth_gate": depth_gate,
     "evidence_retry": evidence_retry,
     "signature_drift": signature_drift,
@@ -304,6 +340,20 @@ WITH {rp.FX}, {_REF} SELECT CASE WHEN rejected THEN 'no' ELSE 'not-evaluated' EN
   {_TRI.format('depth_r')} AS check_stack_depth,
   CASE WHEN bad THEN 'mismatch' WHEN lack IS NOT NULL THEN 'missing_evidence' ELSE 'match' END AS result, count(*) AS candidates
 FROM ver GROUP BY ALL""",
+    "debug_records": f"""
+WITH {rp.FX}, {_REF}, told AS (SELECT unnest(['===== candidate =====', '===== end candidate =====', 'returned_77: ' || CASE WHEN status = 77 THEN 'yes' ELSE 'no' END,
+  'crash_pattern_matched: ' || CASE WHEN sig_ok THEN 'yes' ELSE 'no' END,
+  'dynamic_crash_site_found: ' || CASE WHEN site_r IS NULL THEN 'not-evaluated' WHEN site_r = 'missing_evidence' THEN 'no' ELSE 'yes' END,
+  'dynamic_crash_site_matched: ' || {_TRI.format('site_r')}]) AS value FROM ver)
+SELECT value, count(*) AS records FROM told GROUP BY 1""",
+    "judge_candidates": f"""
+WITH {rp.FX}, {_REF}, a AS (
+  SELECT cand.ref_id, cand.report_id % 2 AS candidate, row_number() OVER (PARTITION BY cand.ref_id, cand.report_id % 2 ORDER BY cand.report_id) AS attempt,
+    CASE WHEN cand.status <> 77 OR coalesce(loc_r = 'mismatch', FALSE) THEN 'mismatch' WHEN loc_r = 'missing_evidence' THEN 'missing_evidence' ELSE 'match' END AS result
+  FROM cand JOIN ver ON cand.report_id = ver.report_id),
+d AS (SELECT ref_id, candidate, min(attempt) FILTER (result <> 'missing_evidence' AND attempt <= 3) AS at_, max(attempt) FILTER (attempt <= 3) AS last FROM a GROUP BY 1, 2)
+SELECT d.ref_id, d.candidate, coalesce(a.result, 'missing_evidence') AS verdict, coalesce(at_, last) AS attempts, coalesce(a.result = 'match', FALSE) AS accepted
+FROM d LEFT JOIN a ON a.ref_id = d.ref_id AND a.candidate = d.candidate AND a.attempt = d.at_""",
     "depth_gate": f"""
 WITH {rp.FX}, {_REF} SELECT report_id, CASE WHEN ref.depth IS NULL THEN NULL
   WHEN c.depth <> ref.depth AND (strict OR NOT (c.ref_id % 2 = 1 OR site IS NOT NULL)) THEN 'mismatch' ELSE 'match' END AS depth_result

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinderframe.checks.tables import table
 from cinderframe.operators import telemetry as ops
+from cinderframe.plans import pipelines
 from cinderframe.plans.pin import pin, spread
 from cinderframe.plans.scan import chunk_of, number_rows
+from cinderframe.session import new_folder
+from cinderframe.sources.reports import write_json
+from cinderframe.sources.sinks import append_batch, read_upserted, upsert_json
 from cinderframe.sources import telemetry as src
 
 JOBS = 4
@@ -106,6 +110,22 @@ SELECT w.run, w.stage, coalesce(samples, 0) AS samples, coalesce(mean, 0) AS mea
 FROM wanted w LEFT JOIN summed s ON w.run = s.run AND w.stage = s.stage
 """
 
+_POOL_SQL = f"""a AS (SELECT run, 1 + event_id % 2 AS attempt, max(end_ns) - min(start_ns) AS wall_ns, max(code) AS returncode
+      FROM fx GROUP BY 1, 2 HAVING NOT (run % 10 = 0 AND 1 + event_id % 2 = 2)),
+runs AS (SELECT run, sum(wall_ns)::BIGINT AS wall_ns, arg_max(returncode, attempt) AS returncode, count(*) AS attempts FROM a GROUP BY run),
+pooled AS (SELECT fx.* FROM fx JOIN a ON fx.run = a.run AND 1 + fx.event_id % 2 = a.attempt),
+points AS (SELECT run, start_ns AS t, 1 AS d FROM pooled UNION ALL SELECT run, end_ns, -1 FROM pooled),
+peak AS (SELECT run, greatest(0, max(level)) AS max_in_flight FROM (
+   SELECT run, sum(d) OVER (PARTITION BY run ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS level FROM points) GROUP BY run),
+busy AS (SELECT run, count(*) AS n, sum(end_ns - start_ns) AS busy, count(*) FILTER (code = 77) AS clicks FROM pooled GROUP BY run),
+m AS (SELECT k.run, stage AS metric, v FROM kept k SEMI JOIN pooled p ON k.event_id = p.event_id
+      UNION ALL SELECT run, 'source_bytes', ns FROM pooled UNION ALL SELECT run, 'user_ns', ns FROM pooled UNION ALL SELECT run, 'system_ns', event_id % 5 FROM pooled),
+{_summary_sql("m", 'run, metric', 'v')},
+wanted AS (SELECT runs.run, unnest(['python_import_ns','argument_setup_ns','compile_ns','compile_link_ns','link_ns','execute_ns','oracle_ns','total_ns','source_bytes','user_ns','system_ns']) AS metric FROM runs),
+metrics AS (SELECT w.run, w.metric, coalesce(samples, 0) AS samples, coalesce(mean, 0) AS mean, coalesce(median, 0) AS median, coalesce(p95, 0) AS p95,
+              coalesce(min, 0) AS min, coalesce(max, 0) AS max FROM wanted w LEFT JOIN summed s ON w.run = s.run AND w.metric = s.metric)
+"""
+
 _LEVEL = """
 points AS (SELECT run, start_ns AS t, 1 AS d FROM fx UNION ALL SELECT run, end_ns, -1 FROM fx),
 swept AS (SELECT run, t, d, sum(d) OVER (PARTITION BY run ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS level FROM points)
@@ -184,9 +204,70 @@ def _attempts(e: DataFrame) -> DataFrame:
     return rows.where(~((F.col("run") % 10 == 0) & (F.col("attempt") == 2)))
 
 
-def pooled_profile(spark, folder):
+def _pooled(spark, folder):
     e = events(spark, folder).withColumn("attempt", 1 + F.col("event_id") % 2)
-    return ops.pooled_profile(e, _attempts(e), "run", "attempt")
+    return e, _attempts(e), "run", "attempt"
+
+
+def pooled_profile(spark, folder):
+    """All metrics of all attempts of a run, in long form."""
+    return ops.pooled_profile(*_pooled(spark, folder))
+
+
+def summary_json(spark, folder):
+    """The pooled profile as nested JSON records, written and read back."""
+    e, attempts, run, attempt = _pooled(spark, folder)
+    totals, metrics = ops.pooled_summary(e, attempts, run, attempt)
+    pooled, _ = ops.pool_attempts(e, attempts, run, attempt)
+    records = ops.summary_records(totals, metrics, ops.result_counts(pooled, ["run"]), ["run"])
+    path = new_folder(spark, "summary")
+    write_json(records, path)
+    back = spark.read.schema(records.schema).json(path)
+    both = F.map_concat("candidate_timing", "sizes_and_cpu")
+    clicks = F.coalesce(F.element_at("reducer.result_counts", "77"), F.lit(0))
+    return back.select("run", "reducer.profiled_checks", "reducer.returncode", "reducer.max_in_flight", clicks.alias("clicks"), F.explode(both).alias("metric", "f")).select(
+        "run", "profiled_checks", "returncode", "max_in_flight", "clicks", "metric", "f.*"
+    )
+
+
+def append_roundtrip(spark, folder):
+    """Checks appended as JSON lines in three batches, one of them twice, read back and typed."""
+    e = events(spark, folder)
+    path = new_folder(spark, "log")
+    for batch in (0, 1, 2, 1):
+        part = e.where(F.col("event_id") % 3 == batch)
+        append_batch(part.select(src.record_json(part.drop("run")).alias("value")), path, batch)
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    back = src.typed_events(src.classify_lines(lines), [])
+    return back.select(
+        "start_wall_ns", "end_wall_ns", "result_code", "source_bytes", "compile_recorded", "compile_success",
+        F.col("durations_ns.execute_ns").alias("execute_ns"), F.col("cpu_ns.children_system_ns").alias("system_ns"),
+    )
+
+
+def stability_upsert(spark, folder):
+    """Depth records of a reference and mode: all of them first, then those of every third reference again, with other walls, and new ones."""
+    records = ops.depth_stability(_depth_runs(spark, folder), ["ref", "mode"]).select("ref", "mode", "expected_depth", "stable", "wall_ns")
+    path = new_folder(spark, "stability")
+    third = F.col("ref") % 3 == 0
+    upsert_json(records.where(F.col("mode") == 0), path, ["ref", "mode"])
+    again = records.where(third).withColumn("wall_ns", F.col("wall_ns") + 1)
+    upsert_json(again, path, ["ref", "mode"])
+    upsert_json(again.where("mode = 1"), path, ["ref", "mode"])
+    return read_upserted(spark, path, records.schema)
+
+
+def profile_runs(spark, folder):
+    """The whole job: a log of lines to summaries; the figures of the run table, read back from its JSON."""
+    log, out, text = (new_folder(spark, name) for name in ("log", "summary", "text"))
+    lines = event_lines(spark, folder)
+    lines.select(F.col("line").alias("value"), "run").write.partitionBy("run").text(log)
+    e = events(spark, folder)
+    runs = e.groupBy("run").agg((F.max("end_wall_ns") - F.min("start_wall_ns")).alias("wall_ns"), F.lit(JOBS).alias("jobs"))
+    run = F.regexp_extract("file", r"run=(\d+)", 1).cast("long")
+    pipelines.profile_runs(spark, log, runs, run, out, text)
+    found = spark.read.schema("run long, profiled_checks long, max_in_flight long, malformed_event_lines long").json(f"{out}/totals")
+    return found.select("run", "profiled_checks", F.coalesce("max_in_flight", F.lit(0)).alias("max_in_flight"), "malformed_event_lines")
 
 
 def timeout_calibration(spark, folder):
@@ -264,6 +345,10 @@ QUERIES = {
     "in_flight_series": in_flight_series,
     "throughput": throughput,
     "pooled_profile": pooled_profile,
+    "summary_json": summary_json,
+    "append_roundtrip": append_roundtrip,
+    "stability_upsert": stability_upsert,
+    "profile_runs": profile_runs,
     "timeout_calibration": timeout_calibration,
     "depth_stability": depth_stability,
     "mode_totals": mode_totals,
@@ -331,22 +416,38 @@ SELECT run, wall_ns, n AS profiled_checks,
 FROM r
 """,
     "pooled_profile": f"""
-WITH {FX},
-a AS (SELECT run, 1 + event_id % 2 AS attempt, max(end_ns) - min(start_ns) AS wall_ns, max(code) AS returncode
-      FROM fx GROUP BY 1, 2 HAVING NOT (run % 10 = 0 AND 1 + event_id % 2 = 2)),
-runs AS (SELECT run, sum(wall_ns)::BIGINT AS wall_ns, arg_max(returncode, attempt) AS returncode, count(*) AS attempts FROM a GROUP BY run),
-pooled AS (SELECT fx.* FROM fx JOIN a ON fx.run = a.run AND 1 + fx.event_id % 2 = a.attempt),
-points AS (SELECT run, start_ns AS t, 1 AS d FROM pooled UNION ALL SELECT run, end_ns, -1 FROM pooled),
-peak AS (SELECT run, greatest(0, max(level)) AS max_in_flight FROM (
-   SELECT run, sum(d) OVER (PARTITION BY run ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS level FROM points) GROUP BY run),
-busy AS (SELECT run, count(*) AS n, sum(end_ns - start_ns) AS busy FROM pooled GROUP BY run),
-{_summary_sql("pooled", 'run', 'ns', "event_type <> 'error' AND ns > 0")}
+WITH {FX}, {_POOL_SQL}
 SELECT r.run, r.wall_ns, b.n AS profiled_checks, CASE WHEN r.wall_ns > 0 THEN b.n / (r.wall_ns / 1e9::DOUBLE) ELSE 0 END AS checks_per_second,
        CASE WHEN r.wall_ns > 0 THEN b.busy::DOUBLE / r.wall_ns ELSE 0 END AS mean_in_flight,
        CASE WHEN r.wall_ns > 0 THEN b.busy::DOUBLE / r.wall_ns ELSE 0 END / {JOBS} AS utilization,
        CAST(r.returncode AS BIGINT) AS returncode, r.attempts, CAST(p.max_in_flight AS BIGINT) AS max_in_flight,
-       coalesce(s.samples, 0) AS compile_count, coalesce(s.mean, 0) AS compile_mean, coalesce(s.median, 0) AS compile_median
-FROM runs r JOIN busy b ON r.run = b.run LEFT JOIN peak p ON r.run = p.run LEFT JOIN summed s ON r.run = s.run
+       metric, samples, mean, median, p95, min, max
+FROM runs r JOIN busy b ON r.run = b.run LEFT JOIN peak p ON r.run = p.run JOIN metrics ON metrics.run = r.run
+""",
+    "summary_json": f"""
+WITH {FX}, {_POOL_SQL}
+SELECT r.run, b.n AS profiled_checks, CAST(r.returncode AS BIGINT) AS returncode, CAST(p.max_in_flight AS BIGINT) AS max_in_flight, b.clicks, metric, samples, mean, median, p95, min, max
+FROM runs r JOIN busy b ON r.run = b.run LEFT JOIN peak p ON r.run = p.run JOIN metrics ON metrics.run = r.run
+""",
+    "append_roundtrip": f"""
+WITH {FX} SELECT start_ns AS start_wall_ns, end_ns AS end_wall_ns, CAST(code AS BIGINT) AS result_code, ns AS source_bytes, event_type <> 'signup' AS compile_recorded,
+  event_type NOT IN ('signup', 'error') AS compile_success, CASE WHEN event_type = 'view' THEN 0 ELSE ns + run END AS execute_ns, event_id % 5 AS system_ns FROM fx
+""",
+    "stability_upsert": f"""
+WITH {_DEPTH_SQL},
+bad AS (SELECT ref, mode, min(run) AS failed_run FROM runs WHERE failed GROUP BY 1, 2)
+SELECT r.ref, r.mode, CAST(3 AS BIGINT) AS expected_depth, max(failed_run) IS NULL AND bool_and(depth = 3) AS stable,
+  coalesce(CAST(sum(wall) AS BIGINT), 0) + CASE WHEN r.ref % 3 = 0 THEN 1 ELSE 0 END AS wall_ns
+FROM runs r LEFT JOIN bad b ON r.ref = b.ref AND r.mode = b.mode WHERE r.mode = 0 OR r.ref % 3 = 0 GROUP BY 1, 2
+""",
+    "profile_runs": f"""
+WITH {FX}, points AS (SELECT run, start_ns AS t, 1 AS d FROM fx WHERE event_id % 97 <> 0 UNION ALL SELECT run, end_ns, -1 FROM fx WHERE event_id % 97 <> 0),
+peak AS (SELECT run, greatest(0, max(level)) AS top FROM (
+   SELECT run, sum(d) OVER (PARTITION BY run ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS level FROM points) GROUP BY run),
+s AS (SELECT run, count(*) FILTER (event_id % 97 <> 0) AS checks, count(*) FILTER (event_id % 97 = 0 AND event_id % 4 <> 3) AS bad,
+        count(*) FILTER (NOT (event_id % 97 = 0 AND event_id % 4 = 3)) AS lines FROM fx GROUP BY run)
+SELECT s.run, checks AS profiled_checks, CAST(coalesce(top, 0) AS BIGINT) AS max_in_flight, CASE WHEN lines > 0 THEN bad END AS malformed_event_lines
+FROM s LEFT JOIN peak ON peak.run = s.run
 """,
     "timeout_calibration": """
 WITH p AS (SELECT user_id, CAST(ts AS DATE) AS day,

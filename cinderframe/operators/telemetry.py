@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinderframe.plans.scan import exact_summary, null_safe_join
+from cinderframe.session import written
 from cinderframe.sources.telemetry import BUILD_STAGES, STAGE_NAMES, STAGES
 
 SUMMARY = ("samples", "mean", "median", "p95", "min", "max")
@@ -55,6 +56,28 @@ def size_cpu_summary(events: DataFrame, keys: list[str]) -> DataFrame:
     return exact_summary(events.select(*keys, F.inline(pairs)), [*keys, "metric"], "value")
 
 
+SIZES_AND_CPU = ("source_bytes", "user_ns", "system_ns")
+
+
+def metric_summary(events: DataFrame, keys: list[str]) -> DataFrame:
+    """One summary row per key and metric: the stages, source size and child CPU time, all in one pass over the events.
+
+    Samples of all metrics are counted as (metric, value), so they share one exchange and one selection of ranks. Metrics without samples
+    show zeros.
+    """
+    failed_build = F.col("compile_recorded") & ~F.col("compile_success")
+
+    def stage(name: str) -> Column:
+        ns = F.col("durations_ns")[name]
+        usable = (ns > 0) & ~failed_build if name in BUILD_STAGES else ns > 0
+        return F.when(usable, ns)
+
+    samples = {name: stage(name) for name in STAGE_NAMES}
+    samples |= dict(zip(SIZES_AND_CPU, (F.col("source_bytes"), F.col("cpu_ns.children_user_ns"), F.col("cpu_ns.children_system_ns"))))
+    pairs = [F.struct(F.lit(name).alias("metric"), value.cast("long").alias("value")) for name, value in samples.items()]
+    return _zero_filled(exact_summary(events.select(*keys, F.inline(F.array(*pairs))), [*keys, "metric"], "value"))
+
+
 def result_counts(events: DataFrame, keys: list[str]) -> DataFrame:
     """Checks per integer result code; records without one are left out here."""
     return (
@@ -167,29 +190,44 @@ def pool_attempts(events: DataFrame, attempts: DataFrame, run: str, attempt: str
     return pooled, runs
 
 
-def pooled_profile(events: DataFrame, attempts: DataFrame, run: str, attempt: str) -> DataFrame:
-    """One row per run over the pooled samples of its attempts."""
+_POOLED = ("start_wall_ns", "end_wall_ns", "result_code", "source_bytes", "compile_recorded", "compile_success", "durations_ns", "cpu_ns")
+
+
+def pooled_summary(events: DataFrame, attempts: DataFrame, run: str, attempt: str) -> tuple[DataFrame, DataFrame]:
+    """Run rows and metric rows over the pooled samples of a run's attempts; samples are joined with the attempts once."""
     pooled, runs = pool_attempts(events, attempts, run, attempt)
+    pooled = written(pooled.select(run, *_POOLED), "pooled")
     speed = throughput(pooled, runs, [run])
-    level = in_flight(pooled, [run])
-    compile_stage = exact_summary(
-        stage_samples(pooled, [run]).where(F.col("stage") == "compile_ns"), [run], "ns"
-    ).select(
-        run,
-        F.col("samples").alias("compile_count"),
-        F.col("mean").alias("compile_mean"),
-        F.col("median").alias("compile_median"),
-    )
     joined = null_safe_join(speed, runs.select(run, "returncode", "attempts"), [run])
-    joined = null_safe_join(joined, level, [run], "left")
-    joined = null_safe_join(joined, compile_stage, [run], "left")
-    return joined.withColumns(
-        {
-            "max_in_flight": F.coalesce("max_in_flight", F.lit(0)),
-            "compile_count": F.coalesce("compile_count", F.lit(0).cast("long")),
-            "compile_mean": F.coalesce("compile_mean", F.lit(0.0)),
-            "compile_median": F.coalesce("compile_median", F.lit(0.0)),
-        }
+    joined = null_safe_join(joined, in_flight(pooled, [run]), [run], "left")
+    joined = joined.withColumn("max_in_flight", F.coalesce("max_in_flight", F.lit(0)))
+    return joined, metric_summary(pooled, [run])
+
+
+def pooled_profile(events: DataFrame, attempts: DataFrame, run: str, attempt: str) -> DataFrame:
+    """One row per run and metric over the pooled samples of its attempts; what holds for the run is on each of its rows."""
+    totals, metrics = pooled_summary(events, attempts, run, attempt)
+    return null_safe_join(totals, metrics, [run], "left")
+
+
+def summary_records(totals: DataFrame, metrics: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """One nested record per key: `reducer` figures with counts by result code, and a summary for each metric by name.
+
+    The lists have one entry for each metric and each result code that occurs.
+    """
+    figures = F.struct(*SUMMARY)
+    timing = metrics.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("metric", figures.alias("figures")))).alias("_m"))
+    codes = results.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("result_code", "checks"))).alias("_c"))
+    joined = null_safe_join(null_safe_join(totals, timing, keys, "left"), codes, keys, "left")
+    of = lambda keep: F.map_from_entries(F.transform(F.filter("_m", keep), lambda m: F.struct(m["metric"], m["figures"])))
+    stage = lambda m: m["metric"].isin(*STAGE_NAMES)
+    counts = F.transform(F.coalesce("_c", F.array().cast(codes.schema["_c"].dataType)), lambda c: F.struct(c["result_code"].cast("string"), c["checks"]))
+    reducer = [c for c in totals.columns if c not in keys]
+    return joined.select(
+        *keys,
+        F.struct(*reducer, F.map_from_entries(counts).alias("result_counts")).alias("reducer"),
+        of(stage).alias("candidate_timing"),
+        of(lambda m: ~stage(m)).alias("sizes_and_cpu"),
     )
 
 
