@@ -22,8 +22,6 @@ CODES, ROWS = 18, 3
 SIGMAS = 7
 #: Members of a group that are compared with its centre in one place.
 TOGETHER = 256
-#: Most holders of a code outside their largest component for which keys and pairs of components are made.
-OUTSIDERS = 8
 
 
 def minhashes(codes: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarray:
@@ -153,35 +151,18 @@ def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
     return written(classes.select("class").join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("root")), "tensor-roots")
 
 
-def _tables(classes: DataFrame, rooted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What all CODES ** 2 tables can still tell: (key, class, root, largest) of keys with few outsiders, and the crowded classes.
+def _open(classes: DataFrame, rooted: DataFrame) -> DataFrame:
+    """row: the classes that may share one of all CODES ** 2 tables with a class of another component.
 
-    A code whose holders all have one root links nothing, nor does any key made of it. A code is crowded if more than OUTSIDERS of its
-    holders are outside their largest component. Keys with a code that is not are made; their members outside `largest` are few,
-    too. A class with crowded codes on both sides may have partners in keys that are not made.
+    A code whose holders all have one root links nothing, nor does any key made of it. A class without another code on both sides has no
+    key left that could tell something new.
     """
     sides = classes.select("class", F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(name).alias("codes")) for side, name in enumerate(("left", "right"))])).alias("s"))
-    codes = sides.select("class", "s.side", F.explode("s.codes").alias("code")).join(rooted, "class")
-    held = codes.groupBy("code", "root").count().groupBy("code").agg(F.sum("count").alias("held"), F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("roots"))
-    live = held.filter("roots > 1").select("code", F.col("top.root").alias("largest"), (F.col("held") - F.col("top.count") > OUTSIDERS).alias("crowded"))
-    code = F.struct("code", "largest", "crowded")
-    mine = codes.join(live, "code").groupBy("class", "root").agg(
-        F.collect_list(F.when(F.col("side") == 0, code)).alias("left"), F.collect_list(F.when(F.col("side") == 1, code)).alias("right")
-    )  # CODES codes of a side at most
-    mine = written(mine, "tensor-codes")
-    keys = mine.select("class", "root", F.explode("left").alias("one"), "right").select("class", "root", "one", F.explode("right").alias("two")).filter("not (one.crowded and two.crowded)")
-    largest = F.when(F.col("one.crowded"), F.col("two.largest")).otherwise(F.col("one.largest"))
-    keys = keys.select(F.xxhash64("one.code", "two.code").alias("key"), "class", "root", largest.alias("largest"))
-    both = F.exists("left", lambda c: c["crowded"]) & F.exists("right", lambda c: c["crowded"])
-    return keys, mine.filter(both).select(F.col("class").alias("row"))
-
-
-def _outsider_pairs(keys: DataFrame) -> DataFrame:
-    """Pairs of members of different components by key: one of each is outside the largest, so they are linear in the members."""
-    keys = written(keys, "tensor-tables")
-    outside = keys.filter("root <> largest")
-    met = outside.select("key", F.col("class").alias("x"), F.col("root").alias("root_x")).join(keys.select("key", "class", "root"), "key")
-    return met.filter("root <> root_x").select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
+    codes = sides.select("class", "s.side", F.explode("s.codes").alias("code")).join(rooted, "class").drop("class")
+    roots = codes.groupBy("code", "side").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("code", "side")
+    holders = sides.select("class", "s.side", F.explode("s.codes").alias("code")).join(roots, ["code", "side"])
+    both = holders.groupBy("class").agg(F.min("side").alias("first"), F.max("side").alias("last")).filter("first < last")
+    return both.select(F.col("class").alias("row"))
 
 
 def _settled(rows: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
@@ -206,11 +187,9 @@ def linked_by_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     1. Rows of equal words (by sha256) are one class, told by its least row.
     2. Classes that share a key of one of the CODES tables (i, i) are compared with the least of their key and size.
-    3. Of all CODES ** 2 tables the keys are made whose codes are both held by several components, one of them with at most OUTSIDERS
-       holders outside the largest component; these are compared with all members of the key in other components.
-    4. Crowded codes, whose holders share much but do not link (one passage in all of them), would make pairs by the square. Classes with
-       crowded codes on both sides are settled by the grouped prefix join instead, which is exact: it looks at rare shingles, not at what all
-       of them share.
+    3. Of all CODES ** 2 tables only the keys matter whose two codes are both held by several components. Where many documents share much but
+       do not link (one passage in all of them), such keys would make pairs by the square of their holders. The holders of such codes on both
+       sides are settled by the grouped prefix join instead, which is exact: it looks at rare shingles, not at what all of them share.
 
     Only classes that share a table meet, and pairs within a component are skipped, so a group of copies costs a pair for each
     member. Pairs go through the exact bounds of sizes and parities, then the share of equal minhashes, then both whole texts, word by word.
@@ -238,10 +217,8 @@ def linked_by_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = written(links.unionByName(_verified(_likely(stars, classes, percent), bodies, width, percent)), "tensor-links")
     rooted = _rooted(classes, links)
 
-    # 3 and 4: all tables, between components
-    keys, crowded = _tables(classes, rooted)
-    links = links.unionByName(_verified(_likely(_outsider_pairs(keys), classes, percent), bodies, width, percent))
-    links = links.unionByName(_settled(crowded, bodies, width, percent))
+    # 3: all tables
+    links = links.unionByName(_settled(_open(classes, rooted), bodies, width, percent))
     rooted = _rooted(classes, links)
 
     least = named.join(rooted, "class").groupBy("root").agg(F.min("id").alias("component"))

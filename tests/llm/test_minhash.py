@@ -49,10 +49,7 @@ def test_linked_query_matches_sql(spark):
         assert normal_rows(df.columns, df.collect()) == normal_rows(*oracle_rows(FOLDER, queries.ORACLES[name]))
 
 
-@pytest.mark.parametrize("outsiders", [8, 0])
-def test_links_around_the_limit(spark, monkeypatch, outsiders):
-    """With no outsider allowed, every key of several components counts as crowded."""
-    monkeypatch.setattr(mt, "OUTSIDERS", outsiders)
+def test_links_around_the_limit(spark):
     rows = _near_copies(1, 40, 12)
     got = _found(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert got == brute_force.linked_documents(rows, 4, 80)
