@@ -25,6 +25,9 @@ CELL_BITS = 18
 ORDERED_VALUES = 1 << 12
 # Bits by which a round narrows the range of values that holds a wanted rank.
 RADIX_BITS = 12
+_RANKS = ("_r1", "_r2", "_r3")
+# The cell of NULLs, in front of all others.
+_NO_VALUE = -(1 << 62)
 
 
 def chunk_of(position: Column, width: int = CHUNK_ROWS) -> Column:
@@ -108,10 +111,10 @@ def number_rows(df: DataFrame, keys: list[str], order: list, chunk: Column, out:
 def _value_cell(value: Column) -> Column:
     """Monotone bucket of about one per cent relative width: at most 8,000 of them, however many values there are."""
     magnitude = F.floor(F.log2(F.abs(value).cast("double")) * 64)
-    return F.when(value > 0, magnitude + 1).when(value < 0, -magnitude - 1).when(value == 0, 0).cast("long")
+    cell = F.when(value > 0, magnitude + 1).when(value < 0, -magnitude - 1).when(value == 0, 0).cast("long")
+    return F.coalesce(cell, F.lit(_NO_VALUE))
 
 
-_RANKS = ("_r1", "_r2", "_r3")
 
 
 def _holding(cells: DataFrame) -> DataFrame:
@@ -126,10 +129,13 @@ def _narrowed(counted: DataFrame, wanted: DataFrame, shift: int) -> tuple[DataFr
     A cell falls apart into at most 2 ** (RADIX_BITS + 1) parts, which are counted map-side first and then
     summed up in the order of their prefixes.
     """
+    # a block of the values' bits may reach into two wanted cells, so a part is named after its cell's least value, too
+    prefix = F.coalesce(F.shiftright("_v", shift), F.lit(_NO_VALUE))
     near = written(
-        counted.join(wanted.drop("_rows", "_lo", "_hi", "_cn"), ["_key", "_cell"])
+        counted.join(wanted.drop("_rows", "_hi", "_cn"), ["_key", "_cell"])
         .withColumn("_outer", F.struct("_key", "_cell"))
-        .withColumn("_cell", F.shiftright("_v", shift)),
+        .withColumn("_cell", F.struct(F.col("_lo").alias("cell"), prefix.alias("prefix")))
+        .drop("_lo"),
         "values-in-question",
     )
     carried = [F.first(c).alias(c) for c in ("_before", "_total", "_sum", "_min", "_max", *_RANKS)]
@@ -191,16 +197,13 @@ def exact_summary(df: DataFrame, keys: list[str], value: str, ordered: int = ORD
             break
         counted, wanted = _narrowed(counted, wanted, max(0, int(large).bit_length() - RADIX_BITS))
     running = Window.partitionBy("_key", "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    # always by shuffle on both columns, which the window and the last sums use too; NULL cells hold no samples
-    found = counted.join(wanted.withColumn("_found", F.lit(True)), (counted["_key"] == wanted["_key"]) & counted["_cell"].eqNullSafe(wanted["_cell"])).select(
-        counted["_key"], counted["_cell"], "_v", "_n", *[c for c in wanted.columns if c not in ("_key", "_cell")]
-    )
+    found = counted.join(wanted, ["_key", "_cell"])
     found = found.withColumn("_upto", F.col("_before") + F.sum("_n").over(running))
     at = {r: F.min(F.when(F.col("_upto") >= F.col(r), F.col("_v"))) for r in _RANKS}
     summary = found.groupBy("_key").agg(
         F.first("_total").alias("samples"),
         F.try_divide(F.first("_sum").cast("double"), F.first("_total")).alias("mean"),
-        ((at["_r1"] + at["_r2"]) / 2).alias("median"),
+        ((at["_r1"].cast("decimal(20,0)") + at["_r2"].cast("decimal(20,0)")).cast("double") / 2).alias("median"),
         at["_r3"].alias("p95"),
         F.first("_min").alias("min"),
         F.first("_max").alias("max"),
