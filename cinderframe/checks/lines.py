@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinderframe.checks.spans import document_lines
-from cinderframe.checks.tables import table
+from cinderframe.checks.tables import spread, table
 from cinderframe.operators import libraries as lib
 from cinderframe.operators import lines as ops
-from cinderframe.plans.pin import spread
 from cinderframe.session import written
 
 KEYS = ["file"]
@@ -56,8 +55,8 @@ def comment_closure(spark, folder):
 def missing_headers(spark, folder):
     d = table(spark, folder, "documents").select("doc_id", "text")
     some = F.array_join(F.filter(F.array(*[F.lit(h) for h in ops.HEADERS]), lambda h: (F.length(h) + F.col("doc_id")) % 3 == 0), "\n")
-    d = d.withColumn("text", F.concat("text", F.lit("\n"), some))
-    fixed = ops.prepend_headers(d, text="text")
+    d = d.withColumn("text", F.concat("text", F.lit("\n"), some)).withColumn("language", F.when(F.col("doc_id") % 4 == 0, "c").otherwise("c++"))
+    fixed = ops.prepend_headers(d, text="text", language=F.col("language"))
     missing = ops.missing_headers(d)
     return missing.select("doc_id", F.array_join("missing", ",").alias("missing")).join(
         fixed.select("doc_id", F.length("text").cast("long").alias("chars")), "doc_id"
@@ -164,7 +163,7 @@ WITH h AS (SELECT doc_id, text, list_filter([{_HEADERS}], lambda x: (length(x) +
 t AS (SELECT doc_id, text || chr(10) || array_to_string(has, chr(10)) AS text FROM h),
 m AS (SELECT *, list_filter([{_HEADERS}], lambda x: NOT contains(text, x)) AS missing FROM t)
 SELECT doc_id, array_to_string(missing, ',') AS missing,
-  length(text) + CASE WHEN len(missing) > 0 THEN length(array_to_string(missing, chr(10))) + 1 ELSE 0 END AS chars FROM m""",
+  length(text) + CASE WHEN len(missing) > 0 AND doc_id % 4 <> 0 THEN length(array_to_string(missing, chr(10))) + 1 ELSE 0 END AS chars FROM m""",
     "analyzer_findings": """
 WITH d AS (SELECT o_orderkey AS k, o_custkey AS c, i FROM orders, (VALUES (0), (1)) v(i)),
 e AS (SELECT k, c, ['core.uninitialized.Assign', 'core.CallAndMessage', 'core.UndefinedBinaryOperatorResult', 'core.NullDereference'][(k + i) % 4 + 1] AS checker,

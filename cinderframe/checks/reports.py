@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cinderframe.checks.tables import table
+from cinderframe.checks.tables import spread, table
 from cinderframe.functions import frames as fr
 from cinderframe.functions import signatures as sg
 from cinderframe.operators import reports as ops
-from cinderframe.plans.pin import pin, spread
+from cinderframe.plans.pin import pin
 
 TIME_MARKER = "EXEC_TIME_MS="
 ARGUMENT_MARKER = "RUNTIME_ARG="

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cinderframe.checks.tables import table
+from cinderframe.checks.tables import spread, table
 from cinderframe.operators import telemetry as ops
 from cinderframe.plans import pipelines
-from cinderframe.plans.pin import pin, spread
+from cinderframe.plans.pin import pin
 from cinderframe.plans.scan import chunk_of, number_rows
 from cinderframe.session import new_folder
 from cinderframe.sources.reports import write_json

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cinderframe.checks.tables import table
+from cinderframe.checks.tables import spread, table
 from cinderframe.functions import scalars as sc
 from cinderframe.operators import values as ops
-from cinderframe.plans.pin import pin, spread
+from cinderframe.plans.pin import pin
 from cinderframe.session import written
 from cinderframe.sources import traces as src
 

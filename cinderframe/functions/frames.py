@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Patterns of the reports as sanitizers write them.
 FRAME_LINE = r"^\s*#\d+\s+0x[0-9a-fA-F]+\b"
 LOCATION = r"(/[^:\s\)]+):(\d+)(?::(\d+))?"
 SHARED_OBJECT = r"\(([^()\s]+?\.so(?:\.[^()+\s]+)?)\+(0x[0-9a-fA-F]+)\)"

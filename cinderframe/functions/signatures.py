@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from cinderframe.functions.frames import let, mask_addresses
 
+# Patterns of the reports as sanitizers and the runner write them.
 ASSERTION = r"(/[^\s:]+:\d+):.*Assertion .* failed\."
 ASAN_SUMMARY = r"SUMMARY:\s*AddressSanitizer:\s*([\w-]+)"
 ASAN_ERROR = r"ERROR:\s*AddressSanitizer:\s*([\w-]+)"

@@ -87,10 +87,13 @@ def missing_headers(documents: DataFrame, headers=HEADERS, text: str = "text") -
     return documents.withColumn("missing", F.filter(wanted, lambda h: ~F.col(text).contains(h)))
 
 
-def prepend_headers(documents: DataFrame, headers=HEADERS, text: str = "text") -> DataFrame:
-    """Put the missing headers in front, one per line."""
+def prepend_headers(documents: DataFrame, headers=HEADERS, text: str = "text", language: Column | None = None) -> DataFrame:
+    """Put the missing headers in front, one per line. Sources of `language` "c" bring their own and stay as they are."""
     block = F.concat(F.array_join("missing", "\n"), F.lit("\n"))
-    new = F.when(F.size("missing") > 0, F.concat(block, F.col(text))).otherwise(F.col(text))
+    wanted = F.size("missing") > 0
+    if language is not None:
+        wanted = wanted & F.coalesce(language != "c", F.lit(True))
+    new = F.when(wanted, F.concat(block, F.col(text))).otherwise(F.col(text))
     return missing_headers(documents, headers, text).withColumn(text, new).drop("missing")
 
 
@@ -125,6 +128,7 @@ def relevant_findings(reports: DataFrame, keys: list[str], source: str = "source
     found = reports.select(*keys, source, language, "files", F.explode("diagnostics").alias("d")).withColumn(
         "path", F.when(F.col("d.file") >= 0, F.get("files", F.col("d.file")))
     )
+    # Checkers and words of findings about uninitialized use.
     relevant = (
         checker.startswith("core.uninitialized.")
         | ((checker == "core.CallAndMessage") & text.rlike(r"(?i)uninitiali[sz]ed|uninitiali[sz]ation"))

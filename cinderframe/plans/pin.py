@@ -14,13 +14,3 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
     """
     value = F.struct(*[c.alias(name) for name, c in columns.items()])
     return df.select("*", F.inline(F.array(value)))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a table of fewer splits than cores to all cores, before costly work on each row.
-
-    `keys` should be what the next step groups or joins by, so that it needs no further shuffle. A
-    table with enough splits stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
