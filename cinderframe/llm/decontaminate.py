@@ -209,11 +209,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Items are the stated query set's other side: they are indexed in shards of SHARD_ITEMS, each broadcast (its bound is the shard's
     size), and every passage of every document is run against every shard, in one pass over the text without a shuffle.
     Null and empty texts hold nothing; null ids and repeated rows are judged row by row; with no items nothing is contaminated.
+    Item ids come as long where they are whole numbers of any width, else as text; a null one is last in a list.
     """
     context = docs.sparkSession.sparkContext
-    shards = [context.broadcast(index) for index in item_shards(items, item_col, question_col, answer_col)]
+    listed = "bigint" if items.schema[item_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
+    typed = items.withColumn(item_col, F.col(item_col).cast(listed))
+    shards = [context.broadcast(index) for index in item_shards(typed, item_col, question_col, answer_col)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = items.schema[item_col].dataType.simpleString()
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,11 +226,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
                         held[i + doc].update(found)
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column(0), "contaminated": pa.array([bool(h) for h in held], pa.bool_()),
-                "items": pa.array([sorted(h) for h in held], pa.list_(pa.int64() if kind in ("bigint", "int") else pa.string())),
+                "items": pa.array([sorted(h, key=lambda i: (i is None, i)) for h in held], pa.list_(pa.int64() if listed == "bigint" else pa.string())),
                 "overlap": pa.array([max((r[0] for r in h.values()), default=0.0) for h in held], pa.float64()),
             })
 
-    listed = "bigint" if kind in ("bigint", "int") else "string"
     return rows.mapInArrow(judge, f"id {rows.schema['id'].dataType.simpleString()}, contaminated boolean, items array<{listed}>, overlap double")
 
 

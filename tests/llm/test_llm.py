@@ -317,6 +317,15 @@ def test_contamination_by_edited_items_and_odd_input(spark, odd, repeated, empty
     assert decontaminate.contamination(odd, items.limit(0)).count() == len(ODD)
 
 
+def test_contamination_by_items_without_id_or_of_other_types(spark):
+    one, two = "the quick brown fox jumps over the lazy dog again", "five boxing wizards jump quickly past seven tall trees"
+    docs = spark.createDataFrame([(1, f"{one} and {two}"), (2, one), (3, "nothing at all")], "doc_id long, text string")
+    for kind, ids, want in (("long", (None, 7), [7, None]), ("short", (3, 7), [3, 7]), ("string", ("b", None), ["b", None]), ("double", (1.5, 2.5), ["1.5", "2.5"])):
+        items = spark.createDataFrame(list(zip(ids, (one, two))), f"item_id {kind}, text string")
+        found = {r.id: (r.contaminated, r["items"]) for r in decontaminate.contamination(docs, items).collect()}
+        assert found == {1: (True, want), 2: (True, [ids[0] if kind in ("long", "short") else None if ids[0] is None else str(ids[0])]), 3: (False, [])}
+
+
 # 7: quality
 
 
