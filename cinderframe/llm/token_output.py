@@ -20,8 +20,8 @@ from cinderframe.session import new_folder, written
 
 #: Text bytes of one record file.
 FILE_BYTES = 32 << 20
-#: Bytes of words and ids, with what Python adds, that a worker remembers.
-REMEMBERED = 96 << 20
+#: Bytes of words and ids, with what Python adds, that each of a worker's two generations remembers.
+REMEMBERED = 64 << 20
 ADDED = 160
 INDEX = np.dtype([("doc_id", "<i8"), ("null_id", "?"), ("offset", "<u8"), ("n_tokens", "<u8")])
 
@@ -78,6 +78,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before; what is used again moves over
         self.held = 0
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         if any(char.isspace() for token in self.special for char in token):
@@ -128,8 +129,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.held > REMEMBERED:
-            self.known.clear()
-            self.held = 0
+            self.known, self.old, self.held = {}, self.known, 0
         get = self.known.get
         cuts = [self._whole(text) if "\0" in text else text.replace(" ", "\0 ").split("\0") for text in texts]
         found = [list(map(get, words)) for words in cuts]
@@ -144,7 +144,10 @@ class Encoder:
                 found[k] = list(map(get, words))
                 unknown = {word for word in words if word not in self.known}
             fresh |= unknown
-        loose = self._learn(fresh)
+        again = [word for word in fresh if word in self.old]
+        self.known.update((word, self.old[word]) for word in again)
+        self.held += ADDED * len(again)
+        loose = self._learn(fresh.difference(again))
         out = [np.frombuffer(b"".join(map(get, words)) if None in ids else b"".join(ids), "<u4") for words, ids in zip(cuts, found)]
         for word in loose:
             del self.known[word]
