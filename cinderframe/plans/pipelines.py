@@ -14,14 +14,15 @@ from cinderframe.sources.telemetry import classify_lines, read_lines, typed_even
 
 
 def profile_runs(
-    spark: SparkSession, log: str, runs: DataFrame, run: Column, summary_path: str, text_path: str
+    spark: SparkSession, log: str, runs: DataFrame, run: Column, summary_path: str, text_path: str, record: Column | None = None
 ) -> dict[str, DataFrame]:
     """Telemetry log to summary tables, written as JSON and as report text.
 
-    `run` is the run key of a line as an expression over `line` and `file`; `runs` has `run, wall_ns,
-    jobs`. The log is parsed once.
+    `run` is the run key of a line as an expression over `line` and `file`; `record` is what of the line is the check's record, the
+    whole line if not given. So one file may hold the lines of many runs. `runs` has `run, wall_ns, jobs`. The log is parsed once.
     """
-    classified = classify_lines(read_lines(spark, log).withColumn("run", run))
+    lines = read_lines(spark, log).withColumn("run", run)
+    classified = classify_lines(lines if record is None else lines.withColumn("line", record))
     malformed = classified.groupBy("run").agg(F.count_if("malformed").alias("malformed_event_lines"))
     events = written(typed_events(classified, ["run"]), "events")
     latency = tm.stage_latency(events, ["run"])

@@ -86,6 +86,28 @@ def test_profile_is_written_as_json_and_text(spark, tmp_path):
     assert "Tester total before cleanup           2    2.000      2.000    2.000    2.000    2.000" in lines
 
 
+def test_profile_of_runs_in_one_file(spark, tmp_path):
+    line = '{"start_wall_ns": %d, "end_wall_ns": %d, "result_code": 77, "durations_ns": {"total_ns": 2000000}}'
+    (tmp_path / "log").write_text("\n".join(["1\t" + line % (1, 5), "2\t" + line % (3, 9), "1\t" + line % (2, 4), "2\toops", "2\t  ", "1\ta\tb"]) + "\n")
+    runs = spark.createDataFrame([(1, 10**9, 2), (2, 10**9, 2)], "run long, wall_ns long, jobs int")
+    run, record = F.substring_index("line", "\t", 1).cast("long"), F.expr(r"substring(line, instr(line, '\t') + 1)")
+    out, text = str(tmp_path / "out"), str(tmp_path / "text")
+    profile_runs(spark, str(tmp_path / "log"), runs, run, out, text, record)
+    found = {r["run"]: (r["profiled_checks"], r["max_in_flight"], r["malformed_event_lines"]) for r in spark.read.json(f"{out}/totals").collect()}
+    assert found == {1: (2, 2, 1), 2: (1, 1, 1)}
+
+
+def test_profile_query_writes_few_files(spark, tmp_path, monkeypatch):
+    from cinderframe.checks import telemetry as checks
+
+    spark.range(400).selectExpr(
+        "id as event_id", "timestamp_micros(id * 1000000) as ts", "id % 200 as user_id", "'click' as event_type", "1.5D as value", "'' as props"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(checks, "new_folder", lambda _, name: f"{tmp_path}/{name}")
+    assert checks.profile_runs(spark, str(tmp_path)).count() == 200
+    assert len(list((tmp_path / "log").rglob("part-*"))) <= spark.sparkContext.defaultParallelism
+
+
 # References
 
 
