@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,26 @@ def test_components_of_chains_stars_and_loops(spark):
     want = {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(200, 260)]} | {i: 300 for i in (300, 301, 302)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_choices_of_one_file():
+    """Covered, used up, left, null and unknown: places of options by call."""
+    calls = [(0, 10, True, ["a", "b"]), (5, 9, True, ["c"]), (10, 12, True, ["a", "b"]), (10, 11, None, [None, "c"]), (12, None, True, ["a"]), (None, 20, True, [])]
+    starts, ends, typed, keys = map(list, zip(*calls))
+    lists = [starts, ends, typed, [len(k) for k in keys], [k for known in keys for k in known], [True] * 8]
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"]), *[pa.array([x]) for x in lists]], ["file", *"abcdef"])
+    assert next(vl._chooser()([batch])).to_pylist() == [{"file": "f", "_choice": [0, -1, 1, -1, 1, 0]}]
+
+
+def test_replay_of_a_full_file_is_one_pass(spark):
+    """The longest file that one row replays, all calls with queues of their own: no state is copied call by call."""
+    import time
+
+    n = vl.FOLD_LIMIT
+    calls = [(f"f{f}", i, i * 3, i * 3 + 2, True, [i, n + i, 2 * n + i], None) for f in range(40) for i in range(n)]
+    queues = [(f"f{f}", k, 1) for f in range(40) for k in range(3 * n)]
+    options = vl.call_options(spark.createDataFrame(calls, CALLS), spark.createDataFrame(queues, QUEUES), ["file"], F.lit(True), F.col("size"))
+    options = options.localCheckpoint()
+    start = time.time()
+    assert vl.replay_calls(options, ["file"]).where("outcome = 'replaced' and matched_key = site").count() == 40 * n
+    assert time.time() - start < 10
