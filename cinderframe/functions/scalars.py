@@ -101,9 +101,11 @@ def _radix_digits(body: Column) -> Column:
             chunks = F.transform(F.sequence(F.lit(0).cast("long"), steps - 1), chunk)
             return F.aggregate(chunks, F.array().cast("array<bigint>"), lambda number, c: times_plus(number, c, bits))
 
-        groups = F.reverse(let(padded, limbs))
-        rest = F.transform(F.slice(groups, F.lit(2), F.greatest(F.size(groups) - 1, F.lit(0))), lambda limb: F.lpad(limb.cast("string"), 9, "0"))
-        return F.when(digits == "", "0").otherwise(F.concat(F.get(groups, F.lit(0)).cast("string"), F.array_join(rest, "")))
+        def joined(groups: Column) -> Column:
+            rest = F.transform(F.slice(groups, F.lit(2), F.greatest(F.size(groups) - 1, F.lit(0))), lambda limb: F.lpad(limb.cast("string"), 9, "0"))
+            return F.concat(F.get(groups, F.lit(0)).cast("string"), F.array_join(rest, ""))
+
+        return F.when(digits == "", "0").otherwise(let(F.reverse(let(padded, limbs)), joined))
 
     def times_plus(number: Column, more: Column, bits: int) -> Column:
         start = F.struct(F.array().cast("array<bigint>").alias("limbs"), more.alias("carry"))
@@ -165,21 +167,21 @@ def scalar_fields(text: Column) -> Column:
 
     `kind` is `int` or `decimal`. Integral scientific notation counts as an integer. A signed zero
     stays a decimal, since an integer cannot carry it; so do infinities and NaN. `digits` is the exact decimal text of an
-    integer, of any length; `whole` has it as a number where 38 digits are enough.
+    integer, of any length; `whole` has it as a number where 38 digits are enough. `text` is computed once.
     """
+    return let(text, lambda bound: let(integer_digits(bound), lambda digits: _fields(bound, digits)))
 
-    def fields(digits: Column) -> Column:
-        is_int = digits.isNotNull() & ~((digits == "0") & text.startswith("-"))
-        number = is_int | text.rlike(DECIMAL_PATTERN)
-        number = number | F.lower(text).rlike(r"^[+-]?(?:inf|infinity|nan)$")
-        return F.struct(
-            F.when(is_int, "int").when(number | digits.isNotNull(), "decimal").alias("kind"),
-            F.when(is_int, digits.try_cast(EXACT)).alias("whole"),
-            F.coalesce(text.try_cast("double"), digits.try_cast("double")).alias("real"),
-            F.when(is_int, digits).alias("digits"),
-        )
 
-    return let(integer_digits(text), fields)
+def _fields(text: Column, digits: Column) -> Column:
+    is_int = digits.isNotNull() & ~((digits == "0") & text.startswith("-"))
+    number = is_int | text.rlike(DECIMAL_PATTERN)
+    number = number | F.lower(text).rlike(r"^[+-]?(?:inf|infinity|nan)$")
+    return F.struct(
+        F.when(is_int, "int").when(number | digits.isNotNull(), "decimal").alias("kind"),
+        F.when(is_int, digits.try_cast(EXACT)).alias("whole"),
+        F.coalesce(text.try_cast("double"), digits.try_cast("double")).alias("real"),
+        F.when(is_int, digits).alias("digits"),
+    )
 
 
 def _literal_parts(text: Column) -> Column:
