@@ -175,7 +175,7 @@ def test_choices_of_one_file():
     starts, ends, typed, keys = map(list, zip(*calls))
     lists = [starts, ends, typed, [len(k) for k in keys], [k for known in keys for k in known], [True] * 8]
     batch = pa.RecordBatch.from_arrays([pa.array(["f"]), *[pa.array([x]) for x in lists]], ["file", *"abcdef"])
-    assert next(vl._chooser()([batch])).to_pylist() == [{"file": "f", "_choice": [0, -1, 1, -1, 1, 0]}]
+    assert next(vl._chooser()([batch])).to_pylist() == [{"file": "f", "_choice": [0, -1, 1, -2, 1, 0]}]
 
 
 def test_replay_of_a_full_file_is_one_pass(spark):
