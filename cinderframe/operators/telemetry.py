@@ -191,12 +191,15 @@ def pool_attempts(events: DataFrame, attempts: DataFrame, run: str, attempt: str
 
 
 _POOLED = ("start_wall_ns", "end_wall_ns", "result_code", "source_bytes", "compile_recorded", "compile_success", "durations_ns", "cpu_ns")
+# What a log need not measure.
+_MEASURED = {"source_bytes": "long", "cpu_ns": "struct<children_user_ns:long,children_system_ns:long>"}
 
 
 def pooled_summary(events: DataFrame, attempts: DataFrame, run: str, attempt: str) -> tuple[DataFrame, DataFrame]:
     """Run rows and metric rows over the pooled samples of a run's attempts; samples are joined with the attempts once."""
     pooled, runs = pool_attempts(events, attempts, run, attempt)
-    pooled = written(pooled.select(run, *_POOLED), "pooled")
+    absent = {name: F.lit(None).cast(kind) for name, kind in _MEASURED.items() if name not in pooled.columns}
+    pooled = written(pooled.withColumns(absent).select(run, *_POOLED), "pooled")
     speed = throughput(pooled, runs, [run])
     joined = null_safe_join(speed, runs.select(run, "returncode", "attempts"), [run])
     joined = null_safe_join(joined, in_flight(pooled, [run]), [run], "left")
@@ -205,9 +208,12 @@ def pooled_summary(events: DataFrame, attempts: DataFrame, run: str, attempt: st
 
 
 def pooled_profile(events: DataFrame, attempts: DataFrame, run: str, attempt: str) -> DataFrame:
-    """One row per run and metric over the pooled samples of its attempts; what holds for the run is on each of its rows."""
+    """One row per run and metric over the pooled samples of its attempts; what holds for the run is on each of its rows,
+    so are count, mean and median of its builds."""
     totals, metrics = pooled_summary(events, attempts, run, attempt)
-    return null_safe_join(totals, metrics, [run], "left")
+    profile = null_safe_join(totals, metrics, [run], "left")
+    of_builds = lambda c: F.max(F.when(F.col("metric") == "compile_ns", F.col(c))).over(Window.partitionBy(run))
+    return profile.select("*", *[of_builds(c).alias(f"compile_{name}") for c, name in (("samples", "count"), ("mean", "mean"), ("median", "median"))])
 
 
 def summary_records(totals: DataFrame, metrics: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
