@@ -43,3 +43,20 @@ def test_pairing_of_cold_and_hot_queues(spark, monkeypatch, limit):
     assert sorted((r["name"], r["nth"], r["value"], r["status"]) for r in got.collect()) == [
         ("b", 1, None, "exhausted"), ("c0", 1, "0", "ok"), ("c1", 2, "1", "ok"), ("c2", 3, "2", "ok"), ("c3", 4, None, "exhausted"), ("n", 1, None, "ok"),
     ]
+
+
+def test_cold_queues_and_words_take_one_exchange(spark):
+    rows = spark.createDataFrame([(1, 2, "a"), (1, 3, "b")], "key long, seq long, value string")
+    assert _exchanges(vl.pair_in_order(rows.select("key", "seq"), rows, ["key"], "seq", "value")) == 1
+    assert _exchanges(vl.ordered_distinct(rows, ["key"], "value", "seq")) == 1
+
+
+@pytest.mark.parametrize("limit", [2, 1000])
+def test_ordered_distinct_of_cold_and_hot_keys(spark, monkeypatch, limit):
+    _cut(monkeypatch, vl, limit)
+    rows = [(1, w, i) for i, w in enumerate("abacb")] + [(2, "z", 9), (None, None, 0), (None, "a", 1)]
+    got = vl.ordered_distinct(spark.createDataFrame(rows, "doc long, word string, at int"), ["doc"], "word", "at")
+    assert got.columns == ["doc", "word", "first_position", "rank"] and dict(got.dtypes)["rank"] == "bigint"
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(
+        map(str, [(1, "a", 0, 1), (1, "b", 1, 2), (1, "c", 3, 3), (2, "z", 9, 1), (None, None, 0, 1), (None, "a", 1, 2)])
+    )
