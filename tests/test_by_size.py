@@ -60,3 +60,27 @@ def test_ordered_distinct_of_cold_and_hot_keys(spark, monkeypatch, limit):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(
         map(str, [(1, "a", 0, 1), (1, "b", 1, 2), (1, "c", 3, 3), (2, "z", 9, 1), (None, None, 0, 1), (None, "a", 1, 2)])
     )
+
+
+def _greedy(edits):
+    kept = []
+    for file, start, end, priority in sorted(set(edits), key=lambda e: (-e[3], e[1] - e[2], e[1])):
+        if not any(f == file and start < e and s < end for f, s, e, _ in kept):
+            kept.append((file, start, end, priority))
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("fold_limit", [2, 1000])
+@pytest.mark.parametrize("limit", [20, 1000])
+def test_edits_of_cold_and_hot_files(spark, monkeypatch, limit, fold_limit):
+    _cut(monkeypatch, sp, limit)
+    draw = random.Random(3)
+    edits = [(f, s, s + draw.randrange(0, 12), draw.randrange(3)) for f in ("a", "b") for s in (draw.randrange(60) for _ in range(40 if f == "a" else 12))]
+    edits += edits[:5]
+    df = spark.createDataFrame(edits, "file string, start long, end long, priority int")
+    assert sorted(map(tuple, sp.select_edits(df, ["file"], fold_limit).select(*df.columns).collect())) == _greedy(edits)
+
+
+def test_edits_of_cold_files_are_settled_in_one_exchange(spark):
+    df = spark.createDataFrame([("a", 0, 5, 1), ("a", 3, 6, 2)], "file string, start long, end long, _rank int")
+    assert _exchanges(sp._clusters_by_key(df, ["file"])) == 1
