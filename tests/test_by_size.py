@@ -45,6 +45,12 @@ def test_pairing_of_cold_and_hot_queues(spark, monkeypatch, limit):
     ]
 
 
+def test_calls_and_records_without_order_meet_as_they_came(spark):
+    rows = spark.createDataFrame([(1, None, i, 9 - i) for i in range(5)], "key long, seq long, a long, b long").coalesce(1)
+    got = vl.pair_in_order(rows.select("key", "seq", "a"), rows.select("key", "seq", "b"), ["key"], "seq", "b")
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(i, 9 - i) for i in range(5)]
+
+
 def test_cold_queues_and_words_take_one_exchange(spark):
     rows = spark.createDataFrame([(1, 2, "a"), (1, 3, "b")], "key long, seq long, value string")
     assert _exchanges(vl.pair_in_order(rows.select("key", "seq"), rows, ["key"], "seq", "value")) == 1
