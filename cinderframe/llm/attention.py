@@ -9,10 +9,18 @@ import numpy as np
 #: Classes (frequent subwords and one for the rest) of the input, of the input before it, of the output; width; positions seen
 #: before a window's stride; tokens that a window scores.
 INPUTS, BEFORE, OUTPUTS, WIDTH, SIGHT, STRIDE = 512, 64, 128, 16, 16, 16
-RATE, BATCH = 0.01, 64
-SHAPES = {"e": (INPUTS + 1, WIDTH), "q": (INPUTS + 1, WIDTH), "k": (INPUTS + 1, WIDTH), "v": (INPUTS + 1, WIDTH), "u": (WIDTH, OUTPUTS), "r": (SIGHT + STRIDE,)}
+#: A subword of a class for the rest is told by LEVELS digits below BASE, so inputs and outputs tell all subwords apart. Those whose first
+#: digit is below NEAR are counted behind each input class.
+BASE, LEVELS, NEAR = 37, 3, 3
+RATE, BATCH = 0.01, 128
+SHAPES = {
+    "qe": (INPUTS + 1 + LEVELS * BASE, 2 * WIDTH), "kv": (INPUTS + 1 + LEVELS * BASE, 2 * WIDTH), "u": (WIDTH, OUTPUTS), "digits": (LEVELS, WIDTH, BASE),
+    "r": (SIGHT + STRIDE,),
+}
 ONES = np.ones(OUTPUTS, np.float32)
 PAD = INPUTS  # the class behind the end of what can be seen
+#: Groups of a level that are told apart behind each input class.
+GROUPS = [1 if level == 0 else NEAR * BASE ** (level - 1) for level in range(LEVELS)]
 
 
 @dataclass
@@ -20,17 +28,24 @@ class Attention:
     """Single-head attention with relative positions on top of a table of class triples.
 
     logits(next) = triple[last but one, last, next] + (embedding of last + attention over the last SIGHT classes) @ u
+
+    Inputs are codes: a class, or beyond PAD, the number of a subword of the last class, whose embedding is that of the class and of its digits.
+    Targets are a class, or from OUTPUTS on, the number of a subword of the last class. Its digits have a softmax each, of the same sum @ digits on
+    top of `rest`, a table of each level: a row for each input class in front and group below GROUPS, then one for each group of digits before.
     """
 
     triple: np.ndarray
     weights: dict[str, np.ndarray]
+    rest: list[np.ndarray]
 
 
-def fresh(triple: np.ndarray, seed: int = 5) -> Attention:
+def fresh(triple: np.ndarray, rest: list[np.ndarray] | None = None, seed: int = 5) -> Attention:
     draw = np.random.default_rng(seed)
     weights = {name: (draw.normal(0, 0.1, shape)).astype(np.float32) for name, shape in SHAPES.items()}
     weights["r"][:] = 0
-    return Attention(triple.astype(np.float32).reshape(-1, OUTPUTS), weights)
+    if rest is None:
+        rest = [np.zeros((INPUTS * near + BASE**level, BASE)) for level, near in enumerate(GROUPS)]
+    return Attention(triple.astype(np.float32).reshape(-1, OUTPUTS), weights, [table.astype(np.float32) for table in rest])
 
 
 def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
@@ -71,10 +86,42 @@ def _seen(classes: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndar
     return np.where(inside, classes[np.clip(at, 0, len(classes) - 1)], PAD)
 
 
+def _digits(number: np.ndarray) -> np.ndarray:
+    return np.stack([number // BASE ** (LEVELS - 1 - level) % BASE for level in range(LEVELS)], -1)
+
+
+def _rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the embedding tables for codes: that of the class, then places of subwords told by digits, and their digits' rows."""
+    rare = np.flatnonzero(x > PAD)
+    rows = np.where(x > PAD, INPUTS - 1, x).astype(np.uint16).ravel()
+    return rows, rare, (INPUTS + 1 + np.arange(LEVELS) * BASE + _digits(x.ravel()[rare] - PAD - 1)).astype(np.uint16)
+
+
+def _embedded(table: np.ndarray, at: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    rows, rare, digits = at
+    found = table.take(rows, 0)
+    found[rare] += table[digits].sum(1)
+    return found
+
+
+def _spread(slope: np.ndarray, at: tuple[np.ndarray, np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """Slopes of the tables' rows from those of the places that took them."""
+    rows, rare, digits = at
+    rows = np.concatenate([rows, digits.ravel()])
+    order = np.argsort(rows, kind="stable")
+    place = np.concatenate([np.arange(len(slope)), np.repeat(rare, LEVELS)])[order]
+    begin = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    out = np.zeros((size, slope.shape[1]), np.float32)
+    out[rows[order[begin]]] = np.add.reduceat(slope.take(place, 0), begin, axis=0)
+    return out
+
+
 def _forward(model: Attention, x: np.ndarray) -> tuple:
-    w = model.weights
-    last = x[:, SIGHT:]
-    q, k, v = w["q"][last], w["k"][x], w["v"][x]
+    w, n = model.weights, len(x)
+    seen, last = _rows(x), _rows(x[:, SIGHT:])
+    qe = _embedded(w["qe"], last).reshape(n, STRIDE, 2, WIDTH)
+    kv = _embedded(w["kv"], seen).reshape(n, SIGHT + STRIDE, 2, WIDTH)
+    q, k, v = qe[:, :, 0], kv[:, :, 0], kv[:, :, 1]
     a = q @ k.transpose(0, 2, 1)
     a *= np.float32(WIDTH**-0.5)
     a += w["r"][BACK] + np.where(ALLOWED, np.float32(0), np.float32(-1e9))
@@ -83,24 +130,44 @@ def _forward(model: Attention, x: np.ndarray) -> tuple:
     a *= (x != PAD)[:, None, :]
     a /= np.maximum(a.sum(2, keepdims=True), np.float32(1e-30))
     h = a @ v
-    h += w["e"][last]
-    logits = h.reshape(-1, WIDTH) @ w["u"]
-    logits += model.triple[(np.minimum(x[:, SIGHT - 1 : -1], BEFORE - 1) * INPUTS + np.minimum(last, INPUTS - 1)).ravel()]
-    return last, q, k, v, a, h, logits
+    h += qe[:, :, 1]
+    h = h.reshape(-1, WIDTH)
+    logits = h @ w["u"]
+    class_ = np.minimum(last[0], INPUTS - 1).astype(np.int64)
+    logits += model.triple.take(np.minimum(x[:, SIGHT - 1 : -1], BEFORE - 1).ravel() * INPUTS + class_, 0)
+    return seen, last, class_, q, k, v, a, h, logits
+
+
+def _told(model: Attention, level: int, number: np.ndarray, class_: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of a digit of subwords of the last class, by number, behind the digits before it; and the digit."""
+    group, near = number // BASE ** (LEVELS - level), GROUPS[level]
+    rows = np.where(group < near, class_ * near, INPUTS * near) + group
+    logits = h @ model.weights["digits"][level]
+    logits += model.rest[level].take(rows, 0)
+    return logits, number // BASE ** (LEVELS - 1 - level) % BASE
 
 
 def log_probabilities(model: Attention, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, batch: int = 192) -> np.ndarray:
-    """Natural log probability of the target class at every position, for sequences put behind each other."""
+    """Natural log probability of the target at every position, for sequences put behind each other."""
     start, low, high = windows(lengths)
     out = np.zeros(len(inputs), np.float32)
     for i in range(0, len(start), batch):
         s = start[i : i + batch]
-        logits = _forward(model, _seen(inputs, s, low[i : i + batch], high[i : i + batch]))[-1]
+        _, _, class_, *_, h, logits = _forward(model, _seen(inputs, s, low[i : i + batch], high[i : i + batch]))
         at = (s[:, None] + np.arange(STRIDE)).ravel()
         real = np.flatnonzero(at < np.repeat(high[i : i + batch], STRIDE))
-        own = logits[real, targets[at[real]]]
+        at = at[real]
+        target = targets[at]
+        own = logits[real, np.minimum(target, OUTPUTS - 1)]
         np.exp(logits, out=logits)
-        out[at[real]] = own - np.log(logits @ ONES)[real]
+        out[at] = own - np.log(logits @ ONES)[real]
+        told = np.flatnonzero(target >= OUTPUTS)
+        real, at, number = real[told], at[told], target[told] - OUTPUTS
+        for level in range(LEVELS if len(told) else 0):
+            logits, digit = _told(model, level, number, class_[real], h[real])
+            own = logits[np.arange(len(told)), digit]
+            np.exp(logits, out=logits)
+            out[at] += own - np.log(logits.sum(1))
     return out
 
 
@@ -118,28 +185,45 @@ def train(model: Attention, inputs: np.ndarray, targets: np.ndarray, lengths: np
     for step, i in enumerate(range(0, len(chosen), BATCH), 1):
         c = chosen[i : i + BATCH]
         x = _seen(inputs, start[c], low[c], high[c])
-        last, q, k, v, a, h, logits = _forward(model, x)
+        seen, last, class_, q, k, v, a, h, p = _forward(model, x)
         at = (start[c][:, None] + np.arange(STRIDE)).ravel()
-        real = at < np.repeat(high[c], STRIDE)
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(1, keepdims=True)
-        p[np.flatnonzero(real), targets[at[real]]] -= 1
-        p[~real] = 0
-        p /= max(real.sum(), 1)
-        w, slope = model.weights, {n: np.zeros_like(g) for n, g in model.weights.items()}
-        slope["u"] = h.reshape(-1, WIDTH).T @ p
-        dh = (p @ w["u"].T).reshape(h.shape)
-        np.add.at(slope["e"], last, dh)
-        np.add.at(slope["v"], x, a.transpose(0, 2, 1) @ dh)
+        inside = at < np.repeat(high[c], STRIDE)
+        real = np.flatnonzero(inside)
+        target = targets[at[real]]
+        share = np.float32(1 / max(len(real), 1))
+        # scores stay small here too
+        np.exp(p, out=p)
+        p *= (np.where(inside, share, np.float32(0)) / (p @ ONES))[:, None]
+        p[real, np.minimum(target, OUTPUTS - 1)] -= share
+        w = model.weights
+        slope = {"u": h.T @ p, "digits": np.zeros_like(w["digits"])}
+        dh = p @ w["u"].T
+        told = np.flatnonzero(target >= OUTPUTS)
+        number, told = target[told] - OUTPUTS, real[told]
+        for level in range(LEVELS if len(told) else 0):
+            own = h[told]
+            p, digit = _told(model, level, number, class_[told], own)
+            np.exp(p, out=p)
+            p *= (share / p.sum(1))[:, None]
+            p[np.arange(len(told)), digit] -= share
+            slope["digits"][level] = own.T @ p
+            dh[told] += p @ w["digits"][level].T
+        dh = dh.reshape(len(c), STRIDE, WIDTH)
+        dqe = np.empty((len(c), STRIDE, 2, WIDTH), np.float32)
+        dkv = np.empty((len(c), SIGHT + STRIDE, 2, WIDTH), np.float32)
+        dqe[:, :, 1] = dh
+        dkv[:, :, 1] = a.transpose(0, 2, 1) @ dh
         da = dh @ v.transpose(0, 2, 1)
-        da = a * (da - (da * a).sum(2, keepdims=True))
-        np.add.at(slope["r"], BACK, da.sum(0))
+        da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
+        da *= a
+        slope["r"] = np.bincount(BACK.ravel(), da.sum(0).ravel(), SIGHT + STRIDE).astype(np.float32)
         da *= np.float32(WIDTH**-0.5)
-        np.add.at(slope["q"], last, da @ k)
-        np.add.at(slope["k"], x, da.transpose(0, 2, 1) @ q)
+        dqe[:, :, 0] = da @ k
+        dkv[:, :, 0] = da.transpose(0, 2, 1) @ q
+        slope["qe"] = _spread(dqe.reshape(-1, 2 * WIDTH), last, len(w["qe"]))
+        slope["kv"] = _spread(dkv.reshape(-1, 2 * WIDTH), seen, len(w["kv"]))
         for n, g in slope.items():
-            first[n] = 0.9 * first[n] + 0.1 * g
-            second[n] = 0.99 * second[n] + 0.01 * g * g
-            w[n] -= np.float32(RATE) * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + np.float32(1e-6))
+            first[n] += np.float32(0.1) * (g - first[n])
+            second[n] += np.float32(0.01) * (g * g - second[n])
+            w[n] -= np.float32(RATE / (1 - 0.9**step)) * first[n] / (np.sqrt(second[n] * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-6))
     return len(chosen)

@@ -17,15 +17,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from cinderframe.llm import attention
-from cinderframe.llm.attention import BEFORE, INPUTS, OUTPUTS
+from cinderframe.llm.attention import BASE, BEFORE, INPUTS, LEVELS, NEAR, OUTPUTS, PAD
 from cinderframe.llm.common import text_rows
 from cinderframe.session import written
 
 #: Text bytes of a block; rounds of training, each over another part of a block's windows, together over all of them.
 BLOCK_BYTES = 12 << 20
 ROUNDS = 2
-#: Ranks of subwords that are counted behind each input class.
-NAMED = 4096
+#: Subwords of the last output class that are counted one by one behind each input class, the others together.
+NAMED = NEAR * BASE ** (LEVELS - 1)
 
 
 @lru_cache(maxsize=2)
@@ -124,42 +124,40 @@ def _backed(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
 
 
 class Classes:
-    """Subword ids as input and output classes, both by rank in frequency.
+    """Subword ids as input and output codes of the attention model, both by rank in frequency.
 
-    The last output class is any other subword, told apart by the counts of subwords of rank below NAMED behind each input class.
+    Frequent subwords are classes of their own; all others are numbers in the last class, which the model tells apart by their digits.
     """
 
     def __init__(self, counts: np.ndarray, end: int):
+        if len(counts) > OUTPUTS - 1 + BASE**LEVELS:
+            raise ValueError(f"{LEVELS} digits below {BASE} do not tell {len(counts)} subwords apart")
         order = np.argsort(-counts, kind="stable")
         order = np.concatenate([[end], order[order != end]])
         self.end = end
-        self.rank = np.empty(len(counts), np.int64)
-        self.rank[order] = np.arange(len(counts))
-        self.input, self.output = np.minimum(self.rank, INPUTS - 1), np.minimum(self.rank, OUTPUTS - 1)
-        self.named = np.minimum(self.rank, NAMED - 1)
+        rank = np.empty(len(counts), np.int64)
+        rank[order] = np.arange(len(counts))
+        self.input = np.where(rank < INPUTS - 1, rank, rank - (INPUTS - 1) + PAD + 1)
+        self.output = np.where(rank < OUTPUTS - 1, rank, rank - (OUTPUTS - 1) + OUTPUTS)
         rest = counts[order[OUTPUTS - 1 :]] + 0.5
-        self.alone = np.zeros(len(counts))
-        self.alone[OUTPUTS - 1 :] = rest / rest.sum()
-        self.own = np.zeros((INPUTS, NAMED), np.float32)
-
-    def learn_rest(self, counts: np.ndarray) -> None:
-        """counts[input class, rank below NAMED]: how often an other subword of a rank stood behind a class."""
-        alone = self.alone[:NAMED].copy()
-        alone[NAMED - 1 :] = self.alone[NAMED - 1 :].sum()
-        self.own = np.log(_backed(counts, alone) + 1e-12).astype(np.float32)
-        self.own[:, : OUTPUTS - 1] = 0
-        beyond = self.alone[NAMED - 1 :]
-        self.far = np.log(beyond / beyond.sum())
-
-    def within(self, before: np.ndarray, flat: np.ndarray) -> np.ndarray:
-        """Log probability of a subword in its output class, behind an input class."""
-        found = self.own[before, self.named[flat]].astype(np.float64)
-        far = self.rank[flat] >= NAMED - 1
-        found[far] += self.far[self.rank[flat[far]] - NAMED + 1]
-        return found
+        self.alone = np.zeros(BASE**LEVELS)
+        self.alone[: len(rest)] = rest / rest.sum()
+
+    def rest(self, counts: np.ndarray) -> list[np.ndarray]:
+        """Log probabilities of digits, as attention takes them, from counts[input class, number of the subword below NAMED, or NAMED]."""
+        beyond = self.alone[NAMED:].reshape(-1, BASE ** (LEVELS - 1)).sum(1)
+        held = _backed(counts, np.append(self.alone[:NAMED], beyond.sum()))
+        near, tables = held[:, :NAMED], []
+        for level in range(LEVELS):
+            behind = near.reshape(-1, NEAR if level == 0 else BASE, BASE ** (LEVELS - 1 - level)).sum(2)
+            if level == 0:
+                behind = np.concatenate([behind, held[:, NAMED:] * beyond / max(beyond.sum(), 1e-300)], 1)
+            each = np.concatenate([behind, self.alone.reshape(BASE**level, BASE, -1).sum(2)])
+            tables.append(np.log(each / np.maximum(each.sum(1, keepdims=True), 1e-300) + 1e-12))
+        return tables
 
     def pairs(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Input class in front of every subword, an end in front of the first, and the subword's output class."""
+        """Input code in front of every subword, an end in front of the first, and the subword's output code."""
         before = np.empty_like(flat)
         before[1:] = flat[:-1]
         before[np.cumsum(lengths) - lengths] = self.end
@@ -201,25 +199,26 @@ def _fit(blocks: DataFrame, vocabulary: int, end: int) -> tuple[Classes, attenti
             for body in batch.column(0):
                 flat, lengths = _learned(_opened(body), end)
                 before, behind = classes.pairs(flat, lengths)
+                before = np.where(before > PAD, INPUTS - 1, before)
                 second = np.full(len(before), BEFORE - 1, np.int64)
                 second[1:] = np.minimum(before[:-1], BEFORE - 1)
                 second[np.cumsum(lengths) - lengths] = BEFORE - 1
-                rest = behind == OUTPUTS - 1
-                for kind, codes in ((0, (second * INPUTS + before) * OUTPUTS + behind), (1, before[rest] * NAMED + classes.named[flat[rest]])):
+                rest = behind >= OUTPUTS
+                numbers = np.minimum(behind[rest] - OUTPUTS, NAMED)
+                for kind, codes in ((0, (second * INPUTS + before) * OUTPUTS + np.minimum(behind, OUTPUTS - 1)), (1, before[rest] * (NAMED + 1) + numbers)):
                     found, count = np.unique(codes, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), kind)), pa.array(found), pa.array(count)], ["kind", "code", "n"])
 
     found = blocks.select("body").mapInArrow(contexts, "kind long, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n")).toArrow()
     kind, code, n = (found.column(k).to_numpy() for k in ("kind", "code", "n"))
-    triple, rest = np.zeros((BEFORE, INPUTS, OUTPUTS), np.float32), np.zeros((INPUTS, NAMED))
+    triple, rest = np.zeros((BEFORE, INPUTS, OUTPUTS), np.float32), np.zeros((INPUTS, NAMED + 1))
     np.put(triple, code[kind == 0], n[kind == 0])
     np.put(rest, code[kind == 1], n[kind == 1])
-    classes.learn_rest(rest)
     pair = triple.sum(0)
     alone = (pair.sum(0) + 1) / (pair.sum() + OUTPUTS)
     pair = _backed(pair, alone)
     triple = np.log(_backed(triple, pair))
-    model = attention.fresh(triple)
+    model = attention.fresh(triple, classes.rest(rest))
     for number in range(ROUNDS if counts.any() else 0):
         shared = context.broadcast(model)
 
@@ -227,7 +226,7 @@ def _fit(blocks: DataFrame, vocabulary: int, end: int) -> tuple[Classes, attenti
             for batch in batches:
                 for block, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                     flat, lengths = _learned(_opened(body), end)
-                    own = attention.Attention(shared.value.triple, {n: w.copy() for n, w in shared.value.weights.items()})
+                    own = attention.Attention(shared.value.triple, {n: w.copy() for n, w in shared.value.weights.items()}, shared.value.rest)
                     used = attention.train(own, *shared_classes.value.pairs(flat, lengths), lengths, number, ROUNDS, block % (1 << 31))
                     if used:
                         yield pa.RecordBatch.from_arrays([pa.array([float(used)]), pa.array([attention.flat(own.weights).tolist()])], ["used", "weights"])
@@ -237,7 +236,7 @@ def _fit(blocks: DataFrame, vocabulary: int, end: int) -> tuple[Classes, attenti
         found = mean.select(vector_to_array("mean").alias("mean")).first()[0]
         if not found or not np.isfinite(found).all():
             break
-        model = attention.Attention(model.triple, attention.shaped(np.array(found)))
+        model = attention.Attention(model.triple, attention.shaped(np.array(found)), model.rest)
     return classes, model
 
 
@@ -285,7 +284,7 @@ def lm_scores(docs: DataFrame, held: Column, encoder: tuple[str, str], vocabular
                 to = max(done + 1, int(np.searchsorted(cuts, cuts[done] + 500_000, "right")) - 1)
                 flat, long = _sequences(place[cuts[done] : cuts[to]], sizes[done:to], lengths, subwords, classes.end)
                 before, behind = classes.pairs(flat, long)
-                found = attention.log_probabilities(model, before, behind, long) + classes.within(before, flat)
+                found = attention.log_probabilities(model, before, behind, long).astype(np.float64)
                 total[done:to] = np.add.reduceat(found, np.cumsum(long) - long) / np.log(10)
                 done = to
             n = len(sizes)

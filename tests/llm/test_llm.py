@@ -131,6 +131,37 @@ def test_attention_probabilities_are_causal_and_sum_to_one():
     assert np.allclose(before[:30], after[:30]) and not np.allclose(before[30:], after[30:])
 
 
+def test_attention_tells_all_subwords_apart():
+    from cinderframe.llm import attention as A
+
+    classes = lm_scoring.Classes(np.random.default_rng(1).integers(0, 9, 50257).astype(float), 50256)
+    for codes in (classes.input, classes.output):
+        assert len(np.unique(codes)) == 50257
+    counts = np.random.default_rng(2).integers(0, 3, (A.INPUTS, lm_scoring.NAMED + 1))
+    model = A.fresh(np.zeros((A.BEFORE, A.INPUTS, A.OUTPUTS)), classes.rest(counts))
+    every = np.append(np.arange(A.OUTPUTS - 1), A.OUTPUTS + np.arange(A.BASE**A.LEVELS))
+    for code in (3, A.PAD + 1 + 40_000):
+        found = A.log_probabilities(model, np.full(len(every), code), every, np.ones(len(every), int))
+        assert abs(np.exp(found.astype(float)).sum() - 1) < 1e-3
+    # which rare subword came before changes what each class, and each rare subword, is expected to be
+    one, other = (np.array([A.PAD + 1 + number, 3, 4]) for number in (30_000, 30_001))
+    for target in (5, A.OUTPUTS + 20_000):
+        a, b = (A.log_probabilities(model, codes, np.full(3, target), np.array([3])) for codes in (one, other))
+        assert (np.abs(a - b) > 1e-7).all()
+
+
+def test_attention_learns_a_rare_subword_from_a_rare_one():
+    from cinderframe.llm import attention as A
+
+    pair = np.random.default_rng(3).integers(0, 2, 20_000)
+    inputs = np.stack([A.PAD + 1 + 900 * pair, np.full(20_000, 7)], 1).ravel()
+    targets = np.stack([np.full(20_000, 7), A.OUTPUTS + 5_000 + 50 * pair], 1).ravel()
+    lengths = np.full(20_000, 2)
+    model = A.fresh(np.zeros((A.BEFORE, A.INPUTS, A.OUTPUTS)))
+    A.train(model, inputs, targets, lengths, 0, 1, 3)
+    assert A.log_probabilities(model, inputs, targets, lengths)[1::2].mean() > -0.2
+
+
 # 2: near duplicates
 
 
