@@ -275,6 +275,35 @@ def test_encoder_cuts_like_the_library():
     assert [known.encode([t])[0].tolist() for t in texts] == want
 
 
+def test_pieces_of_texts_encode_like_the_library(monkeypatch):
+    known = token_output.Encoder(queries.tokenizer_path())
+    parts = [
+        *"aBzéßœȳʒжΩ中१०²½_'\"-.,$#!?()<|>09", " ", " ", " ", "  ", "\n", "\r\n", "\t", "\x0b", "\x1c", "\x7f", "\x00", "\x85", "\xa0", "\u1680", "\u2003", "\u2019",
+        "\u3000", "\u0301", "'s", "'re", "word", " word", "Straße", "×", "÷", "<|endoftext|>", "x" * 30, "\U0001f600",
+    ]
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(parts, k=rng.randrange(25))) for _ in range(6000)]
+    want = [e.ids for e in known.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in known.encode(texts)] == want
+    monkeypatch.setattr(token_output, "REMEMBERED", 20_000)  # what is remembered goes again and again
+    for _ in range(2):
+        assert [x.tolist() for i in range(0, 6000, 700) for x in known.encode(texts[i : i + 700])] == want
+
+
+def test_words_that_differ_in_their_tails_reach_the_library_once(monkeypatch):
+    known, seen = token_output.Encoder(queries.tokenizer_path()), []
+    library = known._library
+    monkeypatch.setattr(known, "_library", lambda texts: (seen.extend(texts), library(texts))[1])
+    known.encode([" ".join(f"{word}{tail}" for word in ("alpha", "beta") * 50 for tail in ("", ",", ".", "!", "$$$"))])
+    assert sum(map(len, seen)) < 40
+
+
+def test_a_shared_hash_of_pieces_does_no_harm(monkeypatch):
+    monkeypatch.setattr(token_output, "STEPS", np.zeros(3, np.uint64))
+    known, texts = token_output.Encoder(queries.tokenizer_path()), ["one two six", "two one ten"]
+    assert [x.tolist() for x in known.encode(texts)] == [e.ids for e in known.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 # 5: pages
 
 
