@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from cinderframe.session import written
+from cinderframe.session import dealt, written
 
 #: Words that a substring repeated on different pages of a host has at least; words of one suffix array.
 RUN, CHUNK_WORDS = 6, 400_000
@@ -186,11 +186,9 @@ def _many(pages: int) -> int:
 
 
 def _counts(host: str, frame: pd.DataFrame) -> pd.DataFrame:
-    """Distinct substrings of RUN words in a chunk of a host: how many pages hold them, and how many outside articles.
-
-    Pages of equal content are in one chunk and count once.
-    """
-    frame = frame.drop_duplicates("kind")
+    """Distinct substrings of RUN words in a chunk of a host: how many pages hold them, and how many outside articles."""
+    if not len(frame):
+        return pd.DataFrame({"host": np.zeros(0, object), "gram": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "outside": np.zeros(0, np.int64), "opened": np.zeros(0, bool)})
     _, _, codes, stream, kind = _chunk_stream(frame)
     # a token of its own behind each stream, so that no suffix runs on into the next one
     places = np.arange(len(codes)) + np.cumsum(np.diff(stream, prepend=stream[:1]) != 0)
@@ -212,22 +210,24 @@ def _counts(host: str, frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": np.full(len(begin), host, object), "gram": code[order[begin]], "n": count(new), "outside": count(new & outside), "opened": count(opened) > 0})
 
 
-def _substrings(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """The substrings of a chunk that can matter.
+def _substrings(key, frame: pd.DataFrame, leads: pd.DataFrame) -> pd.DataFrame:
+    """The substrings of a chunk that can matter, of the pages that stand for their content.
 
     The only chunk of a host knows which do. Of several chunks, one at least has its share of the pages of a substring that many hold.
     """
+    frame = frame[frame["row"].isin(leads["code"])]
     found = _counts(key[0], frame)
+    if not len(frame):
+        return found
     chunks, many = frame["chunks"].iloc[0], _many(frame["pages"].iloc[0])
     return found[_matters(found, many) if chunks == 1 else (found["n"] >= -(-many // chunks)) | (found["outside"] > 0)]
 
 
-def _counted(key, frame: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
+def _counted(key, frame: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """The substrings of one chunk of several that can matter by what any chunk holds."""
-    if not len(frame) or not len(grams):
-        return pd.DataFrame({"host": np.zeros(0, object), "gram": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "outside": np.zeros(0, np.int64), "opened": np.zeros(0, bool)})
-    found = _counts(key[0], frame)
-    return found[np.isin(found["gram"].to_numpy(), grams["gram"].to_numpy())]
+    leads, grams = (asked["code"][asked["lead"] == lead].to_numpy() for lead in (True, False))
+    found = _counts(key[0], frame[frame["row"].isin(leads)] if len(grams) else frame[:0])
+    return found[np.isin(found["gram"].to_numpy(), grams)]
 
 
 def _matters(found, many):
@@ -272,15 +272,6 @@ def _main_texts(key, frame: pd.DataFrame, grams: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of each host and content of a partition, so a page with many copies moves once from each."""
-    seen = set()
-    for batch in batches:
-        keys = zip(batch.column("host").to_pylist(), batch.column("kind").to_pylist())
-        new = [not (k in seen or seen.add(k)) for k in keys]
-        yield batch.filter(pa.array(new, pa.bool_()))
-
-
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
@@ -290,7 +281,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     keeps them. Of what is left, blocks named navigation, advert, comment and the like go. Pages of equal content count as one page, so
     copies do not erase each other.
 
-    A host's pages are dealt into chunks of about CHUNK_WORDS words, so a hot host is many tasks. Each chunk's streams are put
+    A host's pages are dealt into chunks of about CHUNK_WORDS words, so a hot host is many tasks; their blocks move once, into a table in
+    buckets, which all steps read. The least row of equal pages stands for them in the counts. Each chunk's streams are put
     behind each other and sorted as suffixes; equal neighbours are its repeated substrings. Those that may be on enough pages, as 64-bit
     codes, are counted in all chunks of their host; the counts meet in one aggregate, and what enough pages hold goes back to all chunks.
 
@@ -317,25 +309,29 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     parsed = parsed.select("*", F.monotonically_increasing_id().alias("row"), host.alias("host"))
     parsed = written(parsed, "html-blocks")
     filled = parsed.filter("words > 0")
-    kinds = filled.groupBy("host", "kind").agg(F.sum("words").alias("words"))
+    kinds = written(filled.groupBy("host", "kind").agg(F.min("row").alias("row"), F.sum("words").alias("words")), "html-kinds")
     hosts = kinds.groupBy("host").agg(F.ceil(F.sum("words") / CHUNK_WORDS).alias("chunks"), F.count(F.lit(1)).alias("pages"))
     hosts = written(hosts, "html-hosts")
-    streams = filled.select("host", "kind", "body")
-    streams = streams.mapInArrow(_once, streams.schema).join(hosts, "host").withColumn("chunk", F.pmod(F.xxhash64("kind"), "chunks"))
+    chunk = F.pmod(F.xxhash64("row"), "chunks").alias("chunk")
+    # ids pass as text, for pandas would make floats of numbers beside a null
+    rows = filled.join(hosts, "host").select(F.col("page_id").cast("string").alias("page_id"), "url", "body", "host", "row", "pages", "chunks", chunk)
+    rows = dealt(rows, "html-chunks", "host", "chunk")
+    leads = kinds.join(hosts, "host").select("host", "chunks", chunk, F.col("row").alias("code"), F.lit(True).alias("lead"))
     kind = "host string, gram long, n long, outside long, opened boolean"
     each_chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
-    held = written(streams.groupBy("host", "chunk").applyInPandas(_substrings, kind), "html-grams")
-    wanted = held.join(hosts.filter("chunks > 1"), "host").select("host", "gram", "chunks").distinct().select("host", "gram", each_chunk)
-    counted = streams.groupBy("host", "chunk").cogroup(wanted.groupBy("host", "chunk")).applyInPandas(_counted, kind)
+    streams = rows.select("host", "chunk", "row", "body", "pages", "chunks")
+    held = written(streams.groupBy("host", "chunk").cogroup(leads.groupBy("host", "chunk")).applyInPandas(_substrings, kind), "html-grams")
+    wanted = held.join(hosts.filter("chunks > 1"), "host").select("host", "gram", "chunks").distinct()
+    wanted = wanted.select("host", "chunks", each_chunk, F.col("gram").alias("code"), F.lit(False).alias("lead"))
+    asked = leads.filter("chunks > 1").unionByName(wanted)
+    counted = streams.filter("chunks > 1").groupBy("host", "chunk").cogroup(asked.groupBy("host", "chunk")).applyInPandas(_counted, kind)
     grams = counted.unionByName(held.join(hosts.filter("chunks = 1").select("host"), "host", "left_semi"))
     grams = grams.groupBy("host", "gram").agg(F.sum("n").alias("n"), F.sum("outside").alias("outside"), F.max("opened").alias("opened"))
     many = F.greatest(F.lit(MANY), F.ceil(F.col("pages") * MANY_SHARE))
     repeated = grams.filter(F.col("n") >= F.when(F.col("opened"), 2).otherwise(MANY)).join(hosts, "host")
     repeated = repeated.filter((F.col("n") >= many) | F.col("opened") & (F.col("outside") >= 2))
     repeated = repeated.select("host", "gram", "n", "outside", each_chunk)
-    # ids pass as text, for pandas would make floats of numbers beside a null
-    dealt = filled.join(hosts, "host").select(F.col("page_id").cast("string").alias("page_id"), "url", "body", "host", "pages", F.pmod(F.xxhash64("row"), "chunks").alias("chunk"))
-    found = dealt.groupBy("host", "chunk").cogroup(repeated.groupBy("host", "chunk"))
+    found = rows.select("page_id", "url", "body", "pages", "host", "chunk").groupBy("host", "chunk").cogroup(repeated.groupBy("host", "chunk"))
     found = found.applyInPandas(_main_texts, "page_id string, url string, text string")
     found = found.withColumn("page_id", F.col("page_id").cast(id_type))
     bare = parsed.filter("words = 0").select("page_id", "url", F.lit("").alias("text"))

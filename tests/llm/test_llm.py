@@ -343,6 +343,19 @@ def test_repeats_in_many_chunks_are_counted_as_in_one(spark, monkeypatch):
     assert sorted((r.page_id, r.text) for r in html_text.main_text(pages).collect()) == want
 
 
+def test_blocks_of_pages_move_once(spark):
+    """Steps behind the dealing read its buckets: only what is counted goes through an exchange; and no table stays in the catalog."""
+    before = spark.catalog.listTables()
+    pages = spark.createDataFrame([(i, "http://h/", f"<p>some words of page {i}") for i in range(9)], "page_id long, url string, html string")
+    found = html_text.main_text(pages)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and not any("body" in line for line in plan.splitlines() if "Exchange hash" in line)
+    scan = next(line for line in plan.splitlines() if "Bucketed: true" in line and "body" in line)
+    above = plan.splitlines()[: plan.splitlines().index(scan)][-3:]
+    assert not any("Exchange" in line for line in above)
+    assert found.count() == 9 and spark.catalog.listTables() == before
+
+
 def test_suffix_ranks():
     tokens = np.random.default_rng(1).integers(0, 3, 300)
     rank = html_text.suffix_ranks(tokens, 5)
