@@ -56,7 +56,7 @@ def _described(rows: DataFrame, width: int) -> DataFrame:
     """row, id, digest of the words, n, parities, signature (a byte of each minhash), both collections, and the text in zstd."""
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         count = 2 * CODES * ROWS
         for batch in batches:
             for i, j, data, offsets in pieces(batch.column(2)):
@@ -117,15 +117,14 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets of shingles, as words of the whole texts, overlap enough.
 
-    The members of a centre `a` are dealt out TOGETHER at a time, so a centre's text moves once for that many, not for every pair, and no
-    group has to fit one task. Each task reads its sorted rows as a stream and holds one centre.
+    Centres and members meet their texts in one join, so the texts of all rows move once. The members of a centre `a` are dealt out
+    TOGETHER at a time, so a centre's text moves once for that many, not for every pair, and no group has to fit one task. Each task reads its sorted rows as a stream and holds one centre.
     """
     pairs = written(pairs, "tensor-pairs")
     slots = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).alias("slots"))
     dealt = pairs.join(slots, "a").withColumn("slot", F.pmod(F.xxhash64("b"), "slots")).drop("slots")
-    members = dealt.join(bodies.withColumnRenamed("row", "b"), "b").select("a", "slot", "b", "body")
-    centres = dealt.select("a", "slot").distinct().join(bodies.withColumnRenamed("row", "a"), "a")
-    rows = centres.select("a", "slot", F.lit(None).cast("long").alias("b"), "body").unionByName(members)
+    centres = dealt.select("a", "slot").distinct().select(F.col("a").alias("row"), "a", "slot", F.lit(None).cast("long").alias("b"))
+    rows = centres.unionByName(dealt.select(F.col("b").alias("row"), "a", "slot", "b")).join(bodies, "row").select("a", "slot", "b", "body")
     rows = rows.repartition("a", "slot").sortWithinPartitions("a", "slot", F.asc_nulls_first("b"))
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
