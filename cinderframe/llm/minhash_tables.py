@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from cinderframe.llm.common import pieces, text_rows
 from cinderframe.llm.ngram_jaccard import ODD, _mix, _parities, linked_documents, shingle_sets
 from cinderframe.plans.components import components
-from cinderframe.session import written
+from cinderframe.session import dealt, written
 
 #: Codes of each collection and minhashes of each code. Two collections give CODES ** 2 tables of 2 * ROWS minhashes for 2 * CODES * ROWS
 #: minhashes instead of 2 * CODES ** 2 * ROWS. A pair of similarity s shares a table with chance (1 - (1 - s ** ROWS) ** CODES) ** 2.
@@ -122,9 +122,9 @@ def _verified(pairs: DataFrame, bodies: DataFrame, width: int, percent: int) ->
     """
     pairs = written(pairs, "tensor-pairs")
     slots = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).alias("slots"))
-    dealt = pairs.join(slots, "a").withColumn("slot", F.pmod(F.xxhash64("b"), "slots")).drop("slots")
-    members = dealt.join(bodies.withColumnRenamed("row", "b"), "b").select("a", "slot", "b", "body")
-    centres = dealt.select("a", "slot").distinct().join(bodies.withColumnRenamed("row", "a"), "a")
+    placed = pairs.join(slots, "a").withColumn("slot", F.pmod(F.xxhash64("b"), "slots")).drop("slots")
+    members = placed.join(bodies.withColumnRenamed("row", "b"), "b").select("a", "slot", "b", "body")
+    centres = placed.select("a", "slot").distinct().join(bodies.withColumnRenamed("row", "a"), "a")
     rows = centres.select("a", "slot", F.lit(None).cast("long").alias("b"), "body").unionByName(members)
     rows = rows.repartition("a", "slot").sortWithinPartitions("a", "slot", F.asc_nulls_first("b"))
 
@@ -158,7 +158,7 @@ def _open(classes: DataFrame, rooted: DataFrame) -> DataFrame:
     key left that could tell something new.
     """
     sides = classes.select("class", F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(name).alias("codes")) for side, name in enumerate(("left", "right"))])).alias("s"))
-    codes = sides.select("class", "s.side", F.explode("s.codes").alias("code")).join(rooted, "class").drop("class")
+    codes = sides.join(rooted, "class").select("root", "s.side", F.explode("s.codes").alias("code"))
     roots = codes.groupBy("code", "side").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("code", "side")
     holders = sides.select("class", "s.side", F.explode("s.codes").alias("code")).join(roots, ["code", "side"])
     both = holders.groupBy("class").agg(F.min("side").alias("first"), F.max("side").alias("last")).filter("first < last")
@@ -191,6 +191,8 @@ def linked_by_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
        do not link (one passage in all of them), such keys would make pairs by the square of their holders. The holders of such codes on both
        sides are settled by the grouped prefix join instead, which is exact: it looks at rare shingles, not at what all of them share.
 
+    Texts move once, into a table in buckets by row, which all steps read in place; what meets it is ids of rows.
+
     Only classes that share a table meet, and pairs within a component are skipped, so a group of copies costs a pair for each
     member. Pairs go through the exact bounds of sizes and parities, then the share of equal minhashes, then both whole texts, word by word.
     A pair of similarity 0.8 shares a table but for a chance of about 5e-6, and passes the signature but for less than 1e-9.
@@ -198,12 +200,12 @@ def linked_by_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts have no shingles and link with nothing. A null id has no component and is kept. Rows that repeat an id are one
     document: what any of them links with, all do. An empty table gives an empty result.
     """
-    base = written(_described(text_rows(docs, id_col, text_col), width), "tensor-rows")
+    base = dealt(_described(text_rows(docs, id_col, text_col), width), "tensor-rows", "row")
     usable = base.filter("id is not null and n > 0")
-    head = F.min(F.struct("row", "n", *ODD, "signature", "left", "right")).alias("head")
-    classes = written(usable.groupBy("digest").agg(head).select("digest", F.col("head.row").alias("class"), "head.*").drop("row"), "tensor-classes")
+    heads = dealt(usable.groupBy("digest").agg(F.min("row").alias("class")), "tensor-heads", "class")
+    classes = base.drop("digest").join(heads.withColumnRenamed("class", "row"), "row").withColumnRenamed("row", "class")
     bodies = base.select("row", "body")
-    named = written(usable.select("id", "digest").join(classes.select("digest", "class"), "digest").select("id", "class"), "tensor-named")
+    named = written(usable.select("id", "digest").join(heads, "digest").select("id", "class"), "tensor-named")
 
     twice = named.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a < b").select("id", "a")
     links = named.join(twice, "id").select("a", F.col("class").alias("b")).filter("a <> b").distinct()
@@ -222,7 +224,7 @@ def linked_by_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rooted = _rooted(classes, links)
 
     least = named.join(rooted, "class").groupBy("root").agg(F.min("id").alias("component"))
-    found = classes.select("digest", "class").join(rooted, "class").join(least, "root").select("digest", "component")
+    found = heads.join(rooted, "class").join(least, "root").select("digest", "component")
     rows = base.select("id", "digest", "n")
     linked = rows.filter("id is not null and n > 0").join(found, "digest").select("id", "n", "component")
     alone = rows.filter("id is null or n = 0").select("id", "n", F.col("id").alias("component"))

@@ -117,3 +117,22 @@ def test_tables_are_pairs_of_codes_of_two_collections():
     least[:3, 1] = least[:3, 0]  # the first code of the first collection agrees
     left, right = mt.collections(least, 5, 3)
     assert left[0, 0] == left[0, 1] and len(np.unique(np.concatenate([left, right]))) == 2 * 5 * 4 - 1
+
+
+def _exchanges(spark, texts, key):
+    """Exchanges of a join of the texts with some of their keys, all of it without a broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = texts.join(spark.range(5).withColumnRenamed("id", key), key)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    return plan.count("Exchange ")
+
+
+@pytest.mark.parametrize(("module", "find", "key"), [(mt, mt.linked_by_tables, "row")])
+def test_keys_meet_texts_where_they_lie(spark, odd, monkeypatch, module, find, key):
+    seen, real = [], module._verified
+    monkeypatch.setattr(module, "_verified", lambda pairs, texts, *a: seen.append(texts) or real(pairs, texts, *a))
+    find(odd.filter("doc_id between 4 and 8"))
+    assert _exchanges(spark, seen[0], key) == 1
