@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from cinderframe.llm.common import BASE, inverse, packed, pieces, powers, text_rows
 from cinderframe.llm.components import components
-from cinderframe.session import written
+from cinderframe.session import bounded_batches, dealt, written
 
 #: Documents (about) whose shingles tell which are frequent, and the most frequent shingles that are told apart.
 ORDER_DOCS, ORDER_SHINGLES, OFTEN = 4000, 100_000, 4
@@ -149,6 +149,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Shingles are compared by 64-bit codes. Null and empty texts have no shingles and link with nothing. A null id has no component.
     Rows that repeat an id are one document: what any of them links with, all do. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = text_rows(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     shared = docs.sparkSession.sparkContext.broadcast(_order(rows, width))
 
@@ -197,7 +198,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stars = written(stars.unionByName(members.filter("id <> group").select(F.col("group").alias("a"), F.col("id").alias("b"))), "jaccard-pairs")
     listed_ids = members.join(lists.select(F.col("id").alias("group")).distinct(), "group", "left_semi").select("id")
     bodies = packed(rows.filter("id is not null"), "id").join(listed_ids.distinct(), "id", "left_semi")
-    texts = written(bodies.groupBy("id").agg(F.max("body").alias("body")), "jaccard-texts")
+    texts = dealt(bodies.groupBy("id").agg(F.max("body").alias("body")), "jaccard-texts", "id")
     links = written(_verified(stars, texts, width, percent), "jaccard-links")
     roots = written(components(links), "jaccard-roots")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from cinderframe.llm.common import pieces, sums, text_rows
+from cinderframe.session import bounded_batches
 
 #: At most about so many labelled documents, and so much of their text, train the field.
 TRAIN_DOCS, TRAIN_BYTES = 2000, 8 << 20
@@ -221,6 +222,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str =
 
 def keep_good(docs: DataFrame, field: LineField, least: float, text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose text scores at least `least`; a filter without a shuffle."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     at = docs.columns.index(text_col)
 

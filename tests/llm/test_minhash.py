@@ -4,11 +4,13 @@ import random
 
 import brute_force
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cinderframe.checks.tables import normal_rows, oracle_rows
-from cinderframe.llm import minhash_tables as mt, queries
+from cinderframe.llm import minhash_tables as mt, ngram_jaccard as nj, queries
+from cinderframe.llm.quality_crf import N_FEATURES, LineField, keep_good
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, class int, root string, key double, a long, n string"
@@ -130,9 +132,21 @@ def _exchanges(spark, texts, key):
     return plan.count("Exchange ")
 
 
-@pytest.mark.parametrize(("module", "find", "key"), [(mt, mt.linked_by_tables, "row")])
+@pytest.mark.parametrize(("module", "find", "key"), [(mt, mt.linked_by_tables, "row"), (nj, nj.linked_documents, "id")])
 def test_keys_meet_texts_where_they_lie(spark, odd, monkeypatch, module, find, key):
     seen, real = [], module._verified
     monkeypatch.setattr(module, "_verified", lambda pairs, texts, *a: seen.append(texts) or real(pairs, texts, *a))
     find(odd.filter("doc_id between 4 and 8"))
     assert _exchanges(spark, seen[0], key) == 1
+
+
+def test_python_gets_texts_in_small_batches(spark):
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    keep_good(docs, LineField(np.zeros(N_FEATURES), np.zeros((2, 2))), 0.0)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["doc_id"])
+
+    largest = docs.mapInArrow(sizes, "doc_id long").agg(F.max("doc_id")).first()[0]
+    assert largest < 5 << 20
