@@ -190,3 +190,49 @@ def test_replay_of_a_full_file_is_one_pass(spark):
     start = time.time()
     assert vl.replay_calls(options, ["file"]).where("outcome = 'replaced' and matched_key = site").count() == 40 * n
     assert time.time() - start < 10
+
+
+ODD_CALLS = [
+    ("f", 1, 0, 30, True, [1], None), ("f", 2, 0, 0, True, [2, 3], None), ("f", 3, 5, 5, True, [2], None), ("f", 4, 10, None, True, [4], None), ("f", 5, None, 8, True, [5], None),
+    ("f", None, 40, 45, True, [None, 6], None), ("f", 7, 41, 43, True, None, None), ("f", 8, 42, 44, False, [7], None), ("f", 9, 60, 50, True, [8], None), (None, 1, 0, 9, True, [1], 100), (None, 2, 3, 4, None, [2], 100),
+]
+
+
+def test_files_of_every_size_are_replayed_alike(spark):
+    """Nested calls too tell the queue they would have taken; calls without length, start, end, name or file are where a plain walk has them."""
+    rng = random.Random(21)
+    calls = [("h", i, 2 * i, 2 * i + rng.choice([0, 1, 9, 40]), rng.random() < 0.8, [rng.randrange(4000) for _ in range(3)], None) for i in range(vl.FOLD_LIMIT + 200)]
+    queues = [("h", k, 1 + k % 2) for k in range(4000)] + [(f, k, 1) for f in ("f", None) for k in range(1, 9)] + [("f", None, 2)]
+    options = vl.call_options(spark.createDataFrame(ODD_CALLS + calls, CALLS), spark.createDataFrame(queues, QUEUES), ["file"], F.lit(True), F.col("size")).localCheckpoint()
+    many, few = (sorted(map(repr, vl.replay_calls(options, ["file"], limit).collect())) for limit in (vl.FOLD_LIMIT, 7))
+    assert many == few
+    found = vl.replay_calls(options, ["file"]).where("file = 'h'").collect()
+    nested = [r for r in found if r.outcome == "nested"]
+    assert len(found) == len(calls) and len(nested) > 300 and all(r.matched_key is not None for r in nested)
+    reach, used, want = -1, set(), {}
+    for _, site, start, end, typed, keys, _ in sorted(calls, key=lambda c: (c[2], -c[3], c[1])):
+        key = next((k for k in keys if k not in used), None)
+        if start < reach:
+            want[site] = (key, "nested")
+            continue
+        want[site] = (key, "missing-trace-record" if key is None else "unsupported-result-type" if not typed else "repeated" if key % 2 else "replaced")
+        if key is not None and typed:
+            used.add(key)
+            reach = max(reach, end)
+    assert {r.site: (r.matched_key, r.outcome) for r in found} == want
+
+
+def test_a_queue_that_repeats_and_keys_of_another_type(spark):
+    calls = spark.createDataFrame([("f", 1, 0, 5, True, [7, 8], None), ("f", 2, 6, 9, True, [8], None), ("f", 3, 10, 11, True, [], None)], CALLS.replace("array<long>", "array<int>"))
+    queues = spark.createDataFrame([("f", 7, 1), ("f", 7, 2), ("f", 8, 0), ("f", 1 << 40, 3), ("f", None, 4)], QUEUES)
+    found = vl.call_options(calls, queues, ["file"], F.col("records") == 1)
+    assert dict(found.dtypes)["options"].startswith("array<struct<candidate:int,key:int,records:bigint")
+    assert {r.site: [tuple(o) for o in r.options] for r in found.collect()} == {1: [(0, 7, 1, True, False), (0, 7, 2, False, False)], 2: [], 3: [(None, None, 4, False, False)]}
+
+
+@pytest.mark.parametrize("limit", [1000, 1])
+def test_a_nested_call_tells_its_queue_in_files_of_every_size(spark, limit):
+    calls = spark.createDataFrame([("f", 1, 0, 50, True, [28], None), ("f", 2, 10, 30, True, [28, 29], None), ("f", 3, 0, 0, True, [29], None)], CALLS)
+    options = vl.call_options(calls, spark.createDataFrame([("f", 28, 2), ("f", 29, 2)], QUEUES), ["file"], F.lit(True), F.col("size"))
+    found = {r.site: (r.matched_key, r.candidate, r.records, r.outcome) for r in vl.replay_calls(options, ["file"], limit).collect()}
+    assert found == {1: (28, 0, 2, "repeated"), 2: (29, 1, 2, "nested"), 3: (29, 0, 2, "nested")}
