@@ -236,3 +236,20 @@ def test_a_nested_call_tells_its_queue_in_files_of_every_size(spark, limit):
     options = vl.call_options(calls, spark.createDataFrame([("f", 28, 2), ("f", 29, 2)], QUEUES), ["file"], F.lit(True), F.col("size"))
     found = {r.site: (r.matched_key, r.candidate, r.records, r.outcome) for r in vl.replay_calls(options, ["file"], limit).collect()}
     assert found == {1: (28, 0, 2, "repeated"), 2: (29, 1, 2, "nested"), 3: (29, 0, 2, "nested")}
+
+
+@pytest.mark.parametrize("query", ["callsite_lookup"])
+def test_calls_of_the_queries_move_once(spark, tmp_path, query):
+    from cinderframe.checks import values as queries
+
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+    rng = random.Random(22)
+    lines = [(i, rng.randrange(500), i % 9, 1 + i % 7, 1.0 + i % 50, rng.choice("ANR"), rng.choice("FO")) for i in range(600)]
+    spark.createDataFrame(lines, kinds).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = queries.QUERIES[query](spark, str(tmp_path))
+    rows = found.collect()
+    assert sum(getattr(r, "detected_calls", None) or getattr(r, "calls", None) or 1 for r in rows) == 600
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    # outcomes by kind are summed up over all files in one more
+    assert plan.count("+- Exchange ") == 1 + (query == "inline_outcomes_by_kind") and plan.count("+- ReusedExchange ") == 1, plan
