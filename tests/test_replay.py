@@ -238,7 +238,7 @@ def test_a_nested_call_tells_its_queue_in_files_of_every_size(spark, limit):
     assert found == {1: (28, 0, 2, "repeated"), 2: (29, 1, 2, "nested"), 3: (29, 0, 2, "nested")}
 
 
-@pytest.mark.parametrize("query", ["callsite_lookup"])
+@pytest.mark.parametrize("query", ["callsite_lookup", "inline_outcomes"])
 def test_calls_of_the_queries_move_once(spark, tmp_path, query):
     from cinderframe.checks import values as queries
 
