@@ -182,3 +182,19 @@ def test_own_rules_replace_the_checks(spark):
     attempts = [(1, 1, 77, report(OTHER)), (2, 1, 77, report(B)), (3, 1, 77, "nothing"), (3, 2, 77, report(A, None)), (4, 1, 1, report(A))]
     got = judge(spark, attempts, rules=rules)
     assert got == {1: ("match", 1), 2: ("mismatch", 1), 3: ("match", 2), 4: ("mismatch", 1)}
+
+
+def test_trace_sets_are_built_over_all_samples(spark, monkeypatch):
+    """Samples beyond the expected ones, here none, one and two, take part; an expected one that is absent still counts."""
+    from cinderframe.checks import evidence as queries
+
+    kinds = "report_id long, ref_id long, role string, status int, signature struct<kind string, value string>, location string, canonical string, fingerprint string, harness_fault string"
+    row = lambda report, ref, trace, status=77, location="a.c:1", role="sample": (report, ref, role, status, ("asan", "SEGV"), location, trace, trace, None)
+    rows = [row(1, 3, "x"), row(2, 3, "x"), row(3, 3, "y"), row(4, 6, "x"), row(5, 6, "x", 1), row(6, 9, "x"), row(7, 9, "x", location="b.c:2"), row(8, 7, "x")]
+    rows += [row(9, 12, "z"), row(10, 12, "w", 1, role="candidate"), row(11, 4, "x"), row(12, 4, "y"), row(13, 4, "z")]
+    monkeypatch.setattr(queries, "_parsed", lambda *given: spark.createDataFrame(rows, kinds))
+    found = sorted(tuple(r) for r in queries.trace_set_build(spark, "").collect())
+    assert found == [(3, 1, "x", 0), (3, 2, "y", 2), (4, 1, "x", 0), (4, 2, "y", 1), (4, 3, "z", 2), (12, 1, "z", 0)]
+    samples = queries._samples(queries._parsed())
+    assert ev.expected_samples(samples, ["ref_id"], runs=0).count() == 6
+    assert ev.expected_samples(samples, ["ref_id"], runs=0, beyond=True).count() == len(rows) - 1
