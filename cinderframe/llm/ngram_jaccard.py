@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from cinderframe.llm.common import BASE, inverse, packed, pieces, powers, text_rows
 from cinderframe.llm.components import components
-from cinderframe.session import bounded_batches, dealt, written
+from cinderframe.session import bounded_batches, dealt, dropped, written
 
 #: Documents (about) whose shingles tell which are frequent, and the most frequent shingles that are told apart.
 ORDER_DOCS, ORDER_SHINGLES, OFTEN = 4000, 100_000, 4
@@ -146,12 +146,14 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
        the size, position, parity and count filters, which no link fails. Verified pairs complete the components.
 
     So a link is skipped only where its ends are connected already. Pairs are verified on sets made anew from whole texts.
+    What a step has written goes as soon as no later one reads it; texts and prefixes do not stay until the end.
     Shingles are compared by 64-bit codes. Null and empty texts have no shingles and link with nothing. A null id has no component.
     Rows that repeat an id are one document: what any of them links with, all do. An empty table gives an empty result.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = text_rows(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
-    shared = docs.sparkSession.sparkContext.broadcast(_order(rows, width))
+    shared = spark.sparkContext.broadcast(_order(rows, width))
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = shared.value
@@ -179,27 +181,33 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = written(rows.mapInArrow(describe, f"{numbers}, prefix array<long>"), "jaccard-sets")
     usable = base.filter("id is not null and n > 0")
     classes = usable.groupBy("n", "one", "two").agg(F.min(F.struct("id", *ODD, "prefix")).alias("kept"))
-    classes = written(classes.select("n", "one", "two", "kept.*"), "jaccard-classes")
-    keyed = classes.withColumn("key", F.xxhash64("prefix"))  # equal keys of different prefixes only pair more
+    prefixed = written(classes.select("n", "one", "two", "kept.*"), "jaccard-classes")
+    classes = written(prefixed.drop("prefix"), "jaccard-classes")
+    sets, base = base, written(base.select("id", "n", "one", "two"), "jaccard-sizes")
+    dropped(spark, sets)
+    keyed = prefixed.withColumn("key", F.xxhash64("prefix"))  # equal keys of different prefixes only pair more
     members = keyed.select("id", F.min("id").over(Window.partitionBy("n", "key")).alias("group"))
     members = written(members, "jaccard-members")
     fits, least = _sizes(percent)
-    heads = classes.join(members.groupBy("group").count().withColumnRenamed("group", "id"), "id")
+    heads = prefixed.select("id", "n", "prefix").join(members.groupBy("group").count().withColumnRenamed("group", "id"), "id")
     listed = heads.select("id", "n", "count", F.posexplode("prefix").alias("at", "code"))
     band = F.floor(F.log("n") / float(-np.log(percent / 100))).cast("int")
     lists = listed.withColumn("held", F.sum("count").over(Window.partitionBy("code"))).filter("held > 1").drop("held", "count")
     lists = lists.withColumn("band", band)
     first = F.min(F.struct("id", "n")).over(Window.partitionBy("code", "band"))
     lists = written(lists.withColumn("first", first), "jaccard-lists")
+    dropped(spark, prefixed)
     stars = lists.select(F.col("first.id").alias("a"), F.col("first.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
     stars = stars.filter("a <> b").groupBy("a", "b", "na", "nb").count().filter(fits).withColumn("least", F.expr(least))
     enough = F.least(*[F.col("least") - F.ceil(F.col(x) * percent / 100.0 - 1e-9) + 1 for x in ("na", "nb")])
     stars = stars.filter(F.col("count") >= enough).select("a", "b")
     stars = written(stars.unionByName(members.filter("id <> group").select(F.col("group").alias("a"), F.col("id").alias("b"))), "jaccard-pairs")
+    dropped(spark)
     listed_ids = members.join(lists.select(F.col("id").alias("group")).distinct(), "group", "left_semi").select("id")
     bodies = packed(rows.filter("id is not null"), "id").join(listed_ids.distinct(), "id", "left_semi")
     texts = dealt(bodies.groupBy("id").agg(F.max("body").alias("body")), "jaccard-texts", "id")
     links = written(_verified(stars, texts, width, percent), "jaccard-links")
+    dropped(spark, stars)
     roots = written(components(links), "jaccard-roots")
 
     known = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "group", F.coalesce("root", "id").alias("root"))
@@ -208,19 +216,22 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     inside = Window.partitionBy("code")
     wide = wide.withColumn("low", F.min("root").over(inside)).withColumn("high", F.max("root").over(inside)).filter("low < high")
     wide = written(wide.drop("group", "low", "high"), "jaccard-mixed")
+    dropped(spark, lists, members, roots)
     side = lambda x: wide.select(*[F.col(c).alias(f"{c}{x}") for c in wide.columns])
     # the first shingle that a link's ends share has at least the rest of the intersection behind it on both sides
-    ahead = f"{least} <= least(na - ata, nb - atb)"
+    ahead = F.expr(f"{least} <= least(na - ata, nb - atb)")
     apart = " + ".join(f"bit_count({c}a ^ {c}b)" for c in ODD)
     alike = f"{apart} <= na + nb - 2 * {least}"
-    pairs = side("a").join(side("b"), F.expr(f"codea = codeb and ida < idb and roota <> rootb and {fits} and {ahead} and {alike}"))
-    pairs = pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b"), "na", "nb", F.expr(least).alias("least")).distinct()
-    for x in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("id").alias(x), F.col("prefix").alias(f"prefix_{x}")), x)
-    pairs = pairs.filter(F.size(F.array_intersect("prefix_a", "prefix_b")) >= enough)
+    pairs = side("a").join(side("b"), F.expr(f"codea = codeb and ida < idb and roota <> rootb and {fits} and {alike}"))
+    # all that two prefixes share is in mixed lists, as their roots differ, so its rows are counted and no prefix moves
+    pairs = pairs.groupBy(F.col("ida").alias("a"), F.col("idb").alias("b"), "na", "nb").agg(F.count(F.lit(1)).alias("count"), F.max(ahead).alias("ahead"))
+    pairs = pairs.withColumn("least", F.expr(least)).filter("ahead").filter(F.col("count") >= enough)
     pairs = written(pairs.select("a", "b"), "jaccard-pairs")
-    more = _verified(pairs, texts, width, percent)
+    dropped(spark, wide)
+    more = written(_verified(pairs, texts, width, percent), "jaccard-links")
+    dropped(spark, pairs, texts)
     roots = components(links.unionByName(more))
+    dropped(spark, links, more)
 
     named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("n", "one", "two", F.coalesce("root", "id").alias("component"))
     alone = base.filter("id is null or n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component"))

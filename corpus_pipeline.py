@@ -14,7 +14,7 @@ from cinderframe.llm.ngram_jaccard import linked_documents
 from cinderframe.llm.quality_crf import keep_good
 from cinderframe.llm.queries import MIX, domain_model, quality_field, table, tokenizer_path
 from cinderframe.llm.token_output import token_records
-from cinderframe.session import written
+from cinderframe.session import dropped, written
 
 #: Documents that score below are rejected.
 REJECTED = 0.5
@@ -66,8 +66,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each result is written to the shared folder and read again."""
+    """All stages over the documents table; each result is written to the shared folder, read again, and goes when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

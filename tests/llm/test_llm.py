@@ -571,3 +571,26 @@ def test_pipeline_stages_on_odd_documents(spark, repeated):
         docs = corpus_pipeline.written(stage(spark, docs, FOLDER), "test-odd")
     assert docs.columns[:2] == ["doc_id", "text"]
     corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count()
+
+
+def test_near_duplicates_leave_no_large_tables(spark):
+    """Sets, prefixes, lists and texts go as soon as no later step reads them, and the result can still be computed, twice."""
+    import os
+
+    from cinderframe.session import dropped, shared_folder, written
+
+    root = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(60)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + [t + " more" for t in texts[:10]])], "doc_id long, text string")
+    found = ngram_jaccard.linked_documents(docs)
+    want = {i: i - 30 if i >= 30 else i for i in range(40)}
+    for _ in range(2):
+        assert {r.id: r.component for r in found.collect()} == want
+    left = {name.rpartition("-")[0] for name in set(os.listdir(root)) - before}
+    assert left <= {"jaccard-classes", "jaccard-sizes", "components"}, left
+    kept, gone = written(docs, "kept"), written(docs, "gone")
+    dropped(spark, gone, docs)
+    names = {name.rpartition("-")[0] for name in set(os.listdir(root)) - before}
+    assert "kept" in names and "gone" not in names and kept.count() == docs.count() == 40
