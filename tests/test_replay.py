@@ -253,3 +253,10 @@ def test_calls_of_the_queries_move_once(spark, tmp_path, query):
     plan = plan.split("== Initial Plan ==")[0]
     # what a task has counted is summed up behind one more
     assert plan.count("+- Exchange ") == 1 + (query != "callsite_lookup") and plan.count("+- ReusedExchange ") == 1, plan
+
+
+def test_rows_that_share_a_site_are_one_call_the_first(spark):
+    rows = [("f", 1, 9, 12, True, [8], 100), ("f", 1, 2, 3, False, [7], None), ("f", 1, 2, 3, True, [6], None), ("f", 2, 0, 1, True, [7], None)]
+    calls = spark.createDataFrame(rows, CALLS).coalesce(1)
+    found = vl.call_options(calls, spark.createDataFrame([("f", k, 1) for k in (6, 7, 8)], QUEUES), ["file"], F.lit(True), F.col("size")).collect()
+    assert {r.site: (r.start, r.end, r.typed, [(o.key, o.large) for o in r.options]) for r in found} == {1: (9, 12, True, [(6, False), (7, False), (8, True)]), 2: (0, 1, True, [(7, False)])}
